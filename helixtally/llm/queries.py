@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, packing, tokens, urls, warc
+from . import decontamination, packing, passages, suffixes, tokens, urls, warc
 
-QUERIES = {"op1_packing": packing.op1_packing, "op2_urls": urls.op2_urls, "op5_tokens": tokens.op5_tokens, "op7_decontamination": decontamination.op7_decontamination, "op10_warc": warc.op10_warc}
+QUERIES = {"op1_packing": packing.op1_packing, "op2_urls": urls.op2_urls, "op5_tokens": tokens.op5_tokens, "op6_suffixes": suffixes.op6_suffixes, "op7_decontamination": decontamination.op7_decontamination, "op8_passages": passages.op8_passages, "op10_warc": warc.op10_warc}
 ORACLES = {"op2_urls": urls.SQL, "op10_warc": warc.SQL}
