@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, neardup, packing, passages, suffixes, tokens, urls, warc
+from . import decontamination, neardup, packing, passages, quality, suffixes, tokens, urls, warc
 
-QUERIES = {"op1_packing": packing.op1_packing, "op2_urls": urls.op2_urls, "op4_neardup": neardup.op4_neardup, "op5_tokens": tokens.op5_tokens, "op6_suffixes": suffixes.op6_suffixes, "op7_decontamination": decontamination.op7_decontamination, "op8_passages": passages.op8_passages, "op10_warc": warc.op10_warc}
+QUERIES = {"op1_packing": packing.op1_packing, "op2_urls": urls.op2_urls, "op3_quality": quality.op3_quality, "op4_neardup": neardup.op4_neardup, "op5_tokens": tokens.op5_tokens, "op6_suffixes": suffixes.op6_suffixes, "op7_decontamination": decontamination.op7_decontamination, "op8_passages": passages.op8_passages, "op10_warc": warc.op10_warc}
 ORACLES = {"op2_urls": urls.SQL, "op10_warc": warc.SQL}
