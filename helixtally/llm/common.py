@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from collections.abc import Iterator
 
@@ -32,7 +33,11 @@ def settle(df: DataFrame) -> DataFrame:
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="helixtally-"))
-    return df.checkpoint()
+    out = df.checkpoint()
+    del df
+    gc.collect()
+    sc._jvm.System.gc()  # what only the cut lineage used is now garbage: its shuffle files go, else they stay for long
+    return out
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -153,9 +158,18 @@ def selected(gram: np.ndarray, ends: np.ndarray, k: int, w: int) -> np.ndarray:
     return np.flatnonzero((sliding(held, w, np.maximum) == gram) & (gram > 0))
 
 
-def signed(x: np.ndarray) -> pa.Array:
-    return pa.array(x.view(np.int64))
-
-
-def batches(cols: dict, schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(v, t) if not isinstance(v, pa.Array) else v.cast(t) for v, t in zip(cols.values(), schema.types, strict=True)], schema=schema)
+def whole_groups(it: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Tables of whole groups, from batches that are sorted by a long `key`."""
+    held = None
+    for b in it:
+        if not b.num_rows:
+            continue
+        t = pa.Table.from_batches([b])
+        held = t if held is None else pa.concat_tables([held, t])
+        keys = held["key"].to_numpy()
+        cut = int(np.searchsorted(keys, keys[-1]))
+        if cut:
+            yield held.slice(0, cut).combine_chunks()
+            held = held.slice(cut)
+    if held is not None:
+        yield held.combine_chunks()

@@ -18,9 +18,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import earliest
-from .common import NOT_SPACE, U64, Words, mix, selected, steps, table
+from .common import NOT_SPACE, U64, Words, mix, selected, steps, table, whole_groups
+from .suffixes import later
 
 WINDOW, PHRASE = 50, 25
+#: Words beside the phrase of which one side of a window has this many at least.
+SIDE = (WINDOW - PHRASE) // 2
 #: Documents that share an automaton at most, so that its size is bounded.
 SHARD_ROWS = 2000
 
@@ -51,6 +54,9 @@ def automaton_of(codes: np.ndarray, words: np.ndarray, at: np.ndarray):
     return out
 
 
+AROUND = "around struct<edge: int, right: bigint, left: bigint, windows: array<bigint>>"
+
+
 def locate_batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Every occurrence of the shard's phrases, with the fingerprints of the windows that hold it."""
     for batch in it:
@@ -81,8 +87,27 @@ def locate_batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 ctx = mix(w.grams(lo, at) * U64(3) + w.grams(at, last + WINDOW))
                 begin = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
                 windows = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)), pa.int32()), pa.array(w.grams(begin, begin + WINDOW).view(np.int64)))
+                right, left = w.grams(at, np.minimum(at + PHRASE + SIDE, d1)), mix(w.grams(np.maximum(at - SIDE - 1, d0), at + PHRASE) + U64(1))
+                edge = np.clip(at - lo - SIDE, 0, n)  # windows from here on have SIDE words right of the phrase
+                around = pa.StructArray.from_arrays([pa.array(edge.astype(np.int32)), pa.array(right.view(np.int64)), pa.array(left.view(np.int64)), windows], ["edge", "right", "left", "windows"])
                 row = pa.array(doc + i)
-                yield pa.RecordBatch.from_arrays([b["id"].take(row), b["tid"].take(row), pa.array(code[at].view(np.int64)), pa.array(ctx.view(np.int64)), pa.array(lo - d0), pa.array(n.astype(np.int32)), windows], ["id", "tid", "code", "ctx", "lo", "n_windows", "windows"])
+                yield pa.RecordBatch.from_arrays([b["id"].take(row), b["tid"].take(row), pa.array(code[at].view(np.int64)), pa.array(ctx.view(np.int64)), pa.array(lo - d0), pa.array(n.astype(np.int32)), around], ["id", "tid", "code", "ctx", "lo", "n_windows", "around"])
+
+
+def compare_batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(code, ctx, at, end) of the repeated runs of contexts, dealt by key: windows that a smaller first id also has."""
+    for t in whole_groups(it):
+        lists = t["windows"].combine_chunks()
+        n = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        row = np.repeat(np.arange(len(n)), n)
+        window = np.unique(lists.flatten().to_numpy(zero_copy_only=False), return_inverse=True)[1]
+        bad = later(window, np.repeat(t["first"].to_numpy(), n))
+        edge = np.diff(row, prepend=-1) != 0
+        begin = np.flatnonzero(bad & (edge | ~np.append(False, bad[:-1])))
+        end = np.flatnonzero(bad & (np.append(edge[1:], True) | ~np.append(bad[1:], False)))
+        own = row[begin]
+        shift = t["at"].to_numpy().astype(np.int64)[own] - (np.cumsum(n) - n)[own]
+        yield pa.RecordBatch.from_arrays([pa.array(t["code"].to_numpy()[own]), pa.array(t["ctx"].to_numpy()[own]), pa.array(begin + shift), pa.array(end + shift + WINDOW)], ["code", "ctx", "at", "end"])
 
 
 def removal_batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,12 +135,15 @@ def removal_batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """(id, tid, spans) of the keyed docs that hold repeated words."""
-    occ = earliest.occurrences(docs, anchor_batches, locate_batches, "windows array<long>")
-    first, several = earliest.firsts(occ, "windows")
-    single = several.select("code", "ctx", "first", F.posexplode("windows").alias("i", "window"))
-    least = single.groupBy("window").agg(F.min("first").alias("least"), F.max("first").alias("most")).where("least < most").select("window", "least")
-    again = single.join(least, "window").where(F.col("first") > F.col("least"))
-    runs = again.groupBy("code", "ctx").agg(earliest.cover(F.collect_set(F.struct(F.col("i").cast("long").alias("at"), (F.col("i") + WINDOW).cast("long").alias("end")))).alias("runs"))
+    occ = earliest.occurrences(docs, anchor_batches, locate_batches, AROUND)
+    first, several = earliest.firsts(occ, "around")
+    w, edge = F.col("around.windows"), F.col("around.edge")
+    right = F.struct(F.col("around.right").alias("key"), edge.alias("at"), F.slice(w, edge + 1, F.size(w)).alias("windows"))
+    left = F.struct(F.col("around.left").alias("key"), F.lit(0).alias("at"), F.slice(w, 1, edge).alias("windows"))
+    halves = several.select("code", "ctx", "first", F.explode(F.array(right, left)).alias("h")).select("h.key", "code", "ctx", "first", "h.at", "h.windows").where(F.size("windows") > 0)
+    dealt = halves.repartition("key").sortWithinPartitions("key")
+    found = dealt.mapInArrow(compare_batches, "code long, ctx long, at long, end long")
+    runs = found.groupBy("code", "ctx").agg(earliest.cover(F.collect_set(F.struct("at", "end"))).alias("runs"))
     return earliest.spans(occ, first, runs, WINDOW)
 
 
