@@ -124,7 +124,8 @@ class Words:
         self.doc = np.searchsorted(off, self.start, "right") - 1
         self.first = np.searchsorted(self.start, off)
         self.count = np.diff(self.first)
-        self.code = grams(prefix_sums(BYTE_CODE[data], BASE), BASE, self.start, self.end)
+        self.bytes = prefix_sums(BYTE_CODE[data], BASE)
+        self.code = grams(self.bytes, BASE, self.start, self.end)
         self.sums = prefix_sums(self.code, WORD_BASE)
 
     def grams(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:

@@ -14,10 +14,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ALNUM, LOWER, U64, Words, steps, table
+from .common import ALNUM, BASE, LOWER, U64, Words, grams, mix, steps, table
 
-#: Labelled rows that a model is fitted on at most, those of the least hashes of their ids; words that it keeps at most.
-FIT_ROWS, VOCABULARY = 8192, 512
+#: Labelled rows that a model is fitted on at most, those of the least hashes of their ids; features that it keeps at most.
+FIT_ROWS, VOCABULARY = 8192, 1024
+PREFIXES = (4, 5, 6)
 #: Documents that hold a word, at least; deviations from its expected share among toxic ones, at least.
 LEAST_DOCS, LEAST_Z = 5, 4.0
 #: Words that mark toxic documents, for grade 2 and for grade 3.
@@ -25,14 +26,27 @@ GRADES = 4
 PENALTY, ROUNDS, RATE = 1e-3, 400, 0.05
 
 
+def features(w: Words) -> tuple[np.ndarray, np.ndarray]:
+    """(row, code) of each word, and of its beginnings of PREFIXES bytes, so that a stem counts in all its forms."""
+    rows, codes = [w.doc], [w.code]
+    for n in PREFIXES:
+        long = np.flatnonzero(w.end - w.start >= n)
+        rows.append(w.doc[long])
+        codes.append(mix(grams(w.bytes, BASE, w.start[long], w.start[long] + n) + U64(n)))
+    return np.concatenate(rows), np.concatenate(codes)
+
+
 def word_batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The distinct word codes of each document."""
+    """The distinct features of each document."""
     for b in it:
         for i, j, data, off in steps(b["text"]):
             w = Words(LOWER[data], off, ALNUM)
-            codes = [np.unique(w.code[a:e]).view(np.int64) for a, e in zip(w.first[:-1], w.first[1:], strict=True)]
-            size = np.array([len(c) for c in codes], np.int64)
-            yield pa.RecordBatch.from_arrays([b["label"].slice(i, j - i), pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)), pa.int32()), pa.array(np.concatenate(codes) if codes else np.zeros(0, np.int64)))], ["label", "codes"])
+            row, code = features(w)
+            order = np.lexsort((code, row))
+            row, code = row[order], code[order]
+            new = np.append(True, (row[1:] != row[:-1]) | (code[1:] != code[:-1]))[: len(row)]
+            row, code = row[new], code[new]
+            yield pa.RecordBatch.from_arrays([b["label"].slice(i, j - i), pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(j - i + 1)), pa.int32()), pa.array(code.view(np.int64)))], ["label", "codes"])
 
 
 def logistic(x: np.ndarray) -> np.ndarray:
@@ -64,7 +78,7 @@ def vocabulary_of(codes: list[np.ndarray], toxic: np.ndarray) -> tuple[np.ndarra
 
 
 def fit(codes: list[np.ndarray], labels: np.ndarray, graded: bool) -> Model:
-    """The model of documents given as distinct word codes, and their labels: grades, or 0 and 1.
+    """The model of documents given as distinct features, and their labels: grades, or 0 and 1.
 
     Toxic rows without a grade get one by how many words of toxic documents they hold: one, two, or more.
     """
@@ -118,14 +132,19 @@ def score_batches(held):
         vocabulary, weights = m.vocabulary.view(U64), m.weights
         by = np.argsort(vocabulary)
         vocabulary, weights = vocabulary[by], weights[by]
+        near = np.zeros(1 << 16, bool)  # by their first bits, most features are told from the vocabulary's
+        near[vocabulary >> U64(48)] = True
         for b in it:
             for i, j, data, off in steps(b["text"]):
                 w = Words(LOWER[data], off, ALNUM)
                 score = np.zeros(j - i)
                 if len(vocabulary):
-                    at = np.minimum(np.searchsorted(vocabulary, w.code), len(vocabulary) - 1)
-                    hit = np.flatnonzero(vocabulary[at] == w.code)
-                    pair = np.unique(w.doc[hit] * len(vocabulary) + at[hit])
+                    row, code = features(w)
+                    hit = np.flatnonzero(near[code >> U64(48)])
+                    row, code = row[hit], code[hit]
+                    at = np.minimum(np.searchsorted(vocabulary, code), len(vocabulary) - 1)
+                    hit = np.flatnonzero(vocabulary[at] == code)
+                    pair = np.unique(row[hit] * len(vocabulary) + at[hit])
                     np.add.at(score, pair // len(vocabulary), weights[pair % len(vocabulary)])
                 chance = m.chances(score)
                 p = 1 - chance[:, 0]
