@@ -11,7 +11,9 @@ from __future__ import annotations
 import bisect
 import math
 import os
+import re
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -20,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import settle, table
-from .tokens import vocabulary_path
+from .tokens import byte_letters, vocabulary_path
 
 TOKENIZER = "word_bpe_49k.json"
 CAPACITY = 2048
@@ -29,7 +31,11 @@ SHARD, ISLANDS, EPOCHS, POPULATION, CHILDREN = 4096, 3, 2, 4, 6
 #: Sequences filled less than this are pooled for the second pass.
 TIGHT = 0.985
 #: Entries of a worker's cache of encoded words; it starts afresh when full.
-CACHE = 700_000
+CACHE = 600_000
+#: Letters that compose with nothing and have one lower-case form each, and marks that the tokenizer splits from them.
+PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?]*)")
+#: From a byte to the letter that stands for it in the vocabulary.
+LETTERS = {b: x for b, x in enumerate(byte_letters())}
 #: Characters that Python takes for white space and the tokenizer does not.
 UNLIKE = ("\x1c", "\x1d", "\x1e", "\x1f")
 
@@ -46,27 +52,51 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.merge = self.tokenizer.model.tokenize
         self.batch = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
         self.cache: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of some texts."""
         out = self.batch(texts, add_special_tokens=False)
         return [np.array(x.ids, "<u4").tobytes() for x in out]
 
+    def learn(self, new: list[str]) -> None:
+        """Put words into the cache; a plain word and the marks behind it are looked up apart, the word in lower case."""
+        parts, cache, odd = self.parts, self.cache, []
+        for w in new:
+            if (m := PLAIN.fullmatch(w)) is None:
+                odd.append(w)
+                continue
+            a, b = m[1].lower(), m[2]
+            ids = parts.get(a)
+            if ids is None:  # one pre-token, so the vocabulary's merges are all there is to do
+                ids = parts[a] = array("I", [t.id for t in self.merge(a.encode().decode("latin-1").translate(LETTERS))]).tobytes()
+            if b:
+                marks = parts.get(b)
+                if marks is None:
+                    marks = parts[b] = self.encode([b])[0]
+                ids += marks
+            cache[w] = ids
+        for i in range(0, len(odd), 20_000):
+            cache.update(zip(odd[i : i + 20_000], self.encode(odd[i : i + 20_000]), strict=True))
+
     def __call__(self, texts: list[str]) -> list[bytes]:
         if len(self.cache) >= CACHE:
             self.cache.clear()
-        cache, words, out = self.cache, [t.split() for t in texts], []
-        new = list({w for ws in words for w in ws if w not in cache})
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            cache.update(zip(part, self.encode(part), strict=True))
-        for t, ws in zip(texts, words, strict=True):
+        if len(self.parts) >= CACHE:
+            self.parts.clear()
+        get = self.cache.get
+        words = [t.split() for t in texts]
+        got = [list(map(get, ws)) for ws in words]
+        self.learn(list({ws[i] for ws, g in zip(words, got, strict=True) for i, x in enumerate(g) if x is None}))
+        out = []
+        for t, ws, g in zip(texts, words, got, strict=True):
             if any(c in t for c in UNLIKE):
                 out += self.encode([t])
             else:
-                out.append(b"".join([cache[w] for w in ws]))
+                out.append(b"".join([get(w) if x is None else x for w, x in zip(ws, g, strict=True)]))
         return out
 
 
