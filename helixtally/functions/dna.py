@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 N = "[ACGT]"
 
@@ -89,17 +91,21 @@ def tags(seq: Column, e: Enzyme) -> Column:
 
 
 def positions(seq: Column, e: Enzyme) -> Column:
-    """(pos, tag) of every tag, by the offset in bases."""
-    up = F.upper(seq)
-    at = F.filter(F.sequence(F.lit(0), F.greatest(F.lit(0), F.char_length(up) - e.tag_length)), lambda i: F.substring(up, i + 1, F.lit(e.tag_length)).rlike(f"^(?:{e.regex})$"))
-    return F.transform(at, lambda i: F.struct(i.alias("pos"), F.substring(up, i + 1, F.lit(e.tag_length)).alias("tag")))
+    """(pos, tag) of every tag, by the offset in bases; the regular expressions of Spark do not tell offsets."""
+    site = re.compile(f"(?=({e.regex}))")
+
+    @F.pandas_udf(ArrayType(StructType([StructField("pos", IntegerType()), StructField("tag", StringType())])))
+    def find(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: [] if x is None else [{"pos": m.start(), "tag": m[1]} for m in site.finditer(x.upper())])
+
+    return find(seq)
 
 
 def _uint(s: pd.Series) -> np.ndarray:
     return s.to_numpy(dtype=np.int64, na_value=0).view(np.uint64)
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(LongType())
 def fnv64(s: pd.Series) -> pd.Series:
     """64-bit FNV-1a of strings, as the signed number of the same bits; null of null."""
     raw = [x.encode() if x is not None else b"" for x in s]
@@ -114,7 +120,7 @@ def fnv64(s: pd.Series) -> pd.Series:
     return pd.Series(out.view(np.int64)).where(s.notna().to_numpy())
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(LongType())
 def splitmix64(s: pd.Series) -> pd.Series:
     """The finaliser that orders markers in sketches."""
     x = _uint(s)

@@ -117,7 +117,7 @@ def single_linkage(genomes: DataFrame, markers: DataFrame, *scope: str, threshol
             edges = edges.unionByName(n.select(*scope, F.lag("gid").over(by).alias("a"), F.col("gid").alias("b")).where("a IS NOT NULL"))
         roots = components(genomes, edges, *scope)
     by = Window.partitionBy(*scope).orderBy("root") if scope else Window.partitionBy(F.lit(1)).orderBy("root")
-    ids = roots.select(*scope, "root").distinct().withColumn("cluster_id", F.row_number().over(by) - 1)
+    ids = roots.select(*scope, "root").distinct().withColumn("cluster_id", (F.row_number().over(by) - 1).cast("long"))
     return roots.join(ids, [*scope, "root"]).select(*scope, "gid", "cluster_id", F.concat(F.lit("C"), F.col("cluster_id")).alias("cluster"))
 
 

@@ -16,7 +16,10 @@ def digest(sequences: DataFrame, enzymes: Sequence[Enzyme], seq: str = "seq") ->
     A bag: enzymes of equal length that match the same place each give a row, and so does an enzyme that is named twice.
     The sequence is read once, whatever the number of enzymes.
     """
-    found = F.flatten(F.array(*[F.transform(tags(F.col(seq), e), lambda t, k=F.lit(e.enzyme_id): F.struct(k.alias("enzyme_id"), canonical(t).alias("tag"))) for e in enzymes]))
+    def cut(e: Enzyme):
+        return F.transform(tags(F.col(seq), e), lambda t: F.struct(F.lit(e.enzyme_id).alias("enzyme_id"), canonical(t).alias("tag")))
+
+    found = F.flatten(F.array(*map(cut, enzymes)))
     keep = [c for c in sequences.columns if c != seq]
     return sequences.select(*keep, F.explode(found).alias("_t")).select(*keep, "_t.enzyme_id", "_t.tag")
 

@@ -2,6 +2,419 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from helixtally.functions.dna import ENZYMES, fnv64, from_hex, positions, reverse_complement, to_hex
+from helixtally.operators import cluster, community, database, digest, metrics, profile, quality
+from helixtally.operators.cluster import settle
+from helixtally.plans import fixture as fx
+from helixtally.plans import oracles as o
+from helixtally.sources import fastx, tables
+from helixtally.streaming import counts as streaming
+
 FLAGSHIP = "multi_profile"
 QUERIES: dict = {}
 ORACLES: dict = {}
+TRACE, NARROW = 0.004, community.Gate(2000, 0.0, 1200)
+
+
+def query(sql: str | None = None):
+    """Register a query under its function's name."""
+
+    def put(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return put
+
+
+def rounded(df: DataFrame, *cols: str) -> DataFrame:
+    return df.withColumns({c: F.round(c, 9) for c in cols})
+
+
+# --- digestion ---
+
+
+@query(f"WITH {o.TAGS} SELECT species, gid, marker, copies FROM gm")
+def digest_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fx.genome_markers(spark, sf_dir)
+
+
+@query(f"WITH {o.TAGS} SELECT species, gid, marker FROM single")
+def single_copy_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest.single_copy(fx.genome_markers(spark, sf_dir))
+
+
+@query(f"WITH {o.TAGS} SELECT species, count(DISTINCT marker) AS n_markers, count(*) AS n_tags FROM tags GROUP BY ALL")
+def distinct_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tagged = digest.digest(fx.sequences(spark, sf_dir), [fx.CUTTER])
+    return digest.counts(tagged, "species").groupBy("species").agg(F.count("*").alias("n_markers"), F.sum("copies").alias("n_tags"))
+
+
+@query(f"WITH {o.TAGS} SELECT marker, count(*) AS copies FROM tags GROUP BY ALL")
+def merged_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    by = fx.genome_markers(spark, sf_dir)
+    return digest.merge_counts(*[by.where(F.col("species") == s).select("marker", "copies") for s in ("de", "en", "es", "fr")], by.where(~F.col("species").isin("de", "en", "es", "fr")).select("marker", "copies"))
+
+
+@query(o.multi_enzyme())
+def multi_enzyme_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tagged = digest.digest(fx.small_sequences(spark, sf_dir).select("seq"), ENZYMES)
+    return tagged.groupBy(F.col("enzyme_id").cast("int").alias("enzyme_id"), "tag").agg(F.count("*").alias("copies"))
+
+
+@query(f"WITH {o.SEQS}, hits AS ({o._site('GGGAC', 6)} UNION {o._site('GTCCC', 14)}) SELECT species, count(*) AS n_sites, sum(i)::BIGINT AS sum_pos FROM hits WHERE i >= 0 AND i + 25 <= len(seq) GROUP BY ALL")
+def site_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = fx.sequences(spark, sf_dir).where(F.col("seq").contains("GGGAC") | F.col("seq").contains("GTCCC")).select("species", F.explode(positions(F.col("seq"), fx.CUTTER)).alias("p"))
+    return at.groupBy("species").agg(F.count("*").alias("n_sites"), F.sum(F.col("p.pos").cast("long")).alias("sum_pos"))
+
+
+@query(f"""WITH {o.TAGS}, d AS (SELECT DISTINCT marker AS tag FROM tags),
+h AS (SELECT tag, list_reduce(list_prepend(14695981039346656037::UHUGEINT, list_transform(range(1, 26), lambda i: ascii(substr(tag, i, 1))::UHUGEINT)), lambda a, x: xor(a, x) * 1099511628211::UHUGEINT % {o._M}) AS u FROM d)
+SELECT tag, CASE WHEN u >= 9223372036854775808::UHUGEINT THEN (u::HUGEINT - 18446744073709551616::HUGEINT)::BIGINT ELSE u::BIGINT END AS marker, lower(to_hex(u::UBIGINT)) AS hex, TRUE AS back FROM h""")
+def fnv_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tagged = digest.digest(fx.sequences(spark, sf_dir), [fx.CUTTER]).select("tag").distinct()
+    out = tagged.withColumn("marker", fnv64("tag"))
+    return out.select("tag", "marker", to_hex(F.col("marker")).alias("hex"), (from_hex(to_hex(F.col("marker"))) == F.col("marker")).alias("back"))
+
+
+@query(f"WITH {o.SEQS} SELECT species, gid, count(*) AS n_contigs, sum(len(seq))::BIGINT AS n_bases, max(reverse(translate(seq, 'ACGT', 'TGCA'))) AS last_reverse FROM seqs WHERE seq <> '' GROUP BY ALL")
+def reverse_strands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seqs = fx.sequences(spark, sf_dir).where("seq <> ''")
+    return seqs.groupBy("species", "gid").agg(F.count("*").alias("n_contigs"), F.sum(F.char_length("seq").cast("long")).alias("n_bases"), F.max(reverse_complement(F.col("seq"))).alias("last_reverse"))
+
+
+# --- sources over text columns ---
+
+
+@query(r"""WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
+m AS (SELECT doc_id, array_to_string(list_transform(list_transform(ls, lambda x: regexp_replace(x, '^[\t\n\v\f\r ]+|[\t\n\v\f\r ]+$', '', 'g')), lambda x: CASE WHEN starts_with(x, '>') THEN '>' ELSE x END), '') AS t FROM l),
+r AS (SELECT doc_id, list_filter(string_split(t, '>'), lambda x: x <> '') AS rs FROM m)
+SELECT doc_id, (generate_subscripts(rs, 1) - 1)::INT AS seq_no, length(unnest(rs))::INT AS n_bases FROM r""")
+def fasta_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = fx.table(spark, sf_dir, "documents")
+    return docs.select("doc_id", F.posexplode(fastx.fasta_records(F.col("text"))).alias("seq_no", "seq")).select("doc_id", "seq_no", F.char_length("seq").alias("n_bases"))
+
+
+@query(r"""WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents), c AS (SELECT doc_id, CASE WHEN ls[-1] = '' THEN ls[:-2] ELSE ls END AS ls FROM l)
+SELECT doc_id, count(*) AS n_reads, sum(length(regexp_replace(ls[k], '^[\t\n\v\f\r ]+|[\t\n\v\f\r ]+$', '', 'g')))::BIGINT AS n_bases FROM (SELECT doc_id, ls, unnest(range(2, len(ls) + 1, 4)) AS k FROM c) GROUP BY doc_id""")
+def fastq_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    reads = fx.table(spark, sf_dir, "documents").select("doc_id", F.explode(fastx.fastq_records(F.col("text"))).alias("seq"))
+    return reads.groupBy("doc_id").agg(F.count("*").alias("n_reads"), F.sum(F.char_length("seq").cast("long")).alias("n_bases"))
+
+
+@query("SELECT o_orderpriority AS name, arg_max(o_totalprice, o_orderkey) AS abundance FROM orders GROUP BY ALL")
+def abundance_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = fx.table(spark, sf_dir, "orders")
+    return tables.abundances(orders.select(F.col("o_orderkey").alias("line_no"), F.concat_ws("\t", "o_orderpriority", F.col("o_totalprice").cast("string")).alias("line")))
+
+
+@query("SELECT species, unit, count(*) AS n FROM (SELECT DISTINCT l_suppkey % 5 AS species, l_suppkey AS unit, l_partkey FROM lineitem) GROUP BY ALL")
+def database_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = fx.incidence(spark, sf_dir).withColumn("h", to_hex(F.col("marker")))
+    return held.withColumn("marker", from_hex(F.col("h"))).where("marker IS NOT NULL").groupBy("species", "unit").agg(F.count("*").alias("n"))
+
+
+# --- databases ---
+
+_DEG = f"{o.INCIDENCE}, deg AS (SELECT species, marker, count(*) AS degree FROM held GROUP BY ALL)"
+
+
+@query(f"WITH {_DEG} SELECT * FROM deg")
+def marker_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return database.degree(fx.incidence(spark, sf_dir), "species")
+
+
+@query(f"""WITH {_DEG}, u AS (SELECT species, unit, count(*) AS m FROM held GROUP BY ALL), a AS (SELECT species, count(*) AS n_strains, avg(m) AS v FROM u GROUP BY ALL)
+SELECT species, n_strains, count(*) AS n_markers, sum((degree = 1)::INT)::BIGINT AS unique_markers, round(v, 9) AS avg_markers_per_strain, round(sum((degree = 1)::INT) / count(*), 9) AS unique_fraction FROM deg JOIN a USING (species) GROUP BY species, n_strains, v""")
+def db_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(database.stats(fx.incidence(spark, sf_dir), "species"), "avg_markers_per_strain", "unique_fraction")
+
+
+@query(f"WITH {_DEG} SELECT species, unit, count(*) AS n_markers, sum((degree = 1)::INT)::BIGINT AS panel_n FROM held JOIN deg USING (species, marker) GROUP BY ALL")
+def unit_panels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return database.panels(database.build(fx.incidence(spark, sf_dir), "species"), "species")
+
+
+@query(f"WITH {_DEG} , p AS (SELECT species, unit, sum((degree = 1)::INT)::BIGINT AS panel_n FROM held JOIN deg USING (species, marker) GROUP BY ALL) SELECT species, unit, panel_n, panel_n >= 10 AS resolvable, max(panel_n) OVER (PARTITION BY species) >= 10 AS doable FROM p")
+def resolvable_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return database.resolvable(database.build(fx.incidence(spark, sf_dir), "species"), "species")
+
+
+@query(f"""WITH {_DEG}, ok AS (SELECT marker FROM held GROUP BY ALL HAVING count(DISTINCT species) = 1)
+SELECT species, unit, sum((degree = 1 AND marker IN (FROM ok))::INT)::BIGINT AS panel_n FROM held JOIN deg USING (species, marker) GROUP BY ALL""")
+def restricted_panels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    db = settle(fx.incidence(spark, sf_dir))
+    used = database.restrict(database.build(db, "species"), community.species_specific(db), "species")
+    return database.panels(used, "species").drop("n_markers")
+
+
+@query(f"""WITH {_DEG}, named AS (SELECT species, marker FROM deg WHERE species < 3 AND degree <= 2)
+SELECT species, unit, sum((CASE WHEN species < 3 THEN degree <= 2 ELSE degree = 1 END)::INT)::BIGINT AS panel_n FROM held JOIN deg USING (species, marker) GROUP BY ALL""")
+def named_unique_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Species 0 to 2 name their unique markers; the others fall back to degree 1."""
+    db = settle(database.build(fx.incidence(spark, sf_dir), "species"))
+    named = db.where("species < 3 AND degree <= 2").select("species", "marker")
+    return database.panels(database.with_unique(db, named, "species"), "species").drop("n_markers")
+
+
+# --- genome quality ---
+
+_Q = f"""{o.TAGS}, g AS (SELECT n.species, n.gid, n.n_contigs, count(s.marker) AS n_tags FROM genomes n LEFT JOIN single s USING (species, gid) GROUP BY ALL),
+m AS (SELECT species, list_sort(list(n_tags))[len(list(n_tags)) // 2 + 1] AS median FROM g GROUP BY ALL)"""
+
+
+def _assessed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    genomes = fx.genomes(spark, sf_dir)
+    n = digest.single_copy(fx.genome_markers(spark, sf_dir)).groupBy("species", "gid").agg(F.count("*").alias("n_tags"))
+    return settle(genomes.join(n, ["species", "gid"], "left").na.fill(0, ["n_tags"]))
+
+
+@query(f"WITH {_Q} SELECT species, median FROM m")
+def median_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.upper_median(_assessed(spark, sf_dir), "species")
+
+
+@query(f"""WITH {_Q} SELECT species, gid, n_contigs, n_tags, median, CASE WHEN n_contigs > 100 OR n_tags < floor(median * 0.3) THEN 'dropped' WHEN median > 0 AND n_tags < floor(median * 0.5) THEN 'flagged' ELSE 'kept' END AS status,
+CASE WHEN n_contigs > 100 THEN 'contigs' WHEN n_tags < floor(median * 0.3) THEN 'completeness' WHEN median > 0 AND n_tags < floor(median * 0.5) THEN 'partial' END AS reason FROM g JOIN m USING (species)""")
+def quality_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.assess(_assessed(spark, sf_dir), "species", max_contigs=100, min_tag_fraction=0.3)
+
+
+# --- similarity and clusters ---
+
+
+def _units_as_genomes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    held = settle(fx.incidence(spark, sf_dir).withColumnRenamed("unit", "gid"))
+    return held.select("species", "gid").distinct(), held
+
+
+@query(f"""WITH {o.INCIDENCE}, n AS (SELECT species, unit, count(*) AS n FROM held GROUP BY ALL), p AS (SELECT x.species, x.unit AS a, y.unit AS b, count(*) AS shared FROM held x JOIN held y ON x.species = y.species AND x.marker = y.marker AND x.unit < y.unit GROUP BY ALL)
+SELECT p.species, a, b, shared, x.n AS na, y.n AS nb, round(shared / (x.n + y.n - shared), 9) AS jaccard, round(shared / least(x.n, y.n), 9) AS containment FROM p JOIN n x ON x.species = p.species AND x.unit = a JOIN n y ON y.species = p.species AND y.unit = b""")
+def similarity_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(cluster.similarities(*_units_as_genomes(spark, sf_dir), "species"), "jaccard", "containment")
+
+
+@query(f"WITH {o.SKETCH} SELECT est.species, a, b, round(j, 9) AS jaccard, round(j * (x.n + y.n) / (1 + j) / greatest(least(x.n, y.n), 1), 9) AS containment FROM est JOIN size x ON x.species = est.species AND x.gid = a JOIN size y ON y.species = est.species AND y.gid = b")
+def minhash_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(cluster.sketched(*_units_as_genomes(spark, sf_dir), "species", k=64), "jaccard", "containment")
+
+
+def _singles(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(genomes, all markers, single-copy markers), computed once."""
+    gm = settle(fx.genome_markers(spark, sf_dir))
+    return fx.genomes(spark, sf_dir).select("species", "gid"), gm, digest.single_copy(gm)
+
+
+@query(f"WITH RECURSIVE {o.TAGS}, {o.linkage('jaccard >= 0.95')} SELECT species, gid, cluster_id, 'C' || cluster_id AS cluster FROM mem")
+def linkage_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    genomes, _, single = _singles(spark, sf_dir)
+    return cluster.single_linkage(genomes, single, "species", method="exact")
+
+
+@query(f"WITH RECURSIVE {o.TAGS}, {o.linkage('containment >= 0.95')} SELECT species, gid, cluster_id, 'C' || cluster_id AS cluster FROM mem")
+def linkage_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    genomes, _, single = _singles(spark, sf_dir)
+    return cluster.single_linkage(genomes, single, "species", containment=True, method="exact")
+
+
+@query(f"WITH RECURSIVE {o.TAGS}, {o.linkage('jaccard >= 0.95')} SELECT species, gid, cluster_id, 'C' || cluster_id AS cluster FROM mem")
+def linkage_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sketches of 2000 hold these genomes whole, so the estimates are exact."""
+    genomes, _, single = _singles(spark, sf_dir)
+    return cluster.single_linkage(genomes, digest.markers(single.withColumnRenamed("marker", "tag")), "species", method="minhash")
+
+
+def _clustered(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(membership, all markers, single-copy markers)."""
+    genomes, gm, single = _singles(spark, sf_dir)
+    return settle(cluster.single_linkage(genomes, single, "species", method="exact")), gm, single
+
+
+_CLASSES = f"""{o.CLUSTERS}, nc AS (SELECT species, count(DISTINCT cluster_id) AS k FROM mem GROUP BY ALL),
+cl0 AS (SELECT species, marker, count(*) AS gd, count(DISTINCT cluster_id) AS cd, min(gid) AS g, min(cluster_id) AS c FROM single JOIN mem USING (species, gid) GROUP BY ALL),
+cl AS (SELECT species, marker, CASE WHEN cd = k AND k > 1 THEN 'core' WHEN cd = 1 AND gd = 1 THEN 'strain_specific' WHEN cd = 1 THEN 'cluster_specific' ELSE 'partial' END AS class, CASE WHEN cd = k AND k > 1 THEN NULL WHEN cd = 1 AND gd = 1 THEN g WHEN cd = 1 THEN c END::VARCHAR AS owner FROM cl0 JOIN nc USING (species))"""
+
+
+@query(f"WITH RECURSIVE {_CLASSES} SELECT * FROM cl")
+def marker_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mem, _, single = _clustered(spark, sf_dir)
+    return cluster.classify(single, mem, "species").withColumn("owner", F.col("owner").cast("string"))
+
+
+@query(f"WITH RECURSIVE {_CLASSES} SELECT species, class, count(*) AS n FROM cl GROUP BY ALL")
+def class_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mem, _, single = _clustered(spark, sf_dir)
+    return cluster.class_summary(cluster.classify(single, mem, "species"), "species")
+
+
+def _db(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mem, gm, single = _clustered(spark, sf_dir)
+    return settle(cluster.cluster_db(single, gm, mem, "species"))
+
+
+@query(f"WITH RECURSIVE {o.CLUSTERS} SELECT species, unit, marker, degree, is_unique FROM db")
+def cluster_database(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _db(spark, sf_dir).select("species", "unit", "marker", "degree", "is_unique")
+
+
+# --- profiles ---
+
+
+@query(f"WITH {o.TAGS} SELECT marker, copies FROM sample")
+def sample_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fx.sample(spark, sf_dir)
+
+
+@query(f"WITH RECURSIVE {o.CLUSTERS}, {o.stats('db')} SELECT species, unit, n_markers, panel_n, detected1, detected2, round(depth, 9) AS depth FROM stats")
+def panel_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(profile.panel_stats(_db(spark, sf_dir), fx.sample(spark, sf_dir), "species"), "depth")
+
+
+@query(f"WITH RECURSIVE {o.CLUSTERS}, {o.stats('db')} SELECT species, unit, support, round(coverage, 9) AS coverage FROM supported")
+def detect_present(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stats = profile.panel_stats(_db(spark, sf_dir), fx.sample(spark, sf_dir), "species")
+    return rounded(profile.supported(stats, profile.Params()).select("species", "unit", "support", "coverage"), "coverage")
+
+
+_PROFILE = "species, unit, round(abundance, 9) AS abundance, round(coverage, 9) AS coverage, support, round(depth, 9) AS depth, n_markers"
+
+
+@query(f"WITH RECURSIVE {o.CLUSTERS}, {o.stats('db')}, {o.CALLS} SELECT {_PROFILE} FROM calls")
+def species_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(profile.profile(_db(spark, sf_dir), fx.sample(spark, sf_dir), "species"), "abundance", "coverage", "depth")
+
+
+@query(f"WITH RECURSIVE {o.CLUSTERS}, {o.stats('db')}, {o.CALLS}, k AS (SELECT * FROM calls WHERE abundance >= 0.01) SELECT species, unit, round(abundance / sum(abundance) OVER (PARTITION BY species), 9) AS abundance, round(coverage, 9) AS coverage, support, round(depth, 9) AS depth, n_markers FROM k")
+def abundant_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = profile.profile(_db(spark, sf_dir), fx.sample(spark, sf_dir), "species", params=profile.Params(min_abundance=0.01))
+    return rounded(got, "abundance", "coverage", "depth")
+
+
+@query(f"WITH RECURSIVE {o.CLUSTERS} SELECT species, unit, sum(copies)::DOUBLE AS score FROM db JOIN sample USING (marker) GROUP BY ALL HAVING sum(copies) >= 30")
+def naive_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profile.naive_profile(_db(spark, sf_dir), fx.sample(spark, sf_dir), "species", min_score=30.0)
+
+
+@query()
+def regression_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(profile.regress(_db(spark, sf_dir), fx.sample(spark, sf_dir), "species"), "weight")
+
+
+# --- communities ---
+
+
+@query(f"WITH RECURSIVE {o.CLUSTERS}, {o.SPECIFIC} SELECT * FROM specific")
+def species_specific_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return community.species_specific(_db(spark, sf_dir))
+
+
+@query(f"""WITH {o.INCIDENCE}, m AS (SELECT marker, count(DISTINCT species) AS n FROM held GROUP BY ALL)
+SELECT sum(n)::BIGINT AS before, sum((n = 1)::INT)::BIGINT AS after, round(100.0 * (sum(n) - sum((n = 1)::INT)) / sum(n), 9) AS excluded_pct FROM m""")
+def cross_species_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(community.filter_counters(fx.incidence(spark, sf_dir)), "excluded_pct")
+
+
+def _gates(markers: int, detect: int) -> str:
+    return f'WITH RECURSIVE {o.CLUSTERS}, {o.gate(markers, detect)} SELECT species, present_specific, total_specific, round("lambda", 9) AS "lambda", tier FROM gates'
+
+
+@query(_gates(200, 10))
+def species_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    db = _db(spark, sf_dir)
+    return rounded(community.species_gate(db, community.species_specific(db), fx.sample(spark, sf_dir)), "lambda")
+
+
+@query(_gates(2000, 1200))
+def species_gate_narrow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    db = _db(spark, sf_dir)
+    return rounded(community.species_gate(db, community.species_specific(db), fx.sample(spark, sf_dir), gate=NARROW), "lambda")
+
+
+@query(f"WITH RECURSIVE {o.CLUSTERS}, {o.gate(2000, 1200)} SELECT tier, count(*) AS n FROM gates GROUP BY ALL")
+def tier_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
+    db = _db(spark, sf_dir)
+    return community.tier_tally(community.species_gate(db, community.species_specific(db), fx.sample(spark, sf_dir), gate=NARROW))
+
+
+_SCOPES = "round(depth / sum(depth) OVER (), 9) AS global_abundance, round(depth * n_markers / (SELECT sum(copies) FROM sample), 9) AS sample_fraction, round(sum(depth) OVER (PARTITION BY species) / sum(depth) OVER (), 9) AS species_abundance"
+_ALL = ("abundance", "coverage", "depth", "global_abundance", "sample_fraction", "species_abundance")
+
+
+@query(f"WITH RECURSIVE {o.community()} SELECT {_PROFILE}, {_SCOPES} FROM calls")
+def multi_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls, _ = community.community_profile(_db(spark, sf_dir), settle(fx.sample(spark, sf_dir)))
+    return rounded(calls, *_ALL)
+
+
+@query(f"WITH RECURSIVE {o.community()}, t AS (SELECT *, depth / sum(depth) OVER () AS g FROM calls), k AS (SELECT * EXCLUDE (abundance, g), abundance / sum(abundance) OVER (PARTITION BY species) AS abundance FROM t WHERE g >= {TRACE}) SELECT {_PROFILE}, {_SCOPES} FROM k")
+def multi_profile_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls, _ = community.community_profile(_db(spark, sf_dir), settle(fx.sample(spark, sf_dir)), min_global=TRACE)
+    return rounded(calls, *_ALL)
+
+
+@query(f"WITH RECURSIVE {o.community()}, p AS (SELECT 100.0 * (SELECT sum(depth * n_markers) FROM calls) / sum(copies) AS pct, sum(copies)::BIGINT AS total_tags FROM sample) SELECT total_tags, round(least(pct, 100), 9) AS classified_pct, round(greatest(100 - pct, 0), 9) AS unclassified_pct FROM p")
+def sample_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sample = settle(fx.sample(spark, sf_dir))
+    calls, _ = community.community_profile(_db(spark, sf_dir), sample)
+    return rounded(community.coverage_of_sample(calls, sample), "classified_pct", "unclassified_pct")
+
+
+# --- accuracy ---
+
+_SHARES = """p AS (SELECT l_suppkey::VARCHAR AS name, sum(l_quantity) / (SELECT sum(l_quantity) FROM lineitem) AS abundance FROM lineitem GROUP BY ALL),
+t AS (SELECT s_suppkey::VARCHAR AS name, s_acctbal / (SELECT sum(s_acctbal) FROM supplier WHERE s_acctbal > 0) AS abundance FROM supplier WHERE s_acctbal > 0)"""
+
+
+@query(f"""WITH {_SHARES}, b AS (SELECT coalesce(p.abundance, 0) AS p, coalesce(t.abundance, 0) AS t FROM p FULL JOIN t USING (name)), c AS (SELECT sum((p >= 0.001 AND t >= 0.001)::INT)::BIGINT AS tp, sum((p >= 0.001 AND t < 0.001)::INT)::BIGINT AS fp, sum((p < 0.001 AND t >= 0.001)::INT)::BIGINT AS fn, sum(abs(p - t)) AS l1, sum(p + t) AS mass FROM b)
+SELECT tp, fp, fn, round(tp / (tp + fp), 9) AS precision, round(tp / (tp + fn), 9) AS recall, round(2 * (tp / (tp + fp)) * (tp / (tp + fn)) / (tp / (tp + fp) + tp / (tp + fn)), 9) AS f1, round(l1, 9) AS l1, round(l1 / mass, 9) AS bray_curtis FROM c""")
+def evaluate_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    item, supplier = fx.table(spark, sf_dir, "lineitem"), fx.table(spark, sf_dir, "supplier").where("s_acctbal > 0")
+    share = lambda df, key, value: df.groupBy(F.col(key).cast("string").alias("name")).agg(F.sum(value).alias("v")).crossJoin(F.broadcast(df.agg(F.sum(value).alias("all")))).select("name", (F.col("v") / F.col("all")).alias("abundance"))  # noqa: E731  one row
+    return rounded(metrics.evaluate(share(item, "l_suppkey", "l_quantity"), share(supplier, "s_suppkey", "s_acctbal"), 0.001), "precision", "recall", "f1", "l1", "bray_curtis")
+
+
+_PRED = "pred AS (SELECT o_orderstatus AS sample, o_orderpriority || (o_custkey % 50) AS species, max(o_totalprice) AS value FROM orders GROUP BY ALL)"
+
+
+@query(f"WITH {_PRED} SELECT * FROM pred")
+def species_maximum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = fx.table(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("sample"), F.concat("o_orderpriority", F.col("o_custkey") % 50).alias("species"), "o_totalprice")
+    return metrics.species_max(orders, "o_totalprice", "sample")
+
+
+@query(f"""WITH {_PRED}, known0 AS (SELECT DISTINCT CASE WHEN o_orderstatus = 'F' THEN 'F' END AS sample, o_orderpriority || (o_custkey % 50) AS species FROM orders WHERE o_totalprice > 300000),
+known AS (SELECT s.sample, k.species FROM (SELECT DISTINCT sample FROM pred) s JOIN known0 k ON (s.sample = 'F' AND k.sample = 'F') OR (s.sample <> 'F' AND k.sample IS NULL)),
+th AS (SELECT unnest([100000.0, 250000.0, 400000.0])::DOUBLE AS threshold), b AS (SELECT threshold, coalesce(value >= threshold, FALSE) AS hit, k.species IS NOT NULL AS real FROM pred FULL JOIN (SELECT sample, species, 1 AS one FROM known) k USING (sample, species) CROSS JOIN th),
+c AS (SELECT threshold, sum((hit AND real)::INT)::BIGINT AS tp, sum((hit AND NOT real)::INT)::BIGINT AS fp, sum((NOT hit AND real)::INT)::BIGINT AS fn FROM b GROUP BY ALL), d AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0.0 END AS p, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0.0 END AS r FROM c)
+SELECT threshold, tp, fp, fn, round(p, 9) AS precision, round(r, 9) AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0.0 END, 9) AS f1 FROM d""")
+def threshold_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = fx.table(spark, sf_dir, "orders")
+    species = F.concat("o_orderpriority", F.col("o_custkey") % 50).alias("species")
+    truth = orders.where("o_totalprice > 300000").select(F.when(F.col("o_orderstatus") == "F", "F").alias("sample"), species).distinct()
+    thresholds = spark.createDataFrame([(100000.0,), (250000.0,), (400000.0,)], "threshold double")
+    return rounded(metrics.sweep(species_maximum(spark, sf_dir), truth, thresholds), "precision", "recall", "f1")
+
+
+# --- streams ---
+
+_BASES = o.bases("text")
+
+
+@query(f"""WITH seqs AS (SELECT conv_id AS sid, '' AS species, turn AS gid, {_BASES} AS seq FROM conversations), hits0 AS ({o._site('GGGAC', 6)} UNION ALL {o._site('GTCCC', 14)}),
+hits AS (SELECT DISTINCT sid, gid, seq, i FROM hits0 WHERE i >= 0 AND i + 25 <= len(seq)), t AS (SELECT substr(seq, i + 1, 25) AS t FROM hits) SELECT least(t, {o.REV.format('t')}) AS tag, count(*) AS copies FROM t GROUP BY ALL""")
+def streamed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of conversations as reads that arrive in a stream; a glob may name a file where a plain path may not."""
+    path = f"{sf_dir}/conversations.parquet"
+    schema = spark.read.parquet(path).schema
+    reads = spark.readStream.schema(schema).parquet(path[:-1] + "[t]").select(fx.bases(F.col("text")).alias("seq"))
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="helixtally-")
+    folder = f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    streaming.run_to_parquet(streaming.stream_counts(reads, [fx.CUTTER]), f"{folder}/counts", f"{folder}/checkpoint")
+    return spark.read.parquet(f"{folder}/counts")
