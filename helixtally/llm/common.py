@@ -33,13 +33,19 @@ def settle(df: DataFrame) -> DataFrame:
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="helixtally-"))
+    release(sc)
     out = df.checkpoint()
     del df
-    gc.collect()
-    sc._jvm.System.gc()  # what only the cut lineage used is now garbage: its shuffle files go, else they stay for long
+    release(sc)
     return out
 
 
+def release(sc) -> None:
+    """Let shuffle files go that only lineages held which are cut by now; they would stay until the driver fills up."""
+    gc.collect()
+    sc._jvm.System.gc()
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser, so that every bit of a sum of products depends on all of them."""
     x = x ^ (x >> U64(31))
@@ -106,6 +112,19 @@ def steps(col: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         i = j
 
 
+def designated(gram: np.ndarray, ends: np.ndarray, k: int, w: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(anchor, first, last): each run of k + w - 1 units has one anchor, the first of its least k-grams; an anchor's runs
+    start from `first` to `last`. Equal runs have their anchors at the same place. gram, ends: as for `selected`.
+    """
+    bits = U64(max(20, len(gram).bit_length()))
+    least = sliding(gram >> bits << bits | np.arange(len(gram), dtype=U64), w, np.minimum)
+    at = (least & ((U64(1) << bits) - U64(1))).astype(np.int64)
+    start = np.flatnonzero(np.arange(len(at)) + (k + w - 1) <= ends[: len(at)])
+    at = at[start]
+    new = np.append(True, at[1:] != at[:-1])[: len(at)]
+    return at[new], start[new], start[np.append(new[1:], True)[: len(at)]]
+
+
 class Words:
     """Words of a run of documents: start, end (in bytes), doc (row), first (word at which a row starts), code."""
 

@@ -1,7 +1,7 @@
 """Which windows of a corpus also start in a document of a smaller id: the search both substring operators share.
 
-An anchor is a gram that is the least of a sliding window of neighbours, so two equal windows hold the same anchors. Its
-context is as much text on both sides as any window that holds it can reach. Occurrences with equal contexts agree on
+The anchor of a window is the first of the least grams in it, so equal windows have equal anchors at the same place. Its
+context is the text that all the windows with this occurrence as their anchor cover. Occurrences with equal contexts agree on
 all their windows: all but those of the smallest id are repeats entirely. Only the first of a context needs a look at
 single windows, and only where its anchor has other contexts. Every step is an aggregation that combines before the
 shuffle, or a join of which one side is unique, which Spark can split where a key is hot.

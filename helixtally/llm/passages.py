@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import earliest
-from .common import NOT_SPACE, U64, Words, mix, selected, steps, table, whole_groups
+from .common import NOT_SPACE, U64, Words, designated, mix, steps, table, whole_groups
 from .suffixes import later
 
 WINDOW, PHRASE = 50, 25
@@ -40,7 +40,7 @@ def anchor_batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i, _, data, off in steps(b["text"]):
             w = Words(data, off, NOT_SPACE)
             ends, _, code = phrases(w)
-            s = selected(code, ends, PHRASE, WINDOW - PHRASE + 1)
+            s = designated(code, ends, PHRASE, WINDOW - PHRASE + 1)[0]
             row = pa.array(w.doc[s] + i)
             yield pa.RecordBatch.from_arrays([b["id"].take(row), b["tid"].take(row), pa.array(code[s].view(np.int64))], ["id", "tid", "code"])
 
@@ -79,10 +79,11 @@ def locate_batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     at += [a + end - PHRASE + 1 for end, value in automaton.iter(tuple(words[a:e].tolist())) if value == int(code[a + end - PHRASE + 1])]
                 if not at:
                     continue
-                at = np.array(at, np.int64)
+                anchor, lo, last = designated(code, ends, PHRASE, WINDOW - PHRASE + 1)
+                found = np.flatnonzero(np.isin(anchor, np.array(at, np.int64)))
+                at, lo, last = anchor[found], lo[found], last[found]
                 doc = w.doc[at]
                 d0, d1 = w.first[doc], w.first[doc + 1]
-                lo, last = np.maximum(d0, at - (WINDOW - PHRASE)), np.minimum(at, d1 - WINDOW)
                 n = last - lo + 1
                 ctx = mix(w.grams(lo, at) * U64(3) + w.grams(at, last + WINDOW))
                 begin = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import earliest
-from .common import BASE, BYTE_CODE, U64, grams, mix, prefix_sums, selected, steps, table
+from .common import BASE, BYTE_CODE, U64, designated, grams, mix, prefix_sums, steps, table
 
 WINDOW, GRAM = 100, 32
 #: Bytes of a window beside its anchor, and how many of them one side surely has.
@@ -113,7 +113,7 @@ def anchor_batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in it:
         for i, _, data, off in steps(b["text"]):
             _, ends, code = byte_grams(data, off)
-            s = selected(code, ends, GRAM, BESIDE + 1)
+            s = designated(code, ends, GRAM, BESIDE + 1)[0]
             row = pa.array(np.searchsorted(off, s, "right") - 1 + i)
             yield pa.RecordBatch.from_arrays([b["id"].take(row), b["tid"].take(row), pa.array(code[s].view(np.int64))], ["id", "tid", "code"])
 
@@ -129,11 +129,11 @@ def locate_batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         for i, _, data, off in steps(b["text"]):
             sums, ends, code = byte_grams(data, off)
-            at = selected(code, ends, GRAM, BESIDE + 1)
-            at = at[wanted[np.minimum(np.searchsorted(wanted, code[at]), len(wanted) - 1)] == code[at]]
+            at, lo, last = designated(code, ends, GRAM, BESIDE + 1)
+            known = np.flatnonzero(wanted[np.minimum(np.searchsorted(wanted, code[at]), len(wanted) - 1)] == code[at])
+            at, lo, last = at[known], lo[known], last[known]
             doc = np.searchsorted(off, at, "right") - 1
             d0, d1 = off[doc], off[doc + 1]
-            lo, last = np.maximum(d0, at - BESIDE), np.minimum(at, d1 - WINDOW)
             gram = lambda x, y: grams(sums, BASE, x, y)
             ctx = mix(gram(lo, at) * U64(3) + gram(at, last + WINDOW))
             right, left = gram(at, np.minimum(at + GRAM + SIDE, d1)), mix(gram(np.maximum(at - SIDE, d0), at + GRAM) + U64(1))
@@ -216,7 +216,7 @@ def removal_batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in it:
         for i, j, data, off in steps(b["text"]):
             _, ends, code = byte_grams(data, off)
-            s = selected(code, ends, GRAM, BESIDE + 1)
+            s = designated(code, ends, GRAM, BESIDE + 1)[0]
             doc = np.searchsorted(off, s, "right") - 1
             both, count = np.unique(mix(code[s] + doc.astype(U64) * U64(0x9E3779B97F4A7C15)), return_counts=True)
             pair = mix(code[s] + doc.astype(U64) * U64(0x9E3779B97F4A7C15))
