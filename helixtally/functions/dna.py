@@ -117,7 +117,7 @@ def fnv64(s: pd.Series) -> pd.Series:
         cells[np.arange(width)[None, :] < size[:, None]] = np.frombuffer(b"".join(raw), np.uint8)
     for k in range(width):
         out = np.where(size > k, (out ^ cells[:, k]) * np.uint64(0x100000001B3), out)
-    return pd.Series(out.view(np.int64)).where(s.notna().to_numpy())
+    return pd.Series(pd.arrays.IntegerArray(out.view(np.int64), s.isna().to_numpy()))
 
 
 @F.pandas_udf(LongType())
