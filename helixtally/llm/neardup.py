@@ -4,8 +4,8 @@ Documents of equal shingle sets are one class, so a group of copies costs one ro
 of every shingle, split over BINS bins; an empty bin borrows from a full one that a hash of the bin picks (optimal
 densification). BANDS bands of ROWS bins give buckets, and each bucket a star: an edge from its least member to every
 other. Edges are confirmed on full shingle sets. Where a bucket's members are not all linked by then, the pairs
-between its components are screened block by block inside tasks (first common band, sizes, signatures) and those that
-may be links are confirmed too, so that a star's centre that differs from its members hides no link.
+between its components are screened block by block inside tasks (first common band, sizes, signatures), and the rows
+that may have a link are compared there by their sets, so that a star's centre hides no link and no pairs are written out.
 
 A pair at the threshold of 0.85 shares no band with a chance below 4e-7, and the screen's slack of five deviations
 drops a link with a chance below 3e-7.
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import earliest
-from .common import LOWER, NOT_SPACE, U64, Words, mix, settle, steps, table
+from .common import LOWER, NOT_SPACE, U64, Words, mix, settle, steps, table, whole_groups
 
 SHINGLE, PERCENT = 5, 85
 BANDS, ROWS = 20, 4
@@ -104,10 +104,15 @@ def set_batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([b["id"].slice(i, j - i), b["tid"].slice(i, j - i), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(code.view(np.int64)))], ["id", "tid", "codes"])
 
 
+def sets_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(id, tid, codes): the shingle sets of some documents, sorted."""
+    some = docs.select("id", "tid", "text").join(nodes.distinct(), ["id", "tid"])
+    return settle(some.mapInArrow(set_batches, "id long, tid long, codes array<long>").dropDuplicates(["id", "tid"]))
+
+
 def confirm(docs: DataFrame, edges: DataFrame) -> DataFrame:
     """The links (a, b) among settled edges (a, ta, b, tb), by full shingle sets."""
-    ends = edges.select(F.col("a").alias("id"), F.col("ta").alias("tid")).union(edges.select("b", "tb")).distinct()
-    sets = settle(docs.select("id", "tid", "text").join(ends, ["id", "tid"]).mapInArrow(set_batches, "id long, tid long, codes array<long>").dropDuplicates(["id", "tid"]))
+    sets = sets_of(docs, edges.select(F.col("a").alias("id"), F.col("ta").alias("tid")).union(edges.select("b", "tb")))
     one, two = (sets.select(F.col("id").alias(x), F.col("tid").alias(f"t{x}"), F.col("codes").alias(f"codes_{x}")) for x in "ab")
     both = F.size(F.array_intersect("codes_a", "codes_b"))
     linked = 100 * both >= PERCENT * (F.size("codes_a") + F.size("codes_b") - both)
@@ -129,17 +134,17 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def screen(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of rows of one group (key, x, y) that may be links between components: (a, ta, b, tb).
+    """Of each group (bucket, x, y), the rows that may have a link to another component: they are compared in full.
 
-    Rows come sorted by group; a group holds at most two blocks of a bucket.
+    Rows come sorted by group; a group holds at most two blocks of a bucket, and of two rows that share several buckets
+    the one of their first common band counts.
     """
 
-    def pairs(rows):
+    def partners(rows):
         key, x, y = rows[0][0], rows[0][1], rows[0][2]
         block, node, comp, n = (np.array([r[k] for r in rows], np.int64) for k in (3, 4, 6, 7))
-        tid = np.array([r[5] for r in rows], np.int64)
         bands, sig = np.array([r[8] for r in rows], np.int64), np.array([r[9] for r in rows], np.int32)
-        out = []
+        out = set()
         for i in range(len(rows)):
             j = np.flatnonzero((comp != comp[i]) & (node > node[i]) & (100 * np.minimum(n, n[i]) >= PERCENT * np.maximum(n, n[i])))
             if x != y:
@@ -149,22 +154,55 @@ def screen(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             j = j[(sig[j] == sig[i]).mean(1) >= LEAST_EQUAL]
             same = bands[j] == bands[i]
             j = j[bands[j, same.argmax(1)] == key] if len(j) else j
-            out += [(node[i], tid[i], node[k], tid[k]) for k in j.tolist()]
-        return out
+            if len(j):
+                out.update(j.tolist(), (i,))
+        return [(*rows[k][:3], *rows[k][3:7]) for k in sorted(out)]
 
     def batch(rows):
-        cols = list(zip(*rows, strict=True)) if rows else [[]] * 4
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["a", "ta", "b", "tb"])
+        cols = list(zip(*rows, strict=True)) if rows else [[]] * 7
+        names = ["bucket", "x", "y", "block", "id", "tid", "component"]
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names)
 
     group: list[tuple] = []
     for b in it:
         for r in zip(*(b[c].to_pylist() for c in ("key", "x", "y", "block", "id", "tid", "component", "n_shingles", "bands", "sig")), strict=True):
             if group and group[0][:3] != r[:3]:
-                yield batch(pairs(group))
+                yield batch(partners(group))
                 group = []
             group.append(r)
     if group:
-        yield batch(pairs(group))
+        yield batch(partners(group))
+
+
+def compare(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links (a, b) between components within each group, by full shingle sets; a forest of them, so one a row at most."""
+    for t in whole_groups(it):
+        key, node, comp, x, y, block = (t[c].to_numpy() for c in ("key", "id", "component", "x", "y", "block"))
+        codes = t["codes"].combine_chunks()
+        flat, size = codes.flatten().to_numpy(zero_copy_only=False), codes.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        at = np.append(0, np.cumsum(size))
+        links = []
+        edge = np.flatnonzero(np.diff(key, prepend=~key[0], append=~key[-1]))
+        for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+            n, own = size[lo:hi], np.unique(comp[lo:hi], return_inverse=True)[1]
+            word = np.unique(flat[at[lo] : at[hi]], return_inverse=True)[1]
+            begin, mark = at[lo:hi] - at[lo], np.zeros(int(word.max(initial=-1)) + 1, np.int32)
+            for i in range(hi - lo):
+                other = own != own[i]
+                if x[lo] != y[lo]:
+                    other &= block[lo:hi] != block[lo + i]
+                if not other.any():
+                    continue
+                mine = word[begin[i] : begin[i] + n[i]]
+                mark[mine] = 1
+                both = np.add.reduceat(mark[word], begin)  # rows in a bucket have shingles
+                mark[mine] = 0
+                for j in np.flatnonzero(other & (100 * both >= PERCENT * (n + n[i] - both))).tolist():
+                    if own[j] != own[i]:
+                        links.append((int(node[lo + i]), int(node[lo + j])))
+                        own[own == own[j]] = own[i]
+        cols = list(zip(*links, strict=True)) if links else [[]] * 2
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["a", "b"])
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -193,9 +231,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
     open_ = open_.withColumn("block", F.pmod(F.xxhash64("id", "tid"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     open_ = open_.select("key", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "id", "tid", "component", "n_shingles", "bands", "sig")
-    more = settle(open_.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(screen, "a long, ta long, b long, tb long").distinct())
-    if not more.isEmpty():
-        label = components(settle(links.union(confirm(docs, more))))
+    held_open = settle(open_.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(screen, "bucket long, x long, y long, block long, id long, tid long, component long"))
+    if not held_open.isEmpty():
+        ask = held_open.withColumn("key", F.xxhash64("bucket", "x", "y")).join(sets_of(docs, held_open.select("id", "tid")), ["id", "tid"])
+        more = ask.repartition("key").sortWithinPartitions("key").mapInArrow(compare, "a long, b long").distinct()
+        label = components(settle(links.union(more)))
 
     home = reps.join(label.withColumnRenamed("node", "id"), "id", "left").select(*digest, F.coalesce("component", "id").alias("component"))
     out = docs.select("id", "tid").join(held.select("id", "tid", *digest).dropDuplicates(["id", "tid"]), ["id", "tid"]).join(home, digest, "left")
