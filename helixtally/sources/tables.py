@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from helixtally.functions.dna import from_hex, to_hex
 
 # The header words and columns of the text formats.
-DB_HEADER, UNIQUE_HEADER = "#strain2bscan-db", "#unique"
+DB_HEADER, UNIQUE_HEADER = "#helixtally-db", "#unique"
+#: The header of a database by any tool that writes this form: a name, the number of units, the enzymes.
+ANY_HEADER = r"^#[^\t]*-db\t\d+"
 PROFILE_COLUMNS = ("#strain", "abundance", "coverage", "support", "depth", "n_markers")
 COMMUNITY_COLUMNS = ("#species", "cluster", "abundance", "coverage", "support", "depth", "global_abundance", "sample_fraction", "n_markers")
 
@@ -34,7 +36,7 @@ def read_databases(spark: SparkSession, path: str | list[str]) -> tuple[DataFram
     many = lambda df, col: df.withColumn("marker", from_hex(F.trim("h"))).where("marker IS NOT NULL").select("species", *col, "marker").distinct()
     body = lines.where("line NOT LIKE '#%' AND trim(line) <> ''").select("species", parts[0].alias("unit"), F.explode(F.split(F.coalesce(F.get(parts, 1), F.lit("")), ",")).alias("h"))
     named = lines.where(F.col("line").startswith(f"{UNIQUE_HEADER}\t")).select("species", F.explode(F.split(F.coalesce(F.get(parts, 1), F.lit("")), ",")).alias("h"))
-    head = lines.where(F.col("line").startswith(DB_HEADER)).select("species", F.split(F.get(parts, 2), ",").alias("enzymes"))
+    head = lines.where(F.col("line").rlike(ANY_HEADER)).select("species", F.split(F.get(parts, 2), ",").alias("enzymes"))
     return whole.select("species").distinct().join(head, "species", "left"), many(body, ["unit"]), many(named, [])
 
 

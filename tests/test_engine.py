@@ -37,7 +37,7 @@ def test_mask_and_bad_hex(spark, tmp_path):
     db = database.build(units(spark, {"A": [1, 2, 10, 99], "B": [1, 2, 20]}))
     masked = database.restrict(db, units(spark, {"x": [1, 2, 10, 20]}).select("marker"))
     assert sorted(r.marker for r in database.unique_markers(masked).collect()) == [10, 20]
-    (tmp_path / "s.tsv").write_text("#strain2bscan-db\t1\tBcgI\n# note\n\nA\tff,zz,1\n")
+    (tmp_path / "s.tsv").write_text("#other-db\t1\tBcgI\n# note\n\nA\tff,zz,1\n")
     _, held, unique = tables.read_databases(spark, str(tmp_path / "s.tsv"))
     assert sorted(r.marker for r in held.collect()) == [1, 255] and unique.isEmpty()
 
