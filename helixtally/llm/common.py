@@ -125,6 +125,14 @@ def designated(gram: np.ndarray, ends: np.ndarray, k: int, w: int) -> tuple[np.n
     return at[new], start[new], start[np.append(new[1:], True)[: len(at)]]
 
 
+def once(row: np.ndarray, code: np.ndarray) -> np.ndarray:
+    """Places of the first of each pair (row, code)."""
+    order = np.lexsort((code, row))
+    new = np.ones(len(order), bool)
+    new[1:] = (row[order][1:] != row[order][:-1]) | (code[order][1:] != code[order][:-1])
+    return np.sort(order[new])
+
+
 class Words:
     """Words of a run of documents: start, end (in bytes), doc (row), first (word at which a row starts), code."""
 

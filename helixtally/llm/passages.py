@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import earliest
-from .common import NOT_SPACE, U64, Words, designated, mix, steps, table, whole_groups
+from .common import NOT_SPACE, U64, Words, designated, mix, once, steps, table, whole_groups
 from .suffixes import later
 
 WINDOW, PHRASE = 50, 25
@@ -41,6 +41,7 @@ def anchor_batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             w = Words(data, off, NOT_SPACE)
             ends, _, code = phrases(w)
             s = designated(code, ends, PHRASE, WINDOW - PHRASE + 1)[0]
+            s = s[once(w.doc[s], code[s])]
             row = pa.array(w.doc[s] + i)
             yield pa.RecordBatch.from_arrays([b["id"].take(row), b["tid"].take(row), pa.array(code[s].view(np.int64))], ["id", "tid", "code"])
 

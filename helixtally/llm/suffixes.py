@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import earliest
-from .common import BASE, BYTE_CODE, U64, designated, grams, mix, prefix_sums, steps, table
+from .common import BASE, BYTE_CODE, U64, designated, grams, mix, once, prefix_sums, steps, table
 
 WINDOW, GRAM = 100, 32
 #: Bytes of a window beside its anchor, and how many of them one side surely has.
@@ -114,7 +114,9 @@ def anchor_batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i, _, data, off in steps(b["text"]):
             _, ends, code = byte_grams(data, off)
             s = designated(code, ends, GRAM, BESIDE + 1)[0]
-            row = pa.array(np.searchsorted(off, s, "right") - 1 + i)
+            doc = np.searchsorted(off, s, "right") - 1
+            first = once(doc, code[s])
+            s, row = s[first], pa.array(doc[first] + i)
             yield pa.RecordBatch.from_arrays([b["id"].take(row), b["tid"].take(row), pa.array(code[s].view(np.int64))], ["id", "tid", "code"])
 
 
