@@ -30,15 +30,15 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated passages go from the texts; documents that lose all their words go too."""
-    cut = passages.remove_passages(docs).where("n_words > n_removed").select("doc_id", "kept_text")
-    out = docs.drop("text").join(cut, "doc_id").withColumn("text", F.col("kept_text")).withColumn("n_chars", F.char_length("text").cast("long"))
+    cut = passages.remove_passages(docs).where("n_words > n_removed").select(F.col("doc_id").alias("cut_id"), "kept_text")
+    out = docs.drop("text").join(cut, F.col("doc_id").eqNullSafe(F.col("cut_id"))).withColumn("text", F.col("kept_text")).withColumn("n_chars", F.char_length("text").cast("long"))
     return out.select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that share a window with a benchmark item go."""
-    found = decontamination.contamination(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select("doc_id")
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    found = decontamination.contamination(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select(F.col("doc_id").alias("bad_id"))
+    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("bad_id")), "left_anti").select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
