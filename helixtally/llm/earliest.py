@@ -38,16 +38,14 @@ def occurrences(docs: DataFrame, anchors, locate, extra: str) -> DataFrame:
     return settle(slim.join(mine, KEY).mapInArrow(locate, f"{OCCURRENCE}, {extra}"))
 
 
-def firsts(occ: DataFrame, extra: str) -> tuple[DataFrame, DataFrame]:
-    """The first id of each context, and of those the ones whose anchor has other contexts too, with `extra`."""
-    first = settle(occ.groupBy("code", "ctx").agg(F.min("id").alias("first"), F.first("n_windows").alias("n_windows"), F.first(extra).alias(extra)))
-    several = first.groupBy("code").agg(F.count("*").alias("n")).where("n > 1").select("code")
-    return first.select("code", "ctx", "first"), first.join(several, "code", "left_semi")
+def firsts(occ: DataFrame, extra: str) -> DataFrame:
+    """(code, ctx, first, n_windows, extra): the first id of each context, settled."""
+    return settle(occ.groupBy("code", "ctx").agg(F.min("id").alias("first"), F.first("n_windows").alias("n_windows"), F.first(extra).alias(extra)))
 
 
 def spans(occ: DataFrame, first: DataFrame, repeats: DataFrame, window: int) -> DataFrame:
     """(id, tid, spans): the maximal runs of units that repeated windows cover. repeats: (code, ctx, which windows)."""
-    seen = occ.select("id", "tid", "code", "ctx", "lo", "n_windows").join(first, ["code", "ctx"])
+    seen = occ.select("id", "tid", "code", "ctx", "lo", "n_windows").join(first.select("code", "ctx", "first"), ["code", "ctx"])
     whole = seen.where(F.col("id") > F.col("first")).select("id", "tid", F.col("lo").alias("at"), (F.col("lo") + F.col("n_windows") + (window - 1)).alias("end"))
     some = seen.where(F.col("id") == F.col("first")).join(repeats, ["code", "ctx"]).select("id", "tid", "lo", F.explode("runs").alias("r"))
     some = some.select("id", "tid", (F.col("lo") + F.col("r.at")).alias("at"), (F.col("lo") + F.col("r.end")).alias("end"))

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from . import earliest
 from .common import NOT_SPACE, U64, Words, designated, mix, once, steps, table, whole_groups
-from .suffixes import later
+from .suffixes import later, shared
 
 WINDOW, PHRASE = 50, 25
 #: Words beside the phrase of which one side of a window has this many at least.
@@ -98,7 +98,7 @@ def locate_batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def compare_batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(code, ctx, at, end) of the repeated runs of contexts, dealt by key: windows that a smaller first id also has."""
-    for t in whole_groups(it):
+    for t in map(shared, whole_groups(it)):
         lists = t["windows"].combine_chunks()
         n = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
         row = np.repeat(np.arange(len(n)), n)
@@ -138,11 +138,11 @@ def removal_batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """(id, tid, spans) of the keyed docs that hold repeated words."""
     occ = earliest.occurrences(docs, anchor_batches, locate_batches, AROUND)
-    first, several = earliest.firsts(occ, "around")
+    first = earliest.firsts(occ, "around")
     w, edge = F.col("around.windows"), F.col("around.edge")
     right = F.struct(F.col("around.right").alias("key"), edge.alias("at"), F.slice(w, edge + 1, F.size(w)).alias("windows"))
     left = F.struct(F.col("around.left").alias("key"), F.lit(0).alias("at"), F.slice(w, 1, edge).alias("windows"))
-    halves = several.select("code", "ctx", "first", F.explode(F.array(right, left)).alias("h")).select("h.key", "code", "ctx", "first", "h.at", "h.windows").where(F.size("windows") > 0)
+    halves = first.select("code", "ctx", "first", F.explode(F.array(right, left)).alias("h")).select("h.key", "code", "ctx", "first", "h.at", "h.windows").where(F.size("windows") > 0)
     dealt = halves.repartition("key").sortWithinPartitions("key")
     found = dealt.mapInArrow(compare_batches, "code long, ctx long, at long, end long")
     runs = found.groupBy("code", "ctx").agg(earliest.cover(F.collect_set(F.struct("at", "end"))).alias("runs"))

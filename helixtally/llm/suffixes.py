@@ -10,6 +10,7 @@ neighbours. Repeats inside one document are found in the same way when the docum
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import earliest
-from .common import BASE, BYTE_CODE, U64, designated, grams, mix, once, prefix_sums, steps, table
+from .common import BASE, BYTE_CODE, U64, designated, grams, mix, once, prefix_sums, steps, table, whole_groups
 
 WINDOW, GRAM = 100, 32
 #: Bytes of a window beside its anchor, and how many of them one side surely has.
@@ -148,7 +149,7 @@ def locate_batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def compare(block: list[tuple]) -> Iterator[tuple]:
-    """(code, ctx, at, end) of the repeated runs of a block of whole groups: (key, code, ctx, first, from, to, bytes)."""
+    """(code, ctx, at, end) of the repeated runs of a block of whole groups: (key, code, ctx, first, from, to, bytes, anchor, shift)."""
     if len(block) > BLOCK:  # one large group: its contexts meet at the anchor, so windows of one offset are compared
         by: dict[int, list[tuple[int, int]]] = {}
         for k, r in enumerate(block):
@@ -174,43 +175,47 @@ def compare(block: list[tuple]) -> Iterator[tuple]:
             flags.append(np.concatenate([np.zeros(r[4], bool), part]))
     for r, f in zip(block, flags, strict=True):
         for a, e in zip(*runs(f), strict=True):
-            yield r[1], r[2], int(a), int(e) + WINDOW - 1
+            yield r[1], r[2], int(a) + r[8], int(e) + WINDOW - 1 + r[8]
 
 
 def compare_batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Deals rows that are sorted by key to `compare` in blocks of whole groups."""
 
-    def out(block):
-        rows = list(compare(block))
-        cols = list(zip(*rows, strict=True)) if rows else [[]] * 4
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["code", "ctx", "at", "end"])
+    for t in map(shared, whole_groups(it)):
+        block: list[tuple] = []
+        rows = zip(*(t[c].to_pylist() for c in ("key", "code", "ctx", "first", "from", "to", "bytes", "at", "shift")), strict=True)
+        for _, group in itertools.groupby(rows, key=lambda r: r[0]):
+            members = list(group)
+            if block and len(block) + len(members) > BLOCK:
+                yield repeated(block)
+                block = []
+            block += members
+        if block:
+            yield repeated(block)
 
-    block: list[tuple] = []
-    group: list[tuple] = []
-    for b in it:
-        for r in zip(*(b[c].to_pylist() for c in ("key", "code", "ctx", "first", "from", "to", "bytes", "at")), strict=True):
-            if group and group[0][0] != r[0]:
-                if block and len(block) + len(group) > BLOCK:
-                    yield out(block)
-                    block = []
-                block, group = block + group if len(group) < BLOCK else [*block, *group], []
-            group.append(r)
-    if block and len(block) + len(group) > BLOCK:
-        yield out(block)
-        block = []
-    if block or group:
-        yield out(block + group)
-
-
-def repeats_of(several: DataFrame) -> DataFrame:
+
+def repeated(block: list[tuple]) -> pa.RecordBatch:
+    rows = list(compare(block))
+    cols = list(zip(*rows, strict=True)) if rows else [[]] * 4
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["code", "ctx", "at", "end"])
+
+
+def shared(t: pa.Table) -> pa.Table:
+    """The rows of a table, sorted by key, whose key another row has too."""
+    key = t["key"].to_numpy()
+    same = key[1:] == key[:-1]
+    return t.filter(pa.array(np.append(False, same) | np.append(same, False))) if len(key) else t
+
+
+def repeats_of(first: DataFrame) -> DataFrame:
     """(code, ctx, runs): which bytes of a context repeated windows cover, relative to its start."""
     a = F.col("around")
     edge = F.greatest(F.lit(0), F.least(F.col("n_windows"), a["at"] - SIDE))  # windows from here on have SIDE bytes right of the anchor
-    both = several.select("code", "ctx", "first", F.explode(F.array(F.struct(a["right"].alias("key"), edge.alias("from"), F.col("n_windows").alias("to")), F.struct(a["left"].alias("key"), F.lit(0).alias("from"), edge.alias("to")))).alias("k"), a["bytes"].alias("bytes"), a["at"].alias("at"))
-    both = both.select("k.key", "code", "ctx", "first", "k.from", "k.to", "bytes", "at").where(F.col("from") < F.col("to"))
-    shared = both.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    dealt = both.join(shared, "key", "left_semi").repartition("key").sortWithinPartitions("key")
-    found = dealt.mapInArrow(compare_batches, "code long, ctx long, at long, end long")
+    half = lambda key, lo, hi: F.struct(key.alias("key"), lo.alias("lo"), hi.alias("hi"))
+    both = first.select("code", "ctx", "first", a["bytes"].alias("bytes"), a["at"].alias("at"), F.explode(F.array(half(a["right"], edge, F.col("n_windows")), half(a["left"], F.lit(0), edge))).alias("k")).where("k.lo < k.hi")
+    # each half takes the bytes of its own windows along
+    dealt = both.select("k.key", "code", "ctx", "first", F.lit(0).alias("from"), (F.col("k.hi") - F.col("k.lo")).alias("to"), F.col("k.lo").alias("shift"), F.substring("bytes", F.col("k.lo") + 1, F.col("k.hi") - F.col("k.lo") + (WINDOW - 1)).alias("bytes"), (F.col("at") - F.col("k.lo")).alias("at"))
+    found = dealt.repartition("key").sortWithinPartitions("key").mapInArrow(compare_batches, "code long, ctx long, at long, end long")
     return found.groupBy("code", "ctx").agg(earliest.cover(F.collect_set(F.struct("at", "end"))).alias("runs"))
 
 
@@ -253,8 +258,8 @@ def remove_substrings(docs: DataFrame) -> DataFrame:
     """
     docs = earliest.keyed(docs.select("doc_id", "text"))
     occ = earliest.occurrences(docs, anchor_batches, locate_batches, AROUND)
-    first, several = earliest.firsts(occ, "around")
-    found = earliest.spans(occ, first, repeats_of(several), WINDOW)
+    first = earliest.firsts(occ, "around")
+    found = earliest.spans(occ, first, repeats_of(first), WINDOW)
     return docs.join(found, earliest.KEY, "left").select("doc_id", "text", "spans").mapInArrow(removal_batches, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 

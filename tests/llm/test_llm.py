@@ -182,7 +182,7 @@ def test_large_groups_compare_by_offset(monkeypatch):
     for k in range(40):
         left, right = bytes(rng.integers(97, 99, 68, np.uint8)), bytes(rng.integers(97, 99, 68, np.uint8))
         left, right = (b"a" * 68 if k % 3 else left), (b"b" * 68 if k % 4 else right)
-        block.append((1, k, k, 40 - k, 0, 69, left + core + right, 68))
+        block.append((1, k, k, 40 - k, 0, 69, left + core + right, 68, 0))
     one = sorted(suffixes.compare(block))
     monkeypatch.setattr(suffixes, "BLOCK", 10)
     assert sorted(suffixes.compare(block)) == one
