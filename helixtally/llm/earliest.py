@@ -44,12 +44,13 @@ def firsts(occ: DataFrame, extra: str) -> DataFrame:
 
 
 def spans(occ: DataFrame, first: DataFrame, repeats: DataFrame, window: int) -> DataFrame:
-    """(id, tid, spans): the maximal runs of units that repeated windows cover. repeats: (code, ctx, which windows)."""
-    seen = occ.select("id", "tid", "code", "ctx", "lo", "n_windows").join(first.select("code", "ctx", "first"), ["code", "ctx"])
-    whole = seen.where(F.col("id") > F.col("first")).select("id", "tid", F.col("lo").alias("at"), (F.col("lo") + F.col("n_windows") + (window - 1)).alias("end"))
-    some = seen.where(F.col("id") == F.col("first")).join(repeats, ["code", "ctx"]).select("id", "tid", "lo", F.explode("runs").alias("r"))
-    some = some.select("id", "tid", (F.col("lo") + F.col("r.at")).alias("at"), (F.col("lo") + F.col("r.end")).alias("end"))
-    return whole.unionByName(some).groupBy(*KEY).agg(cover(F.collect_set(F.struct("at", "end"))).alias("spans"))
+    """(id, tid, spans), settled: the maximal runs of units that repeated windows cover. repeats: (code, ctx, runs)."""
+    seen = occ.select("id", "tid", "code", "ctx", "lo", "n_windows").join(first.select("code", "ctx", "first"), ["code", "ctx"]).join(repeats, ["code", "ctx"], "left")
+    span = lambda at, end: F.struct(at.cast("long").alias("at"), end.cast("long").alias("end"))
+    whole = F.array(span(F.col("lo"), F.col("lo") + F.col("n_windows") + (window - 1)))
+    some = F.transform("runs", lambda r: span(F.col("lo") + r["at"], F.col("lo") + r["end"]))
+    found = seen.select("id", "tid", F.explode(F.when(F.col("id") > F.col("first"), whole).otherwise(some)).alias("s"))
+    return settle(found.groupBy(*KEY).agg(cover(F.collect_set("s")).alias("spans")))
 
 
 def cover(found: Column) -> Column:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import earliest
-from .common import NOT_SPACE, U64, Words, designated, mix, once, steps, table, whole_groups
+from .common import NOT_SPACE, U64, Words, designated, mix, once, release, steps, table, whole_groups
 from .suffixes import later, shared
 
 WINDOW, PHRASE = 50, 25
@@ -158,6 +158,7 @@ def remove_passages(docs: DataFrame) -> DataFrame:
     """
     docs = earliest.keyed(docs.select("doc_id", "text"))
     found = repeated_spans(docs)
+    release(docs.sparkSession.sparkContext)  # the contexts, of which the spans are all that is needed now
     return docs.join(found, earliest.KEY, "left").select("doc_id", "text", "spans").mapInArrow(removal_batches, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
 
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import earliest
-from .common import BASE, BYTE_CODE, U64, designated, grams, mix, once, prefix_sums, steps, table, whole_groups
+from .common import BASE, BYTE_CODE, U64, designated, grams, mix, once, prefix_sums, release, steps, table, whole_groups
 
 WINDOW, GRAM = 100, 32
 #: Bytes of a window beside its anchor, and how many of them one side surely has.
@@ -250,6 +250,13 @@ def removal_batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([b["doc_id"].slice(i, j - i), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()), strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
 
+def repeated_spans(docs: DataFrame) -> DataFrame:
+    """(id, tid, spans) of the keyed docs that hold bytes of documents of smaller ids."""
+    occ = earliest.occurrences(docs, anchor_batches, locate_batches, AROUND)
+    first = earliest.firsts(occ, "around")
+    return earliest.spans(occ, first, repeats_of(first), WINDOW)
+
+
 def remove_substrings(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the bytes) of every row of docs.
 
@@ -257,9 +264,8 @@ def remove_substrings(docs: DataFrame) -> DataFrame:
     earlier than each other, and a null id counts as the smallest.
     """
     docs = earliest.keyed(docs.select("doc_id", "text"))
-    occ = earliest.occurrences(docs, anchor_batches, locate_batches, AROUND)
-    first = earliest.firsts(occ, "around")
-    found = earliest.spans(occ, first, repeats_of(first), WINDOW)
+    found = repeated_spans(docs)
+    release(docs.sparkSession.sparkContext)  # the contexts, of which the spans are all that is needed now
     return docs.join(found, earliest.KEY, "left").select("doc_id", "text", "spans").mapInArrow(removal_batches, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
