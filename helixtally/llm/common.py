@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,10 +41,15 @@ def settle(df: DataFrame) -> DataFrame:
     return out
 
 
-def release(sc) -> None:
-    """Let shuffle files go that only lineages held which are cut by now; they would stay until the driver fills up."""
-    gc.collect()
-    sc._jvm.System.gc()
+def release(sc, wait: float = 0) -> None:
+    """Let shuffle files go that only lineages held which are cut by now; they would stay until the driver fills up.
+
+    The cleaner works by itself; with `wait` seconds, it gets time before the next stage writes.
+    """
+    for _ in range(2 if wait else 1):
+        gc.collect()
+        sc._jvm.System.gc()
+        time.sleep(wait / 2)
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -138,7 +138,9 @@ def removal_batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """(id, tid, spans) of the keyed docs that hold repeated words."""
     occ = earliest.occurrences(docs, anchor_batches, locate_batches, AROUND)
+    release(docs.sparkSession.sparkContext, 2)
     first = earliest.firsts(occ, "around")
+    release(docs.sparkSession.sparkContext, 1)
     w, edge = F.col("around.windows"), F.col("around.edge")
     right = F.struct(F.col("around.right").alias("key"), edge.alias("at"), F.slice(w, edge + 1, F.size(w)).alias("windows"))
     left = F.struct(F.col("around.left").alias("key"), F.lit(0).alias("at"), F.slice(w, 1, edge).alias("windows"))

@@ -253,7 +253,9 @@ def removal_batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """(id, tid, spans) of the keyed docs that hold bytes of documents of smaller ids."""
     occ = earliest.occurrences(docs, anchor_batches, locate_batches, AROUND)
+    release(docs.sparkSession.sparkContext, 2)
     first = earliest.firsts(occ, "around")
+    release(docs.sparkSession.sparkContext, 1)
     return earliest.spans(occ, first, repeats_of(first), WINDOW)
 
 
