@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 U64 = np.uint64
 #: Bytes of text that one vectorised step looks at; a longer document is a step of its own.
-STEP_BYTES = 1 << 20
+STEP_BYTES = 1 << 17
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 NOT_SPACE = ~SPACE

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import earliest
-from .common import BASE, BYTE_CODE, U64, designated, grams, mix, once, prefix_sums, release, steps, table, whole_groups
+from .common import BASE, BYTE_CODE, U64, designated, grams, mix, once, prefix_sums, release, settle, steps, table, whole_groups
 
 WINDOW, GRAM = 100, 32
 #: Bytes of a window beside its anchor, and how many of them one side surely has.
@@ -121,11 +121,8 @@ def anchor_batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([b["id"].take(row), b["tid"].take(row), pa.array(code[s].view(np.int64))], ["id", "tid", "code"])
 
 
-AROUND = "around struct<at: int, right: bigint, left: bigint, bytes: binary>"
-
-
 def locate_batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every occurrence of a document's recurring anchors, with its context."""
+    """Every occurrence of a document's recurring anchors, with its context's fingerprint and the anchor's place in it."""
     for b in it:
         wanted = np.unique(b["codes"].flatten().to_numpy(zero_copy_only=False).view(U64))
         if not len(wanted):
@@ -136,16 +133,22 @@ def locate_batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             known = np.flatnonzero(wanted[np.minimum(np.searchsorted(wanted, code[at]), len(wanted) - 1)] == code[at])
             at, lo, last = at[known], lo[known], last[known]
             doc = np.searchsorted(off, at, "right") - 1
-            d0, d1 = off[doc], off[doc + 1]
-            gram = lambda x, y: grams(sums, BASE, x, y)
-            ctx = mix(gram(lo, at) * U64(3) + gram(at, last + WINDOW))
-            right, left = gram(at, np.minimum(at + GRAM + SIDE, d1)), mix(gram(np.maximum(at - SIDE, d0), at + GRAM) + U64(1))
-            size = last + WINDOW - lo
-            begin = np.repeat(lo - np.cumsum(size) + size, size) + np.arange(size.sum())
-            around = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(np.append(0, np.cumsum(size)).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data[begin]))])
-            held = pa.StructArray.from_arrays([pa.array((at - lo).astype(np.int32)), pa.array(right.view(np.int64)), pa.array(left.view(np.int64)), around], ["at", "right", "left", "bytes"])
+            ctx = mix(grams(sums, BASE, lo, at) * U64(3) + grams(sums, BASE, at, last + WINDOW))
             row = pa.array(doc + i)
-            yield pa.RecordBatch.from_arrays([b["id"].take(row), b["tid"].take(row), pa.array(code[at].view(np.int64)), pa.array(ctx.view(np.int64)), pa.array(lo - d0), pa.array((last - lo + 1).astype(np.int32)), held], ["id", "tid", "code", "ctx", "lo", "n_windows", "around"])
+            yield pa.RecordBatch.from_arrays([b["id"].take(row), b["tid"].take(row), pa.array(code[at].view(np.int64)), pa.array(ctx.view(np.int64)), pa.array(lo - off[doc]), pa.array((last - lo + 1).astype(np.int32)), pa.array((at - lo).astype(np.int32))], ["id", "tid", "code", "ctx", "lo", "n_windows", "at"])
+
+
+def fetch_batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The bytes of each document's listed contexts."""
+    for b in it:
+        for i, j, data, off in steps(b["text"]):
+            lists = b["wanted"].slice(i, j - i)
+            asked, row = lists.flatten(), np.repeat(np.arange(j - i), lists.value_lengths().to_numpy(zero_copy_only=False))
+            lo = asked.field("lo").to_numpy() + off[row]
+            size = asked.field("n_windows").to_numpy().astype(np.int64) + (WINDOW - 1)
+            begin = np.repeat(lo - np.cumsum(size) + size, size) + np.arange(size.sum())
+            around = pa.Array.from_buffers(pa.binary(), len(lo), [None, pa.py_buffer(np.append(0, np.cumsum(size)).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data[begin]))])
+            yield pa.RecordBatch.from_arrays([asked.field("code"), asked.field("ctx"), b["id"].take(pa.array(row + i)), asked.field("n_windows"), asked.field("at"), around], ["code", "ctx", "first", "n_windows", "at", "bytes"])
 
 
 def compare(block: list[tuple]) -> Iterator[tuple]:
@@ -207,12 +210,20 @@ def shared(t: pa.Table) -> pa.Table:
     return t.filter(pa.array(np.append(False, same) | np.append(same, False))) if len(key) else t
 
 
-def repeats_of(first: DataFrame) -> DataFrame:
+def contested(docs: DataFrame, first: DataFrame) -> DataFrame:
+    """(code, ctx, first, n_windows, at, bytes) of the contexts whose anchors have other contexts too."""
+    several = first.groupBy("code").count().where("count > 1").select("code")
+    mine = first.join(several, "code", "left_semi").groupBy(*earliest.KEY).agg(F.collect_list(F.struct("code", "ctx", "lo", "n_windows", "at")).alias("wanted"))
+    return docs.select(*earliest.KEY, "text").join(mine, earliest.KEY).mapInArrow(fetch_batches, "code long, ctx long, first long, n_windows int, at int, bytes binary")
+
+
+def repeats_of(contexts: DataFrame) -> DataFrame:
     """(code, ctx, runs): which bytes of a context repeated windows cover, relative to its start."""
-    a = F.col("around")
-    edge = F.greatest(F.lit(0), F.least(F.col("n_windows"), a["at"] - SIDE))  # windows from here on have SIDE bytes right of the anchor
+    at, near = F.col("at"), GRAM + SIDE
+    edge = F.greatest(F.lit(0), F.least(F.col("n_windows"), at - SIDE))  # windows from here on have SIDE bytes right of the anchor
     half = lambda key, lo, hi: F.struct(key.alias("key"), lo.alias("lo"), hi.alias("hi"))
-    both = first.select("code", "ctx", "first", a["bytes"].alias("bytes"), a["at"].alias("at"), F.explode(F.array(half(a["right"], edge, F.col("n_windows")), half(a["left"], F.lit(0), edge))).alias("k")).where("k.lo < k.hi")
+    right, left = F.xxhash64(F.lit(1), F.substring("bytes", at + 1, F.lit(near))), F.xxhash64(F.lit(2), F.substring("bytes", F.greatest(F.lit(0), at - SIDE) + 1, F.lit(near)))
+    both = contexts.select("code", "ctx", "first", "bytes", "at", F.explode(F.array(half(right, edge, F.col("n_windows")), half(left, F.lit(0), edge))).alias("k")).where("k.lo < k.hi")
     # each half takes the bytes of its own windows along
     dealt = both.select("k.key", "code", "ctx", "first", F.lit(0).alias("from"), (F.col("k.hi") - F.col("k.lo")).alias("to"), F.col("k.lo").alias("shift"), F.substring("bytes", F.col("k.lo") + 1, F.col("k.hi") - F.col("k.lo") + (WINDOW - 1)).alias("bytes"), (F.col("at") - F.col("k.lo")).alias("at"))
     found = dealt.repartition("key").sortWithinPartitions("key").mapInArrow(compare_batches, "code long, ctx long, at long, end long")
@@ -252,11 +263,12 @@ def removal_batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """(id, tid, spans) of the keyed docs that hold bytes of documents of smaller ids."""
-    occ = earliest.occurrences(docs, anchor_batches, locate_batches, AROUND)
+    occ = earliest.occurrences(docs, anchor_batches, locate_batches, "at int")
     release(docs.sparkSession.sparkContext, 2)
-    first = earliest.firsts(occ, "around")
+    one = F.min(F.struct("id", "tid", "lo", "n_windows", "at")).alias("one")
+    first = settle(occ.groupBy("code", "ctx").agg(one).select("code", "ctx", F.col("one.id").alias("first"), "one.*"))
     release(docs.sparkSession.sparkContext, 1)
-    return earliest.spans(occ, first, repeats_of(first), WINDOW)
+    return earliest.spans(occ, first, repeats_of(contested(docs, first)), WINDOW)
 
 
 def remove_substrings(docs: DataFrame) -> DataFrame:
