@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import tempfile
 import time
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,6 +42,27 @@ def settle(df: DataFrame) -> DataFrame:
     return out
 
 
+def scratch(sc) -> str:
+    """A new folder for tables in the shared folder that the session names (a temporary one in tests)."""
+    return f"{(sc.getConf().get('spark.checkpoint.dir') or tempfile.mkdtemp(prefix='helixtally-')).rstrip('/')}/tables-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, path: str) -> DataFrame:
+    """Cut the lineage by a Parquet table at `path`: many small rows take less space there than in a checkpoint."""
+    spark, schema = df.sparkSession, df.schema
+    release(spark.sparkContext)
+    df.write.option("compression", "zstd").parquet(path)
+    del df
+    release(spark.sparkContext)
+    return spark.read.schema(schema).parquet(path)
+
+
+def discard(sc, path: str) -> None:
+    """Delete what is at `path`, which nothing reads any more."""
+    where = sc._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def release(sc, wait: float = 0) -> None:
     """Let shuffle files go that only lineages held which are cut by now; they would stay until the driver fills up.
 

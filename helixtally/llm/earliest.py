@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import discard, settle, stored
 
 #: Stands for a null id in comparisons.
 NULL_ID = -(1 << 63)
@@ -25,8 +25,8 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"id": F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)), "tid": F.xxhash64(F.coalesce("text", F.lit("")))})
 
 
-def occurrences(docs: DataFrame, anchors, locate, extra: str) -> DataFrame:
-    """Each place where a recurring anchor occurs: OCCURRENCE and what `locate` adds (extra), settled.
+def occurrences(docs: DataFrame, anchors, locate, extra: str, folder: str) -> DataFrame:
+    """Each place where a recurring anchor occurs: OCCURRENCE and what `locate` adds (extra), stored in folder.
 
     anchors: batches of (id, tid, text) -> (id, tid, code). locate: batches of (id, tid, text, codes) -> OCCURRENCE, extra.
     """
@@ -35,22 +35,31 @@ def occurrences(docs: DataFrame, anchors, locate, extra: str) -> DataFrame:
     by = found.groupBy("code").agg(F.min("id").alias("first"), F.max("id").alias("last"))
     recurring = by.where(F.col("first") < F.col("last")).select("code")
     mine = found.join(recurring, "code", "left_semi").groupBy(*KEY).agg(F.collect_set("code").alias("codes"))
-    return settle(slim.join(mine, KEY).mapInArrow(locate, f"{OCCURRENCE}, {extra}"))
+    return stored(slim.join(mine, KEY).mapInArrow(locate, f"{OCCURRENCE}, {extra}"), f"{folder}/occurrences")
 
 
-def firsts(occ: DataFrame, extra: str) -> DataFrame:
-    """(code, ctx, first, n_windows, extra): the first id of each context, settled."""
-    return settle(occ.groupBy("code", "ctx").agg(F.min("id").alias("first"), F.first("n_windows").alias("n_windows"), F.first(extra).alias(extra)))
+def firsts(occ: DataFrame, extra: str, folder: str) -> DataFrame:
+    """(code, ctx, first, n_windows, extra): the first id of each context, stored in folder."""
+    return stored(occ.groupBy("code", "ctx").agg(F.min("id").alias("first"), F.first("n_windows").alias("n_windows"), F.first(extra).alias(extra)), f"{folder}/firsts")
 
 
-def spans(occ: DataFrame, first: DataFrame, repeats: DataFrame, window: int) -> DataFrame:
-    """(id, tid, spans), settled: the maximal runs of units that repeated windows cover. repeats: (code, ctx, runs)."""
-    seen = occ.select("id", "tid", "code", "ctx", "lo", "n_windows").join(first.select("code", "ctx", "first"), ["code", "ctx"]).join(repeats, ["code", "ctx"], "left")
+def spans(occ: DataFrame, first: DataFrame, repeats: DataFrame, window: int, folder: str) -> DataFrame:
+    """(id, tid, spans), settled: the maximal runs of units that repeated windows cover. repeats: (code, ctx, runs).
+
+    What is known of a context is stored as one row, so that one join reaches the occurrences, which Spark can split at
+    a hot context. The tables in folder go.
+    """
+    sc = occ.sparkSession.sparkContext
+    known = stored(first.select("code", "ctx", "first").join(repeats, ["code", "ctx"], "left"), f"{folder}/known")
+    discard(sc, f"{folder}/firsts")
+    seen = occ.select("id", "tid", "code", "ctx", "lo", "n_windows").join(known, ["code", "ctx"])
     span = lambda at, end: F.struct(at.cast("long").alias("at"), end.cast("long").alias("end"))
     whole = F.array(span(F.col("lo"), F.col("lo") + F.col("n_windows") + (window - 1)))
     some = F.transform("runs", lambda r: span(F.col("lo") + r["at"], F.col("lo") + r["end"]))
     found = seen.select("id", "tid", F.explode(F.when(F.col("id") > F.col("first"), whole).otherwise(some)).alias("s"))
-    return settle(found.groupBy(*KEY).agg(cover(F.collect_set("s")).alias("spans")))
+    out = settle(found.groupBy(*KEY).agg(cover(F.collect_set("s")).alias("spans")))
+    discard(sc, folder)
+    return out
 
 
 def cover(found: Column) -> Column:

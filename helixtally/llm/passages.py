@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import earliest
-from .common import NOT_SPACE, U64, Words, designated, mix, once, release, steps, table, whole_groups
+from .common import NOT_SPACE, U64, Words, designated, mix, once, release, scratch, steps, table, whole_groups
 from .suffixes import later, shared
 
 WINDOW, PHRASE = 50, 25
@@ -137,10 +137,12 @@ def removal_batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """(id, tid, spans) of the keyed docs that hold repeated words."""
-    occ = earliest.occurrences(docs, anchor_batches, locate_batches, AROUND)
-    release(docs.sparkSession.sparkContext, 2)
-    first = earliest.firsts(occ, "around")
-    release(docs.sparkSession.sparkContext, 1)
+    sc = docs.sparkSession.sparkContext
+    folder = scratch(sc)
+    occ = earliest.occurrences(docs, anchor_batches, locate_batches, AROUND, folder)
+    release(sc, 2)
+    first = earliest.firsts(occ, "around", folder)
+    release(sc, 1)
     w, edge = F.col("around.windows"), F.col("around.edge")
     right = F.struct(F.col("around.right").alias("key"), edge.alias("at"), F.slice(w, edge + 1, F.size(w)).alias("windows"))
     left = F.struct(F.col("around.left").alias("key"), F.lit(0).alias("at"), F.slice(w, 1, edge).alias("windows"))
@@ -148,7 +150,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     dealt = halves.repartition("key").sortWithinPartitions("key")
     found = dealt.mapInArrow(compare_batches, "code long, ctx long, at long, end long")
     runs = found.groupBy("code", "ctx").agg(earliest.cover(F.collect_set(F.struct("at", "end"))).alias("runs"))
-    return earliest.spans(occ, first, runs, WINDOW)
+    return earliest.spans(occ, first, runs, WINDOW, folder)
 
 
 def remove_passages(docs: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import earliest
-from .common import BASE, BYTE_CODE, U64, designated, grams, mix, once, prefix_sums, release, settle, steps, table, whole_groups
+from .common import BASE, BYTE_CODE, U64, designated, grams, mix, once, prefix_sums, release, scratch, steps, stored, table, whole_groups
 
 WINDOW, GRAM = 100, 32
 #: Bytes of a window beside its anchor, and how many of them one side surely has.
@@ -263,12 +263,14 @@ def removal_batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """(id, tid, spans) of the keyed docs that hold bytes of documents of smaller ids."""
-    occ = earliest.occurrences(docs, anchor_batches, locate_batches, "at int")
-    release(docs.sparkSession.sparkContext, 2)
+    sc = docs.sparkSession.sparkContext
+    folder = scratch(sc)
+    occ = earliest.occurrences(docs, anchor_batches, locate_batches, "at int", folder)
+    release(sc, 2)
     one = F.min(F.struct("id", "tid", "lo", "n_windows", "at")).alias("one")
-    first = settle(occ.groupBy("code", "ctx").agg(one).select("code", "ctx", F.col("one.id").alias("first"), "one.*"))
-    release(docs.sparkSession.sparkContext, 1)
-    return earliest.spans(occ, first, repeats_of(contested(docs, first)), WINDOW)
+    first = stored(occ.groupBy("code", "ctx").agg(one).select("code", "ctx", F.col("one.id").alias("first"), "one.*"), f"{folder}/firsts")
+    release(sc, 1)
+    return earliest.spans(occ, first, repeats_of(contested(docs, first)), WINDOW, folder)
 
 
 def remove_substrings(docs: DataFrame) -> DataFrame:
