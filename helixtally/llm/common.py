@@ -51,7 +51,7 @@ def stored(df: DataFrame, path: str) -> DataFrame:
     """Cut the lineage by a Parquet table at `path`: many small rows take less space there than in a checkpoint."""
     spark, schema = df.sparkSession, df.schema
     release(spark.sparkContext)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.parquet(path)
     del df
     release(spark.sparkContext)
     return spark.read.schema(schema).parquet(path)

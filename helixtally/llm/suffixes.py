@@ -230,16 +230,21 @@ def repeats_of(contexts: DataFrame) -> DataFrame:
     return found.groupBy("code", "ctx").agg(earliest.cover(F.collect_set(F.struct("at", "end"))).alias("runs"))
 
 
-def removal_batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def removal_batches(it: Iterator[pa.RecordBatch], texts: bool) -> Iterator[pa.RecordBatch]:
+    """What is left of each document, or its digest alone."""
     for b in it:
         for i, j, data, off in steps(b["text"]):
             _, ends, code = byte_grams(data, off)
             s = designated(code, ends, GRAM, BESIDE + 1)[0]
             doc = np.searchsorted(off, s, "right") - 1
-            both, count = np.unique(mix(code[s] + doc.astype(U64) * U64(0x9E3779B97F4A7C15)), return_counts=True)
-            pair = mix(code[s] + doc.astype(U64) * U64(0x9E3779B97F4A7C15))
-            inner = set(doc[count[np.searchsorted(both, pair)] > 1].tolist()) if len(s) else set()
-            cols: list[list] = [[], [], [], [], []]
+            pair = np.sort(code[s])  # a document that repeats a window has an anchor twice
+            if (pair[1:] == pair[:-1]).any():
+                order = np.lexsort((code[s], doc))
+                twice = (doc[order][1:] == doc[order][:-1]) & (code[s][order][1:] == code[s][order][:-1])
+                inner = set(doc[order[1:][twice]].tolist())
+            else:
+                inner = set()
+            cols: list[list] = [[] for _ in range(5 if texts else 4)]
             for d, spans in enumerate(b["spans"].slice(i, j - i).to_pylist()):
                 raw = data[off[d] : off[d + 1]]
                 if not spans and d not in inner:
@@ -256,9 +261,13 @@ def removal_batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         np.subtract.at(gone, at + WINDOW, 1)
                     flag = np.cumsum(gone)[:-1] > 0
                     kept, n, k = raw[~flag].tobytes(), int(flag.sum()), len(runs(flag)[0])
-                for c, v in zip(cols, (len(raw), n, k, hashlib.sha256(kept).hexdigest(), kept), strict=True):
+                for c, v in zip(cols, (len(raw), n, k, hashlib.sha256(kept).hexdigest(), kept), strict=False):
                     c.append(v)
-            yield pa.RecordBatch.from_arrays([b["doc_id"].slice(i, j - i), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()), strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+            own = [b["doc_id"].slice(i, j - i), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()), strict=False))]
+            yield pa.RecordBatch.from_arrays(own, REMOVED[: len(own)])
+
+
+REMOVED = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
@@ -273,8 +282,8 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     return earliest.spans(occ, first, repeats_of(contested(docs, first)), WINDOW, folder)
 
 
-def remove_substrings(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the bytes) of every row of docs.
+def remove_substrings(docs: DataFrame, texts: bool = True) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if texts, kept (the bytes) of every row of docs.
 
     Null and empty texts have no bytes; texts shorter than WINDOW keep all of theirs. Rows of equal ids don't count as
     earlier than each other, and a null id counts as the smallest.
@@ -282,9 +291,9 @@ def remove_substrings(docs: DataFrame) -> DataFrame:
     docs = earliest.keyed(docs.select("doc_id", "text"))
     found = repeated_spans(docs)
     release(docs.sparkSession.sparkContext)  # the contexts, of which the spans are all that is needed now
-    return docs.join(found, earliest.KEY, "left").select("doc_id", "text", "spans").mapInArrow(removal_batches, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return docs.join(found, earliest.KEY, "left").select("doc_id", "text", "spans").mapInArrow(lambda it: removal_batches(it, texts), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if texts else ""))
 
 
 def op6_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without their repeated bytes, as digests."""
-    return remove_substrings(table(spark, sf_dir, "documents")).drop("kept")
+    return remove_substrings(table(spark, sf_dir, "documents"), texts=False)
