@@ -12,9 +12,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixtally.llm import decontamination, neardup, packing, passages, quality
+from helixtally.llm import decontamination, earliest, neardup, packing, passages, quality
 from helixtally.llm.common import table
 
+#: A document's key beside its own columns: ids may be null or shared, so the text counts too.
+KEY = ["_row_id", "_row_tid"]
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules or the vote posterior reject go."""
@@ -22,23 +25,27 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays: that of the least id (a repeated row of it once)."""
-    kept = neardup.near_duplicates(docs).where("kept").select("doc_id").distinct()
-    one = docs.dropDuplicates(["doc_id"])
-    return one.join(kept, one["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi").select(*docs.columns)
+    """One document of each near-duplicate group stays: that of the least id (a repeated row of it once).
+
+    Documents are told apart by id and text, so those without an id, or that share one, are judged each by itself.
+    """
+    groups = neardup.groups(earliest.keyed(docs.select("doc_id", "text")))
+    kept = groups.where(neardup.node("id", "tid") == F.col("component")).select(F.col("id").alias(KEY[0]), F.col("tid").alias(KEY[1])).distinct()
+    return docs.withColumns(earliest.key_as(*KEY)).join(kept, KEY, "left_semi").dropDuplicates(KEY).select(*docs.columns)
 
 
 def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated passages go from the texts; documents that lose all their words go too."""
-    cut = passages.remove_passages(docs).where("n_words > n_removed").select(F.col("doc_id").alias("cut_id"), "kept_text")
-    out = docs.drop("text").join(cut, F.col("doc_id").eqNullSafe(F.col("cut_id"))).withColumn("text", F.col("kept_text")).withColumn("n_chars", F.char_length("text").cast("long"))
+    cut = passages.remove_passages(docs, row=True).where("n_words > n_removed")
+    out = cut.select("row.*", F.col("kept_text").alias("text")).withColumn("n_chars", F.char_length("text").cast("long"))
     return out.select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that share a window with a benchmark item go."""
-    found = decontamination.contamination(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select(F.col("doc_id").alias("bad_id"))
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("bad_id")), "left_anti").select(*docs.columns)
+    docs_ = docs.withColumns(earliest.key_as(*KEY))
+    found = decontamination.contamination(docs_, table(spark, sf_dir, "benchmark"), beside=tuple(KEY)).where("contaminated").select(*KEY)
+    return docs_.join(found, KEY, "left_anti").select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -118,7 +118,8 @@ def hit_batches(held, short, window: int):
                 at, size, code, doc = at[order], size[order], code[order], doc[order]
                 offsets = np.searchsorted(doc, np.arange(j - i + 1))
                 hits = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays([pa.array((at - w.first[doc]).astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(code.view(np.int64))], ["at", "size", "code"]))
-                yield pa.RecordBatch.from_arrays([b["doc_id"].slice(i, j - i), pa.array(w.count.astype(np.int64)), hits], ["doc_id", "n_words", "hits"])
+                beside = [c for c in b.schema.names if c not in ("doc_id", "text")]
+                yield pa.RecordBatch.from_arrays([b["doc_id"].slice(i, j - i), pa.array(w.count.astype(np.int64)), hits, *(b[c].slice(i, j - i) for c in beside)], ["doc_id", "n_words", "hits", *beside])
 
     return run
 
@@ -129,8 +130,9 @@ def covered(spans) -> F.Column:
     return F.aggregate(F.sort_array(spans), F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("upto")), step, lambda a: a["n"])
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated and items (sorted as strings) of every document.
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, beside: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated and items (sorted as strings) of every document,
+    and the long columns `beside` of its row.
 
     Windows are `window` words, or a whole item that is shorter; null and empty texts have no words and hit nothing; a
     row that is repeated is judged each time. Items with a null id count as items, with an empty name.
@@ -140,16 +142,16 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     held = spark.sparkContext.broadcast(filter_of(marks.where("print")))
     sizes = [r[0] for r in marks.where(~F.col("print") & (F.col("size") < window)).select("size").distinct().collect()]  # fewer than window
     short = {k: filter_of(marks.where(~F.col("print") & (F.col("size") == k))) for k in sizes}
-    found = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(hit_batches(held, short, window), HITS)
+    found = docs.select(F.col("doc_id").cast("long"), "text", *beside).mapInArrow(hit_batches(held, short, window), ", ".join([HITS, *(f"{c} long" for c in beside)]))
     found = settle(found.withColumn("n", F.monotonically_increasing_id()))
     items = marks.where(~F.col("print")).select("item_id", "code", "size")
     hit = found.where(F.size("hits") > 0).select("n", F.explode("hits").alias("h")).select("n", F.col("h.at").cast("long").alias("at"), F.col("h.size").alias("size"), F.col("h.code").alias("code"))
     hit = hit.join(items, ["code", "size"])
     by = hit.groupBy("n").agg(F.collect_set(F.struct("at", (F.col("at") + F.col("size")).alias("end"))).alias("spans"), F.array_sort(F.collect_set("item_id")).alias("items"))
     by = by.select("n", covered(F.col("spans")).alias("n_hit"), "items")
-    out = found.select("n", "doc_id", "n_words").join(by, "n", "left")
+    out = found.select("n", "doc_id", "n_words", *beside).join(by, "n", "left")
     names = F.coalesce("items", F.array().cast("array<string>"))
-    return out.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.size(names).cast("long").alias("n_items"), F.sha2(F.array_join(names, ",").cast("binary"), 256).alias("items_sha256"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"), names.alias("items"))
+    return out.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.size(names).cast("long").alias("n_items"), F.sha2(F.array_join(names, ",").cast("binary"), 256).alias("items_sha256"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"), names.alias("items"), *beside)
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

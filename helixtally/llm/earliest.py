@@ -22,7 +22,12 @@ OCCURRENCE = "id long, tid long, code long, ctx long, lo long, n_windows int"
 
 def keyed(docs: DataFrame) -> DataFrame:
     """docs with id (null: NULL_ID) and tid, so that rows of one id and several texts stay apart."""
-    return docs.withColumns({"id": F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)), "tid": F.xxhash64(F.coalesce("text", F.lit("")))})
+    return docs.withColumns(key_as(*KEY))
+
+
+def key_as(id_: str, tid: str) -> dict[str, Column]:
+    """The columns of a document's key under names of the caller's."""
+    return {id_: F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)), tid: F.xxhash64(F.coalesce("text", F.lit("")))}
 
 
 def occurrences(docs: DataFrame, anchors, locate, extra: str, folder: str) -> DataFrame:

@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import earliest
@@ -110,13 +110,18 @@ def sets_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     return settle(some.mapInArrow(set_batches, "id long, tid long, codes array<long>").dropDuplicates(["id", "tid"]))
 
 
+def node(id_: str, tid: str) -> Column:
+    """A document as a node: rows of one id (or of none) and different texts are nodes of their own."""
+    return F.struct(F.col(id_).alias("id"), F.col(tid).alias("tid"))
+
+
 def confirm(docs: DataFrame, edges: DataFrame) -> DataFrame:
-    """The links (a, b) among settled edges (a, ta, b, tb), by full shingle sets."""
+    """The links (a, b) of nodes among settled edges (a, ta, b, tb), by full shingle sets."""
     sets = sets_of(docs, edges.select(F.col("a").alias("id"), F.col("ta").alias("tid")).union(edges.select("b", "tb")))
     one, two = (sets.select(F.col("id").alias(x), F.col("tid").alias(f"t{x}"), F.col("codes").alias(f"codes_{x}")) for x in "ab")
     both = F.size(F.array_intersect("codes_a", "codes_b"))
     linked = 100 * both >= PERCENT * (F.size("codes_a") + F.size("codes_b") - both)
-    return settle(edges.join(one, ["a", "ta"]).join(two, ["b", "tb"]).where(linked).select("a", "b"))
+    return settle(edges.join(one, ["a", "ta"]).join(two, ["b", "tb"]).where(linked).select(node("a", "ta").alias("a"), node("b", "tb").alias("b")))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -133,20 +138,26 @@ def components(links: DataFrame) -> DataFrame:
             return label
 
 
+def numbers(ids, tids) -> np.ndarray:
+    """A number for each node, in their order: equal for equal nodes."""
+    return np.unique(np.column_stack([ids, tids]).astype(np.int64), axis=0, return_inverse=True)[1].ravel()
+
+
 def screen(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of each group (bucket, x, y), the rows that may have a link to another component: they are compared in full.
 
-    Rows come sorted by group; a group holds at most two blocks of a bucket, and of two rows that share several buckets
+    Rows come sorted by group, and a component as its least node's cid and ctid; a group holds at most two blocks of a bucket, and of two rows that share several buckets
     the one of their first common band counts.
     """
 
     def partners(rows):
         key, x, y = rows[0][0], rows[0][1], rows[0][2]
-        block, node, comp, n = (np.array([r[k] for r in rows], np.int64) for k in (3, 4, 6, 7))
-        bands, sig = np.array([r[8] for r in rows], np.int64), np.array([r[9] for r in rows], np.int32)
+        block, n = (np.array([r[k] for r in rows], np.int64) for k in (3, 8))
+        own, comp = numbers([r[4] for r in rows], [r[5] for r in rows]), numbers([r[6] for r in rows], [r[7] for r in rows])
+        bands, sig = np.array([r[9] for r in rows], np.int64), np.array([r[10] for r in rows], np.int32)
         out = set()
         for i in range(len(rows)):
-            j = np.flatnonzero((comp != comp[i]) & (node > node[i]) & (100 * np.minimum(n, n[i]) >= PERCENT * np.maximum(n, n[i])))
+            j = np.flatnonzero((comp != comp[i]) & (own > own[i]) & (100 * np.minimum(n, n[i]) >= PERCENT * np.maximum(n, n[i])))
             if x != y:
                 j = j[block[j] != block[i]]
             if not len(j):
@@ -156,16 +167,16 @@ def screen(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             j = j[bands[j, same.argmax(1)] == key] if len(j) else j
             if len(j):
                 out.update(j.tolist(), (i,))
-        return [(*rows[k][:3], *rows[k][3:7]) for k in sorted(out)]
+        return [rows[k][:8] for k in sorted(out)]
 
     def batch(rows):
-        cols = list(zip(*rows, strict=True)) if rows else [[]] * 7
-        names = ["bucket", "x", "y", "block", "id", "tid", "component"]
+        cols = list(zip(*rows, strict=True)) if rows else [[]] * 8
+        names = ["bucket", "x", "y", "block", "id", "tid", "cid", "ctid"]
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names)
 
     group: list[tuple] = []
     for b in it:
-        for r in zip(*(b[c].to_pylist() for c in ("key", "x", "y", "block", "id", "tid", "component", "n_shingles", "bands", "sig")), strict=True):
+        for r in zip(*(b[c].to_pylist() for c in ("key", "x", "y", "block", "id", "tid", "cid", "ctid", "n_shingles", "bands", "sig")), strict=True):
             if group and group[0][:3] != r[:3]:
                 yield batch(partners(group))
                 group = []
@@ -175,9 +186,10 @@ def screen(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def compare(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links (a, b) between components within each group, by full shingle sets; a forest of them, so one a row at most."""
+    """Links (a, ta, b, tb) between components within each group, by full shingle sets; a forest of them, so one a row at most."""
     for t in whole_groups(it):
-        key, node, comp, x, y, block = (t[c].to_numpy() for c in ("key", "id", "component", "x", "y", "block"))
+        key, ids, tids, x, y, block = (t[c].to_numpy() for c in ("key", "id", "tid", "x", "y", "block"))
+        comp = numbers(t["cid"].to_numpy(), t["ctid"].to_numpy())
         codes = t["codes"].combine_chunks()
         flat, size = codes.flatten().to_numpy(zero_copy_only=False), codes.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
         at = np.append(0, np.cumsum(size))
@@ -199,19 +211,26 @@ def compare(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 mark[mine] = 0
                 for j in np.flatnonzero(other & (100 * both >= PERCENT * (n + n[i] - both))).tolist():
                     if own[j] != own[i]:
-                        links.append((int(node[lo + i]), int(node[lo + j])))
+                        links.append((int(ids[lo + i]), int(tids[lo + i]), int(ids[lo + j]), int(tids[lo + j])))
                         own[own == own[j]] = own[i]
-        cols = list(zip(*links, strict=True)) if links else [[]] * 2
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["a", "b"])
+        cols = list(zip(*links, strict=True)) if links else [[]] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["a", "ta", "b", "tb"])
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row of docs.
 
     Null and empty texts have no shingles and stay alone; fewer than five words are one shingle. A null id counts as the
-    smallest and stays null; rows of one id count as one document.
+    smallest and stays null. Rows of one id, or of none, and different texts are documents of their own, by the hash of
+    the text from the least; only the same text again is the same document.
     """
-    docs = earliest.keyed(docs.select("doc_id", "text"))
+    own, least = node("id", "tid"), F.col("component")
+    real = lambda c: F.when(c != earliest.NULL_ID, c)
+    return groups(earliest.keyed(docs.select("doc_id", "text"))).select(real(F.col("id")).alias("doc_id"), "n_shingles", real(least["id"]).alias("component_id"), (own == least).alias("kept"))
+
+
+def groups(docs: DataFrame) -> DataFrame:
+    """id, tid, n_shingles and component (the least node of its group) of every row of keyed docs."""
     held = settle(docs.select("id", "tid", "text").mapInArrow(sketch_batches, "id long, tid long, n_shingles long, d1 long, d2 long, bands array<long>, sig array<int>"))
     digest = ["n_shingles", "d1", "d2"]
     classes = held.where("n_shingles > 0").groupBy(*digest).agg(F.min(F.struct("id", "tid")).alias("rep"))
@@ -221,27 +240,25 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     bucket = member.groupBy("key").agg(F.min(F.struct("id", "tid", "n_shingles")).alias("c"), F.count("*").alias("m")).where("m > 1")
     member = settle(member.join(bucket, "key").select("key", "id", "tid", "n_shingles", "c", "m"))
     sized = 100 * F.least("n_shingles", "c.n_shingles") >= PERCENT * F.greatest("n_shingles", "c.n_shingles")
-    star = settle(member.where(sized & (F.col("id") != F.col("c.id"))).select(F.col("c.id").alias("a"), F.col("c.tid").alias("ta"), F.col("id").alias("b"), F.col("tid").alias("tb")).distinct())
+    star = settle(member.where(sized & (node("id", "tid") != node("c.id", "c.tid"))).select(F.col("c.id").alias("a"), F.col("c.tid").alias("ta"), F.col("id").alias("b"), F.col("tid").alias("tb")).distinct())
     links = confirm(docs, star)
     label = components(links)
 
-    named = member.select("key", "id", "tid", "m").join(label.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    named = member.select("key", "id", "tid", "m").join(label.select("node.id", "node.tid", "component"), ["id", "tid"], "left").withColumn("component", F.coalesce("component", node("id", "tid")))
     split = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
     open_ = named.join(split, "key", "left_semi").join(sketch.select("id", "tid", "n_shingles", "bands", "sig"), ["id", "tid"])
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
     open_ = open_.withColumn("block", F.pmod(F.xxhash64("id", "tid"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    open_ = open_.select("key", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "id", "tid", "component", "n_shingles", "bands", "sig")
-    held_open = settle(open_.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(screen, "bucket long, x long, y long, block long, id long, tid long, component long"))
+    open_ = open_.select("key", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "id", "tid", F.col("component.id").alias("cid"), F.col("component.tid").alias("ctid"), "n_shingles", "bands", "sig")
+    held_open = settle(open_.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(screen, "bucket long, x long, y long, block long, id long, tid long, cid long, ctid long"))
     if not held_open.isEmpty():
         ask = held_open.withColumn("key", F.xxhash64("bucket", "x", "y")).join(sets_of(docs, held_open.select("id", "tid")), ["id", "tid"])
-        more = ask.repartition("key").sortWithinPartitions("key").mapInArrow(compare, "a long, b long").distinct()
+        more = ask.repartition("key").sortWithinPartitions("key").mapInArrow(compare, "a long, ta long, b long, tb long").select(node("a", "ta").alias("a"), node("b", "tb").alias("b")).distinct()
         label = components(settle(links.union(more)))
 
-    home = reps.join(label.withColumnRenamed("node", "id"), "id", "left").select(*digest, F.coalesce("component", "id").alias("component"))
+    home = reps.join(label.select("node.id", "node.tid", "component"), ["id", "tid"], "left").select(*digest, F.coalesce("component", node("id", "tid")).alias("component"))
     out = docs.select("id", "tid").join(held.select("id", "tid", *digest).dropDuplicates(["id", "tid"]), ["id", "tid"]).join(home, digest, "left")
-    near = F.coalesce("component", "id")
-    real = lambda c: F.when(c != earliest.NULL_ID, c)
-    return out.select(real(F.col("id")).alias("doc_id"), "n_shingles", real(near).alias("component_id"), (F.col("id") == near).alias("kept"))
+    return out.select("id", "tid", "n_shingles", F.coalesce("component", node("id", "tid")).alias("component"))
 
 
 def op4_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from . import earliest
 from .common import NOT_SPACE, U64, Words, designated, mix, once, release, scratch, steps, table, whole_groups
@@ -131,8 +132,12 @@ def removal_batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 removed.append(gone)
                 digest.append(hashlib.sha256(kept).hexdigest())
                 texts.append(kept if gone else raw)
+            beside = [c for c in b.schema.names if c not in ("doc_id", "text", "spans")]
             cols = [b["doc_id"].slice(i, j - i), pa.array(w.count.astype(np.int64)), pa.array(removed, pa.int64()), pa.array(digest, pa.string()), pa.array(texts, pa.binary()).cast(pa.string())]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"])
+            yield pa.RecordBatch.from_arrays([*cols, *(b[c].slice(i, j - i) for c in beside)], [*REMOVED.fieldNames(), *beside])
+
+
+REMOVED = StructType().add("doc_id", "long").add("n_words", "long").add("n_removed", "long").add("kept_sha256", "string").add("kept_text", "string")
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
@@ -153,17 +158,19 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     return earliest.spans(occ, first, runs, WINDOW, folder)
 
 
-def remove_passages(docs: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 and kept_text of every row of docs.
+def remove_passages(docs: DataFrame, row: bool = False) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256, kept_text and, if row, the row itself without its text of every row of docs.
 
     kept_text is the text itself if nothing goes, else the kept words joined by one space. Null and empty texts have no
     words; fewer than WINDOW words hold no window; rows of equal ids don't count as earlier than each other, and a null
     id counts as the smallest.
     """
-    docs = earliest.keyed(docs.select("doc_id", "text"))
+    beside = [F.struct(*(F.col(c) for c in docs.columns if c != "text")).alias("row")] if row else []
+    docs = earliest.keyed(docs.select("doc_id", "text", *beside))
     found = repeated_spans(docs)
     release(docs.sparkSession.sparkContext)  # the contexts, of which the spans are all that is needed now
-    return docs.join(found, earliest.KEY, "left").select("doc_id", "text", "spans").mapInArrow(removal_batches, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
+    beside = [c for c in docs.columns if c == "row"]
+    return docs.join(found, earliest.KEY, "left").select("doc_id", "text", "spans", *beside).mapInArrow(removal_batches, StructType([*REMOVED.fields, *(docs.schema[c] for c in beside)]))
 
 
 def op8_passages(spark: SparkSession, sf_dir: str) -> DataFrame:

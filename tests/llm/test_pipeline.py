@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from helixtally.llm import quality
+from helixtally.llm import earliest, neardup, quality
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -57,3 +57,36 @@ def test_stages_return_the_columns_of_documents(spark, sf_dir):
         assert out.columns == docs.columns and out.dtypes == docs.dtypes
         assert stage(spark, docs.limit(0), sf_dir).count() == 0
     assert Path(corpus_pipeline.__file__).name == "corpus_pipeline.py"
+
+
+def test_rows_without_an_id_or_that_share_one_are_judged_by_themselves(spark, sf_dir, tmp_path):
+    rng = np.random.default_rng(12)
+    words = lambda n: " ".join(f"{''.join(rng.choice(list('abcdefghijkl'), 5))}" for _ in range(n)) + ".\nEnd."
+    item = spark.read.parquet(f"{sf_dir}/benchmark.parquet").first().text
+    a, b, c, d, e = (words(120) for _ in range(5))
+    leak = f"{words(90)} {item} {words(60)}"
+    rows = [(None, a), (None, b), (None, leak), (7, c), (7, d), (7, d), (8, a + " tail"), (9, b + " tail"), (10, e), (7, e + " tail")]
+    docs = spark.createDataFrame([(i, t, "en", f"s{k}", len(t)) for k, (i, t) in enumerate(rows)], SCHEMA)
+    near = corpus_pipeline.near_dedup(spark, docs, sf_dir)
+    want = sorted([a, b, leak, c, d, e + " tail"])
+    assert sorted(r.text for r in near.collect()) == want
+    cut = corpus_pipeline.passage_dedup(spark, docs.where("doc_id IS NULL OR doc_id = 7"), sf_dir)
+    assert sorted((r.doc_id or -1, r.text) for r in cut.collect()) == sorted((i or -1, t) for i, t in rows if i in (None, 7))
+    clean = corpus_pipeline.decontaminate(spark, docs, sf_dir)
+    assert sorted(r.text for r in clean.collect()) == sorted(t for _, t in rows if t != leak)
+    for k in range(2):  # through files, as the stages run
+        near.write.parquet(str(tmp_path / f"{k}"))
+        near = (corpus_pipeline.passage_dedup, corpus_pipeline.decontaminate)[k](spark, spark.read.parquet(str(tmp_path / f"{k}")), sf_dir)
+    assert sorted(r.text for r in near.collect()) == sorted(set(want) - {leak})
+
+
+def test_components_keep_nodes_of_one_id_apart(spark):
+    """Documents near two unrelated rows without an id are two groups."""
+    rng = np.random.default_rng(13)
+    x, y = (" ".join(f"v{w}" for w in rng.integers(0, 10**6, 200)) for _ in range(2))
+    rows = [(None, x), (None, y), (1, x + " one"), (2, y + " two"), (3, x + " three")]
+    got = neardup.groups(earliest.keyed(spark.createDataFrame(rows, "doc_id long, text string"))).collect()
+    by: dict = {}
+    for r in got:
+        by.setdefault((r.component.id, r.component.tid), set()).add(r.id)
+    assert sorted(map(sorted, by.values())) == [[earliest.NULL_ID, 1, 3], [earliest.NULL_ID, 2]]
