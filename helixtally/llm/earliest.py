@@ -48,6 +48,29 @@ def firsts(occ: DataFrame, extra: str, folder: str) -> DataFrame:
     return stored(occ.groupBy("code", "ctx").agg(F.min("id").alias("first"), F.first("n_windows").alias("n_windows"), F.first(extra).alias(extra)), f"{folder}/firsts")
 
 
+def hot_anchors(first: DataFrame, most: int) -> DataFrame | None:
+    """(code) of the anchors that have more than `most` contexts, settled; None if there are none."""
+    out = settle(first.groupBy("code").count().where(F.col("count") > most).select("code"))
+    return None if out.isEmpty() else out
+
+
+def cool(first: DataFrame, hot: DataFrame | None) -> DataFrame:
+    """The contexts of all other anchors: those of one anchor fit in a task. hot has a row per `most` contexts at most."""
+    return first if hot is None else first.join(F.broadcast(hot), "code", "left_anti")
+
+
+def window_by_window(contexts: DataFrame, window: int) -> DataFrame:
+    """(code, ctx, at, end) of the repeated windows of contexts (code, ctx, first, windows) of hot anchors.
+
+    Each window is a row. Least ids are summed up before the shuffle and joined back as one row a window, so that no
+    task needs to hold, or even to read, all contexts of an anchor.
+    """
+    each = contexts.select("code", "ctx", "first", F.posexplode("windows").alias("at", "window"))
+    least = each.groupBy("code", "window").agg(F.min("first").alias("least"), F.max("first").alias("most")).where("least < most").select("code", "window", "least")
+    at = F.col("at").cast("long")
+    return each.join(least, ["code", "window"]).where("first > least").select("code", "ctx", at.alias("at"), (at + window).alias("end"))
+
+
 def spans(occ: DataFrame, first: DataFrame, repeats: DataFrame, window: int, folder: str) -> DataFrame:
     """(id, tid, spans), settled: the maximal runs of units that repeated windows cover. repeats: (code, ctx, runs).
 

@@ -27,6 +27,8 @@ WINDOW, PHRASE = 50, 25
 SIDE = (WINDOW - PHRASE) // 2
 #: Documents that share an automaton at most, so that its size is bounded.
 SHARD_ROWS = 2000
+#: Contexts of one phrase that are compared in a task at most; those of a hotter one are compared window by window.
+MOST = 6000
 
 
 def phrases(w: Words):
@@ -148,14 +150,20 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     release(sc, 2)
     first = earliest.firsts(occ, "around", folder)
     release(sc, 1)
+    hot = earliest.hot_anchors(first, MOST)
+    found = halves_of(earliest.cool(first, hot)).repartition("key").sortWithinPartitions("key").mapInArrow(compare_batches, "code long, ctx long, at long, end long")
+    if hot is not None:
+        found = found.union(earliest.window_by_window(first.join(F.broadcast(hot), "code", "left_semi").select("code", "ctx", "first", F.col("around.windows").alias("windows")), WINDOW))
+    runs = found.groupBy("code", "ctx").agg(earliest.cover(F.collect_set(F.struct("at", "end"))).alias("runs"))
+    return earliest.spans(occ, first, runs, WINDOW, folder)
+
+
+def halves_of(first: DataFrame) -> DataFrame:
+    """(key, code, ctx, first, at, windows) of the windows with SIDE words right of the phrase, and of the others."""
     w, edge = F.col("around.windows"), F.col("around.edge")
     right = F.struct(F.col("around.right").alias("key"), edge.alias("at"), F.slice(w, edge + 1, F.size(w)).alias("windows"))
     left = F.struct(F.col("around.left").alias("key"), F.lit(0).alias("at"), F.slice(w, 1, edge).alias("windows"))
-    halves = first.select("code", "ctx", "first", F.explode(F.array(right, left)).alias("h")).select("h.key", "code", "ctx", "first", "h.at", "h.windows").where(F.size("windows") > 0)
-    dealt = halves.repartition("key").sortWithinPartitions("key")
-    found = dealt.mapInArrow(compare_batches, "code long, ctx long, at long, end long")
-    runs = found.groupBy("code", "ctx").agg(earliest.cover(F.collect_set(F.struct("at", "end"))).alias("runs"))
-    return earliest.spans(occ, first, runs, WINDOW, folder)
+    return first.select("code", "ctx", "first", F.explode(F.array(right, left)).alias("h")).select("h.key", "code", "ctx", "first", "h.at", "h.windows").where(F.size("windows") > 0)
 
 
 def remove_passages(docs: DataFrame, row: bool = False) -> DataFrame:

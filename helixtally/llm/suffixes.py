@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import earliest
@@ -27,6 +27,8 @@ BESIDE = WINDOW - GRAM
 SIDE = BESIDE // 2
 #: Contexts that are sorted together at most; a larger group is compared offset by offset.
 BLOCK = 6000
+#: Contexts of one anchor that are compared in a task at most; those of a hotter one are compared window by window.
+MOST = 6000
 
 
 def names_of(keys: np.ndarray) -> tuple[np.ndarray, int]:
@@ -217,17 +219,31 @@ def contested(docs: DataFrame, first: DataFrame) -> DataFrame:
     return docs.select(*earliest.KEY, "text").join(mine, earliest.KEY).mapInArrow(fetch_batches, "code long, ctx long, first long, n_windows int, at int, bytes binary")
 
 
-def repeats_of(contexts: DataFrame) -> DataFrame:
+def repeats_of(docs: DataFrame, first: DataFrame, folder: str) -> DataFrame:
     """(code, ctx, runs): which bytes of a context repeated windows cover, relative to its start."""
+    hot = earliest.hot_anchors(first, MOST)
+    found = halves_of(contested(docs, earliest.cool(first, hot))).repartition("key").sortWithinPartitions("key").mapInArrow(compare_batches, "code long, ctx long, at long, end long")
+    if hot is not None:
+        held = stored(contested(docs, first.join(F.broadcast(hot), "code", "left_semi")), f"{folder}/hot")
+        found = found.union(earliest.window_by_window(held.select("code", "ctx", "first", windows_of().alias("windows")), WINDOW))
+    return found.groupBy("code", "ctx").agg(earliest.cover(F.collect_set(F.struct("at", "end"))).alias("runs"))
+
+
+def windows_of() -> Column:
+    """Of a context, 128 bits of hash of the bytes of each window."""
+    one = lambda i: F.substring("bytes", i + 1, F.lit(WINDOW))
+    return F.transform(F.sequence(F.lit(0), F.col("n_windows") - 1), lambda i: F.struct(F.xxhash64(F.lit(1), one(i)).alias("x"), F.xxhash64(F.lit(2), one(i)).alias("y")))
+
+
+def halves_of(contexts: DataFrame) -> DataFrame:
+    """(key, code, ctx, first, from, to, shift, bytes, at) of the windows with SIDE bytes right of the anchor, and of the others."""
     at, near = F.col("at"), GRAM + SIDE
     edge = F.greatest(F.lit(0), F.least(F.col("n_windows"), at - SIDE))  # windows from here on have SIDE bytes right of the anchor
     half = lambda key, lo, hi: F.struct(key.alias("key"), lo.alias("lo"), hi.alias("hi"))
     right, left = F.xxhash64(F.lit(1), F.substring("bytes", at + 1, F.lit(near))), F.xxhash64(F.lit(2), F.substring("bytes", F.greatest(F.lit(0), at - SIDE) + 1, F.lit(near)))
     both = contexts.select("code", "ctx", "first", "bytes", "at", F.explode(F.array(half(right, edge, F.col("n_windows")), half(left, F.lit(0), edge))).alias("k")).where("k.lo < k.hi")
     # each half takes the bytes of its own windows along
-    dealt = both.select("k.key", "code", "ctx", "first", F.lit(0).alias("from"), (F.col("k.hi") - F.col("k.lo")).alias("to"), F.col("k.lo").alias("shift"), F.substring("bytes", F.col("k.lo") + 1, F.col("k.hi") - F.col("k.lo") + (WINDOW - 1)).alias("bytes"), (F.col("at") - F.col("k.lo")).alias("at"))
-    found = dealt.repartition("key").sortWithinPartitions("key").mapInArrow(compare_batches, "code long, ctx long, at long, end long")
-    return found.groupBy("code", "ctx").agg(earliest.cover(F.collect_set(F.struct("at", "end"))).alias("runs"))
+    return both.select("k.key", "code", "ctx", "first", F.lit(0).alias("from"), (F.col("k.hi") - F.col("k.lo")).alias("to"), F.col("k.lo").alias("shift"), F.substring("bytes", F.col("k.lo") + 1, F.col("k.hi") - F.col("k.lo") + (WINDOW - 1)).alias("bytes"), (F.col("at") - F.col("k.lo")).alias("at"))
 
 
 def removal_batches(it: Iterator[pa.RecordBatch], texts: bool) -> Iterator[pa.RecordBatch]:
@@ -279,7 +295,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     one = F.min(F.struct("id", "tid", "lo", "n_windows", "at")).alias("one")
     first = stored(occ.groupBy("code", "ctx").agg(one).select("code", "ctx", F.col("one.id").alias("first"), "one.*"), f"{folder}/firsts")
     release(sc, 1)
-    return earliest.spans(occ, first, repeats_of(contested(docs, first)), WINDOW, folder)
+    return earliest.spans(occ, first, repeats_of(docs, first, folder), WINDOW, folder)
 
 
 def remove_substrings(docs: DataFrame, texts: bool = True) -> DataFrame:
