@@ -2,24 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixtally.functions.dna import splitmix64, unsigned_order
+from helixtally.sources.store import settle
 
 SIMILARITY, SKETCH, EXACT_UP_TO = 0.95, 2000, 96
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the folder that the session names (a temporary one where none is set)."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="helixtally-"))
-    return df.checkpoint()
-
-
 def sizes(genomes: DataFrame, markers: DataFrame, *scope: str) -> DataFrame:
     """(scope, gid, n) of every genome, 0 for one without markers."""
     n = markers.select(*scope, "gid", "marker").distinct().groupBy(*scope, "gid").agg(F.count("*").alias("n"))

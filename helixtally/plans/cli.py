@@ -12,6 +12,7 @@ from helixtally.functions.dna import enzyme_set
 from helixtally.operators import cluster, community, database, digest, metrics, profile, quality
 from helixtally.plans import demo
 from helixtally.sources import fastx, tables
+from helixtally.sources.store import settle
 
 
 def parser() -> argparse.ArgumentParser:
@@ -64,9 +65,9 @@ def params_of(a: argparse.Namespace) -> profile.Params:
 def kept_genomes(spark: SparkSession, a: argparse.Namespace) -> tuple[DataFrame, DataFrame]:
     """(genomes, counts) of the genomes that pass the quality filter."""
     genomes, seqs = fastx.read_genomes(spark, a.genomes)
-    counted = cluster.settle(digest.counts(digest.markers(digest.digest(seqs.select("gid", "seq"), enzyme_set(a.enzyme))), "gid", marker="marker"))
+    counted = settle(digest.counts(digest.markers(digest.digest(seqs.select("gid", "seq"), enzyme_set(a.enzyme))), "gid", marker="marker"))
     n = digest.single_copy(counted).groupBy("gid").agg(F.count("*").alias("n_tags"))
-    judged = cluster.settle(quality.assess(genomes.join(n, "gid", "left").na.fill(0, ["n_tags"]), max_contigs=a.max_contigs, min_tag_fraction=a.min_tag_fraction))
+    judged = settle(quality.assess(genomes.join(n, "gid", "left").na.fill(0, ["n_tags"]), max_contigs=a.max_contigs, min_tag_fraction=a.min_tag_fraction))
     judged.where("status <> 'kept'").select("name", "n_tags", "status", "reason").show(truncate=False)
     genomes = judged.where("status <> 'dropped'").select("gid", "name")
     if genomes.isEmpty():
@@ -82,7 +83,7 @@ def load(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 def sample_of(spark: SparkSession, path: str, spec: str) -> DataFrame:
     seqs = fastx.read_sequences(spark, path)
-    return cluster.settle(digest.counts(digest.markers(digest.digest(seqs.select("seq"), enzyme_set(spec))), marker="marker"))
+    return settle(digest.counts(digest.markers(digest.digest(seqs.select("seq"), enzyme_set(spec))), marker="marker"))
 
 
 def run(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -93,7 +94,7 @@ def run(spark: SparkSession, a: argparse.Namespace) -> None:
         if a.command == "build":
             db = database.build(single.join(genomes, "gid").select(F.col("name").alias("unit"), "marker")).withColumn("is_unique", F.lit(False))
         else:
-            mem = cluster.settle(cluster.single_linkage(genomes, single, threshold=a.similarity, containment=a.containment, method=a.method))
+            mem = settle(cluster.single_linkage(genomes, single, threshold=a.similarity, containment=a.containment, method=a.method))
             cluster.class_summary(cluster.classify(single, mem)).show()
             db = cluster.cluster_db(single, counted, mem)
             database.resolvable(db).orderBy("unit").show(truncate=False)
@@ -112,7 +113,7 @@ def run(spark: SparkSession, a: argparse.Namespace) -> None:
         gate = community.Gate(a.min_species_markers, a.min_species_marker_frac, a.min_species_detect)
         sample = sample_of(spark, a.sample, a.enzyme)
         calls, gates = community.community_profile(db, sample, species, params=params_of(a), gate=gate, min_global=a.min_global_abundance, cross_species_filter=not a.no_cross_species_filter)
-        calls = cluster.settle(calls)
+        calls = settle(calls)
         community.filter_counters(db).show()
         calls.orderBy("species", F.desc("abundance"), "unit").show(truncate=False)
         community.tier_tally(gates).show()

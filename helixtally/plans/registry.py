@@ -2,18 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixtally.functions.dna import ENZYMES, fnv64, from_hex, positions, reverse_complement, to_hex
 from helixtally.operators import cluster, community, database, digest, metrics, profile, quality
-from helixtally.operators.cluster import settle
 from helixtally.plans import fixture as fx
 from helixtally.plans import oracles as o
 from helixtally.sources import fastx, tables
+from helixtally.sources.store import scratch, settle
 from helixtally.streaming import counts as streaming
 
 FLAGSHIP = "multi_profile"
@@ -414,7 +411,6 @@ def streamed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{sf_dir}/conversations.parquet"
     schema = spark.read.parquet(path).schema
     reads = spark.readStream.schema(schema).parquet(path[:-1] + "[t]").select(fx.bases(F.col("text")).alias("seq"))
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="helixtally-")
-    folder = f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    folder = scratch(spark.sparkContext, "stream")
     streaming.run_to_parquet(streaming.stream_counts(reads, [fx.CUTTER]), f"{folder}/counts", f"{folder}/checkpoint")
     return spark.read.parquet(f"{folder}/counts")
