@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import gc
-import tempfile
-import time
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from helixtally.sources.store import discard, scratch, settle, stored  # noqa: F401  for the operators
+
 U64 = np.uint64
 #: Bytes of text that one vectorised step looks at; a longer document is a step of its own.
 STEP_BYTES = 1 << 17
@@ -30,50 +28,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the shared folder that the session names (a temporary one in tests)."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="helixtally-"))
-    release(sc)
-    out = df.checkpoint()
-    del df
-    release(sc)
-    return out
-
-
-def scratch(sc) -> str:
-    """A new folder for tables in the shared folder that the session names (a temporary one in tests)."""
-    return f"{(sc.getConf().get('spark.checkpoint.dir') or tempfile.mkdtemp(prefix='helixtally-')).rstrip('/')}/tables-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, path: str) -> DataFrame:
-    """Cut the lineage by a Parquet table at `path`: many small rows take less space there than in a checkpoint."""
-    spark, schema = df.sparkSession, df.schema
-    release(spark.sparkContext)
-    df.write.parquet(path)
-    del df
-    release(spark.sparkContext)
-    return spark.read.schema(schema).parquet(path)
-
-
-def discard(sc, path: str) -> None:
-    """Delete what is at `path`, which nothing reads any more."""
-    where = sc._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
-
-
-def release(sc, wait: float = 0) -> None:
-    """Let shuffle files go that only lineages held which are cut by now; they would stay until the driver fills up.
-
-    The cleaner works by itself; with `wait` seconds, it gets time before the next stage writes.
-    """
-    for _ in range(2 if wait else 1):
-        gc.collect()
-        sc._jvm.System.gc()
-        time.sleep(wait / 2)
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser, so that every bit of a sum of products depends on all of them."""
     x = x ^ (x >> U64(31))
@@ -83,20 +37,38 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(33))
 
 
-BYTE_CODE = mix(np.arange(1, 257, dtype=U64) * U64(0x9E3779B97F4A7C15))
-BASE, WORD_BASE = 0xD1342543DE82EF95, 0xA0761D6478BD642F
+#: Runs are fingerprinted by polynomials over the field of integers modulo this prime: modulo 2 ** 64, regular texts of two
+#: letters would collide whatever the base.
+PRIME = (1 << 61) - 1
+BASE, WORD_BASE = 0xA342543DE82EF95, 0x761D6478BD642F9
+_P, _LOW, _31, _32, _61 = U64(PRIME), U64((1 << 31) - 1), U64(31), U64(32), U64(61)
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
+def reduced(x: np.ndarray) -> np.ndarray:
+    """x modulo PRIME."""
+    x = (x & _P) + (x >> _61)
+    return np.where(x >= _P, x - _P, x)
+
+
+def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a * b modulo PRIME, of numbers below it."""
+    low = U64(0xFFFFFFFF)
+    a1, a0, b1, b0 = a >> _32, a & low, b >> _32, b & low
+    middle, least = a1 * b0 + a0 * b1, a0 * b0
+    x = ((a1 * b1) << U64(3)) + (middle >> U64(29)) + ((middle & U64((1 << 29) - 1)) << _32) + (least & _P) + (least >> _61)
+    return reduced(x)
+
+
 def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base ** i and its inverse modulo 2 ** 64, for i < n at least."""
+    """base ** i and its inverse modulo PRIME, for i < n at least."""
     if base not in _powers or len(_powers[base][0]) < n:
-        size = 1 << max(12, (n - 1).bit_length())
-        made = []
-        for b in (base, pow(base, -1, 1 << 64)):
-            p = np.full(size, b, U64)
-            p[0] = 1
-            made.append(np.cumprod(p))
+        size, made = 1 << max(12, (n - 1).bit_length()), []
+        for b in (base, pow(base, -1, PRIME)):
+            p, k = np.ones(size, U64), 1
+            while k < size:
+                p[k : 2 * k], k = product(p[:k], U64(pow(b, k, PRIME))), 2 * k
+            made.append(p)
         if size > 2 * STEP_BYTES:  # for one long document only
             return tuple(made)
         _powers[base] = tuple(made)
@@ -104,16 +76,34 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def prefix_sums(codes: np.ndarray, base: int) -> np.ndarray:
-    """sums[i]: the weighted sum of the first i codes; see grams."""
-    out = np.zeros(len(codes) + 1, U64)
-    np.cumsum(codes * powers(base, len(codes) + 1)[0][: len(codes)], out=out[1:])
+    """sums[i]: the weighted sum of the first i codes (bytes, or numbers below PRIME); see grams."""
+    p = powers(base, len(codes) + 1)[0][: len(codes)]
+    if codes.dtype == np.uint8 and len(codes) < 1 << 22:
+        c = codes + U64(1)
+        high, low = (p >> _31) * c, (p & _LOW) * c
+    else:
+        t = product(codes.astype(U64) + U64(codes.dtype == np.uint8), p)
+        high, low = t >> _31, t & _LOW
+    high, out = reduced(np.cumsum(high)), np.zeros(len(codes) + 1, U64)
+    out[1:] = reduced((high >> U64(30)) + ((high & U64((1 << 30) - 1)) << _31) + reduced(np.cumsum(low)))
     return out
 
 
 def grams(sums: np.ndarray, base: int, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """64-bit fingerprints of the runs start..end, which depend on nothing but the codes in them."""
     inverse = powers(base, len(sums))[1]
-    return mix((sums[end] - sums[start]) * inverse[start] + (end - start).astype(U64))
+    return mix(product(reduced(sums[end] + (_P - sums[start])), inverse[start]) + (end - start).astype(U64) * U64(0x9E3779B97F4A7C15))
+
+
+def fixed_grams(data: np.ndarray, k: int) -> np.ndarray:
+    """64-bit hashes of all runs of k bytes (a power of two from 8 on), by doubling: cheap, for choosing places."""
+    x, size = data.astype(U64), 1
+    while size < 8 and len(x) > size:
+        x, size = x[:-size] | x[size:] << U64(8 * size), 2 * size
+    while size < k and len(x) > size:
+        x = x[:-size] * U64(0x9FB21C651E98DF25) + x[size:] * U64(0xD6E8FEB86659FD93)
+        x, size = x ^ (x >> U64(29)), 2 * size
+    return mix(x) if size == k else x[:0]
 
 
 def buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -179,8 +169,8 @@ class Words:
         self.doc = np.searchsorted(off, self.start, "right") - 1
         self.first = np.searchsorted(self.start, off)
         self.count = np.diff(self.first)
-        self.bytes = prefix_sums(BYTE_CODE[data], BASE)
-        self.code = grams(self.bytes, BASE, self.start, self.end)
+        self.bytes = prefix_sums(data, BASE)
+        self.code = grams(self.bytes, BASE, self.start, self.end) & U64(PRIME >> 1)
         self.sums = prefix_sums(self.code, WORD_BASE)
 
     def grams(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:

@@ -37,10 +37,16 @@ def occurrences(docs: DataFrame, anchors, locate, extra: str, folder: str) -> Da
     """
     slim = docs.select("id", "tid", "text")
     found = slim.mapInArrow(anchors, "id long, tid long, code long")
-    by = found.groupBy("code").agg(F.min("id").alias("first"), F.max("id").alias("last"))
-    recurring = by.where(F.col("first") < F.col("last")).select("code")
-    mine = found.join(recurring, "code", "left_semi").groupBy(*KEY).agg(F.collect_set("code").alias("codes"))
-    return stored(slim.join(mine, KEY).mapInArrow(locate, f"{OCCURRENCE}, {extra}"), f"{folder}/occurrences")
+    recurring = stored(contested(found.withColumnRenamed("id", "first"), "code").select("code"), f"{folder}/recurring")
+    dealt = stored(found.join(recurring, "code", "left_semi").groupBy(*KEY).agg(F.collect_set("code").alias("codes")), f"{folder}/dealt")
+    out = stored(slim.join(dealt, KEY).mapInArrow(locate, f"{OCCURRENCE}, {extra}"), f"{folder}/occurrences")
+    discard(docs.sparkSession.sparkContext, f"{folder}/dealt")
+    return out
+
+
+def contested(rows: DataFrame, key: str) -> DataFrame:
+    """(key, low): the keys of rows (key, first) that several first ids have, and the least of those."""
+    return rows.groupBy(key).agg(F.min("first").alias("low"), F.max("first").alias("high")).where("low < high").select(key, "low")
 
 
 def firsts(occ: DataFrame, extra: str, folder: str) -> DataFrame:
@@ -48,27 +54,10 @@ def firsts(occ: DataFrame, extra: str, folder: str) -> DataFrame:
     return stored(occ.groupBy("code", "ctx").agg(F.min("id").alias("first"), F.first("n_windows").alias("n_windows"), F.first(extra).alias(extra)), f"{folder}/firsts")
 
 
-def hot_anchors(first: DataFrame, most: int) -> DataFrame | None:
-    """(code) of the anchors that have more than `most` contexts, settled; None if there are none."""
-    out = settle(first.groupBy("code").count().where(F.col("count") > most).select("code"))
-    return None if out.isEmpty() else out
-
-
-def cool(first: DataFrame, hot: DataFrame | None) -> DataFrame:
-    """The contexts of all other anchors: those of one anchor fit in a task. hot has a row per `most` contexts at most."""
-    return first if hot is None else first.join(F.broadcast(hot), "code", "left_anti")
-
-
-def window_by_window(contexts: DataFrame, window: int) -> DataFrame:
-    """(code, ctx, at, end) of the repeated windows of contexts (code, ctx, first, windows) of hot anchors.
-
-    Each window is a row. Least ids are summed up before the shuffle and joined back as one row a window, so that no
-    task needs to hold, or even to read, all contexts of an anchor.
-    """
-    each = contexts.select("code", "ctx", "first", F.posexplode("windows").alias("at", "window"))
-    least = each.groupBy("code", "window").agg(F.min("first").alias("least"), F.max("first").alias("most")).where("least < most").select("code", "window", "least")
-    at = F.col("at").cast("long")
-    return each.join(least, ["code", "window"]).where("first > least").select("code", "ctx", at.alias("at"), (at + window).alias("end"))
+def covered(windows: DataFrame, window: int) -> DataFrame:
+    """(code, ctx, runs) of repeated windows (code, ctx, at), or runs of them (code, ctx, at, end), from a context's start."""
+    end = F.col("end") if "end" in windows.columns else F.col("at") + window
+    return windows.groupBy("code", "ctx").agg(cover(F.collect_set(F.struct("at", end.alias("end")))).alias("runs"))
 
 
 def spans(occ: DataFrame, first: DataFrame, repeats: DataFrame, window: int, folder: str) -> DataFrame:

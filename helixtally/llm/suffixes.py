@@ -1,34 +1,31 @@
 """Suffix-array dedup: repeated byte strings by the difference-cover algorithm, over the places where text recurs.
 
 A suffix array of the whole corpus would cost many rows per byte, so anchors (see `earliest`) first find the contexts
-around recurring grams. Contexts whose anchors differ in nothing else are settled by their fingerprints. The others are
-dealt out by an anchor and the bytes on one side of it, and each block of groups is sorted with a difference cover
-modulo 3: sort the sampled triples, recurse on their names, merge in the remaining suffixes, and compare the prefixes of
-neighbours. Repeats inside one document are found in the same way when the document is rewritten.
+around recurring grams. Contexts that are equal as a whole count once. Their bytes are dealt out by an anchor and the bytes
+on one side of it, and each block is sorted with a difference cover modulo 3: sort the sampled triples, recurse on their
+names, merge in the remaining suffixes, and compare the prefixes of neighbours. Repeats inside one document are found in
+the same way when the document is rewritten.
 """
 
 from __future__ import annotations
 
 import hashlib
-import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import earliest
-from .common import BASE, BYTE_CODE, U64, designated, grams, mix, once, prefix_sums, release, scratch, steps, stored, table, whole_groups
+from .common import BASE, U64, designated, fixed_grams, grams, mix, once, prefix_sums, scratch, steps, stored, table
 
 WINDOW, GRAM = 100, 32
 #: Bytes of a window beside its anchor, and how many of them one side surely has.
 BESIDE = WINDOW - GRAM
 SIDE = BESIDE // 2
-#: Contexts that are sorted together at most; a larger group is compared offset by offset.
-BLOCK = 6000
-#: Contexts of one anchor that are compared in a task at most; those of a hotter one are compared window by window.
-MOST = 6000
+#: Half contexts that are sorted together, about; a larger group of one key is split into blocks, and these are merged.
+BLOCK = 4096
 
 
 def names_of(keys: np.ndarray) -> tuple[np.ndarray, int]:
@@ -105,161 +102,174 @@ def runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
-def byte_grams(data: np.ndarray, off: np.ndarray):
-    """The prefix sums of the bytes, and of each byte its document's end, of each position its gram's code."""
-    sums = prefix_sums(BYTE_CODE[data], BASE)
-    at = np.arange(max(0, len(data) - GRAM + 1))
-    return sums, np.repeat(off[1:], np.diff(off)), grams(sums, BASE, at, at + GRAM)
+def anchors(data: np.ndarray, off: np.ndarray):
+    """(code, row, start, first window, last window) of the designated anchors."""
+    code = fixed_grams(data, GRAM)
+    s, lo, last = designated(code, np.repeat(off[1:], np.diff(off)), GRAM, BESIDE + 1)
+    return code[s], np.searchsorted(off, s, "right") - 1, s, lo, last
 
 
 def anchor_batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in it:
         for i, _, data, off in steps(b["text"]):
-            _, ends, code = byte_grams(data, off)
-            s = designated(code, ends, GRAM, BESIDE + 1)[0]
-            doc = np.searchsorted(off, s, "right") - 1
-            first = once(doc, code[s])
-            s, row = s[first], pa.array(doc[first] + i)
-            yield pa.RecordBatch.from_arrays([b["id"].take(row), b["tid"].take(row), pa.array(code[s].view(np.int64))], ["id", "tid", "code"])
+            code, doc, _, _, _ = anchors(data, off)
+            first = once(doc, code)
+            row = pa.array(doc[first] + i)
+            yield pa.RecordBatch.from_arrays([b["id"].take(row), b["tid"].take(row), pa.array(code[first].view(np.int64))], ["id", "tid", "code"])
+
+
+def context_codes(sums: np.ndarray, at: np.ndarray, lo: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Fingerprints of contexts: of the bytes before the anchor, and from it on."""
+    return mix(grams(sums, BASE, lo, at) * U64(3) + grams(sums, BASE, at, last + WINDOW))
 
 
 def locate_batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every occurrence of a document's recurring anchors, with its context's fingerprint and the anchor's place in it."""
+    """Every occurrence of a document's recurring anchors: its context's fingerprint, and those of the anchor's two sides.
+
+    Windows from `edge` on have SIDE bytes right of the anchor, the others have them left of it.
+    """
     for b in it:
         wanted = np.unique(b["codes"].flatten().to_numpy(zero_copy_only=False).view(U64))
         if not len(wanted):
             continue
         for i, _, data, off in steps(b["text"]):
-            sums, ends, code = byte_grams(data, off)
-            at, lo, last = designated(code, ends, GRAM, BESIDE + 1)
-            known = np.flatnonzero(wanted[np.minimum(np.searchsorted(wanted, code[at]), len(wanted) - 1)] == code[at])
-            at, lo, last = at[known], lo[known], last[known]
-            doc = np.searchsorted(off, at, "right") - 1
-            ctx = mix(grams(sums, BASE, lo, at) * U64(3) + grams(sums, BASE, at, last + WINDOW))
-            row = pa.array(doc + i)
-            yield pa.RecordBatch.from_arrays([b["id"].take(row), b["tid"].take(row), pa.array(code[at].view(np.int64)), pa.array(ctx.view(np.int64)), pa.array(lo - off[doc]), pa.array((last - lo + 1).astype(np.int32)), pa.array((at - lo).astype(np.int32))], ["id", "tid", "code", "ctx", "lo", "n_windows", "at"])
+            code, doc, at, lo, last = anchors(data, off)
+            known = np.flatnonzero(wanted[np.minimum(np.searchsorted(wanted, code), len(wanted) - 1)] == code)
+            code, doc, at, lo, last = code[known], doc[known], at[known], lo[known], last[known]
+            sums = prefix_sums(data, BASE)
+            n, row = last - lo + 1, pa.array(doc + i)
+            edge = np.clip(at - lo - SIDE, 0, n)
+            right = grams(sums, BASE, at, np.minimum(at + GRAM + SIDE, off[doc + 1]))
+            left = mix(grams(sums, BASE, np.maximum(at - SIDE, off[doc]), at + GRAM) + U64(1))
+            cols = [code.view(np.int64), context_codes(sums, at, lo, last).view(np.int64), lo - off[doc], n.astype(np.int32), edge.astype(np.int32), right.view(np.int64), left.view(np.int64)]
+            yield pa.RecordBatch.from_arrays([b["id"].take(row), b["tid"].take(row), *map(pa.array, cols)], ["id", "tid", "code", "ctx", "lo", "n_windows", "edge", "right", "left"])
 
 
 def fetch_batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The bytes of each document's listed contexts."""
+    """The bytes of each document's listed half contexts."""
     for b in it:
         for i, j, data, off in steps(b["text"]):
             lists = b["wanted"].slice(i, j - i)
             asked, row = lists.flatten(), np.repeat(np.arange(j - i), lists.value_lengths().to_numpy(zero_copy_only=False))
-            lo = asked.field("lo").to_numpy() + off[row]
-            size = asked.field("n_windows").to_numpy().astype(np.int64) + (WINDOW - 1)
+            lo = asked.field("lo").to_numpy() + asked.field("at").to_numpy() + off[row]
+            size = asked.field("n").to_numpy().astype(np.int64) + (WINDOW - 1)
             begin = np.repeat(lo - np.cumsum(size) + size, size) + np.arange(size.sum())
-            around = pa.Array.from_buffers(pa.binary(), len(lo), [None, pa.py_buffer(np.append(0, np.cumsum(size)).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data[begin]))])
-            yield pa.RecordBatch.from_arrays([asked.field("code"), asked.field("ctx"), b["id"].take(pa.array(row + i)), asked.field("n_windows"), asked.field("at"), around], ["code", "ctx", "first", "n_windows", "at", "bytes"])
-
-
-def compare(block: list[tuple]) -> Iterator[tuple]:
-    """(code, ctx, at, end) of the repeated runs of a block of whole groups: (key, code, ctx, first, from, to, bytes, anchor, shift)."""
-    if len(block) > BLOCK:  # one large group: its contexts meet at the anchor, so windows of one offset are compared
-        by: dict[int, list[tuple[int, int]]] = {}
-        for k, r in enumerate(block):
-            for i in range(r[4], r[5]):
-                by.setdefault(r[7] - i, []).append((k, i))
-        flags = [np.zeros(r[5] + 1, bool) for r in block]
-        for pairs in by.values():
-            rows = np.array([block[k][6][i : i + WINDOW] for k, i in pairs], f"V{WINDOW}")
-            bad = later(np.unique(rows, return_inverse=True)[1], np.array([block[k][3] for k, _ in pairs], np.int64))
-            for k, i in (pairs[x] for x in np.flatnonzero(bad)):
-                flags[k][i] = True
-    else:
-        data = np.frombuffer(b"".join(r[6] for r in block), np.uint8)
-        size = np.array([len(r[6]) for r in block], np.int64)
-        base = np.cumsum(size) - size
-        n = np.array([r[5] - r[4] for r in block], np.int64)
-        first = np.repeat(base + [r[4] for r in block], n)
-        starts = first + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        # groups of several keys may share bytes: that only finds the same repeats, as first ids are true in each
-        bad = later(groups_of(data, starts, WINDOW), np.repeat(np.array([r[3] for r in block], np.int64), n))
-        flags, cut = [], np.cumsum(n)
-        for r, part in zip(block, np.split(bad, cut[:-1]), strict=True):
-            flags.append(np.concatenate([np.zeros(r[4], bool), part]))
-    for r, f in zip(block, flags, strict=True):
-        for a, e in zip(*runs(f), strict=True):
-            yield r[1], r[2], int(a) + r[8], int(e) + WINDOW - 1 + r[8]
+            held = pa.Array.from_buffers(pa.binary(), len(lo), [None, pa.py_buffer(np.append(0, np.cumsum(size)).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data[begin]))])
+            kept = ["block", "key", "split", "code", "ctx", "at", "n"]
+            yield pa.RecordBatch.from_arrays([*map(asked.field, kept), b["id"].take(pa.array(row + i)), held], [*kept, "first", "bytes"])
 
 
-def compare_batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Deals rows that are sorted by key to `compare` in blocks of whole groups."""
-
-    for t in map(shared, whole_groups(it)):
-        block: list[tuple] = []
-        rows = zip(*(t[c].to_pylist() for c in ("key", "code", "ctx", "first", "from", "to", "bytes", "at", "shift")), strict=True)
-        for _, group in itertools.groupby(rows, key=lambda r: r[0]):
-            members = list(group)
-            if block and len(block) + len(members) > BLOCK:
-                yield repeated(block)
-                block = []
-            block += members
-        if block:
-            yield repeated(block)
-
+def blocks_of(it: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Whole blocks together, BLOCK rows or one block at least, of rows that are sorted by block."""
+    held: list[pa.RecordBatch] = []
+    for b in it:
+        held.append(b)
+        if sum(x.num_rows for x in held) < BLOCK:
+            continue
+        t = pa.Table.from_batches(held)
+        block = t["block"].to_numpy()
+        cut = int(np.searchsorted(block, block[-1]))
+        while cut >= BLOCK:  # several whole blocks, as many as fill one sort
+            end = int(np.searchsorted(block, block[BLOCK - 1], "right"))
+            end = min(end, cut)
+            yield t.slice(0, end).combine_chunks()
+            t, block, cut = t.slice(end), block[end:], cut - end
+        held = t.combine_chunks().to_batches()
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
 
-def repeated(block: list[tuple]) -> pa.RecordBatch:
-    rows = list(compare(block))
-    cols = list(zip(*rows, strict=True)) if rows else [[]] * 4
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["code", "ctx", "at", "end"])
 
+COMPARED = "key long, code long, ctx long, at int, n int, first long, window long"
 
-def shared(t: pa.Table) -> pa.Table:
-    """The rows of a table, sorted by key, whose key another row has too."""
-    key = t["key"].to_numpy()
-    same = key[1:] == key[:-1]
-    return t.filter(pa.array(np.append(False, same) | np.append(same, False))) if len(key) else t
 
+def compare_batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What a sort of the suffixes of whole blocks tells, as COMPARED.
 
-def contested(docs: DataFrame, first: DataFrame) -> DataFrame:
-    """(code, ctx, first, n_windows, at, bytes) of the contexts whose anchors have other contexts too."""
-    several = first.groupBy("code").count().where("count > 1").select("code")
-    mine = first.join(several, "code", "left_semi").groupBy(*earliest.KEY).agg(F.collect_list(F.struct("code", "ctx", "lo", "n_windows", "at")).alias("wanted"))
-    return docs.select(*earliest.KEY, "text").join(mine, earliest.KEY).mapInArrow(fetch_batches, "code long, ctx long, first long, n_windows int, at int, bytes binary")
+    Runs of n windows that a smaller first id in the block has (window: null); and of a key that is split into several
+    blocks, the windows that are least in theirs, by fingerprint, so that the blocks can be merged.
+    """
+    for t in blocks_of(it):
+        col = t["bytes"].chunk(0)
+        off = np.frombuffer(col.buffers()[1], np.int32)[col.offset : col.offset + len(col) + 1].astype(np.int64)
+        data, off = np.frombuffer(col.buffers()[2], np.uint8)[off[0] : off[-1]], off - off[0]
+        n, first, at = t["n"].to_numpy().astype(np.int64), t["first"].to_numpy(), t["at"].to_numpy().astype(np.int64)
+        row = np.repeat(np.arange(len(n)), n)
+        within = np.arange(len(row)) - (np.cumsum(n) - n)[row]
+        starts = off[row] + within
+        # blocks of several keys may share bytes: that only finds the same repeats, as first ids are true in each
+        bad = later(groups_of(data, starts, WINDOW), first[row])
+        new, fine = np.diff(row, prepend=-1) != 0, ~bad
+        begin = np.flatnonzero(bad & (new | np.append(True, fine[:-1])))
+        end = np.flatnonzero(bad & np.append(new[1:] | fine[1:], True))
+        rest = np.flatnonzero(fine & t["split"].to_numpy(zero_copy_only=False)[row])
+        own = np.concatenate([row[begin], row[rest]])
+        window = pa.array(np.concatenate([np.zeros(len(begin), np.int64), grams(prefix_sums(data, BASE), BASE, starts[rest], starts[rest] + WINDOW).view(np.int64)]), mask=np.arange(len(own)) < len(begin))
+        place = at[own] + within[np.concatenate([begin, rest])]
+        size = np.concatenate([end - begin + 1, np.ones(len(rest), np.int64)])
+        taken = [t[c].to_numpy()[own] for c in ("key", "code", "ctx")]
+        yield pa.RecordBatch.from_arrays([*map(pa.array, taken), pa.array(place.astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(first[own]), window], ["key", "code", "ctx", "at", "n", "first", "window"])
 
 
 def repeats_of(docs: DataFrame, first: DataFrame, folder: str) -> DataFrame:
-    """(code, ctx, runs): which bytes of a context repeated windows cover, relative to its start."""
-    hot = earliest.hot_anchors(first, MOST)
-    found = halves_of(contested(docs, earliest.cool(first, hot))).repartition("key").sortWithinPartitions("key").mapInArrow(compare_batches, "code long, ctx long, at long, end long")
-    if hot is not None:
-        held = stored(contested(docs, first.join(F.broadcast(hot), "code", "left_semi")), f"{folder}/hot")
-        found = found.union(earliest.window_by_window(held.select("code", "ctx", "first", windows_of().alias("windows")), WINDOW))
-    return found.groupBy("code", "ctx").agg(earliest.cover(F.collect_set(F.struct("at", "end"))).alias("runs"))
-
+    """(code, ctx, runs): which bytes of a context repeated windows cover, relative to its start.
 
-def windows_of() -> Column:
-    """Of a context, 128 bits of hash of the bytes of each window."""
-    one = lambda i: F.substring("bytes", i + 1, F.lit(WINDOW))
-    return F.transform(F.sequence(F.lit(0), F.col("n_windows") - 1), lambda i: F.struct(F.xxhash64(F.lit(1), one(i)).alias("x"), F.xxhash64(F.lit(2), one(i)).alias("y")))
-
-
-def halves_of(contexts: DataFrame) -> DataFrame:
-    """(key, code, ctx, first, from, to, shift, bytes, at) of the windows with SIDE bytes right of the anchor, and of the others."""
-    at, near = F.col("at"), GRAM + SIDE
-    edge = F.greatest(F.lit(0), F.least(F.col("n_windows"), at - SIDE))  # windows from here on have SIDE bytes right of the anchor
-    half = lambda key, lo, hi: F.struct(key.alias("key"), lo.alias("lo"), hi.alias("hi"))
-    right, left = F.xxhash64(F.lit(1), F.substring("bytes", at + 1, F.lit(near))), F.xxhash64(F.lit(2), F.substring("bytes", F.greatest(F.lit(0), at - SIDE) + 1, F.lit(near)))
-    both = contexts.select("code", "ctx", "first", "bytes", "at", F.explode(F.array(half(right, edge, F.col("n_windows")), half(left, F.lit(0), edge))).alias("k")).where("k.lo < k.hi")
-    # each half takes the bytes of its own windows along
-    return both.select("k.key", "code", "ctx", "first", F.lit(0).alias("from"), (F.col("k.hi") - F.col("k.lo")).alias("to"), F.col("k.lo").alias("shift"), F.substring("bytes", F.col("k.lo") + 1, F.col("k.hi") - F.col("k.lo") + (WINDOW - 1)).alias("bytes"), (F.col("at") - F.col("k.lo")).alias("at"))
+    A window can only recur where SIDE bytes beside its anchor do, so contexts are taken as two halves that are dealt by
+    those. A key of more than BLOCK halves is dealt as several blocks. Each block is sorted by itself; of a split key, the
+    least of each block are summed up, which combines before the shuffle, and joined back.
+    """
+    edge = F.col("edge")
+    right = F.struct(F.col("right").alias("key"), edge.alias("at"), (F.col("n_windows") - edge).alias("n"))
+    left = F.struct(F.col("left").alias("key"), F.lit(0).alias("at"), edge.alias("n"))
+    halves = first.select("code", "ctx", "first", "id", "tid", "lo", F.explode(F.array(right, left)).alias("h")).select("code", "ctx", "first", "id", "tid", "lo", "h.*").where("n > 0")
+    busy = halves.groupBy("key").agg(F.min("first").alias("low"), F.max("first").alias("high"), F.count("*").alias("m")).where("low < high").select("key", F.ceil(F.col("m") / BLOCK).alias("blocks"))
+    block = F.xxhash64("key", F.pmod(F.xxhash64("ctx"), F.col("blocks")))
+    asked = halves.join(busy, "key").select("id", "tid", F.struct(block.alias("block"), "key", (F.col("blocks") > 1).alias("split"), "code", "ctx", "at", "n", "lo").alias("w"))
+    wanted = asked.groupBy(*earliest.KEY).agg(F.collect_list("w").alias("wanted"))
+    held = docs.select(*earliest.KEY, "text").dropDuplicates(earliest.KEY).join(wanted, earliest.KEY).mapInArrow(fetch_batches, "block long, key long, split boolean, code long, ctx long, at int, n int, first long, bytes binary")
+    found = stored(held.repartition("block").sortWithinPartitions("block").mapInArrow(compare_batches, COMPARED), f"{folder}/compared")
+    split = found.where("window IS NOT NULL")
+    least = split.groupBy("key", "window").agg(F.min("first").alias("low"), F.max("first").alias("high")).where("low < high").select("key", "window", "low")
+    merged = split.join(least, ["key", "window"]).where("first > low")
+    runs_ = found.where("window IS NULL").select("code", "ctx", "at", "n").union(merged.select("code", "ctx", "at", "n"))
+    return earliest.covered(runs_.select("code", "ctx", F.col("at").cast("long").alias("at"), (F.col("at") + F.col("n") + (WINDOW - 1)).cast("long").alias("end")), WINDOW)
+
+
+def inner_spans(raw: np.ndarray) -> list[tuple[int, int]]:
+    """The spans of a document that windows cover which also start earlier in it, in the same way as between documents.
+
+    Equal contexts repeat the first of them as a whole; the first ones are sorted together.
+    """
+    code, _, at, lo, last = anchors(raw, np.array([0, len(raw)]))
+    twice = np.unique(code, return_counts=True, return_inverse=True)
+    some = np.flatnonzero(twice[2][twice[1]] > 1)
+    if not len(some):
+        return []
+    at, lo, last = at[some], lo[some], last[some]
+    ctx = context_codes(prefix_sums(raw, BASE), at, lo, last)
+    head = np.unique(ctx, return_index=True)[1]
+    copy = np.ones(len(ctx), bool)
+    copy[head] = False
+    out = [(int(a), int(b) + WINDOW) for a, b in zip(lo[copy], last[copy], strict=True)]
+    head = np.sort(head)
+    n = last[head] - lo[head] + 1
+    size = n + WINDOW - 1
+    base = np.cumsum(size) - size
+    data = raw[np.repeat(lo[head] - base, size) + np.arange(size.sum())]
+    row = np.repeat(np.arange(len(n)), n)
+    within = np.arange(len(row)) - (np.cumsum(n) - n)[row]
+    place = lo[head][row] + within
+    bad = place[later(groups_of(data, base[row] + within, WINDOW), place)]
+    return out + [(int(p), int(p) + WINDOW) for p in bad]
 
 
 def removal_batches(it: Iterator[pa.RecordBatch], texts: bool) -> Iterator[pa.RecordBatch]:
     """What is left of each document, or its digest alone."""
     for b in it:
         for i, j, data, off in steps(b["text"]):
-            _, ends, code = byte_grams(data, off)
-            s = designated(code, ends, GRAM, BESIDE + 1)[0]
-            doc = np.searchsorted(off, s, "right") - 1
-            pair = np.sort(code[s])  # a document that repeats a window has an anchor twice
-            if (pair[1:] == pair[:-1]).any():
-                order = np.lexsort((code[s], doc))
-                twice = (doc[order][1:] == doc[order][:-1]) & (code[s][order][1:] == code[s][order][:-1])
-                inner = set(doc[order[1:][twice]].tolist())
-            else:
-                inner = set()
+            code, doc, _, _, _ = anchors(data, off)
+            order = np.lexsort((code, doc))  # a document that repeats a window has an anchor twice
+            code, doc = code[order], doc[order]
+            inner = set(doc[1:][(doc[1:] == doc[:-1]) & (code[1:] == code[:-1])].tolist())
             cols: list[list] = [[] for _ in range(5 if texts else 4)]
             for d, spans in enumerate(b["spans"].slice(i, j - i).to_pylist()):
                 raw = data[off[d] : off[d + 1]]
@@ -267,14 +277,9 @@ def removal_batches(it: Iterator[pa.RecordBatch], texts: bool) -> Iterator[pa.Re
                     kept, n, k = raw.tobytes(), 0, 0
                 else:
                     gone = np.zeros(len(raw) + 1, np.int32)
-                    for x in spans or []:
-                        gone[x["at"]] += 1
-                        gone[x["end"]] -= 1
-                    if d in inner:
-                        starts = np.arange(len(raw) - WINDOW + 1)
-                        at = np.flatnonzero(later(groups_of(raw, starts, WINDOW), starts))
-                        np.add.at(gone, at, 1)
-                        np.subtract.at(gone, at + WINDOW, 1)
+                    for at, end in [(x["at"], x["end"]) for x in spans or []] + (inner_spans(raw) if d in inner else []):
+                        gone[at] += 1
+                        gone[end] -= 1
                     flag = np.cumsum(gone)[:-1] > 0
                     kept, n, k = raw[~flag].tobytes(), int(flag.sum()), len(runs(flag)[0])
                 for c, v in zip(cols, (len(raw), n, k, hashlib.sha256(kept).hexdigest(), kept), strict=False):
@@ -288,13 +293,10 @@ REMOVED = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """(id, tid, spans) of the keyed docs that hold bytes of documents of smaller ids."""
-    sc = docs.sparkSession.sparkContext
-    folder = scratch(sc)
-    occ = earliest.occurrences(docs, anchor_batches, locate_batches, "at int", folder)
-    release(sc, 2)
-    one = F.min(F.struct("id", "tid", "lo", "n_windows", "at")).alias("one")
+    folder = scratch(docs.sparkSession.sparkContext)
+    occ = earliest.occurrences(docs, anchor_batches, locate_batches, "edge int, right long, left long", folder)
+    one = F.min(F.struct("id", "tid", "lo", "n_windows", "edge", "right", "left")).alias("one")
     first = stored(occ.groupBy("code", "ctx").agg(one).select("code", "ctx", F.col("one.id").alias("first"), "one.*"), f"{folder}/firsts")
-    release(sc, 1)
     return earliest.spans(occ, first, repeats_of(docs, first, folder), WINDOW, folder)
 
 
@@ -302,11 +304,11 @@ def remove_substrings(docs: DataFrame, texts: bool = True) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if texts, kept (the bytes) of every row of docs.
 
     Null and empty texts have no bytes; texts shorter than WINDOW keep all of theirs. Rows of equal ids don't count as
-    earlier than each other, and a null id counts as the smallest.
+    earlier than each other, and a null id counts as the smallest. A repeated row is cut each time in the same way. A
+    very long text is one step of a task. Other columns of docs don't come out, so their names can't clash.
     """
     docs = earliest.keyed(docs.select("doc_id", "text"))
     found = repeated_spans(docs)
-    release(docs.sparkSession.sparkContext)  # the contexts, of which the spans are all that is needed now
     return docs.join(found, earliest.KEY, "left").select("doc_id", "text", "spans").mapInArrow(lambda it: removal_batches(it, texts), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if texts else ""))
 
 
