@@ -63,42 +63,69 @@ def rules() -> dict[str, tuple[Column, Column]]:
     }
 
 
-def expectation_maximisation(counts: dict[int, int], n_rules: int, rounds: int = ROUNDS) -> dict[int, float]:
-    """The probability that a document is good, for each vote pattern (base 3, the first rule lowest).
+def expectation_maximisation(counts: dict[int, int], n_rules: int, kinds: tuple[int, ...], rounds: int = ROUNDS) -> tuple[dict[int, float], float]:
+    """The probability that a document is good, for each vote pattern (base 3, the first rule lowest), and the log likelihood.
 
-    A document is good, or bad in a way that one rule is about: bad documents of different kinds agree on little, so each
-    kind has vote rates of its own. rates[kind][rule][vote]; kind 0 is good, kind r + 1 is what rule r looks for.
+    A document is good, or bad in a way that one rule of `kinds` is about: bad documents of different kinds agree on
+    little, so each kind has vote rates of its own. rates[kind][rule][vote]; kind 0 is good, kind k what rule kinds[k - 1] looks for.
     """
     votes = {p: [p // 3**r % 3 for r in range(n_rules)] for p in counts}
-    kinds, total = n_rules + 1, sum(counts.values())
-    start = [[list(OWN if k == r + 1 else ON_GOOD if k == 0 else ON_OTHERS) for r in range(n_rules)] for k in range(kinds)]
-    rates, prior = [[list(x) for x in k] for k in start], [GOOD_SHARE] + [(1 - GOOD_SHARE) / n_rules] * n_rules
+    n, total = len(kinds) + 1, sum(counts.values())
+    start = [[list(ON_GOOD) for _ in range(n_rules)]] + [[list(OWN if k == r else ON_OTHERS) for r in range(n_rules)] for k in kinds]
+    rates, prior = [[list(x) for x in k] for k in start], [GOOD_SHARE] + [(1 - GOOD_SHARE) / max(1, len(kinds))] * len(kinds)
     post: dict[int, list[float]] = {}
+    likelihood = 0.0
     for step in range(rounds):
+        logs = [[[math.log(x) for x in r] for r in k] for k in rates]
+        shares = [math.log(x) for x in prior]
+        likelihood = 0.0
         for p, v in votes.items():
-            logs = [math.log(prior[k]) + sum(math.log(rates[k][r][x]) for r, x in enumerate(v)) for k in range(kinds)]
-            most = max(logs)
-            each = [math.exp(x - most) for x in logs]
+            each = [shares[k] + sum(logs[k][r][x] for r, x in enumerate(v)) for k in range(n)]
+            most = max(each)
+            each = [math.exp(x - most) for x in each]
             post[p] = [x / sum(each) for x in each]
+            likelihood += counts[p] * (most + math.log(sum(each)))
         if step == rounds - 1 or not total:
             break
         held = TRUST * total
-        for k in range(kinds):
+        for k in range(n):
             sure = {p: counts[p] * post[p][k] for p in counts}
             mass = sum(sure.values())
-            prior[k] = (mass + 1) / (total + kinds)
+            prior[k] = (mass + 1) / (total + n)
             for r in range(n_rules):
-                for x in range(3):
-                    rates[k][r][x] = (sum(sure[p] for p, v in votes.items() if v[r] == x) + held * start[k][r][x]) / (mass + held)
-    return {p: x[0] for p, x in post.items()}
+                got = [0.0, 0.0, 0.0]
+                for p, v in votes.items():
+                    got[v[r]] += sure[p]
+                rates[k][r] = [(got[x] + held * start[k][r][x]) / (mass + held) for x in range(3)]
+    return {p: x[0] for p, x in post.items()}, likelihood
+
+
+def posterior(counts: dict[int, int], n_rules: int) -> tuple[dict[int, float], tuple[int, ...]]:
+    """The probability of good for each vote pattern, and the rules whose bad votes mark a kind of bad documents.
+
+    A rule has a kind of its own only if that explains the votes better than errors of the rule on good documents do, by
+    the Bayesian information criterion: its bad votes must go with other votes of other rules. So a rule that votes bad
+    at random, however often, rejects nothing by itself. Kinds are dropped one by one, the least useful first.
+    """
+    total, kinds = sum(counts.values()), tuple(range(n_rules))
+    score = lambda ks: (lambda post, fit: (fit - (1 + 2 * n_rules) * len(ks) * math.log(max(2, total)) / 2, post))(*expectation_maximisation(counts, n_rules, ks))
+    best, post = score(kinds)
+    while kinds:
+        fewer = max(((*score(ks), ks) for ks in (tuple(x for x in kinds if x != k) for k in kinds)), key=lambda x: x[0])
+        if fewer[0] < best:
+            break
+        best, post, kinds = fewer
+    return post, kinds
 
 
 def judge(docs: DataFrame, without: tuple[str, ...] = ()) -> DataFrame:
     """docs (less the columns in `without`) with the measures, the votes, base_failed, p_good and kept.
 
     Base rules reject documents of fewer than MIN_WORDS words, or with more than MAX_REPEAT percent of them in repeated
-    3-word windows; a null text has no words. Repeated rows and null ids are judged as they stand, an empty table stays
-    empty. Columns of docs that are named like a measure are replaced.
+    3-word windows; a null text has no words. Repeated rows and null ids are judged as they stand, each by itself, and
+    very long texts as a whole, in one row. Without evidence (in a small table, say) the posterior keeps a document; an
+    empty table stays empty. Columns of docs that are named like a measure, a vote or a verdict are replaced: a caller
+    that needs them puts its row into a struct first.
     """
     got = measured(docs.drop("n_words", "p_good", "kept", "base_failed"))
     named = rules()
@@ -108,7 +135,7 @@ def judge(docs: DataFrame, without: tuple[str, ...] = ()) -> DataFrame:
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT * F.col("n_words"))
     got = settle(got.withColumns({"pattern": pattern.cast("int"), "base_failed": failed}).drop(*without))
     counts = {r["pattern"]: r["count"] for r in got.groupBy("pattern").count().collect()}  # 3 ** rules rows at most
-    post = expectation_maximisation(counts, len(named))
+    post, _ = posterior(counts, len(named))
     table_ = F.array(*[F.lit(float(post.get(p, 0.5))) for p in range(3 ** len(named))])
     p_good = F.get(table_, F.col("pattern"))
     return got.withColumn("p_good", p_good).withColumn("kept", ~F.col("base_failed") & (F.col("p_good") >= KEEP)).drop("pattern")
