@@ -1,8 +1,8 @@
 """Toxicity by cumulative-link ordinal regression on sparse text features.
 
 P(grade <= k) = logistic(threshold_k - w.x): one weight vector is shared by all ordered thresholds. x marks which of a
-small vocabulary a document holds. The model is fitted on a sample of labelled rows of bounded size; every document is
-scored on its whole text.
+small vocabulary a document holds. The vocabulary is counted by Spark over a sample of labelled documents of bounded size;
+only that sample's marks come to the driver, where the model is fitted. Every document is scored on its whole text.
 """
 
 from __future__ import annotations
@@ -14,14 +14,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ALNUM, BASE, LOWER, U64, Words, grams, mix, steps, table
+from .common import ALNUM, BASE, LOWER, U64, Words, grams, mix, settle, steps, table
 
 #: Labelled rows that a model is fitted on at most, those of the least hashes of their ids; features that it keeps at most.
 FIT_ROWS, VOCABULARY = 8192, 1024
 PREFIXES = (4, 5, 6)
 #: Documents that hold a word, at least; deviations from its expected share among toxic ones, at least.
 LEAST_DOCS, LEAST_Z = 5, 4.0
-#: Words that mark toxic documents, for grade 2 and for grade 3.
+#: Grades of severity, 0 for clean.
 GRADES = 4
 PENALTY, ROUNDS, RATE = 1e-3, 400, 0.05
 
@@ -36,17 +36,22 @@ def features(w: Words) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(codes)
 
 
+def distinct_lists(row: np.ndarray, code: np.ndarray, rows: int) -> pa.ListArray:
+    """The distinct codes of each row."""
+    order = np.lexsort((code, row))
+    row, code = row[order], code[order]
+    new = np.append(True, (row[1:] != row[:-1]) | (code[1:] != code[:-1]))[: len(row)]
+    row, code = row[new], code[new]
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(rows + 1)), pa.int32()), pa.array(code.view(np.int64)))
+
+
 def word_batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The distinct features of each document."""
+    """The distinct features, and the distinct whole words, of each document."""
     for b in it:
         for i, j, data, off in steps(b["text"]):
             w = Words(LOWER[data], off, ALNUM)
-            row, code = features(w)
-            order = np.lexsort((code, row))
-            row, code = row[order], code[order]
-            new = np.append(True, (row[1:] != row[:-1]) | (code[1:] != code[:-1]))[: len(row)]
-            row, code = row[new], code[new]
-            yield pa.RecordBatch.from_arrays([b["label"].slice(i, j - i), pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(j - i + 1)), pa.int32()), pa.array(code.view(np.int64)))], ["label", "codes"])
+            cols = [b["doc_id"].slice(i, j - i), b["label"].slice(i, j - i), distinct_lists(*features(w), j - i), distinct_lists(w.doc, w.code, j - i)]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "label", "codes", "whole"])
 
 
 def logistic(x: np.ndarray) -> np.ndarray:
@@ -65,65 +70,90 @@ class Model:
         return np.diff(below, axis=1, prepend=0)
 
 
-def vocabulary_of(codes: list[np.ndarray], toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The words that tell toxic documents from others best, sorted, and their deviations."""
-    every, row = np.concatenate(codes), np.repeat(np.arange(len(codes)), [len(c) for c in codes])
-    words, at, held = np.unique(every, return_inverse=True, return_counts=True)
-    hits = np.bincount(at, toxic[row], len(words))
-    share = toxic.mean()
-    z = (hits - held * share) / np.sqrt(held * share * (1 - share) + 1e-9)
-    pick = np.flatnonzero((held >= LEAST_DOCS) & (np.abs(z) >= LEAST_Z))
-    pick = np.sort(pick[np.argsort(-np.abs(z[pick]), kind="stable")[:VOCABULARY]])
-    return words[pick], z[pick]
-
-
-def fit(codes: list[np.ndarray], labels: np.ndarray, graded: bool) -> Model:
-    """The model of documents given as distinct features, and their labels: grades, or 0 and 1.
+def objective(p: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[float, np.ndarray]:
+    """Minus the penalised mean log likelihood of grades y, and its gradient.
 
-    Toxic rows without a grade get one by how many words of toxic documents they hold: one, two, or more.
+    p: a weight for each column of x, the first threshold, and the logarithms of the gaps to the others.
     """
-    toxic = labels > 0
-    if not len(labels) or toxic.all() or not toxic.any():
-        return Model(np.zeros(0, np.int64), np.zeros(0), np.full(GRADES - 1, -50.0 if len(labels) and toxic.all() else 50.0))
-    words, z = vocabulary_of(codes, toxic)
-    x = np.zeros((len(codes), len(words)), np.float32)
-    for i, c in enumerate(codes):
-        at = np.searchsorted(words, c)
-        at = at[(at < len(words)) & (words[np.minimum(at, max(0, len(words) - 1))] == c)] if len(words) else at[:0]
-        x[i, at] = 1
-    y = labels.astype(int) if graded else np.where(toxic, np.clip(x[:, z > 0].sum(1).astype(int), 1, GRADES - 1), 0)
-    y = np.minimum(y, GRADES - 1)
+    k, rows = x.shape[1], np.arange(len(y))
+    w, gaps = p[:k], np.exp(p[k + 1 :])
+    t = np.append(p[k], p[k] + np.cumsum(gaps))
+    below = np.column_stack([np.zeros(len(y)), logistic(t[None, :] - (x @ w)[:, None]), np.ones(len(y))])
+    slope, chance = below * (1 - below), np.maximum(below[rows, y + 1] - below[rows, y], 1e-12)
+    up, down = slope[rows, y + 1] / chance, slope[rows, y] / chance
+    g_t = np.array([(down * (y == i + 1)).sum() - (up * (y == i)).sum() for i in range(GRADES - 1)]) / len(y)
+    tail = np.cumsum(g_t[::-1])[::-1]
+    gradient = np.concatenate([x.T @ ((up - down) / len(y)) + PENALTY * w, [tail[0]], tail[1:] * gaps])
+    return float(-np.log(chance).mean() + PENALTY * (w @ w) / 2), gradient
+
+
+def fit(words: np.ndarray, x: np.ndarray, y: np.ndarray) -> Model:
+    """The model of documents given as marks of the vocabulary `words`, and their grades."""
+    if not len(y) or (y > 0).all() or not (y > 0).any():
+        return Model(np.zeros(0, np.int64), np.zeros(0), np.full(GRADES - 1, -50.0 if len(y) and (y > 0).all() else 50.0))
     start = np.log([(y <= k).mean() + 1e-3 for k in range(GRADES - 1)]) - np.log([(y > k).mean() + 1e-3 for k in range(GRADES - 1)])
     p = np.concatenate([np.zeros(len(words)), [start[0]], np.log(np.maximum(np.diff(start), 0.1))])  # gaps as exponentials: thresholds stay in order
     m, v = np.zeros_like(p), np.zeros_like(p)
-    rows = np.arange(len(y))
     for step in range(1, ROUNDS + 1):
-        w, gaps = p[: len(words)], np.exp(p[len(words) + 1 :])
-        t = np.append(p[len(words)], p[len(words)] + np.cumsum(gaps))
-        score = x @ w.astype(np.float32)
-        below = np.column_stack([np.zeros(len(y)), logistic(t[None, :] - score[:, None]), np.ones(len(y))])
-        slope = below * (1 - below)
-        chance = np.maximum(below[rows, y + 1] - below[rows, y], 1e-9)
-        up, down = slope[rows, y + 1] / chance, slope[rows, y] / chance
-        g_score = (up - down) / len(y)  # of minus the log likelihood
-        g_t = np.array([(down * (y == k + 1)).sum() - (up * (y == k)).sum() for k in range(GRADES - 1)]) / len(y)
-        tail = np.cumsum(g_t[::-1])[::-1]
-        g = np.concatenate([x.T @ g_score.astype(np.float32) + PENALTY * w, [tail[0]], tail[1:] * gaps])
+        g = objective(p, x, y)[1]
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         p = p - RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
     t = np.append(p[len(words)], p[len(words)] + np.cumsum(np.exp(p[len(words) + 1 :])))
     return Model(words, p[: len(words)], t)
 
 
+def grades_of(toxic: np.ndarray, held: np.ndarray) -> np.ndarray:
+    """Grades of rows labelled 0 or 1: toxic ones by thirds of how many distinct toxic words they hold."""
+    if not toxic.any():
+        return np.zeros(len(toxic), int)
+    low, high = np.quantile(held[toxic], [1 / 3, 2 / 3])
+    return np.where(toxic, 1 + (held > low) + (held > high), 0)
+
+
+def mark_batches(words: np.ndarray, good: np.ndarray):
+    """(doc_id, label, marks, held) of features: the places of a document's features in `words`, which are sorted, and how
+    many of its whole words are toxic ones.
+    """
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            n = b.num_rows
+            row = lambda c: np.repeat(np.arange(n), b[c].value_lengths().to_numpy(zero_copy_only=False))
+            codes, whole = (b[c].flatten().to_numpy(zero_copy_only=False) for c in ("codes", "whole"))
+            at = np.searchsorted(words, codes)
+            hit = np.flatnonzero(words[np.minimum(at, len(words) - 1)] == codes) if len(words) else np.zeros(0, np.int64)
+            marks = pa.ListArray.from_arrays(pa.array(np.searchsorted(row("codes")[hit], np.arange(n + 1)), pa.int32()), pa.array(at[hit].astype(np.int32)))
+            held = np.bincount(row("whole")[np.isin(whole, words[good])], minlength=n)
+            yield pa.RecordBatch.from_arrays([b["doc_id"], b["label"], marks, pa.array(held.astype(np.int32))], ["doc_id", "label", "marks", "held"])
+
+    return run
+
+
 def train(docs: DataFrame, labels: DataFrame, column: str = "toxic", graded: bool = False, rows: int = FIT_ROWS) -> Model:
-    """A model fitted on `rows` labelled documents at most; rows without a label or an id are left out."""
-    some = labels.where(F.col(column).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col(column).cast("long").alias("label"))
-    some = some.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(rows)
-    got = docs.select("doc_id", "text").join(some, "doc_id").select("label", "text").mapInArrow(word_batches, "label long, codes array<long>").limit(2 * rows).toArrow()
-    label = got["label"].to_numpy()
-    codes = [np.asarray(c, np.int64) for c in got["codes"].to_pylist()]
-    order = sorted(range(len(codes)), key=lambda i: (int(label[i]), codes[i].tobytes()))  # the same model, whatever the order of tasks
-    return fit([codes[i] for i in order], label[order], graded)
+    """A model fitted on `rows` labelled documents at most.
+
+    graded: the labels are grades, else 0 and 1. Rows without a label or an id are left out; of several labels of an id
+    the greatest counts, and of several texts of an id the first in order.
+    """
+    some = labels.where(F.col(column).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(F.col(column).cast("long")).alias("label"))
+    some = some.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    texts = docs.select("doc_id", "text").join(some, "doc_id").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("label").alias("label"), F.min("text").alias("text"))
+    held = settle(texts.mapInArrow(word_batches, "doc_id long, label long, codes array<long>, whole array<long>"))
+    n, share = held.agg(F.count("*"), F.avg((F.col("label") > 0).cast("double"))).first()
+    if not n:
+        return fit(np.zeros(0, np.int64), np.zeros((0, 0)), np.zeros(0, int))
+    by = held.select("label", F.explode("codes").alias("code")).groupBy("code").agg(F.count("*").alias("held"), F.sum((F.col("label") > 0).cast("long")).alias("hits")).where(F.col("held") >= LEAST_DOCS)
+    z = (F.col("hits") - F.col("held") * share) / F.sqrt(F.col("held") * (share * (1 - share)) + 1e-9)
+    best = by.select("code", z.alias("z")).where(F.abs("z") >= LEAST_Z).orderBy(F.desc(F.abs("z")), "code").limit(VOCABULARY).collect()
+    words, z_ = np.array([r.code for r in best], np.int64), np.array([r.z for r in best])
+    order = np.argsort(words)
+    words, z_ = words[order], z_[order]
+    got = held.mapInArrow(mark_batches(words, z_ > 0), "doc_id long, label long, marks array<int>, held int").orderBy("doc_id").collect()  # `rows` at most, of VOCABULARY marks each
+    x = np.zeros((len(got), len(words)))
+    for k, r in enumerate(got):
+        x[k, r.marks] = 1
+    label, toxic_words = np.array([r.label for r in got], int), np.array([r.held for r in got], int)
+    return fit(words, x, np.clip(label, 0, GRADES - 1) if graded else grades_of(label > 0, toxic_words))
 
 
 def score_batches(held):
@@ -157,8 +187,10 @@ def score_batches(held):
 def grade(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, severity (the expected grade), p_toxic (of grade 1 or more), grade (the likeliest) and toxic of every row.
 
-    A null or empty text has no features and gets the model's base rate; repeated rows are scored alike. A model of no
-    labelled rows, or of clean ones only, calls nothing toxic.
+    A null or empty text has no features and gets the model's base rate; repeated rows are scored alike, and a null id
+    stays null. A very long text is scored as a whole, in one step of a task. Of equally likely grades the lowest is
+    given. A model of no labelled rows, or of clean ones only, calls nothing toxic. Other columns of docs don't come out,
+    so their names can't clash.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)  # VOCABULARY words at most
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(score_batches(held), "doc_id long, severity double, p_toxic double, grade int, toxic boolean")
