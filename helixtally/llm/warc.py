@@ -1,26 +1,42 @@
-"""WARC: serialise pages to WARC records and audit replicas with Merkle trees.
+"""WARC: serialise pages to WARC records and files, and audit replicas with Merkle trees.
 
-A replica is a table of records (file, offset, length, digest). Leaves are record digests in the order of their
-offsets; a node covers an ordered range of FANOUT children. Roots are compared first, then only the children of
-nodes that differ, so that an audit of sound replicas reads one row per file.
+A replica is a table of records (file, part, offset, length, page_id, record). Leaves are the digests of records; a node
+of the first level covers RANGE bytes of offsets of a file, and one above FANOUT nodes in order, so that a lost, added or
+damaged record touches one branch only. Roots are compared first, then only the children of nodes that differ, and
+records themselves only below first-level nodes that differ.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import re
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import settle, table
 
-FANOUT = 16
+FANOUT, RANGE = 16, 1 << 16
 RECORDS_PER_FILE = 256
+#: A file of more than this share of all rows (ids that very many rows have, or none) is split into parts.
+LARGEST = 1000
+FILE = ["file", "part"]
+END = "\r\n\r\n"
+
+
+def number_of(text: Column) -> Column:
+    """A number from 0 on that depends on a text, and that SQL can give too."""
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("long")
 
 
 def records(pages: DataFrame, per_file: int = RECORDS_PER_FILE) -> DataFrame:
-    """(page_id, file, offset, length, record) of every page: a WARC/1.0 resource record in UTF-8.
+    """(page_id, file, part, offset, length, record) of every page: a WARC/1.0 resource record in UTF-8.
 
-    A null url or html is empty, a null id stands as an empty record id; pages with equal ids each get a record, in the
-    order of url, then html. The file is page_id div per_file (null ids: file -1), so that a hot site spreads over files.
+    A null url or html is empty, a null id stands as an empty record id; pages with equal ids, and repeated rows, each get
+    a record, in the order of their bytes. The file is page_id div per_file (null ids: file -1), part 0; files of more
+    than 4 * per_file rows and a thousandth of all, of which at most LARGEST exist, are dealt to parts by a hash of the
+    record and its place in the input, so that copies spread too. A very long page is one record. Other columns of pages don't come out, so their names can't clash.
     """
     url, html = F.coalesce("url", F.lit("")), F.coalesce("html", F.lit(""))
     size = F.octet_length(html)
@@ -28,72 +44,102 @@ def records(pages: DataFrame, per_file: int = RECORDS_PER_FILE) -> DataFrame:
         F.lit("WARC/1.0\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("")),
         F.lit(">\r\nWARC-Target-URI: "), url, F.lit("\r\nContent-Type: text/html\r\nContent-Length: "), size.cast("string"), F.lit("\r\n\r\n"),
     )
-    out = pages.select("page_id", F.coalesce(F.floor(F.col("page_id") / per_file), F.lit(-1)).alias("file"), F.concat(head, html, F.lit("\r\n\r\n")).alias("record"))
-    out = out.withColumn("length", F.octet_length("record").cast("long"))
-    order = Window.partitionBy("file").orderBy("page_id", "record")
-    return out.withColumn("offset", F.sum("length").over(order.rowsBetween(Window.unboundedPreceding, -1))).select("page_id", "file", F.coalesce("offset", F.lit(0)).cast("long").alias("offset"), "length", "record")
+    file = F.coalesce(F.floor(F.col("page_id") / per_file), F.lit(-1)).cast("long")
+    counts = settle(pages.groupBy(file.alias("file")).count())
+    limit = max(4 * per_file, (counts.agg(F.sum("count")).first()[0] or 0) // LARGEST)
+    hot = F.broadcast(counts.where(F.col("count") > limit).select("file", F.ceil(F.col("count") / limit).alias("parts")))  # LARGEST rows at most
+    out = pages.select("page_id", file.alias("file"), F.concat(head, html, F.lit(END)).alias("record"), (F.monotonically_increasing_id() % 4096).alias("salt")).join(hot, "file", "left")
+    out = out.select("page_id", "file", F.coalesce(F.pmod(number_of(F.col("record")) + F.col("salt"), F.col("parts")), F.lit(0)).cast("int").alias("part"), F.octet_length("record").cast("long").alias("length"), "record")
+    order = Window.partitionBy(*FILE).orderBy("page_id", "record").rowsBetween(Window.unboundedPreceding, -1)
+    return out.select("page_id", *FILE, F.coalesce(F.sum("length").over(order), F.lit(0)).cast("long").alias("offset"), "length", "record")
 
 
 def leaves(replica: DataFrame) -> DataFrame:
-    """(file, level 0, node, digest, offset, page_id, length): node numbers the records of a file by offset."""
-    by = Window.partitionBy("file").orderBy("offset", "page_id")
-    slim = replica.select("file", "offset", "length", "page_id", F.sha2(F.col("record").cast("binary"), 256).alias("record_sha256"))
-    digest = F.sha2(F.concat_ws(":", "offset", "length", "record_sha256"), 256)
-    return slim.select("file", "offset", "length", "page_id", "record_sha256", F.lit(0).alias("level"), (F.row_number().over(by) - 1).cast("long").alias("node"), digest.alias("digest"))
-
-
-def tree(leaf: DataFrame, fanout: int = FANOUT, levels: int | None = None) -> DataFrame:
-    """(file, level, node, digest) of every node above the leaves too; a file's top level has one node."""
-    level = leaf.select("file", "level", "node", "digest")
-    out, most = level, leaf.agg(F.max("node")).first()[0] or 0
-    for k in range(1, levels + 1 if levels else 64):
-        level = level.groupBy("file", F.lit(k).alias("level"), F.floor(F.col("node") / fanout).alias("node")).agg(F.sort_array(F.collect_list(F.struct(F.col("node").alias("n"), "digest"))).alias("c"))
-        level = level.select("file", "level", "node", F.sha2(F.concat_ws("", F.col("c.digest")), 256).alias("digest"))
-        out, most = out.unionByName(level), most // fanout
-        if most == 0 and not levels:
-            break
+    """(file, part, node, offset, length, page_id, record_sha256, digest): the record digests of a replica."""
+    slim = replica.select(*FILE, F.floor(F.col("offset") / RANGE).alias("node"), "offset", "length", "page_id", F.sha2(F.col("record").cast("binary"), 256).alias("record_sha256"))
+    return slim.withColumn("digest", F.sha2(F.concat_ws(":", "offset", "length", "record_sha256"), 256))
+
+
+def tree(leaf: DataFrame, levels: int, fanout: int = FANOUT) -> DataFrame:
+    """(file, part, level, node, digest): the nodes from level 1, over RANGE bytes each, up to `levels`.
+
+    Equal leaves count as one with their number, so a node's list is no longer than RANGE allows records.
+    """
+    some = leaf.groupBy(*FILE, "node", "offset", "digest").agg(F.count("*").alias("n"))
+    listed = F.sort_array(F.collect_list(F.struct("offset", "digest", "n")))
+    level = some.groupBy(*FILE, "node").agg(F.sha2(F.to_json(listed), 256).alias("digest")).select(*FILE, F.lit(1).alias("level"), "node", "digest")
+    out = level = settle(level)
+    for k in range(2, levels + 1):
+        level = level.groupBy(*FILE, F.floor(F.col("node") / fanout).alias("node")).agg(F.sort_array(F.collect_list(F.struct("node", "digest"))).alias("c"))
+        level = level.select(*FILE, F.lit(k).alias("level"), "node", F.sha2(F.concat_ws("", F.col("c.digest")), 256).alias("digest"))
+        out = out.unionByName(level)
     return out
 
 
 def audit(one: DataFrame, two: DataFrame, fanout: int = FANOUT) -> DataFrame:
-    """The leaves that differ between two replicas' leaf tables: (file, node).
+    """(file, part, node): the first-level nodes that differ between two replicas' leaf tables.
 
     Roots meet first; each level below keeps only the children of nodes that differ or that one replica lacks.
     """
-    levels, most = 1, max(x.agg(F.max("node")).first()[0] or 0 for x in (one, two)) // fanout
+    levels, most = 1, max(x.agg(F.max("node")).first()[0] or 0 for x in (one, two))
     while most:
         levels, most = levels + 1, most // fanout
-    a, b = settle(tree(one, fanout, levels)), settle(tree(two, fanout, levels))
+    a, b = settle(tree(one, levels, fanout)), settle(tree(two, levels, fanout))
     suspect = None
-    for k in range(levels, -1, -1):
-        x, y = (t.where(F.col("level") == k).select("file", "node", F.col("digest").alias(c)) for t, c in ((a, "a"), (b, "b")))
+    for k in range(levels, 0, -1):
+        x, y = (t.where(F.col("level") == k).select(*FILE, "node", F.col("digest").alias(c)) for t, c in ((a, "a"), (b, "b")))
         if suspect is not None:
             parent = suspect.withColumnRenamed("node", "parent")
-            x, y = (t.withColumn("parent", F.floor(F.col("node") / fanout)).join(parent, ["file", "parent"], "left_semi").drop("parent") for t in (x, y))
-        suspect = x.join(y, ["file", "node"], "full_outer").where(~F.col("a").eqNullSafe(F.col("b"))).select("file", "node")
-    return suspect
+            x, y = (t.withColumn("parent", F.floor(F.col("node") / fanout)).join(parent, [*FILE, "parent"], "left_semi").drop("parent") for t in (x, y))
+        suspect = x.join(y, [*FILE, "node"], "full_outer").where(~F.col("a").eqNullSafe(F.col("b"))).select(*FILE, "node")
+    return settle(suspect)
 
 
 def fixity(one: DataFrame, two: DataFrame, fanout: int = FANOUT) -> DataFrame:
     """Every record of either replica with its state: sound, corrupt, missing (not in two) or extra (not in one).
 
-    Columns: file, node, page_id, offset, length, record_sha256 (of the replica that has it, the first if both), state.
-    An empty replica makes every record of the other missing or extra; two empty ones give no rows.
+    Columns: file, part, page_id, offset, length, record_sha256 (of the replica that has it, the first if both), state.
+    Records meet by file, part and offset, repeated ones in the order of their digests. An empty replica makes every
+    record of the other missing or extra; two empty ones give no rows.
     """
     a, b = settle(leaves(one)), settle(leaves(two))
-    bad = audit(a, b, fanout).withColumn("bad", F.lit(True))
-    cols = ["page_id", "offset", "length", "record_sha256"]
-    x = a.select("file", "node", *(F.col(c).alias(f"a_{c}") for c in cols), F.lit(True).alias("in_a"))
-    y = b.select("file", "node", *(F.col(c).alias(f"b_{c}") for c in cols), F.lit(True).alias("in_b"))
-    both = x.join(y, ["file", "node"], "full_outer").join(bad, ["file", "node"], "left")
-    state = F.when(F.col("in_b").isNull(), "missing").when(F.col("in_a").isNull(), "extra").when(F.col("bad"), "corrupt").otherwise("sound")
-    pick = lambda c: F.when(F.col("in_a"), F.col(f"a_{c}")).otherwise(F.col(f"b_{c}")).alias(c)
-    return both.select("file", "node", *map(pick, cols), state.alias("state"))
+    bad, at = audit(a, b, fanout), [*FILE, "node"]
+    kept = ["page_id", "length", "record_sha256"]
+    sound = a.join(bad, at, "left_anti").select(*FILE, "offset", *kept, F.lit("sound").alias("state"))
+    nth = F.row_number().over(Window.partitionBy(*FILE, "offset").orderBy("record_sha256", "page_id"))
+    below = lambda t, c: t.join(bad, at, "left_semi").select(*FILE, "offset", nth.alias("nth"), F.struct("digest", *kept).alias(c))
+    both = below(a, "a").join(below(b, "b"), [*FILE, "offset", "nth"], "full_outer")
+    state = F.when(F.col("b").isNull(), "missing").when(F.col("a").isNull(), "extra").when(F.col("a.digest") != F.col("b.digest"), "corrupt").otherwise("sound")
+    pick = F.coalesce("a", "b")
+    return sound.unionByName(both.select(*FILE, "offset", *(pick[c].alias(c) for c in kept), state.alias("state")))
+
+
+def write_warc(recs: DataFrame, folder: str) -> None:
+    """The records as gzip WARC files below folder/file=../part=.., in the order of offsets; a file is written by one task."""
+    lines = recs.select(*FILE, "offset", F.expr("left(record, char_length(record) - 4)").alias("value"))  # END ends each record
+    lines.repartition(*FILE).sortWithinPartitions(*FILE, "offset").drop("offset").write.partitionBy(*FILE).option("lineSep", END).option("compression", "gzip").text(folder)
+
+
+def read_warc(spark: SparkSession, folder: str) -> DataFrame:
+    """(page_id, file, part, offset, length, record) of what write_warc wrote; lengths come from Content-Length."""
+    import gzip
+
+    head = re.compile(rb"WARC/1\.0\r\n.*?<urn:page:(-?\d*)>\r\n.*?Content-Length: (\d+)\r\n\r\n", re.S)
 
+    def parse(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            for file, part, content in zip(pdf["file"], pdf["part"], pdf["content"], strict=True):
+                raw, at, rows = gzip.decompress(content), 0, []
+                while m := head.match(raw, at):
+                    end = m.end() + int(m[2]) + len(END)
+                    rows.append((int(m[1]) if m[1] else None, file, part, at, end - at, raw[at:end].decode()))
+                    at = end
+                if at != len(raw):
+                    raise ValueError(f"no WARC record at byte {at} of file {file}")
+                out = pd.DataFrame(rows, columns=["page_id", "file", "part", "offset", "length", "record"])
+                yield out.assign(page_id=out["page_id"].astype("Int64"))
 
-def write_replica(recs: DataFrame, path: str) -> None:
-    """A replica on storage: one row per record, ordered by offset inside files."""
-    recs.sortWithinPartitions("file", "offset").write.mode("overwrite").parquet(path)
+    return spark.read.format("binaryFile").load(folder).select("file", "part", "content").mapInPandas(parse, "page_id long, file long, part int, offset long, length long, record string")
 
 
 def flip(recs: DataFrame, first_hex: str = "00") -> DataFrame:
@@ -103,17 +149,20 @@ def flip(recs: DataFrame, first_hex: str = "00") -> DataFrame:
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Audit all pages against a replica in which the records with a digest of 00.. are damaged."""
+    """Audit two replicas of all pages: records with a digest of 00.. are damaged in the second, 01.. lost in it, 02.. in the first."""
     recs = settle(records(table(spark, sf_dir, "pages")))
-    return fixity(recs, flip(recs)).select("page_id", "file", "offset", "length", "record_sha256", "state")
+    without = lambda hex_: ~F.sha2(F.col("record").cast("binary"), 256).startswith(hex_)
+    return fixity(recs.where(without("02")), flip(recs).where(without("01"))).select("page_id", *FILE, "offset", "length", "record_sha256", "state")
 
 
 SQL = """
-WITH r AS (SELECT page_id, coalesce(page_id // 256, -1) AS file, 'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10)
+WITH r AS (SELECT page_id, coalesce(floor(page_id / 256)::BIGINT, -1) AS file, 'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10)
   || 'WARC-Record-ID: <urn:page:' || coalesce(page_id::VARCHAR, '') || '>' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '')
   || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: ' || strlen(coalesce(html, ''))
   || chr(13) || chr(10) || chr(13) || chr(10) || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10) AS record FROM pages),
-s AS (SELECT page_id, file, strlen(record)::BIGINT AS length, sha256(record) AS record_sha256, record FROM r)
-SELECT page_id, file, (coalesce(sum(length) OVER (PARTITION BY file ORDER BY page_id, record ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS "offset",
-  length, record_sha256, CASE WHEN record_sha256 LIKE '00%' THEN 'corrupt' ELSE 'sound' END AS state FROM s
+m AS (SELECT greatest(1024, count(*) // 1000) AS most FROM r),
+p AS (SELECT file, ceil(count(*) / most) AS parts FROM r, m GROUP BY file, most HAVING count(*) > most),
+s AS (SELECT page_id, file, CASE WHEN parts IS NULL THEN 0 END::INT AS part, strlen(record)::BIGINT AS length, sha256(record) AS record_sha256, record FROM r LEFT JOIN p USING (file))
+SELECT page_id, file, part, (coalesce(sum(length) OVER (PARTITION BY file, part ORDER BY page_id, record ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS "offset",
+  length, record_sha256, CASE substr(record_sha256, 1, 2) WHEN '00' THEN 'corrupt' WHEN '01' THEN 'missing' WHEN '02' THEN 'extra' ELSE 'sound' END AS state FROM s
 """
