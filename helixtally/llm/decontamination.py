@@ -20,6 +20,8 @@ from .common import ALNUM, LOWER, U64, Words, selected, settle, steps, table
 WINDOW, GRAM = 10, 5
 #: Bits of the filter that tasks get: 16 a fingerprint, and this many at most.
 MAX_BITS = 1 << 28
+#: Bytes of the filter that one row holds while it is made.
+SEGMENT = 1 << 13
 
 HITS = "doc_id long, n_words long, hits array<struct<at: int, size: int, code: long>>"
 
@@ -73,22 +75,29 @@ class Filter:
 
 
 def filter_of(prints: DataFrame) -> Filter:
-    """The filter of a settled column of fingerprints: bytes of it are made by tasks, and only those come to the driver."""
+    """The filter of a settled column of fingerprints.
+
+    Its bits are dealt out by segments of SEGMENT bytes, of which each task makes whole ones; only those come to the
+    driver, MAX_BITS / 8 bytes at most.
+    """
     n = max(1, prints.count())
     size = int(min(MAX_BITS, 1 << max(10, (16 * n - 1).bit_length()))) // 8
 
-    def run(it):
-        bits = np.zeros(size, np.uint8)
+    def places(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            for p in Filter.places(b["code"].to_numpy().view(U64), U64(size * 8)):
-                np.bitwise_or.at(bits, (p >> U64(3)).astype(np.int64), np.left_shift(np.uint8(1), (p & U64(7)).astype(np.uint8)))
-        at = np.flatnonzero(bits)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(bits[at].astype(np.int64))], ["place", "bits"])
+            at = np.unique(np.concatenate(list(Filter.places(b["code"].to_numpy().view(U64), U64(size * 8))))).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(at // (8 * SEGMENT)), pa.array((at % (8 * SEGMENT)).astype(np.int32))], ["segment", "bit"])
+
+    def segment(t: pa.Table) -> pa.Table:
+        bits = np.zeros(8 * SEGMENT, np.uint8)
+        bits[t["bit"].to_numpy()] = 1
+        return pa.table({"segment": t["segment"].slice(0, 1), "bits": [np.packbits(bits, bitorder="little").tobytes()]})
 
-    bits = np.zeros(size, np.uint8)
-    for r in prints.select("code").mapInArrow(run, "place long, bits long").groupBy("place").agg(F.bit_or("bits").alias("bits")).toLocalIterator():
-        bits[r.place] = r.bits
-    return Filter(bits)
+    found = prints.select("code").mapInArrow(places, "segment long, bit int").distinct()  # 8 * SEGMENT rows of a segment at most
+    out = np.zeros(max(size, SEGMENT), np.uint8)
+    for r in found.groupBy("segment").applyInArrow(segment, "segment long, bits binary").collect():
+        out[r.segment * SEGMENT : (r.segment + 1) * SEGMENT] = np.frombuffer(r.bits, np.uint8)
+    return Filter(out[:size])
 
 
 def hit_batches(held, short, window: int):
@@ -135,7 +144,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     and the long columns `beside` of its row.
 
     Windows are `window` words, or a whole item that is shorter; null and empty texts have no words and hit nothing; a
-    row that is repeated is judged each time. Items with a null id count as items, with an empty name.
+    row that is repeated, or has no id, is judged by itself. Items with a null id count as items, with an empty name. A
+    very long text is one step of a task. Other columns of docs only come out if they are named in `beside`, which must
+    not clash with the columns above.
     """
     spark = docs.sparkSession
     marks = settle(benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), "text").mapInArrow(benchmark_batches(window), "item_id string, code long, size int, print boolean").distinct())
@@ -157,3 +168,19 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents against all benchmark items."""
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items")
+
+
+SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+b AS (SELECT coalesce(item_id::VARCHAR, '') AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+longs AS (SELECT item, 10 AS size, array_to_string(ws[i:i + 9], ' ') AS g FROM (SELECT item, ws, unnest(range(1, len(ws) - 8)) AS i FROM b)),
+shorts AS (SELECT item, len(ws) AS size, array_to_string(ws, ' ') AS g FROM b WHERE len(ws) BETWEEN 1 AND 9),
+w AS (SELECT DISTINCT * FROM (FROM longs UNION ALL FROM shorts)),
+sizes AS (SELECT DISTINCT size FROM w),
+place AS (SELECT doc_id, i, size, array_to_string(ws[i:i + size - 1], ' ') AS g FROM (SELECT doc_id, ws, size, unnest(range(1, len(ws) - size + 2)) AS i FROM d, sizes)),
+hit AS (SELECT doc_id, i, size, item FROM place JOIN w USING (size, g)),
+n AS (SELECT doc_id, count(*) AS n FROM (SELECT DISTINCT doc_id, unnest(range(i, i + size)) FROM hit) GROUP BY doc_id),
+m AS (SELECT doc_id, count(DISTINCT item) AS k, string_agg(DISTINCT item, ',' ORDER BY item) AS names FROM hit GROUP BY doc_id)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_hit, coalesce(k, 0)::BIGINT AS n_items, sha256(coalesce(names, '')) AS items_sha256, n IS NOT NULL AS contaminated
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id)
+"""
