@@ -2,23 +2,29 @@
 
 Level 0 encodes the listed keys; every key of the corpus that it passes wrongly is encoded by level 1, the listed
 keys that level 1 passes by level 2, and so on until nothing is passed wrongly. Over the key universe that built it,
-the cascade answers exactly, with no join against the list. Hashes are Spark's xxhash64; bits are tested in NumPy.
+the cascade answers exactly, with no join against the list. Hashes are Spark's xxhash64; bits are tested in NumPy. The
+cascades of several lists are built in one scan of the universe.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import settle, table
 
 #: The bits of all levels together; a list that needs more is refused, as its filters are sent to every task.
 MAX_BITS = 1 << 29
+#: Keys of a list, which come to the driver as two hashes each; a longer list is refused. False positives of a list's first
+#: level that come with it, at most (or as many as the list has).
+MAX_KEYS, MAX_WRONG = 1 << 24, 100_000
 
 
 @dataclass(frozen=True)
@@ -34,7 +40,7 @@ class Rule:
 
 #: `path` starts with the slash that ends the host.
 RULES = (Rule("allow", "com", "/"), Rule("block", "example.com", "/en/"), Rule("allow", "www.example.com", "/en/"), Rule("block", "net", "/es/"), Rule("block", "net", "/fr/"))
-#: Hosts that are blocked where no rule fits.
+#: Hosts that are blocked where no rule fits, if the caller brings no table of them.
 LISTED_HOSTS = ("spam-farm.example.org", "cheap-pills.example.net", "cheap-pills.example.org", "spam-farm.example.net")
 
 
@@ -87,16 +93,6 @@ class Cascade:
         out[open_] = len(self.bits) % 2 == 1
         return out
 
-    def test(self, spark: SparkSession):
-        """A column function of the two hashes."""
-        held = spark.sparkContext.broadcast(self)
-
-        @F.pandas_udf("boolean")
-        def within(h1: pd.Series, h2: pd.Series) -> pd.Series:
-            return pd.Series(held.value.holds(h1.to_numpy(), h2.to_numpy()))
-
-        return within
-
     def test_each(self, spark: SparkSession):
         """The same for arrays of hashes: an array of booleans."""
         held = spark.sparkContext.broadcast(self)
@@ -122,63 +118,93 @@ def hashes(key) -> tuple[Column, Column]:
     return F.xxhash64(key), F.xxhash64(F.lit(7), key)
 
 
-def build(keys: DataFrame, listed: DataFrame, rate: float = 0.01) -> Cascade:
-    """The cascade of the `listed` keys (one string column) over the universe `keys` (one string column, any repeats).
+def hashed(keys: DataFrame) -> DataFrame:
+    """(a, b): the hashes of a DataFrame's first column, nulls left out."""
+    col = F.col(keys.columns[0])
+    return keys.where(col.isNotNull()).select(*[h.alias(x) for h, x in zip(hashes(col), "ab", strict=True)])
+
+
+def build(keys: DataFrame, lists: dict[str, DataFrame], rate: float = 0.01) -> dict[str, Cascade]:
+    """The cascades of `lists` (of one string column each) over the universe `keys` (one string column, any repeats).
 
-    The levels hold the list and its few false positives; the list is bounded by MAX_BITS, and the universe is only
-    scanned: one pass finds level 0's false positives, of which rate times the universe is expected. The rate is lowered
-    until those are no more than the list (or 100,000 where the list is short).
+    One scan of the universe finds what the first levels of all lists pass wrongly, of which rate times the universe is
+    expected; where that is more than MAX_WRONG and more than the list, its rate is lowered and the scan repeated for
+    it. Only the lists and their false positives reach the driver. Lists over MAX_KEYS or MAX_BITS are refused.
     """
-    spark = keys.sparkSession
-    col = keys.columns[0]
-    names = [r[0] for r in listed.select(F.col(listed.columns[0])).where(F.col(listed.columns[0]).isNotNull()).distinct().limit(MAX_BITS // 8).collect()]
-    rows = spark.createDataFrame([(x,) for x in names], "key string").select(*[h.alias(a) for h, a in zip(hashes(F.col("key")), "ab")]).collect() if names else []
-    la, lb = (np.array([r[i] for r in rows], np.int64) for i in (0, 1))
-    inside = set(zip(la.tolist(), lb.tolist(), strict=True))
-    h1, h2 = hashes(F.col(col))
-    universe = keys.where(F.col(col).isNotNull()).select(h1.alias("a"), h2.alias("b"))
-    while True:
-        cascade = Cascade([], [])
-        cascade.add(la, lb, rate)
-        if not names:
-            return cascade
-        wrong = universe.where(cascade.test(spark)("a", "b")).distinct()
-        bound = max(100_000, len(names)) + len(names)
-        got = wrong.limit(bound + 1).collect()
-        if len(got) <= bound:
-            break
-        rate /= 100
-    other = [(r.a, r.b) for r in got if (r.a, r.b) not in inside]
-    sets = [(la, lb), tuple(np.array([x[i] for x in other], np.int64) for i in (0, 1))]
+    universe, listed = hashed(keys), {}
+    for k, v in lists.items():
+        got = hashed(v).distinct().limit(MAX_KEYS + 1).toArrow()
+        if got.num_rows > MAX_KEYS:
+            raise ValueError(f"list {k} has more than {MAX_KEYS} keys: shard it by host")
+        listed[k] = got["a"].to_numpy(), got["b"].to_numpy()
+    rates = dict.fromkeys(lists, rate)
+    out: dict[str, Cascade] = {}
+    while todo := [k for k in lists if k not in out]:
+        first = {k: Cascade([], []) for k in todo}
+        for k in todo:
+            first[k].add(*listed[k], rates[k])
+        held = keys.sparkSession.sparkContext.broadcast(first)  # MAX_BITS a list at most
+
+        def passing(it: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            for b in it:
+                a, b_ = b["a"].to_numpy(), b["b"].to_numpy()
+                for k, c in held.value.items():
+                    hit = np.flatnonzero(c.passes(0, a, b_))
+                    yield pa.RecordBatch.from_arrays([pa.array([k] * len(hit), pa.string()), pa.array(a[hit]), pa.array(b_[hit])], ["list", "a", "b"])
+
+        wrong = settle(universe.mapInArrow(passing, "list string, a long, b long").distinct())
+        counts = {r["list"]: r["count"] for r in wrong.groupBy("list").count().collect()}
+        for k in todo:
+            n = len(listed[k][0])
+            if counts.get(k, 0) > max(MAX_WRONG, n) + n:
+                rates[k] /= 100
+                continue
+            got = wrong.where(F.col("list") == k).select("a", "b").toArrow()
+            out[k] = filled(first[k], listed[k], (got["a"].to_numpy(), got["b"].to_numpy()))
+    return out
+
+
+def filled(cascade: Cascade, listed: tuple[np.ndarray, np.ndarray], passed: tuple[np.ndarray, np.ndarray]) -> Cascade:
+    """The cascade with the levels above the first, of which the keys that pass it are given."""
+    whole = lambda h: np.ascontiguousarray(np.column_stack(h)).view("V16").ravel()
+    fresh = ~np.isin(whole(passed), whole(listed)) if len(passed[0]) and len(listed[0]) else np.ones(len(passed[0]), bool)
+    sets = [listed, tuple(h[fresh] for h in passed)] if len(listed[0]) else [listed, (passed[0][:0],) * 2]
     while len(sets[len(cascade.bits) % 2][0]):
         level = len(cascade.bits)
         cascade.add(*sets[level % 2], 0.3)
         a, b = sets[(level + 1) % 2]
-        passed = cascade.passes(level, a, b)
-        sets[(level + 1) % 2] = (a[passed], b[passed])
+        still = cascade.passes(level, a, b)
+        sets[(level + 1) % 2] = (a[still], b[still])
     return cascade
 
 
-def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, listed_hosts: tuple[str, ...] = LISTED_HOSTS) -> DataFrame:
-    """page_id, url, host, path, rule and verdict of every page.
+def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, listed: DataFrame | tuple[str, ...] = LISTED_HOSTS) -> DataFrame:
+    """page_id, url, host, path, rule and verdict of every page. listed: blocked hosts, as a tuple or a DataFrame's first column.
 
     A rule fits its host and all subdomains where the path starts with the rule's; the longest key wins (of equal
-    lengths, the longer host). Candidate keys are each suffix of the host at a dot, with the path's prefixes of the
-    lengths that rules have. Without a rule, a page is blocked where its host or a parent domain is listed, else
-    allowed. Null or odd urls have an empty host and path and are allowed; repeated rows are judged alike.
+    lengths, the longer host). Candidate keys are the suffixes of the host at a dot, of as many labels as a key has at
+    most (so that a very long url makes few), with the path's prefixes of the lengths that rules have. Without a rule, a
+    page is blocked where its host or a parent domain is listed, else allowed. Null or odd urls have an empty host and
+    path and are allowed; repeated rows and rows without an id are judged alike. Other columns of pages don't come out,
+    so their names can't clash.
     """
     spark = pages.sparkSession
+    if not isinstance(listed, DataFrame):
+        listed = spark.createDataFrame([(h,) for h in listed], "host string")
+    listed = listed.select(F.col(listed.columns[0]).alias("host")).where("host IS NOT NULL")
+    depth = max([listed.agg(F.max(F.size(F.split("host", r"\.", -1)))).first()[0] or 1, *(r.host.count(".") + 1 for r in rules)])
     host, path = host_path(F.col("url"))
     split = pages.select("page_id", "url", host.alias("host"), path.alias("path"))
     sizes = sorted({len(r.path) for r in rules} | {0})
     labels = F.split("host", r"\.", -1)
-    tails = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    tails = F.transform(F.sequence(F.greatest(F.lit(1), F.size(labels) - (depth - 1)), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     tails = F.when(F.col("host") == "", F.array().cast("array<string>")).otherwise(tails)
     keys = F.flatten(F.transform(tails, lambda h: F.filter(F.array(*[F.when(F.char_length("path") >= n, F.struct(h.alias("host"), F.substring("path", 1, n).alias("path"))) for n in sizes]), lambda x: x.isNotNull())))
     split = split.withColumn("keys", keys)
     universe = split.select(F.explode("keys").alias("k")).select(name("k").alias("key"))
-    lists = {a: [(f"{r.host} {r.path}",) for r in rules if r.action == a] for a in ("allow", "block")} | {"listed": [(f"{h} ",) for h in listed_hosts]}
-    tests = {a: build(universe, spark.createDataFrame(rows, "key string")).test_each(spark) for a, rows in lists.items()}
+    lists = {a: spark.createDataFrame([(f"{r.host} {r.path}",) for r in rules if r.action == a], "key string") for a in ("allow", "block")}
+    lists["listed"] = listed.select(F.concat("host", F.lit(" ")).alias("key"))
+    tests = {k: c.test_each(spark) for k, c in build(universe, lists).items()}
     pair = [F.transform("keys", lambda k: hashes(name(k))[0]), F.transform("keys", lambda k: hashes(name(k))[1])]
     split = split.withColumns({"a": pair[0], "b": pair[1]}).withColumns({x: t("a", "b") for x, t in tests.items()})
     ruled = F.filter(F.arrays_zip("keys", "allow", "block"), lambda z: z["allow"] | z["block"])
@@ -195,7 +221,7 @@ def op2_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL = r"""
 WITH s AS (SELECT page_id, CASE WHEN url LIKE '%://%' THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
-u AS (SELECT page_id, lower(regexp_extract(rest, '^([^/?#]*)', 1)) AS host, regexp_extract(rest, '(?s)^[^/?#]*([^?#]*)', 1) AS path FROM s),
+u AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '(?s)^[^/?#]*([^?#]*)', 1) AS path FROM s),
 r AS (SELECT *, CASE
   WHEN (host = 'www.example.com' OR host LIKE '%.www.example.com') AND path LIKE '/en/%' THEN 'www.example.com/en/'
   WHEN (host = 'example.com' OR host LIKE '%.example.com') AND path LIKE '/en/%' THEN 'example.com/en/'
