@@ -3,16 +3,18 @@
 Documents of equal shingle sets are one class, so a group of copies costs one row from there on. Each class has one hash
 of every shingle, split over BINS bins; an empty bin borrows from a full one that a hash of the bin picks (optimal
 densification). BANDS bands of ROWS bins give buckets, and each bucket a star: an edge from its least member to every
-other. Edges are confirmed on full shingle sets. Where a bucket's members are not all linked by then, the pairs
-between its components are screened block by block inside tasks (first common band, sizes, signatures), and the rows
-that may have a link are compared there by their sets, so that a star's centre hides no link and no pairs are written out.
+other. Edges are confirmed on full shingle sets. Where a bucket's members are not all linked by then, it is split by set
+sizes that can be near each other; the pairs between its components are screened block by block inside tasks (first
+common band, sizes, signatures), and the rows that may have a link are compared there by their sets, so that a star's
+centre hides no link and no pairs are written out.
 
 A pair at the threshold of 0.85 shares no band with a chance below 4e-7, and the screen's slack of five deviations
-drops a link with a chance below 3e-7.
+drops a link with a chance below 3e-7. Shingles are compared as 61-bit fingerprints of a prime field.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -91,9 +93,11 @@ def sketch_batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for k in range(ROWS):
                 band = mix(band + sig[:, k::ROWS])
             band = mix(band + np.arange(BANDS, dtype=U64) * U64(0xA0761D6478BD642F))
-            low = (sig & U64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
-            lists = lambda x, t: pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1]), pa.int32()), pa.array(np.ascontiguousarray(x).ravel().view(t)))
-            yield pa.RecordBatch.from_arrays([batch["id"].slice(i, j - i), batch["tid"].slice(i, j - i), pa.array(n.astype(np.int64)), *(pa.array((s[at[1:]] - s[at[:-1]]).view(np.int64)) for s in sums), lists(band, np.int64), lists(low, np.int32)], ["id", "tid", "n_shingles", "d1", "d2", "bands", "sig"])
+            bands = pa.ListArray.from_arrays(pa.array(np.arange(0, band.size + 1, BANDS), pa.int32()), pa.array(band.ravel().view(np.int64)))
+            # what the screen needs of a row: a byte of each bin, and four of each band
+            low = np.concatenate([(sig & U64(0xFF)).astype(np.uint8), (band & U64(0xFFFFFFFF)).astype("<u4").view(np.uint8).reshape(j - i, 4 * BANDS)], axis=1)
+            packed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(low.shape[1]), j - i, [None, pa.py_buffer(np.ascontiguousarray(low))]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([batch["id"].slice(i, j - i), batch["tid"].slice(i, j - i), pa.array(n.astype(np.int64)), *(pa.array((s[at[1:]] - s[at[:-1]]).view(np.int64)) for s in sums), bands, packed], ["id", "tid", "n_shingles", "d1", "d2", "bands", "sig"])
 
 
 def set_batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,45 +148,30 @@ def numbers(ids, tids) -> np.ndarray:
 
 
 def screen(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each group (bucket, x, y), the rows that may have a link to another component: they are compared in full.
+    """Of each group (key), the rows that may have a link to another component: they are compared in full.
 
-    Rows come sorted by group, and a component as its least node's cid and ctid; a group holds at most two blocks of a bucket, and of two rows that share several buckets
-    the one of their first common band counts.
+    Rows come sorted by key, and a component as its least node's cid and ctid; a group holds two blocks (x, y) of a bucket
+    at most. Rows of a greater size class (upper) only meet those of the lesser one, and two rows that share several
+    buckets meet in that of their first common band.
     """
-
-    def partners(rows):
-        key, x, y = rows[0][0], rows[0][1], rows[0][2]
-        block, n = (np.array([r[k] for r in rows], np.int64) for k in (3, 8))
-        own, comp = numbers([r[4] for r in rows], [r[5] for r in rows]), numbers([r[6] for r in rows], [r[7] for r in rows])
-        bands, sig = np.array([r[9] for r in rows], np.int64), np.array([r[10] for r in rows], np.int32)
-        out = set()
-        for i in range(len(rows)):
-            j = np.flatnonzero((comp != comp[i]) & (own > own[i]) & (100 * np.minimum(n, n[i]) >= PERCENT * np.maximum(n, n[i])))
-            if x != y:
-                j = j[block[j] != block[i]]
-            if not len(j):
-                continue
-            j = j[(sig[j] == sig[i]).mean(1) >= LEAST_EQUAL]
-            same = bands[j] == bands[i]
-            j = j[bands[j, same.argmax(1)] == key] if len(j) else j
-            if len(j):
-                out.update(j.tolist(), (i,))
-        return [rows[k][:8] for k in sorted(out)]
-
-    def batch(rows):
-        cols = list(zip(*rows, strict=True)) if rows else [[]] * 8
-        names = ["bucket", "x", "y", "block", "id", "tid", "cid", "ctid"]
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names)
-
-    group: list[tuple] = []
-    for b in it:
-        for r in zip(*(b[c].to_pylist() for c in ("key", "x", "y", "block", "id", "tid", "cid", "ctid", "n_shingles", "bands", "sig")), strict=True):
-            if group and group[0][:3] != r[:3]:
-                yield batch(partners(group))
-                group = []
-            group.append(r)
-    if group:
-        yield batch(partners(group))
+    for t in whole_groups(it):
+        key, band, block, n, x, y = (t[c].to_numpy() for c in ("key", "band", "block", "n_shingles", "x", "y"))
+        upper = t["upper"].to_numpy(zero_copy_only=False)
+        own, comp = numbers(t["id"].to_numpy(), t["tid"].to_numpy()), numbers(t["cid"].to_numpy(), t["ctid"].to_numpy())
+        low = np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint8).reshape(len(key), BINS + 4 * BANDS)
+        sig, bands = low[:, :BINS], np.ascontiguousarray(low[:, BINS:]).view("<u4")
+        keep = np.zeros(len(key), bool)
+        edge = np.flatnonzero(np.diff(key, prepend=~key[0], append=~key[-1]))
+        for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+            for i in range(lo, hi):
+                j = lo + np.flatnonzero((comp[lo:hi] != comp[i]) & (own[lo:hi] > own[i]) & (100 * np.minimum(n[lo:hi], n[i]) >= PERCENT * np.maximum(n[lo:hi], n[i])) & ~(upper[lo:hi] & upper[i]))
+                if x[lo] != y[lo]:
+                    j = j[block[j] != block[i]]
+                j = j[(sig[j] == sig[i]).mean(1) >= LEAST_EQUAL] if len(j) else j
+                j = j[(bands[j] == bands[i]).argmax(1) == band[i]] if len(j) else j
+                if len(j):
+                    keep[j] = keep[i] = True
+        yield from t.select(["key", "x", "y", "block", "id", "tid", "cid", "ctid"]).filter(pa.array(keep)).to_batches()
 
 
 def compare(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,7 +211,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     Null and empty texts have no shingles and stay alone; fewer than five words are one shingle. A null id counts as the
     smallest and stays null. Rows of one id, or of none, and different texts are documents of their own, by the hash of
-    the text from the least; only the same text again is the same document.
+    the text from the least; only the same text again is the same document, and each row of it is returned. A very long
+    text is one step of a task. Other columns of docs don't come out, so their names can't clash.
     """
     own, least = node("id", "tid"), F.col("component")
     real = lambda c: F.when(c != earliest.NULL_ID, c)
@@ -231,28 +221,32 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def groups(docs: DataFrame) -> DataFrame:
     """id, tid, n_shingles and component (the least node of its group) of every row of keyed docs."""
-    held = settle(docs.select("id", "tid", "text").mapInArrow(sketch_batches, "id long, tid long, n_shingles long, d1 long, d2 long, bands array<long>, sig array<int>"))
+    held = settle(docs.select("id", "tid", "text").mapInArrow(sketch_batches, "id long, tid long, n_shingles long, d1 long, d2 long, bands array<long>, sig binary"))
     digest = ["n_shingles", "d1", "d2"]
     classes = held.where("n_shingles > 0").groupBy(*digest).agg(F.min(F.struct("id", "tid")).alias("rep"))
     reps = settle(classes.select("rep.id", "rep.tid", *digest))
     sketch = held.join(reps.select("id", "tid"), ["id", "tid"], "left_semi").dropDuplicates(["id", "tid"])
-    member = sketch.select("id", "tid", "n_shingles", F.explode("bands").alias("key"))
-    bucket = member.groupBy("key").agg(F.min(F.struct("id", "tid", "n_shingles")).alias("c"), F.count("*").alias("m")).where("m > 1")
-    member = settle(member.join(bucket, "key").select("key", "id", "tid", "n_shingles", "c", "m"))
+    member = sketch.select("id", "tid", "n_shingles", F.posexplode("bands").alias("band", "key"))
+    bucket = member.groupBy("key").agg(F.min(F.struct("id", "tid", "n_shingles")).alias("c"), F.count("*").alias("m")).where("m > 1").drop("m")
+    member = settle(member.join(bucket, "key"))
     sized = 100 * F.least("n_shingles", "c.n_shingles") >= PERCENT * F.greatest("n_shingles", "c.n_shingles")
     star = settle(member.where(sized & (node("id", "tid") != node("c.id", "c.tid"))).select(F.col("c.id").alias("a"), F.col("c.tid").alias("ta"), F.col("id").alias("b"), F.col("tid").alias("tb")).distinct())
     links = confirm(docs, star)
     label = components(links)
 
-    named = member.select("key", "id", "tid", "m").join(label.select("node.id", "node.tid", "component"), ["id", "tid"], "left").withColumn("component", F.coalesce("component", node("id", "tid")))
-    split = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-    open_ = named.join(split, "key", "left_semi").join(sketch.select("id", "tid", "n_shingles", "bands", "sig"), ["id", "tid"])
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    open_ = open_.withColumn("block", F.pmod(F.xxhash64("id", "tid"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    open_ = open_.select("key", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "id", "tid", F.col("component.id").alias("cid"), F.col("component.tid").alias("ctid"), "n_shingles", "bands", "sig")
-    held_open = settle(open_.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(screen, "bucket long, x long, y long, block long, id long, tid long, cid long, ctid long"))
+    named = member.select("key", "band", "id", "tid", "n_shingles").join(label.select("node.id", "node.tid", "component"), ["id", "tid"], "left").withColumn("component", F.coalesce("component", node("id", "tid")))
+    # sizes of a pair that may be linked are in one class or in neighbours: a group is a class with the next one
+    class_ = F.floor(F.log(F.col("n_shingles").cast("double")) / (1.0001 * math.log(100 / PERCENT))).cast("int")
+    named = named.withColumn("upper", F.explode(F.array(F.lit(False), F.lit(True)))).withColumn("size", class_ - F.col("upper").cast("int"))
+    several = lambda c: F.min(c) < F.max(c)
+    split = named.groupBy("key", "size").agg(several("component").alias("open"), F.min("upper").alias("one"), F.count("*").alias("m")).where("open AND NOT one").select("key", "size", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
+    open_ = named.join(split, ["key", "size"]).join(sketch.select("id", "tid", "sig"), ["id", "tid"])
+    open_ = open_.withColumn("block", F.pmod(F.xxhash64("id", "tid"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    open_ = open_.withColumns({"x": F.least("block", "other"), "y": F.greatest("block", "other")})
+    open_ = open_.select(F.xxhash64("key", "size", "x", "y").alias("key"), "x", "y", "band", "upper", "block", "id", "tid", F.col("component.id").alias("cid"), F.col("component.tid").alias("ctid"), "n_shingles", "sig")
+    held_open = settle(open_.repartition("key").sortWithinPartitions("key").mapInArrow(screen, "key long, x int, y int, block int, id long, tid long, cid long, ctid long"))
     if not held_open.isEmpty():
-        ask = held_open.withColumn("key", F.xxhash64("bucket", "x", "y")).join(sets_of(docs, held_open.select("id", "tid")), ["id", "tid"])
+        ask = held_open.join(sets_of(docs, held_open.select("id", "tid")), ["id", "tid"])
         more = ask.repartition("key").sortWithinPartitions("key").mapInArrow(compare, "a long, ta long, b long, tb long").select(node("a", "ta").alias("a"), node("b", "tb").alias("b")).distinct()
         label = components(settle(links.union(more)))
 
