@@ -19,20 +19,22 @@ def rows():
 
 
 @pytest.mark.parametrize("module, order, want", [(passages, "remove_passages", brute.passages), (suffixes, "remove_substrings", brute.suffixes)])
-def test_no_task_gets_all_contexts_of_a_hot_anchor(spark, rows, monkeypatch, module, order, want):
-    sizes, most = [], 5
-    halves_of = module.halves_of
-
-    def watched(contexts):
-        out = halves_of(contexts)
-        sizes.append(max((r["count"] for r in out.groupBy("key").count().collect()), default=0))
-        return out
-
-    monkeypatch.setattr(module, "halves_of", watched)
-    monkeypatch.setattr(module, "MOST", most)
+def test_contexts_of_a_hot_anchor(spark, rows, monkeypatch, module, order, want):
+    monkeypatch.setattr(suffixes, "BLOCK", 5)  # its group is split into several blocks, which are merged
     docs = spark.createDataFrame(list(rows.items()), "doc_id long, text string").repartition(3)
     got = {r.doc_id: r for r in getattr(module, order)(docs).collect()}
     plain = want(list(rows.items()))
     assert {d: r.n_removed for d, r in got.items()} == {d: p[1] for d, p in plain.items()}
-    assert {d: r.kept_sha256 for d, r in got.items()} == {d: (p[3] if module is suffixes else brute.sha(p[2] if p[1] else rows[d])) for d, p in plain.items()}
-    assert sum(p[1] > 0 for p in plain.values()) == 30 and sizes and 0 < sizes[0] <= most
+    assert {d: r.kept_sha256 for d, r in got.items()} == {d: (p[3] if module is suffixes else brute.sha(p[2])) for d, p in plain.items()}
+    assert sum(p[1] > 0 for p in plain.values()) == 30
+
+
+def test_blocks_are_whole(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(suffixes, "BLOCK", 10)
+    blocks = np.repeat(np.arange(40), np.random.default_rng(1).integers(1, 9, 40))
+    batches = [pa.RecordBatch.from_arrays([pa.array(x)], ["block"]) for x in np.array_split(blocks, 7)]
+    seen = [t["block"].to_numpy() for t in suffixes.blocks_of(iter(batches))]
+    assert np.concatenate(seen).tolist() == blocks.tolist()
+    assert all(a[-1] != b[0] for a, b in zip(seen, seen[1:], strict=False)) and max(map(len, seen)) < 40

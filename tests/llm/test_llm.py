@@ -1,9 +1,11 @@
+import math
 import zlib
 from collections import defaultdict
 
 import brute
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -38,6 +40,10 @@ def rows():
     out[72] = "EXTRA <|endoftext|> don't \u0130stanbul \u03a3\u03a3 e\u0301 \x1c 12 \x85 it's  two  spaces\n\n\n"
     out[73] = passage.upper()
     out[74] = prose(rng, 3000) + " " + passage
+    out[75] = f"{prose(rng, 40000)} {passage} {out[5]} {prose(rng, 500)}"  # longer than a step
+    tm = "".join("ab"[i.bit_count() & 1] for i in range(1024))  # such texts and their complements collide in sums modulo 2 ** 64
+    out[76], out[77] = tm, tm.translate({97: 98, 98: 97})
+    out[78], out[79] = " ".join(out[76]), " ".join(out[77])
     return out
 
 
@@ -51,13 +57,33 @@ def empty(spark):
     return spark.createDataFrame([], DOCS)
 
 
-def test_nulls_ids_and_repeats_do_not_crash(spark, empty):
-    odd = spark.createDataFrame([(None, "a b c d e f", "", 1, "", 1, "", 1), (None, None, "", 1, "", 1, "", 1), (3, "a b c d e f", None, None, None, None, None, None), (3, "a b c d e f", "", 1, "", 1, "", 1), (3, "other", "", 1, "", 1, "", 1)], DOCS)
-    items = spark.createDataFrame([(None, "c d"), (1, None), (2, "")], "item_id long, text string")
-    none = spark.createDataFrame([], "item_id long, text string")
-    ops = [neardup.near_duplicates, suffixes.remove_substrings, passages.remove_passages, tokens.token_counts, quality.judge, lambda d: decontamination.contamination(d, items), lambda d: decontamination.contamination(d, none), lambda d: packing.pack(packing.pieces_of(d))]
+def test_rows_without_an_id_repeated_and_clashing(spark, empty):
+    """What each operator makes of null ids, repeated rows and ids of several texts; columns of docs have clashing names."""
+    rng = np.random.default_rng(9)
+    one, two = prose(rng, 120), prose(rng, 120)
+    shared = " ".join(one.split()[:80])
+    rows = [(None, one), (None, None), (3, one), (3, one), (3, two), (4, f"{shared} tail"), (5, "")]
+    names = ["n_words", "kept_text", "kept", "spans", "hits", "row", "phrases", "bytes", "n"]
+    odd = spark.createDataFrame([(i, t, *range(len(names))) for i, t in rows], "doc_id long, text string, " + ", ".join(f"{n} long" for n in names))
+    items = spark.createDataFrame([(None, shared), (1, None), (2, "")], "item_id long, text string")
+    key = lambda r: (-1 if r[0] is None else r[0], *r[1:])
+    got = lambda df, *cols: sorted(key(tuple(r[c] for c in ("doc_id", *cols))) for r in df.collect())
+    n, m = len(one.split()), len(one.split()[80:])
+    assert got(passages.remove_passages(odd), "n_words", "n_removed") == sorted([(-1, 0, 0), (-1, n, 0), (3, n, n), (3, n, n), (3, n, 0), (4, 81, 80), (5, 0, 0)])
+    cut = {(r.doc_id, r.n_bytes): r.n_removed for r in suffixes.remove_substrings(odd).collect()}
+    assert cut[None, len(one.encode())] == 0 and cut[3, len(one.encode())] == len(one.encode()) and cut[3, len(two.encode())] == 0
+    near = [key((r.doc_id, r.component_id, r.kept)) for r in neardup.near_duplicates(odd).collect()]
+    assert sorted(near, key=str) == sorted([(-1, None, True), (-1, None, True), (3, None, False), (3, None, False), (3, 3, True), (4, 4, True), (5, 5, True)], key=str)
+    assert got(decontamination.contamination(odd, items), "contaminated", "n_items") == sorted([(-1, False, 0), (-1, True, 1), (3, False, 0), (3, True, 1), (3, True, 1), (4, True, 1), (5, False, 0)])
+    counts = got(tokens.token_counts(odd), "n_bytes")
+    assert counts == sorted((-1 if i is None else i, len((t or "").encode())) for i, t in rows)
+    assert got(quality.judge(odd), "n_words", "base_failed") == sorted((-1 if i is None else i, len((t or "").split()), brute.base_rules(t)[5]) for i, t in rows)
+    packed = got(packing.pack(packing.pieces_of(odd)), "piece", "start")
+    assert packed == sorted((-1 if i is None else i, 0, 0) for i, _ in rows)
+    graded = toxicity.grade(odd, toxicity.train(odd, spark.createDataFrame([(3, 0), (3, 1), (None, 1)], "doc_id long, toxic int")))
+    assert len(got(graded, "toxic")) == len(rows) and m
+    ops = [neardup.near_duplicates, suffixes.remove_substrings, passages.remove_passages, tokens.token_counts, quality.judge, lambda d: decontamination.contamination(d, items), lambda d: decontamination.contamination(odd, items.limit(0)).where("contaminated"), lambda d: packing.pack(packing.pieces_of(d))]
     for op in ops:
-        assert op(odd).count() == 5
         assert op(empty).count() == 0
 
 
@@ -116,12 +142,25 @@ def test_urls(spark):
     for r in urls.judge(pages).collect():
         assert (r.host, r.path, r.rule, r.verdict) == plain(r.url)
     assert urls.judge(pages.limit(0)).count() == 0
+    hosts_ = spark.createDataFrame([("x.net",), (None,), ("spam.org",)], "name string")
+    far = spark.createDataFrame([(1, "http://" + "a." * 40000 + "net/es/" + "x" * 200000), (2, "http://m.x.net/"), (3, "https://y.x.net.org"), (4, "http://spam.org")], "page_id long, url string")
+    assert {r.page_id: (r.rule, r.verdict) for r in urls.judge(far, listed=hosts_).collect()} == {1: ("net/es/", "block"), 2: (None, "block"), 3: (None, "allow"), 4: (None, "block")}
+
+
+def test_cascades(spark, monkeypatch):
     keys = spark.createDataFrame([(f"k{i}",) for i in range(4000)], "key string")
     listed = keys.where(F.substring("key", 2, 9).cast("int") % 7 == 0)
-    cascade = urls.build(keys, listed, rate=0.3)
-    h1, h2 = urls.hashes(F.col("key"))
-    got = keys.withColumn("in", cascade.test(spark)(h1, h2)).collect()
-    assert len(cascade.bits) > 2 and all(r["in"] == (int(r.key[1:]) % 7 == 0) for r in got)
+    made = urls.build(keys, {"some": listed, "none": listed.limit(0), "all": keys}, rate=0.3)
+    h = urls.hashed(keys).toArrow()
+    a, b = h["a"].to_numpy(), h["b"].to_numpy()
+    assert len(made["some"].bits) > 2 and (made["some"].holds(a, b) == (np.arange(4000) % 7 == 0)).all()
+    assert not made["none"].holds(a, b).any() and made["all"].holds(a, b).all()
+    monkeypatch.setattr(urls, "MAX_WRONG", 10)  # the rate is lowered until few enough pass
+    few = urls.build(keys, {"few": listed.limit(20)}, rate=0.3)["few"]
+    assert few.holds(a, b).sum() == 20
+    monkeypatch.setattr(urls, "MAX_KEYS", 100)
+    with pytest.raises(ValueError, match="more than 100 keys"):
+        urls.build(keys, {"many": listed})
 
 
 def test_quality(spark, docs, rows):
@@ -135,6 +174,53 @@ def test_quality(spark, docs, rows):
     assert all(got[i] for i, _ in texts) and not any(got[i] for i, _ in junk)
 
 
+def votes_of(rng, n, junk, noise=None):
+    """Votes of six rules on good documents and, with share junk, on ones that rules 0 and 5 or rules 1 and 4 find bad."""
+    kind = rng.choice(3, n, p=[1 - junk, junk / 2, junk / 2])
+    votes = np.where(rng.random((n, 6)) < 0.03, 1, 2)
+    for k, pair in ((1, (0, 5)), (2, (1, 4))):
+        for r in pair:
+            votes[(kind == k) & (rng.random(n) < 0.9), r] = 0
+    if noise is not None:
+        votes[:, 3] = np.where(rng.random(n) < noise, 0, 2)
+    return kind, votes
+
+
+def counted(votes):
+    patterns, n = np.unique(votes @ 3 ** np.arange(6), return_counts=True)
+    return dict(zip(patterns.tolist(), n.tolist(), strict=True))
+
+
+def test_expectation_maximisation_matches_one_over_documents():
+    _, votes = votes_of(np.random.default_rng(2), 400, 0.2, 0.1)
+    kinds = (0, 1, 3)
+    got, fit = quality.expectation_maximisation(counted(votes), 6, kinds, rounds=20)
+    start = np.array([[quality.ON_GOOD] * 6] + [[quality.OWN if k == r else quality.ON_OTHERS for r in range(6)] for k in kinds])
+    rates, prior, held = start.copy(), np.array([quality.GOOD_SHARE] + [(1 - quality.GOOD_SHARE) / 3] * 3), quality.TRUST * len(votes)
+    for step in range(20):
+        joint = prior * np.array([[math.prod(rates[k, r, v] for r, v in enumerate(d)) for k in range(4)] for d in votes])
+        post = joint / joint.sum(1, keepdims=True)
+        if step < 19:
+            prior = (post.sum(0) + 1) / (len(votes) + 4)
+            for k in range(4):
+                for r in range(6):
+                    for x in range(3):
+                        rates[k, r, x] = (post[votes[:, r] == x, k].sum() + held * start[k, r, x]) / (post[:, k].sum() + held)
+    assert fit == pytest.approx(np.log(joint.sum(1)).sum())
+    assert all(got[p] == pytest.approx(x, abs=1e-9) for p, x in zip((votes @ 3 ** np.arange(6)).tolist(), post[:, 0], strict=True))
+
+
+@pytest.mark.parametrize("noise", [0.02, 0.2, 0.3, 0.5, 0.8, 0.97])
+def test_a_rule_that_votes_at_random_rejects_nothing(noise):
+    kind, votes = votes_of(np.random.default_rng(4), 3000, 0.1, noise)
+    post, kinds = quality.posterior(counted(votes), 6)
+    p = np.array([post[x] for x in (votes @ 3 ** np.arange(6)).tolist()])
+    alone = (votes[:, 3] == 0) & ((votes == 0).sum(1) == 1)
+    assert 3 not in kinds and (p[alone & (kind == 0)] >= quality.KEEP).all()
+    both = ((votes[:, 0] == 0) & (votes[:, 5] == 0)) | ((votes[:, 1] == 0) & (votes[:, 4] == 0))
+    assert (p[both] < quality.KEEP).all() and (p[kind == 0] >= quality.KEEP).mean() > 0.999
+
+
 def test_near_duplicates(docs, rows):
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(docs).collect()}
     assert got == brute.near(list(rows.items()))
@@ -175,29 +261,32 @@ def test_substrings(docs, rows, monkeypatch):
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixes.remove_substrings(docs).collect()} == want
 
 
-def test_large_groups_compare_by_offset(monkeypatch):
-    rng = np.random.default_rng(6)
-    core = bytes(rng.integers(97, 123, 32, np.uint8))
-    block = []
-    for k in range(40):
-        left, right = bytes(rng.integers(97, 99, 68, np.uint8)), bytes(rng.integers(97, 99, 68, np.uint8))
-        left, right = (b"a" * 68 if k % 3 else left), (b"b" * 68 if k % 4 else right)
-        block.append((1, k, k, 40 - k, 0, 69, left + core + right, 68, 0))
-    one = sorted(suffixes.compare(block))
-    monkeypatch.setattr(suffixes, "BLOCK", 10)
-    assert sorted(suffixes.compare(block)) == one
-
-
 def test_passages(docs, rows):
-    for r in passages.remove_passages(docs).collect():
-        n, gone, kept = brute.passages(list(rows.items()))[r.doc_id] if r.doc_id % 9 == 0 else (r.n_words, r.n_removed, None)
-        assert (r.n_words, r.n_removed) == (n, gone)
-        if kept is not None:
-            assert r.kept_sha256 == brute.sha(kept) and r.kept_text == (kept if gone else rows[r.doc_id] or "")
+    want = brute.passages(list(rows.items()))
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256, r.kept_text) for r in passages.remove_passages(docs).collect()}
+    assert got == {d: (n, gone, brute.sha(kept), kept if gone else rows[d] or "") for d, (n, gone, kept) in want.items()}
+    assert sum(gone > 0 for _, gone, _ in want.values()) > 10
+
+
+def test_occurrences_come_from_the_automata_alone(rows, monkeypatch):
+    texts = [rows[60], rows[61], rows[75]]
+    table = pa.RecordBatch.from_pydict({"id": [1, 2, 3], "tid": [0, 0, 0], "text": texts})
+    found = pa.Table.from_batches(passages.anchor_batches(True)(iter([table]))).to_pylist()
+    words = {r["code"]: r["words"] for r in found if {x["id"] for x in found if x["code"] == r["code"]} > {r["id"]}}
+    phrases = [[{"code": c, "words": w} for c, w in words.items()]] * 3
+    batch = pa.RecordBatch.from_arrays([*table.columns, pa.array(phrases, pa.list_(pa.struct([("code", pa.int64()), ("words", pa.binary())])))], [*table.schema.names, "phrases"])
+    locate = lambda: sorted((r["id"], r["lo"]) for b in passages.locate_batches(iter([batch])) for r in b.to_pylist())
+    got = locate()
+    assert {i for i, _ in got} == {1, 2, 3}
+    monkeypatch.setattr(passages, "PATTERNS", 3)  # the same through many automata
+    assert sorted(set(locate())) == got
+    fewer = dict(list(words.items())[::2])
+    monkeypatch.setattr(passages, "automaton_of", lambda ps, f=passages.automaton_of: f({c: w for c, w in ps.items() if c in fewer}))
+    assert 0 < len(set(locate())) < len(got)
 
 
 def test_decontamination(spark, docs, rows):
-    items = [(1, rows[5]), (2, "w1 W2"), (3, None), (10, rows[60]), (7, "x"), (8, "edit"), (9, rows[72])]
+    items = [(1, rows[5]), (2, "w1 W2"), (3, None), (10, rows[60]), (7, "x"), (8, "edit"), (9, rows[72]), (11, rows[76]), (12, rows[79])]
     bench = spark.createDataFrame([(i, t, 1) for i, t in items], "item_id long, text string, n long")
     got = {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in decontamination.contamination(docs, bench).collect()}
     assert got == brute.leaks(list(rows.items()), items)
@@ -205,37 +294,80 @@ def test_decontamination(spark, docs, rows):
 
 def test_toxicity(spark):
     rng = np.random.default_rng(7)
-    bad, made, marks = ["grumble", "snarl", "grumbles"], [], []
-    for i in range(600):
+    bad, made, marks = ["grumble", "snarl", "grumbles", "hiss", "growl", "bite"], [], []
+    for i in range(900):
         w = [f"w{x}" for x in rng.integers(0, 300, 60)]
-        n = int(rng.integers(1, 5)) if i % 6 == 0 else 0
-        for _ in range(n):
-            w[int(rng.integers(60))] = str(rng.choice(bad))
+        n = int(rng.integers(1, 6)) if i % 6 == 0 else 0
+        for k in range(n):
+            w[10 * k] = str(rng.choice(bad))
         made.append((i, " ".join(w)))
         marks.append((i, int(n > 0)))
-    docs, labels = spark.createDataFrame([*made, (900, None), (901, "")], "doc_id long, text string"), spark.createDataFrame([*marks[:400], (None, 1), (5000, None)], "doc_id long, toxic int")
+    long = " ".join(f"w{x}" for x in rng.integers(0, 300, 40000))
+    docs = spark.createDataFrame([*made, (900, None), (901, ""), (902, f"{long} snarl hiss growl bite"), (903, long), (5, made[5][1]), (None, "snarl hiss growl bite grumble")], "doc_id long, text string")
+    labels = spark.createDataFrame([*marks[:600], (None, 1), (5000, None), (5, 0)], "doc_id long, toxic int")
     model = toxicity.train(docs, labels)
-    assert (np.diff(model.thresholds) > 0).all()
-    got = {r.doc_id: r for r in toxicity.grade(docs, model).collect()}
-    held_out = marks[400:]
-    assert np.mean([got[i].toxic == bool(t) for i, t in held_out]) > 0.97
+    assert (np.diff(model.thresholds) > 0.1).all()
+    rows = toxicity.grade(docs.withColumn("toxic", F.lit("x")).withColumn("grade", F.lit(9)), model).collect()
+    got = {r.doc_id: r for r in rows}
+    assert len(rows) == 906 and {r.grade for r in rows} == {0, 1, 2, 3}
+    assert np.mean([got[i].toxic == bool(t) for i, t in marks[600:]]) > 0.97
     assert not got[900].toxic and got[900].severity == got[901].severity
+    assert got[902].toxic and not got[903].toxic and got[None].grade == 3
     assert toxicity.grade(docs, toxicity.train(docs, labels.limit(0))).where("toxic").count() == 0
+    assert toxicity.grade(docs, toxicity.train(docs.limit(0), labels)).where("toxic").count() == 0
+    graded = toxicity.train(docs, spark.createDataFrame([(i, t * (i % 3 + 1)) for i, t in marks], "doc_id long, toxic int"), graded=True)
+    assert len(graded.thresholds) == 3
+
+
+def test_likelihood_of_grades():
+    """The objective is the plain likelihood of a cumulative-link model, and its gradient that of small steps."""
+    rng = np.random.default_rng(12)
+    x, y, p = (rng.random((50, 4)) < 0.4) * 1.0, rng.integers(0, 4, 50), rng.normal(size=7) * 0.5
+
+    def plain(p):
+        t = [p[4], p[4] + math.exp(p[5]), p[4] + math.exp(p[5]) + math.exp(p[6])]
+        below = lambda k, score: 0.0 if k < 0 else 1.0 if k > 2 else 1 / (1 + math.exp(score - t[k]))
+        fit = sum(math.log(below(g, r @ p[:4]) - below(g - 1, r @ p[:4])) for r, g in zip(x, y.tolist(), strict=True))
+        return -fit / len(y) + toxicity.PENALTY / 2 * sum(w * w for w in p[:4])
+
+    value, gradient = toxicity.objective(p, x, y)
+    assert value == pytest.approx(plain(p))
+    for k, step in enumerate(np.eye(7) * 1e-6):
+        assert gradient[k] == pytest.approx((plain(p + step) - plain(p - step)) / 2e-6, abs=1e-6)
+    model = toxicity.Model(np.zeros(0, np.int64), np.zeros(0), np.array([-1.0, 0.5, 2.0]))
+    assert model.chances(np.array([0.3])).sum() == pytest.approx(1)
 
 
 def test_fixity(spark):
-    pages = spark.createDataFrame([(i, f"http://h/{i}", "x" * (i % 50)) for i in range(700)] + [(None, None, None), (7, "http://h/7", "again"), (7, "http://h/7", "again")], "page_id long, url string, html string")
-    recs = warc.records(pages, per_file=300).cache()
+    names = [(i, f"http://h/{i}", "x" * (i % 50) * 40) for i in range(700)] + [(None, None, None), (7, "http://h/7", "again"), (7, "http://h/7", "again"), (650, "long", "y" * 200000)]
+    pages = spark.createDataFrame([(*r, 1, "z") for r in names], "page_id long, url string, html string, file int, record string")
+    recs = warc.settle(warc.records(pages, per_file=300))
     states = lambda a, b: {s: n for s, n in warc.fixity(a, b).groupBy("state").count().collect()}
-    assert states(recs, recs) == {"sound": 703}
+    assert states(recs, recs) == {"sound": 704}
     hurt = recs.withColumn("record", F.when(F.col("page_id") == 123, F.concat("record", F.lit("!"))).otherwise(F.col("record")))
     assert {r.page_id for r in warc.fixity(recs, hurt).where("state = 'corrupt'").collect()} == {123}
-    less = recs.where("page_id < 650 OR page_id IS NULL")
-    assert states(recs, less) == {"sound": 653, "missing": 50} and states(less, recs)["extra"] == 50
-    assert states(recs, recs.limit(0)) == {"missing": 703} and states(recs.limit(0), recs.limit(0)) == {}
+    less = recs.where("page_id <> 10 OR page_id IS NULL")  # lost in the middle of a file
+    assert states(recs, less) == {"sound": 703, "missing": 1} and states(less, recs) == {"sound": 703, "extra": 1}
+    twice = recs.union(recs.where("page_id = 20"))  # a record that one replica holds twice
+    assert states(recs, twice) == {"sound": 704, "extra": 1} and states(twice, twice) == {"sound": 705}
+    assert states(recs, recs.limit(0)) == {"missing": 704} and states(recs.limit(0), recs.limit(0)) == {}
+    node = warc.audit(warc.leaves(recs), warc.leaves(less)).collect()
+    at = recs.where("page_id = 10").first()
+    assert [(r.file, r.node) for r in node] == [(at.file, at.offset // warc.RANGE)]
     for file in (0, 1, 2):
         rs = recs.where(F.col("file") == file).orderBy("offset").collect()
         at = 0
         for r in rs:
             assert r.offset == at and r.length == len(r.record.encode())
             at += r.length
+    assert warc.records(pages.limit(0)).count() == 0
+
+
+def test_warc_files_and_hot_files(spark, tmp_path):
+    pages = spark.createDataFrame([(i, "u", f"WARC/1.0\r\n{i}\r\n\r\n" * (i % 3)) for i in range(50)] + [(None, "v", "same")] * 300, "page_id long, url string, html string")
+    recs = warc.settle(warc.records(pages, per_file=20))
+    parts = {(r.file, r.part): r["count"] for r in recs.groupBy("file", "part").count().collect()}
+    assert len([k for k in parts if k[0] == -1]) == 4 and max(n for (f, _), n in parts.items() if f == -1) < 150
+    warc.write_warc(recs, str(tmp_path / "w"))
+    back = warc.read_warc(spark, str(tmp_path / "w"))
+    assert back.count() == 350 and recs.exceptAll(back).isEmpty() and back.exceptAll(recs).isEmpty()
