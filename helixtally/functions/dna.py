@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import LongType
+
+from helixtally.functions.arrow import buffers
 
 N = "[ACGT]"
 
@@ -85,20 +89,67 @@ def canonical(tag: Column) -> Column:
     return F.least(up, reverse_complement(up))
 
 
-def tags(seq: Column, e: Enzyme) -> Column:
-    """All tags of an enzyme, one for each offset at which a pattern matches, overlaps included."""
-    return F.regexp_extract_all(F.upper(seq), F.lit(f"(?=({e.regex}))"), F.lit(1))
-
-
-def positions(seq: Column, e: Enzyme) -> Column:
-    """(pos, tag) of every tag, by the offset in bases; the regular expressions of Spark do not tell offsets."""
-    site = re.compile(f"(?=({e.regex}))")
-
-    @F.pandas_udf(ArrayType(StructType([StructField("pos", IntegerType()), StructField("tag", StringType())])))
-    def find(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: [] if x is None else [{"pos": m.start(), "tag": m[1]} for m in site.finditer(x.upper())])
-
-    return find(seq)
+UPPER = np.arange(256, dtype=np.uint8)
+UPPER[0x61:0x7B] -= 32
+COMPLEMENT = np.arange(256, dtype=np.uint8)
+COMPLEMENT[[65, 67, 71, 84]] = [84, 71, 67, 65]
+#: Bases that are matched at once, so that a very long sequence takes no more memory than a short one.
+CHUNK = 1 << 18
+
+
+def motif(pattern: str) -> list[tuple[int, str]]:
+    """(place, bases) of the places of a pattern that not every base fits."""
+    out, at = [], 0
+    for bases, times, letter in re.findall(r"\[([ACGT]+)\](?:\{(\d+)\})?|([ACGT])", pattern):
+        size = int(times) if times else 1
+        if bases != "ACGT":
+            out += [(at + i, bases or letter) for i in range(size)]
+        at += size
+    return out
+
+
+class Cutter:
+    """Finds the sites of enzymes in many sequences at once, by comparing whole arrays of bases at the motifs' places."""
+
+    def __init__(self, enzymes):
+        self.enzymes = [(e.enzyme_id, e.tag_length, [motif(p) for p in e.patterns]) for e in enzymes]
+
+    def sites(self, data: np.ndarray, off: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """(enzyme_id, row, place in the row, tags as rows of bytes) of the sequences at off[i]..off[i + 1], in steps.
+
+        Overlaps count; each enzyme gives a row at a place, whichever of its patterns fit.
+        """
+        most = max((n for _, n, _ in self.enzymes), default=1)
+        for at in range(0, len(data), CHUNK):
+            x = UPPER[data[at : at + CHUNK + most - 1]]
+            fits: dict[str, np.ndarray] = {}
+            bad = np.concatenate([[0], np.cumsum(~np.isin(x, [65, 67, 71, 84]))])
+            for enzyme_id, size, patterns in self.enzymes:
+                n = min(CHUNK, len(x) - size + 1)
+                if n <= 0:
+                    continue
+                hit = np.zeros(n, bool)
+                for p in patterns:
+                    here = np.ones(n, bool)
+                    for place, bases in p:
+                        if bases not in fits:
+                            fits[bases] = np.isin(x, np.frombuffer(bases.encode(), np.uint8))
+                        here &= fits[bases][place : place + n]
+                    hit |= here
+                start = np.flatnonzero(hit)
+                start = start[bad[start + size] == bad[start]]
+                row = np.searchsorted(off, start + at, "right") - 1
+                inside = start + at + size <= off[row + 1]
+                start, row = start[inside], row[inside]
+                if len(start):
+                    yield enzyme_id, row, start + at - off[row], x[start[:, None] + np.arange(size)]
+
+
+def canonical_cells(tags: np.ndarray) -> np.ndarray:
+    """The lesser of each tag and its reverse complement, as rows of bytes."""
+    tags, other = np.ascontiguousarray(tags), np.ascontiguousarray(COMPLEMENT[tags][:, ::-1])
+    text = lambda x: x.view(f"S{x.shape[1]}").ravel()
+    return np.where((text(tags) <= text(other))[:, None], tags, other)
 
 
 def _uint(s: pd.Series) -> np.ndarray:
@@ -108,15 +159,13 @@ def _uint(s: pd.Series) -> np.ndarray:
 @F.pandas_udf(LongType())
 def fnv64(s: pd.Series) -> pd.Series:
     """64-bit FNV-1a of strings, as the signed number of the same bits; null of null."""
-    raw = [x.encode() if x is not None else b"" for x in s]
-    size = np.array([len(x) for x in raw], np.int64)
-    out = np.full(len(raw), 0xCBF29CE484222325, np.uint64)
-    width = int(size.max()) if len(raw) else 0
-    cells = np.zeros((len(raw), width), np.uint8)
-    if width:
-        cells[np.arange(width)[None, :] < size[:, None]] = np.frombuffer(b"".join(raw), np.uint8)
-    for k in range(width):
-        out = np.where(size > k, (out ^ cells[:, k]) * np.uint64(0x100000001B3), out)
+    data, off = buffers(pa.array(s, pa.string()))
+    size, out = np.diff(off), np.full(len(s), 0xCBF29CE484222325, np.uint64)
+    order = np.argsort(-size, kind="stable")
+    longer = len(s) - np.searchsorted(size[order][::-1], np.arange(int(size.max()) if len(s) else 0), "right")
+    for k, n in enumerate(longer.tolist()):  # the n longest strings have a byte at k
+        rows = order[:n]
+        out[rows] = (out[rows] ^ data[off[rows] + k]) * np.uint64(0x100000001B3)
     return pd.Series(pd.arrays.IntegerArray(out.view(np.int64), s.isna().to_numpy()))
 
 

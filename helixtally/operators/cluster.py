@@ -46,16 +46,21 @@ def sketch(markers: DataFrame, *scope: str, k: int = SKETCH) -> DataFrame:
     return h.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
 
 
-def sketched(genomes: DataFrame, markers: DataFrame, *scope: str, k: int = SKETCH) -> DataFrame:
+def sketched(genomes: DataFrame, markers: DataFrame, *scope: str, k: int = SKETCH, least: float | None = None) -> DataFrame:
     """(scope, a, b, jaccard, containment) estimated from sketches, of the pairs that share a sketched marker.
 
+    least: only pairs that may have at least this Jaccard estimate are looked at (the others may be left out).
+
     Of the k least of a pair's union, the share in both. A marker in both sketches is among those k if fewer than k
     markers of the union are below it: rank_a + rank_b - (shared ones up to it) <= k.
     """
     s = sketch(markers, *scope, k=k)
     one = s.select(*scope, F.col("gid").alias("a"), "h", F.col("rank").alias("ra"))
     two = s.select(*scope, F.col("gid").alias("b"), "h", F.col("rank").alias("rb"))
-    both = one.join(two, [*scope, "h"]).where("a < b")
+    if least is None:
+        both = one.join(two, [*scope, "h"]).where("a < b")
+    else:  # of k hashes, a share of `least` is in both, which is as much of either sketch
+        both = candidates(s.select(*scope, "gid", F.col("h").alias("marker")), *scope, threshold=least).join(one, [*scope, "a"]).join(two, [*scope, "b", "h"])
     common = F.row_number().over(Window.partitionBy(*scope, "a", "b").orderBy("h"))
     both = both.withColumn("place", F.col("ra") + F.col("rb") - common)
     by = both.groupBy(*scope, "a", "b").agg(F.sum((F.col("place") <= k).cast("long")).alias("hits"), F.count("*").alias("common"))
@@ -69,6 +74,59 @@ def sketched(genomes: DataFrame, markers: DataFrame, *scope: str, k: int = SKETC
     return out.select(*scope, "a", "b", j.alias("jaccard"), (shared / F.greatest(F.least("na", "nb"), F.lit(1))).alias("containment"))
 
 
+def candidates(held: DataFrame, *scope: str, threshold: float, containment: bool = False) -> DataFrame:
+    """(scope, a, b), a < b: all pairs of sets of distinct markers that may have this Jaccard similarity (or containment).
+
+    Such a pair shares threshold times the markers of the larger (smaller) set. So it shares one of the few rarest markers
+    of both (or one of the smaller set's rarest, and any of the other's): a marker that very many sets hold is hardly
+    ever among those, and need not be joined on.
+    """
+    held = held.join(held.groupBy(*scope, "marker").agg(F.count("*").alias("freq")), [*scope, "marker"])
+    by = Window.partitionBy(*scope, "gid")
+    held = settle(held.withColumns({"n": F.count("*").over(by), "rank": F.row_number().over(by.orderBy("freq", "marker"))}).select(*scope, "gid", "marker", "n", "rank"))
+    rare = held.where(F.col("rank") <= F.col("n") - F.ceil(threshold * F.col("n") - 1e-9) + 1)
+    named = lambda df, x: df.select(*scope, "marker", F.col("gid").alias(x), F.col("n").alias(f"n{x}"))
+    if containment:
+        pairs = named(rare, "a").join(named(held, "b"), [*scope, "marker"]).where("na < nb OR na = nb AND a <> b").select(*scope, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    else:
+        pairs = named(rare, "a").join(named(rare, "b"), [*scope, "marker"]).where("a < b").where(F.least("na", "nb") >= threshold * F.greatest("na", "nb") - 1e-9).select(*scope, "a", "b")
+    return pairs.distinct()
+
+
+def linked(genomes: DataFrame, markers: DataFrame, *scope: str, threshold: float, containment: bool = False) -> DataFrame:
+    """(scope, a, b): links between genomes of this exact similarity, enough of them to reach whatever all would reach.
+
+    Genomes of equal sets are one from the start; candidates are compared by their whole sets.
+    """
+    held = settle(markers.select(*scope, "gid", "marker").distinct())
+    mark = [F.bit_xor(F.xxhash64(F.lit(k), "marker")).alias(f"d{k}") for k in (1, 2)]
+    digests = held.groupBy(*scope, "gid").agg(F.count("*").alias("n"), *mark)
+    same = settle(digests.withColumn("rep", F.min("gid").over(Window.partitionBy(*scope, "n", "d1", "d2"))).select(*scope, "gid", "rep"))
+    own = settle(held.join(same.where("gid = rep").select(*scope, "gid"), [*scope, "gid"]))
+    sets = own.groupBy(*scope, "gid").agg(F.collect_list("marker").alias("set"))
+    pairs = candidates(own, *scope, threshold=threshold, containment=containment)
+    one, two = (sets.select(*scope, F.col("gid").alias(x), F.col("set").alias(f"set_{x}")) for x in "ab")
+    both, na, nb = F.size(F.array_intersect("set_a", "set_b")), F.size("set_a"), F.size("set_b")
+    near = both / F.least(na, nb) if containment else both / (na + nb - both)
+    found = pairs.join(one, [*scope, "a"]).join(two, [*scope, "b"]).where(near >= threshold).select(*scope, "a", "b")
+    copies = same.where("gid <> rep").select(*scope, F.col("rep").alias("a"), F.col("gid").alias("b"))
+    return found.unionByName(copies.unionByName(empties(genomes, markers, *scope)).where(F.lit(threshold <= 1)))  # those of similarity 1
+
+
+def empties(genomes: DataFrame, markers: DataFrame, *scope: str) -> DataFrame:
+    """(scope, a, b): a chain through the genomes without markers, which links them as all their pairs would."""
+    by = Window.partitionBy(*scope).orderBy("gid") if scope else Window.partitionBy(F.lit(1)).orderBy("gid")
+    n = sizes(genomes, markers, *scope).where("n = 0")
+    return n.select(*scope, F.lag("gid").over(by).alias("a"), F.col("gid").alias("b")).where("a IS NOT NULL")
+
+
+def sketch_linked(genomes: DataFrame, markers: DataFrame, *scope: str, threshold: float, containment: bool = False) -> DataFrame:
+    """The same by estimates from sketches."""
+    pairs = sketched(genomes, markers, *scope, least=None if containment else threshold)
+    edges = pairs.where(F.col("containment" if containment else "jaccard") >= threshold).select(*scope, "a", "b")
+    return edges if containment else edges.unionByName(empties(genomes, markers, *scope))  # sketches of two empty sets agree
+
+
 def components(nodes: DataFrame, edges: DataFrame, *scope: str) -> DataFrame:
     """(scope, gid, root): the least node that each node reaches; isolated nodes are their own.
 
@@ -89,23 +147,23 @@ def components(nodes: DataFrame, edges: DataFrame, *scope: str) -> DataFrame:
 def single_linkage(genomes: DataFrame, markers: DataFrame, *scope: str, threshold: float = SIMILARITY, containment: bool = False, method: str = "auto") -> DataFrame:
     """(scope, gid, cluster_id, cluster): clusters numbered by their first member, named C0, C1, ...
 
-    method: exact, minhash, or auto, which sketches where a scope has more than EXACT_UP_TO genomes. A threshold of 0 or
-    less links every pair.
+    method: exact, minhash, or auto, which sketches in the scopes that have more than EXACT_UP_TO genomes. A threshold of
+    0 or less links every pair.
     """
     if threshold <= 0:
         by = Window.partitionBy(*scope) if scope else Window.partitionBy(F.lit(1))
         roots = genomes.select(*scope, "gid").distinct().withColumn("root", F.min("gid").over(by))
     else:
-        measure = "containment" if containment else "jaccard"
+        options = {"threshold": threshold, "containment": containment}
         if method == "auto":
-            most = genomes.select(*scope, "gid").distinct().groupBy(*scope).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-            method = "minhash" if most > EXACT_UP_TO else "exact"
-        pairs = similarities(genomes, markers, *scope) if method == "exact" else sketched(genomes, markers, *scope)
-        edges = pairs.where(F.col(measure) >= threshold).select(*scope, "a", "b")
-        if method != "exact" and not containment:  # sketches of two empty sets agree
-            n = sizes(genomes, markers, *scope).where("n = 0")
-            by = Window.partitionBy(*scope).orderBy("gid") if scope else Window.partitionBy(F.lit(1)).orderBy("gid")
-            edges = edges.unionByName(n.select(*scope, F.lag("gid").over(by).alias("a"), F.col("gid").alias("b")).where("a IS NOT NULL"))
+            n = settle(genomes.select(*scope, "gid").distinct().groupBy(*scope).agg((F.count("*") > EXACT_UP_TO).alias("many")))
+            kinds = {r.many for r in n.select("many").distinct().collect()}
+            if len(kinds) < 2:
+                return single_linkage(genomes, markers, *scope, method="minhash" if True in kinds else "exact", **options)
+            of = lambda df, many: df.join(n.where(F.col("many") == many).select(*scope), list(scope), "left_semi")
+            edges = linked(of(genomes, False), of(markers, False), *scope, **options).unionByName(sketch_linked(of(genomes, True), of(markers, True), *scope, **options))
+        else:
+            edges = (linked if method == "exact" else sketch_linked)(genomes, markers, *scope, **options)
         roots = components(genomes, edges, *scope)
     by = Window.partitionBy(*scope).orderBy("root") if scope else Window.partitionBy(F.lit(1)).orderBy("root")
     ids = roots.select(*scope, "root").distinct().withColumn("cluster_id", (F.row_number().over(by) - 1).cast("long"))

@@ -2,26 +2,46 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
-from helixtally.functions.dna import Enzyme, canonical, fnv64, tags
+from helixtally.functions.arrow import steps, strings
+from helixtally.functions.dna import Cutter, Enzyme, canonical_cells, fnv64
 
 
-def digest(sequences: DataFrame, enzymes: Sequence[Enzyme], seq: str = "seq") -> DataFrame:
-    """One row per tag occurrence: the other columns of sequences, enzyme_id and canonical tag.
+def sites(sequences: DataFrame, enzymes: Sequence[Enzyme], seq: str = "seq", canonical: bool = True, places: bool = True) -> DataFrame:
+    """One row per tag occurrence: the other columns of sequences, enzyme_id, pos (if places) and tag.
 
     A bag: enzymes of equal length that match the same place each give a row, and so does an enzyme that is named twice.
-    The sequence is read once, whatever the number of enzymes.
+    pos counts bases from 0. Each sequence is read once in Arrow batches, whatever the number of enzymes, and matched in
+    NumPy; nothing is shuffled. Null sequences have no tags.
     """
-    def cut(e: Enzyme):
-        return F.transform(tags(F.col(seq), e), lambda t: F.struct(F.lit(e.enzyme_id).alias("enzyme_id"), canonical(t).alias("tag")))
-
-    found = F.flatten(F.array(*map(cut, enzymes)))
     keep = [c for c in sequences.columns if c != seq]
-    return sequences.select(*keep, F.explode(found).alias("_t")).select(*keep, "_t.enzyme_id", "_t.tag")
+    added = [StructField("enzyme_id", IntegerType()), *([StructField("pos", LongType())] if places else []), StructField("tag", StringType())]
+    cutter = Cutter(enzymes)
+
+    def cut(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            for i, _, data, off in steps(b[seq]):
+                chars = np.append(0, np.cumsum((data & 0xC0) != 0x80)) if places and (data >= 0x80).any() else None
+                for enzyme_id, row, place, tags in cutter.sites(data, off):
+                    if chars is not None:  # count characters, not bytes
+                        place = chars[off[row] + place] - chars[off[row]]
+                    at = pa.array(row + i)
+                    cols = [pa.array(np.full(len(row), enzyme_id, np.int32)), *([pa.array(place.astype(np.int64))] if places else []), strings(canonical_cells(tags) if canonical else tags)]
+                    yield pa.RecordBatch.from_arrays([*(b[c].take(at) for c in keep), *cols], [*keep, *(f.name for f in added)])
+
+    return sequences.select(*keep, seq).mapInArrow(cut, StructType([*(sequences.schema[c] for c in keep), *added]))
+
+
+def digest(sequences: DataFrame, enzymes: Sequence[Enzyme], seq: str = "seq") -> DataFrame:
+    """One row per tag occurrence: the other columns of sequences, enzyme_id and canonical tag. See sites."""
+    return sites(sequences, enzymes, seq, places=False)
 
 
 def markers(tagged: DataFrame) -> DataFrame:

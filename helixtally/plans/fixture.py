@@ -34,8 +34,9 @@ def small_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def genomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(species, gid, n_contigs) of documents."""
-    return sequences(spark, sf_dir).where("seq <> ''").groupBy("species", "gid").agg(F.count("*").alias("n_contigs"))
+    """(species, gid, n_contigs) of documents that have any: sentences with a word are contigs."""
+    n = F.size(F.filter(F.split("text", r"\. ", -1), lambda s: F.translate(s, " ", "") != ""))
+    return table(spark, sf_dir, "documents").select(F.col("lang").alias("species"), F.col("doc_id").alias("gid"), n.cast("long").alias("n")).groupBy("species", "gid").agg(F.sum("n").alias("n_contigs")).where("n_contigs > 0")
 
 
 def genome_markers(spark: SparkSession, sf_dir: str, e: Enzyme = CUTTER) -> DataFrame:
@@ -50,7 +51,8 @@ def incidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return item.select((F.col("l_suppkey") % 5).alias("species"), F.col("l_suppkey").alias("unit"), F.col("l_partkey").alias("marker")).distinct()
 
 
-def sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(marker, copies) of a mixture of all documents at depths of 0 to 6."""
+def sample(spark: SparkSession, sf_dir: str, held: DataFrame | None = None) -> DataFrame:
+    """(marker, copies) of a mixture of all documents at depths of 0 to 6. held: genome_markers, if they are there."""
     depth = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("gid"), (F.char_length("text") % 7).alias("depth"))
-    return genome_markers(spark, sf_dir).join(depth, "gid").groupBy("marker").agg(F.sum(F.col("copies") * F.col("depth")).alias("copies")).where("copies > 0")
+    held = genome_markers(spark, sf_dir) if held is None else held
+    return held.join(depth, "gid").groupBy("marker").agg(F.sum(F.col("copies") * F.col("depth")).alias("copies")).where("copies > 0")

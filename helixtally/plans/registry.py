@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixtally.functions.dna import ENZYMES, fnv64, from_hex, positions, reverse_complement, to_hex
+from helixtally.functions.dna import ENZYMES, fnv64, from_hex, reverse_complement, to_hex
 from helixtally.operators import cluster, community, database, digest, metrics, profile, quality
 from helixtally.plans import fixture as fx
 from helixtally.plans import oracles as o
@@ -68,8 +68,8 @@ def multi_enzyme_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {o.SEQS}, hits AS ({o._site('GGGAC', 6)} UNION {o._site('GTCCC', 14)}) SELECT species, count(*) AS n_sites, sum(i)::BIGINT AS sum_pos FROM hits WHERE i >= 0 AND i + 25 <= len(seq) GROUP BY ALL")
 def site_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    at = fx.sequences(spark, sf_dir).where(F.col("seq").contains("GGGAC") | F.col("seq").contains("GTCCC")).select("species", F.explode(positions(F.col("seq"), fx.CUTTER)).alias("p"))
-    return at.groupBy("species").agg(F.count("*").alias("n_sites"), F.sum(F.col("p.pos").cast("long")).alias("sum_pos"))
+    at = digest.sites(fx.sequences(spark, sf_dir), [fx.CUTTER])
+    return at.groupBy("species").agg(F.count("*").alias("n_sites"), F.sum("pos").alias("sum_pos"))
 
 
 @query(f"""WITH {o.TAGS}, d AS (SELECT DISTINCT marker AS tag FROM tags),
@@ -256,6 +256,12 @@ def _db(spark: SparkSession, sf_dir: str) -> DataFrame:
     return settle(cluster.cluster_db(single, gm, mem, "species"))
 
 
+def _db_sample(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(database, sample), of one digestion."""
+    mem, gm, single = _clustered(spark, sf_dir)
+    return settle(cluster.cluster_db(single, gm, mem, "species")), settle(fx.sample(spark, sf_dir, gm))
+
+
 @query(f"WITH RECURSIVE {o.CLUSTERS} SELECT species, unit, marker, degree, is_unique FROM db")
 def cluster_database(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _db(spark, sf_dir).select("species", "unit", "marker", "degree", "is_unique")
@@ -271,12 +277,12 @@ def sample_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH RECURSIVE {o.CLUSTERS}, {o.stats('db')} SELECT species, unit, n_markers, panel_n, detected1, detected2, round(depth, 9) AS depth FROM stats")
 def panel_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(profile.panel_stats(_db(spark, sf_dir), fx.sample(spark, sf_dir), "species"), "depth")
+    return rounded(profile.panel_stats(*_db_sample(spark, sf_dir), "species"), "depth")
 
 
 @query(f"WITH RECURSIVE {o.CLUSTERS}, {o.stats('db')} SELECT species, unit, support, round(coverage, 9) AS coverage FROM supported")
 def detect_present(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stats = profile.panel_stats(_db(spark, sf_dir), fx.sample(spark, sf_dir), "species")
+    stats = profile.panel_stats(*_db_sample(spark, sf_dir), "species")
     return rounded(profile.supported(stats, profile.Params()).select("species", "unit", "support", "coverage"), "coverage")
 
 
@@ -285,23 +291,23 @@ _PROFILE = "species, unit, round(abundance, 9) AS abundance, round(coverage, 9)
 
 @query(f"WITH RECURSIVE {o.CLUSTERS}, {o.stats('db')}, {o.CALLS} SELECT {_PROFILE} FROM calls")
 def species_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(profile.profile(_db(spark, sf_dir), fx.sample(spark, sf_dir), "species"), "abundance", "coverage", "depth")
+    return rounded(profile.profile(*_db_sample(spark, sf_dir), "species"), "abundance", "coverage", "depth")
 
 
 @query(f"WITH RECURSIVE {o.CLUSTERS}, {o.stats('db')}, {o.CALLS}, k AS (SELECT * FROM calls WHERE abundance >= 0.01) SELECT species, unit, round(abundance / sum(abundance) OVER (PARTITION BY species), 9) AS abundance, round(coverage, 9) AS coverage, support, round(depth, 9) AS depth, n_markers FROM k")
 def abundant_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = profile.profile(_db(spark, sf_dir), fx.sample(spark, sf_dir), "species", params=profile.Params(min_abundance=0.01))
+    got = profile.profile(*_db_sample(spark, sf_dir), "species", params=profile.Params(min_abundance=0.01))
     return rounded(got, "abundance", "coverage", "depth")
 
 
 @query(f"WITH RECURSIVE {o.CLUSTERS} SELECT species, unit, sum(copies)::DOUBLE AS score FROM db JOIN sample USING (marker) GROUP BY ALL HAVING sum(copies) >= 30")
 def naive_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profile.naive_profile(_db(spark, sf_dir), fx.sample(spark, sf_dir), "species", min_score=30.0)
+    return profile.naive_profile(*_db_sample(spark, sf_dir), "species", min_score=30.0)
 
 
 @query()
 def regression_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(profile.regress(_db(spark, sf_dir), fx.sample(spark, sf_dir), "species"), "weight")
+    return rounded(profile.regress(*_db_sample(spark, sf_dir), "species"), "weight")
 
 
 # --- communities ---
@@ -324,20 +330,20 @@ def _gates(markers: int, detect: int) -> str:
 
 @query(_gates(200, 10))
 def species_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    db = _db(spark, sf_dir)
-    return rounded(community.species_gate(db, community.species_specific(db), fx.sample(spark, sf_dir)), "lambda")
+    db, sample = _db_sample(spark, sf_dir)
+    return rounded(community.species_gate(db, community.species_specific(db), sample), "lambda")
 
 
 @query(_gates(2000, 1200))
 def species_gate_narrow(spark: SparkSession, sf_dir: str) -> DataFrame:
-    db = _db(spark, sf_dir)
-    return rounded(community.species_gate(db, community.species_specific(db), fx.sample(spark, sf_dir), gate=NARROW), "lambda")
+    db, sample = _db_sample(spark, sf_dir)
+    return rounded(community.species_gate(db, community.species_specific(db), sample, gate=NARROW), "lambda")
 
 
 @query(f"WITH RECURSIVE {o.CLUSTERS}, {o.gate(2000, 1200)} SELECT tier, count(*) AS n FROM gates GROUP BY ALL")
 def tier_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
-    db = _db(spark, sf_dir)
-    return community.tier_tally(community.species_gate(db, community.species_specific(db), fx.sample(spark, sf_dir), gate=NARROW))
+    db, sample = _db_sample(spark, sf_dir)
+    return community.tier_tally(community.species_gate(db, community.species_specific(db), sample, gate=NARROW))
 
 
 _SCOPES = "round(depth / sum(depth) OVER (), 9) AS global_abundance, round(depth * n_markers / (SELECT sum(copies) FROM sample), 9) AS sample_fraction, round(sum(depth) OVER (PARTITION BY species) / sum(depth) OVER (), 9) AS species_abundance"
@@ -346,20 +352,20 @@ _ALL = ("abundance", "coverage", "depth", "global_abundance", "sample_fraction",
 
 @query(f"WITH RECURSIVE {o.community()} SELECT {_PROFILE}, {_SCOPES} FROM calls")
 def multi_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    calls, _ = community.community_profile(_db(spark, sf_dir), settle(fx.sample(spark, sf_dir)))
+    calls, _ = community.community_profile(*_db_sample(spark, sf_dir))
     return rounded(calls, *_ALL)
 
 
 @query(f"WITH RECURSIVE {o.community()}, t AS (SELECT *, depth / sum(depth) OVER () AS g FROM calls), k AS (SELECT * EXCLUDE (abundance, g), abundance / sum(abundance) OVER (PARTITION BY species) AS abundance FROM t WHERE g >= {TRACE}) SELECT {_PROFILE}, {_SCOPES} FROM k")
 def multi_profile_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
-    calls, _ = community.community_profile(_db(spark, sf_dir), settle(fx.sample(spark, sf_dir)), min_global=TRACE)
+    calls, _ = community.community_profile(*_db_sample(spark, sf_dir), min_global=TRACE)
     return rounded(calls, *_ALL)
 
 
 @query(f"WITH RECURSIVE {o.community()}, p AS (SELECT 100.0 * (SELECT sum(depth * n_markers) FROM calls) / sum(copies) AS pct, sum(copies)::BIGINT AS total_tags FROM sample) SELECT total_tags, round(least(pct, 100), 9) AS classified_pct, round(greatest(100 - pct, 0), 9) AS unclassified_pct FROM p")
 def sample_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sample = settle(fx.sample(spark, sf_dir))
-    calls, _ = community.community_profile(_db(spark, sf_dir), sample)
+    db, sample = _db_sample(spark, sf_dir)
+    calls, _ = community.community_profile(db, sample)
     return rounded(community.coverage_of_sample(calls, sample), "classified_pct", "unclassified_pct")
 
 

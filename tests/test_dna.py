@@ -45,8 +45,8 @@ def test_site_and_multiplicity(spark):
     window = list("A" * 32)
     window[10:13], window[19:22] = "CGA", "TGC"
     seq = "TTTTT" + "".join(window) + "TTTTT"
-    got = spark.createDataFrame([(seq,)], "seq string").select(F.explode(dna.positions(F.col("seq"), dna.enzyme("BcgI"))).alias("p")).collect()
-    assert [(r.p.pos, len(r.p.tag)) for r in got] == [(5, 32)]
+    got = digest.sites(spark.createDataFrame([("a", seq), ("b", "\u00e9" + seq.lower()), ("c", None)], "name string, seq string"), [dna.enzyme("BcgI")], canonical=False).collect()
+    assert sorted((r.name, r.pos, r.tag) for r in got) == [("a", 5, "".join(window)), ("b", 6, "".join(window))]
     twice = tag_counts(spark, ["".join(window) + "GG" + "".join(window)], [dna.enzyme("BcgI")])
     assert max(twice.values()) >= 2
 
@@ -67,6 +67,17 @@ def test_strands_case_and_brute_force(spark):
     assert tag_counts(spark, [text], dna.ENZYMES) == want
 
 
+def test_chunks_meet(monkeypatch):
+    rng = np.random.default_rng(1)
+    rows = ["".join(rng.choice(list("ACGT"), n)).encode() for n in (700, 3, 0, 900)]
+    data, off = np.frombuffer(b"".join(rows), np.uint8), np.cumsum([0, *map(len, rows)])
+    found = lambda: sorted((e, int(r), int(p), bytes(t)) for e, row, at, tags in dna.Cutter(dna.ENZYMES).sites(data, off) for r, p, t in zip(row, at, tags, strict=True))
+    whole = found()
+    monkeypatch.setattr(dna, "CHUNK", 50)
+    assert found() == whole and len(whole) > 20
+    assert whole == sorted((e.enzyme_id, k, i, r[i : i + e.tag_length]) for e in dna.ENZYMES for k, r in enumerate(rows) for i in range(len(r)) if re.fullmatch(e.regex, r[i : i + e.tag_length].decode()))
+
+
 def test_same_window_counts_for_each_enzyme(spark):
     seq = "ACGTACG" + "GAAC" + "ACGTAC" + "TCC" + "ACGTACG"
     both = tag_counts(spark, [seq], [dna.enzyme("AloI"), dna.enzyme("AloI")])

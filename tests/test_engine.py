@@ -60,6 +60,49 @@ def test_empty_sets_and_chains(spark):
     assert got == {0: 0, 1: 0, 2: 0, 3: 0, 4: 0, 5: 1, 6: 1, 7: 2}
 
 
+def overlapping(n, seed):
+    """Sets of markers of which many are nearly alike, some equal, some empty, and all hold a few common ones."""
+    rng = np.random.default_rng(seed)
+    base, sets = [rng.choice(10**6, 60, replace=False) for _ in range(4)], {}
+    for g in range(n):
+        s = set(base[g % 4][: int(rng.integers(40, 60))].tolist()) if g % 7 else set(base[g % 4].tolist())
+        sets[g] = set() if g % 17 == 0 else s - set(rng.choice(base[g % 4], int(rng.integers(0, 3))).tolist()) | {-1, -2}
+    return sets
+
+
+@pytest.mark.parametrize("threshold, containment", [(0.95, False), (0.8, False), (0.95, True), (1.0, False), (1.1, False)])
+def test_candidates_lose_no_link(spark, threshold, containment):
+    sets = overlapping(60, 3)
+    ids = spark.createDataFrame([(g,) for g in sets], "gid long")
+    held = spark.createDataFrame([(g, int(m)) for g, s in sets.items() for m in s], "gid long, marker long")
+    root = {g: g for g in sets}
+    for a in sets:
+        for b in sets:
+            x, y = sets[a], sets[b]
+            near = 1.0 if not x and not y else 0.0 if not x or not y else len(x & y) / (min(len(x), len(y)) if containment else len(x | y))
+            if a < b and near >= threshold:
+                low, high = sorted((root[a], root[b]))
+                root = {g: low if r == high else r for g, r in root.items()}
+    number = {r: k for k, r in enumerate(sorted(set(root.values())))}
+    got = cluster.single_linkage(ids, held, threshold=threshold, containment=containment, method="exact")
+    assert {r.gid: r.cluster_id for r in got.collect()} == {g: number[r] for g, r in root.items()}
+
+
+def test_each_scope_chooses_its_method(spark, monkeypatch):
+    monkeypatch.setattr(cluster, "EXACT_UP_TO", 20)
+    asked = {}
+    for name in ("linked", "sketch_linked"):
+        plain = getattr(cluster, name)
+        monkeypatch.setattr(cluster, name, lambda g, m, *scope, _n=name, _f=plain, **k: (asked.setdefault(_n, sorted(r.species for r in g.select("species").distinct().collect())), _f(g, m, *scope, **k))[1])
+    sets = {("few", g): s for g, s in overlapping(15, 1).items()} | {("many", g): s for g, s in overlapping(40, 2).items()}
+    ids = spark.createDataFrame(list(sets), "species string, gid long")
+    held = spark.createDataFrame([(s, g, int(m)) for (s, g), ms in sets.items() for m in ms], "species string, gid long, marker long")
+    got = {(r.species, r.gid): r.cluster_id for r in cluster.single_linkage(ids, held, "species").collect()}
+    assert asked == {"linked": ["few"], "sketch_linked": ["many"]}
+    exact = {(r.species, r.gid): r.cluster_id for r in cluster.single_linkage(ids, held, "species", method="exact").collect()}
+    assert got == exact  # the sketches hold these sets whole
+
+
 def test_sketch_is_the_plain_estimate(spark):
     rng = np.random.default_rng(2)
     sets = [set(rng.choice(3000, n, replace=False).tolist()) for n in (900, 1000, 50)]
