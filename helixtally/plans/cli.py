@@ -76,8 +76,8 @@ def kept_genomes(spark: SparkSession, a: argparse.Namespace) -> tuple[DataFrame,
 
 
 def load(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(species, database) of one database file or several."""
-    species, units, unique = tables.read_databases(spark, path)
+    """(species, database) of one text database or several, or of a Parquet one."""
+    species, units, unique = tables.load_database(spark, path) if path.rstrip("/").endswith(".parquet") else tables.read_databases(spark, path)
     return species, database.with_unique(database.build(units, "species"), unique, "species")
 
 
@@ -99,7 +99,10 @@ def run(spark: SparkSession, a: argparse.Namespace) -> None:
             db = cluster.cluster_db(single, counted, mem)
             database.resolvable(db).orderBy("unit").show(truncate=False)
             tables.write_lines(tables.membership_lines(genomes, mem), f"{a.out}.members.tsv", "#genome\tcluster")
-        tables.write_lines(tables.database_lines(db, names), a.out)
+        if a.out.endswith(".parquet"):
+            tables.save_database(db, a.out, names)
+        else:
+            tables.write_lines(tables.database_lines(db, names), a.out)
         database.stats(db).show()
     elif a.command == "profile":
         species, db = load(spark, a.db)

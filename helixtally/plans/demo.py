@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixtally.operators import cluster, database, profile
+from helixtally.sources.store import settle
 
 CORE, PRIVATE, DEPTH, ERRORS = 200, 50, 30, 50
 SHARES = {0: 0.7, 2: 0.3}
@@ -39,5 +40,5 @@ def genomes(spark: SparkSession) -> DataFrame:
 def clusters(spark: SparkSession) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The clades' membership, their marker classes, and the cluster database's panels."""
     held = genomes(spark)
-    mem = cluster.settle(cluster.single_linkage(held.select("gid").distinct(), held, method="exact"))
+    mem = settle(cluster.single_linkage(held.select("gid").distinct(), held, method="exact"))
     return mem, cluster.class_summary(cluster.classify(held, mem)), database.panels(cluster.cluster_db(held, held, mem))

@@ -9,6 +9,10 @@ from pathlib import PurePosixPath
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from helixtally.sources.store import settle
+
+#: Blocks of files whose row counts are sent to every task; the counts of more of them are joined instead.
+MOST_BLOCKS = 1 << 20
 FASTA, FASTQ = (".fa", ".fasta", ".fna"), (".fq", ".fastq")
 EDGES = r"^[\t\n\x0B\f\r ]+|[\t\n\x0B\f\r ]+$"
 
@@ -42,10 +46,6 @@ def stem(path: str) -> str:
     return re.sub(r"(?<=.)\.[^.]*$", "", name)
 
 
-def stem_column(name: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(name, r"(?i)\.gz$", ""), r"(?<=.)\.[^.]*$", "")
-
-
 def fasta_records(text: Column) -> Column:
     """The sequences of a FASTA text: lines trimmed, wrapped ones joined, empty records left out."""
     lines = F.transform(F.split(text, "\n", -1), lambda x: F.regexp_replace(x, EDGES, ""))
@@ -60,25 +60,82 @@ def fastq_records(text: Column) -> Column:
     return F.transform(F.filter(lines, lambda x, i: i % 4 == 1), lambda x: F.regexp_replace(x, EDGES, ""))
 
 
+def files_of(spark: SparkSession, path: str | list[str]) -> list[str]:
+    """The files that a path or pattern names, empty ones too, with those in folders that it names, but not below them."""
+    sc, out = spark.sparkContext, []
+    for p in [path] if isinstance(path, str) else path:
+        where = sc._jvm.org.apache.hadoop.fs.Path(p)
+        fs = where.getFileSystem(sc._jsc.hadoopConfiguration())
+        found = [s for s in fs.globStatus(where) or []]
+        if not found:
+            raise FileNotFoundError(f"no file at {p}")
+        for s in found:
+            out += [x.getPath().toString() for x in (fs.listStatus(s.getPath()) if s.isDirectory() else [s]) if x.isFile() and not x.getPath().getName().startswith(("_", "."))]
+    return sorted(out)
+
+
+def source_name(path: str) -> str:
+    """The name of the file at a path, or of the folder that Spark wrote it into as a part."""
+    parts = path.split("/")
+    return parts[-2] if parts[-1].startswith("part-") and len(parts) > 1 else parts[-1]
+
+
+def source_name_of(path: Column) -> Column:
+    """The same of a path as _metadata has it, which is escaped."""
+    path = F.url_decode(F.regexp_replace(path, r"\+", "%2B"))
+    return F.regexp_extract(F.regexp_replace(path, "/part-[^/]*$", ""), "[^/]*$", 0)
+
+
+def numbered(lines: DataFrame) -> DataFrame:
+    """(file, no, value): rows of a text read, numbered from 0 in each file.
+
+    A first scan counts the rows of each block of a file; no row is shuffled and none is gathered.
+    """
+    at = lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"), "value")
+    blocks = settle(at.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("row").alias("first")))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocks = blocks.select("file", "block", (before - F.col("first")).alias("shift"))
+    if blocks.count() <= MOST_BLOCKS:
+        blocks = F.broadcast(blocks)
+    return at.join(blocks, ["file", "block"]).select("file", (F.col("row") + F.col("shift")).alias("no"), "value")
+
+
 def read_sequences(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """(file, seq_no, seq) of every record of FASTA and FASTQ files; Spark unpacks .gz. One task reads a file."""
-    whole = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_name").alias("file"))
-    name = F.regexp_replace(F.lower("file"), r"\.gz$", "")
-    seqs = F.when(name.rlike(r"\.(fq|fastq)$"), fastq_records(F.col("value"))).otherwise(fasta_records(F.col("value")))
-    return whole.select("file", F.posexplode(seqs).alias("seq_no", "seq"))
+    """(file, seq_no, seq) of every record of FASTA and FASTQ files; Spark unpacks .gz.
+
+    Files are streamed: of FASTQ, a row is a line, of which every second of four is kept by its number; of FASTA, a row is
+    a record. Tasks read blocks of plain files and whole gzip ones, and hold a record at a time. A name that ends in
+    neither is FASTA. seq_no has gaps where records are empty. A missing file or a broken archive is an error.
+    """
+    paths = files_of(spark, path)
+    fastq, fasta = [p for p in paths if is_fastq(p)], [p for p in paths if not is_fastq(p)]
+    out = []
+    if fastq:
+        lines = numbered(spark.read.option("lineSep", "\n").text(fastq))
+        out.append(lines.where(F.col("no") % 4 == 1).select("file", F.floor(F.col("no") / 4).alias("seq_no"), F.regexp_replace("value", EDGES, "").alias("seq")))
+    if fasta:
+        records = numbered(spark.read.option("lineSep", "\n>").text(fasta))
+        text = F.when(F.col("no") == 0, F.col("value")).otherwise(F.concat(F.lit(">"), "value"))
+        out.append(records.select("file", F.col("no").alias("seq_no"), F.explode(fasta_records(text)).alias("seq")))
+    if not out:
+        raise FileNotFoundError(f"no file at {path}")
+    return out[0] if len(out) == 1 else out[0].unionByName(out[1])
 
 
 def read_genomes(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """(genomes, sequences) of the FASTA files of a folder, not of those below it.
 
-    genomes: gid (by file name), name, n_contigs; sequences: gid, seq_no, seq.
+    genomes: gid (by file name), name, n_contigs, which is 0 for a file without sequences; sequences: gid, seq_no, seq.
     """
-    seqs = read_sequences(spark, f"{folder.rstrip('/')}/*").where(F.regexp_replace(F.lower("file"), r"\.gz$", "").rlike(r"\.(fa|fasta|fna)$"))
-    files = seqs.groupBy("file").agg(F.count("*").alias("n_contigs"))
-    files = files.withColumn("gid", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("file")) - 1)  # one row per file
-    if files.isEmpty():
+    paths = [p for p in files_of(spark, folder) if is_fasta(p)]
+    if not paths:
         raise FileNotFoundError(f"no FASTA file in {folder}")
-    return files.select("gid", stem_column(F.col("file")).alias("name"), "n_contigs"), seqs.join(files.select("gid", "file"), "file").select("gid", "seq_no", "seq")
+    names = sorted(PurePosixPath(p).name for p in paths)
+    listed = spark.createDataFrame([(k, n, stem(n)) for k, n in enumerate(names)], "gid long, file string, name string")  # a row per file
+    seqs = read_sequences(spark, paths).withColumn("file", source_name_of(F.col("file")))
+    seqs = seqs.join(listed.select("gid", "file"), "file").select("gid", "seq_no", "seq")
+    n = seqs.groupBy("gid").agg(F.count("*").alias("n_contigs"))
+    return listed.join(n, "gid", "left").select("gid", "name", F.coalesce("n_contigs", F.lit(0)).alias("n_contigs")), seqs
 
 
 def write_fasta(rows: list[tuple[str, str]], path: str, width: int = 60) -> None:

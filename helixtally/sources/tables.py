@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from helixtally.functions.dna import from_hex, to_hex
+from helixtally.sources import fastx
 
 # The header words and columns of the text formats.
 DB_HEADER, UNIQUE_HEADER = "#helixtally-db", "#unique"
@@ -16,7 +19,10 @@ COMMUNITY_COLUMNS = ("#species", "cluster", "abundance", "coverage", "support",
 
 
 def database_lines(db: DataFrame, enzymes: list[str]) -> DataFrame:
-    """(line) of a database (unit, marker, is_unique): a header, its unique markers, and a line per unit."""
+    """(line) of a database (unit, marker, is_unique): a header, its unique markers, and a line per unit.
+
+    The exchange form, for databases of a size at which a line may hold a unit's markers; save_database has no such bound.
+    """
     units = db.groupBy("unit").agg(F.array_join(F.sort_array(F.collect_list(to_hex(F.col("marker")))), ",").alias("m"))
     head = units.agg(F.count("*").alias("n")).select(F.lit(0).alias("k"), F.concat(F.lit(f"{DB_HEADER}\t"), F.col("n"), F.lit("\t" + ",".join(enzymes))).alias("line"))
     unique = db.where("is_unique").agg(F.array_join(F.sort_array(F.collect_set(to_hex(F.col("marker")))), ",").alias("m")).where("m <> ''")
@@ -24,26 +30,43 @@ def database_lines(db: DataFrame, enzymes: list[str]) -> DataFrame:
     return lines.union(units.select(F.lit(2), F.concat_ws("\t", "unit", "m"))).orderBy("k", "line").select("line")
 
 
+def save_database(db: DataFrame, path: str, enzymes: list[str]) -> None:
+    """A database (unit, marker, is_unique) as a Parquet table, with the enzymes beside; rows of a unit are kept together."""
+    db.select("unit", "marker", "is_unique", F.array(*map(F.lit, enzymes)).cast("array<string>").alias("enzymes")).sortWithinPartitions("unit", "marker").write.mode("overwrite").parquet(path)
+
+
+def load_database(spark: SparkSession, path: str, species: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The same three tables as read_databases, of a Parquet database; the species is the folder's stem if none is given."""
+    held = spark.read.parquet(path)
+    name = F.lit(species or fastx.stem(path))
+    head = held.agg(F.first("enzymes").alias("enzymes")).select(name.alias("species"), "enzymes")  # one row
+    return head, held.select(name.alias("species"), "unit", "marker").distinct(), held.where("is_unique").select(name.alias("species"), "marker").distinct()
+
+
 def read_databases(spark: SparkSession, path: str | list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(species, units, unique) of database files; the species is the file's stem, of files that hold nothing too.
+    """(species, units, unique) of text database files; the species is the file's stem.
 
-    Lines that begin with # and blank ones are left out, and so are markers that are no hexadecimal number.
+    Files are read by lines. Lines that begin with # and blank ones are left out, and so are markers that are no
+    hexadecimal number. A file that holds nothing is an empty database, and so is one that can't be read as UTF-8 text.
     """
-    whole = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_name").alias("file"))
-    whole = whole.where(~F.col("file").contains(".members.")).withColumn("species", F.regexp_replace("file", r"\.[^.]*$", ""))
-    lines = whole.select("species", F.explode(F.split("value", r"\r?\n")).alias("line"))
+    names = sorted({fastx.source_name(p) for p in fastx.files_of(spark, path)})
+    listed = spark.createDataFrame([(re.sub(r"\.[^.]*$", "", n),) for n in names if ".members." not in n], "species string").distinct()
+    raw = spark.read.option("ignoreCorruptFiles", "true").text(path).select("value", fastx.source_name_of(F.col("_metadata.file_path")).alias("file"))
+    raw = raw.where(~F.col("file").contains(".members.")).select(F.regexp_replace("file", r"\.[^.]*$", "").alias("species"), F.regexp_replace("value", r"\r$", "").alias("line"))
+    broken = raw.where(~F.is_valid_utf8("line")).select("species").distinct()
+    lines = raw.join(broken, "species", "left_anti")
     parts = F.split("line", "\t")
     many = lambda df, col: df.withColumn("marker", from_hex(F.trim("h"))).where("marker IS NOT NULL").select("species", *col, "marker").distinct()
     body = lines.where("line NOT LIKE '#%' AND trim(line) <> ''").select("species", parts[0].alias("unit"), F.explode(F.split(F.coalesce(F.get(parts, 1), F.lit("")), ",")).alias("h"))
     named = lines.where(F.col("line").startswith(f"{UNIQUE_HEADER}\t")).select("species", F.explode(F.split(F.coalesce(F.get(parts, 1), F.lit("")), ",")).alias("h"))
     head = lines.where(F.col("line").rlike(ANY_HEADER)).select("species", F.split(F.get(parts, 2), ",").alias("enzymes"))
-    return whole.select("species").distinct().join(head, "species", "left"), many(body, ["unit"]), many(named, [])
+    return listed.join(head, "species", "left"), many(body, ["unit"]), many(named, [])
 
 
 def read_abundances(spark: SparkSession, path: str) -> DataFrame:
     """(name, abundance) of the first two columns; the last of a repeated name holds, odd numbers are left out."""
-    whole = spark.read.text(path, wholetext=True)
-    return abundances(whole.select(F.posexplode(F.split("value", "\n")).alias("line_no", "line")))
+    lines = fastx.numbered(spark.read.text(path))
+    return abundances(lines.select(F.col("no").alias("line_no"), F.col("value").alias("line")))
 
 
 def abundances(lines: DataFrame) -> DataFrame:
@@ -56,11 +79,13 @@ def abundances(lines: DataFrame) -> DataFrame:
 
 def read_predictions(spark: SparkSession, path: str | list[str], column: str = "global_abundance") -> DataFrame:
     """(sample, species, value): the chosen column by its header, the largest of a species' clusters."""
-    whole = spark.read.text(path, wholetext=True).select(F.split(F.col("_metadata.file_name"), r"\.")[0].alias("sample"), F.split("value", r"\r?\n").alias("lines"))
-    head = F.split(F.regexp_replace(F.col("lines")[0], "^#", ""), "\t")
-    rows = whole.select("sample", F.array_position(head, "species").alias("s"), F.array_position(head, column).alias("c"), F.explode(F.slice("lines", 2, F.size("lines"))).alias("line"))
-    parts = F.split("line", "\t")
-    got = rows.where("line <> '' AND s > 0 AND c > 0").select("sample", F.get(parts, (F.col("s") - 1).cast("int")).alias("species"), F.get(parts, (F.col("c") - 1).cast("int")).try_cast("double").alias("value"))
+    lines = fastx.numbered(spark.read.text(path)).withColumn("value", F.regexp_replace("value", r"\r$", ""))
+    head = F.split(F.regexp_replace("value", "^#", ""), "\t")
+    heads = lines.where("no = 0").select("file", F.array_position(head, "species").alias("s"), F.array_position(head, column).alias("c")).where("s > 0 AND c > 0")
+    parts = F.split("value", "\t")
+    rows = lines.where("no > 0 AND value <> ''").join(heads, "file")  # a row per file
+    sample = F.split(fastx.source_name_of(F.col("file")), r"\.")[0]
+    got = rows.select(sample.alias("sample"), F.get(parts, (F.col("s") - 1).cast("int")).alias("species"), F.get(parts, (F.col("c") - 1).cast("int")).try_cast("double").alias("value"))
     return got.where("value IS NOT NULL").groupBy("sample", "species").agg(F.max("value").alias("value"))
 
 

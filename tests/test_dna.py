@@ -125,6 +125,49 @@ def test_files(spark, tmp_path):
     assert [(r.gid, r.name, r.n_contigs) for r in genomes.orderBy("gid").collect()] == [(0, "g", 2), (1, "g", 2), (2, "w", 1)]
 
 
+def test_streamed_files(spark, tmp_path):
+    """Files over many blocks, and gzip ones, give what a whole read gives; broken ones are errors."""
+    rng = np.random.default_rng(3)
+    reads = ["".join(rng.choice(list("ACGT"), int(rng.integers(0, 90)))) for _ in range(3000)]
+    fastq = "".join(f"@r{i}\n{s}\n+\n{'@' * len(s)}\n" for i, s in enumerate(reads))
+    fasta = "".join(f">c{i}>x\n{s[:40]}\n{s[40:]}\n" for i, s in enumerate(reads))
+    for name, text in (("r.fastq", fastq), ("g one+two.fa", fasta)):
+        (tmp_path / name).write_text(text)
+        with gzip.open(tmp_path / f"{name}.gz", "wt") as f:
+            f.write(text)
+    (tmp_path / "empty.fna").write_text("")
+    (tmp_path / "names.fna").write_text(">only\n>names")
+    (tmp_path / "below").mkdir()
+    (tmp_path / "below" / "x.fa").write_text(">a\nACGT\n")
+    (tmp_path / "bare.fa").write_text("ACGT\n>b\nGG\n >c\nTT")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        for name in ("r.fastq", "r.fastq.gz"):
+            got = fastx.read_sequences(spark, str(tmp_path / name)).collect()
+            assert [r.seq for r in sorted(got, key=lambda r: r.seq_no)] == reads
+        for name in ("g one+two.fa", "g one+two.fa.gz"):
+            df = fastx.read_sequences(spark, str(tmp_path / name))
+            assert name.endswith("gz") or df.rdd.getNumPartitions() > 5
+            assert [r.seq for r in sorted(df.collect(), key=lambda r: r.seq_no)] == [s for s in reads if s]
+        both = fastx.read_sequences(spark, [str(tmp_path / "r.fastq"), str(tmp_path / "bare.fa")])
+        assert both.count() == 3003
+        genomes, seqs = fastx.read_genomes(spark, str(tmp_path))
+        n = sum(map(bool, reads))
+        assert [(r.name, r.n_contigs) for r in genomes.orderBy("gid").collect()] == [("bare", 3), ("empty", 0), ("g one+two", n), ("g one+two", n), ("names", 0)]
+        assert seqs.where("gid = 0").count() == 3
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    (tmp_path / "bad.fq.gz").write_bytes((tmp_path / "r.fastq.gz").read_bytes()[:500])
+    with pytest.raises(Exception, match="(?i)unexpected end|eof"):
+        fastx.read_sequences(spark, str(tmp_path / "bad.fq.gz")).collect()
+    with pytest.raises(FileNotFoundError):
+        fastx.read_sequences(spark, str(tmp_path / "none.fq"))
+    (tmp_path / "none").mkdir()
+    with pytest.raises(FileNotFoundError):
+        fastx.read_genomes(spark, str(tmp_path / "none"))
+
+
 def test_abundance_lines(spark):
     lines = ["#name\tabundance", "A\t0.7", " B\t0.3 ", "", "C\tx", "A\t0.6"]
     df = spark.createDataFrame(list(enumerate(lines)), "line_no int, line string")
