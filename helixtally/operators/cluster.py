@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixtally.functions.dna import splitmix64, unsigned_order
+from helixtally.operators.totals import with_totals
 from helixtally.sources.store import settle
 
 SIMILARITY, SKETCH, EXACT_UP_TO = 0.95, 2000, 96
@@ -20,7 +21,7 @@ def sizes(genomes: DataFrame, markers: DataFrame, *scope: str) -> DataFrame:
 def similarities(genomes: DataFrame, markers: DataFrame, *scope: str) -> DataFrame:
     """(scope, a, b, shared, na, nb, jaccard, containment) of the pairs a < b that share a marker, or are both empty.
 
-    Joined on the marker, so pairs that share nothing never arise. Two empty sets have similarity 1, an empty one and
+    Joined on the marker, so pairs that share nothing never arise; of the empty sets, only pairs with the first. Two empty sets have similarity 1, an empty one and
     another have 0.
     """
     held = markers.select(*scope, "gid", "marker").distinct()
@@ -29,9 +30,8 @@ def similarities(genomes: DataFrame, markers: DataFrame, *scope: str) -> DataFra
     n = sizes(genomes, markers, *scope)
     na, nb = n.withColumnRenamed("gid", "a").withColumnRenamed("n", "na"), n.withColumnRenamed("gid", "b").withColumnRenamed("n", "nb")
     out = shared.join(na, [*scope, "a"]).join(nb, [*scope, "b"])
-    empty = n.where("n = 0").drop("n")  # a chain through them links as all their pairs would
-    by = Window.partitionBy(*scope).orderBy("gid") if scope else Window.partitionBy(F.lit(1)).orderBy("gid")
-    chain = empty.select(*scope, F.lag("gid").over(by).alias("a"), F.col("gid").alias("b")).where("a IS NOT NULL").select(*scope, "a", "b", F.lit(0).cast("long").alias("shared"), F.lit(0).cast("long").alias("na"), F.lit(0).cast("long").alias("nb"))
+    none = F.lit(0).cast("long")
+    chain = empties(genomes, markers, *scope).select(*scope, "a", "b", none.alias("shared"), none.alias("na"), none.alias("nb"))
     out = out.select(*scope, "a", "b", "shared", "na", "nb").unionByName(chain)
     both_empty = (F.col("na") == 0) & (F.col("nb") == 0)
     jaccard = F.when(both_empty, 1.0).otherwise(F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared")))
@@ -114,10 +114,9 @@ def linked(genomes: DataFrame, markers: DataFrame, *scope: str, threshold: float
 
 
 def empties(genomes: DataFrame, markers: DataFrame, *scope: str) -> DataFrame:
-    """(scope, a, b): a chain through the genomes without markers, which links them as all their pairs would."""
-    by = Window.partitionBy(*scope).orderBy("gid") if scope else Window.partitionBy(F.lit(1)).orderBy("gid")
-    n = sizes(genomes, markers, *scope).where("n = 0")
-    return n.select(*scope, F.lag("gid").over(by).alias("a"), F.col("gid").alias("b")).where("a IS NOT NULL")
+    """(scope, a, b): the genomes without markers, each with the first of them, which links them as all their pairs would."""
+    n = sizes(genomes, markers, *scope).where("n = 0").select(*scope, F.col("gid").alias("b"))
+    return with_totals(n, *scope, a=F.min("b")).where("a < b").select(*scope, "a", "b")
 
 
 def sketch_linked(genomes: DataFrame, markers: DataFrame, *scope: str, threshold: float, containment: bool = False) -> DataFrame:
@@ -151,8 +150,7 @@ def single_linkage(genomes: DataFrame, markers: DataFrame, *scope: str, threshol
     0 or less links every pair.
     """
     if threshold <= 0:
-        by = Window.partitionBy(*scope) if scope else Window.partitionBy(F.lit(1))
-        roots = genomes.select(*scope, "gid").distinct().withColumn("root", F.min("gid").over(by))
+        roots = with_totals(genomes.select(*scope, "gid").distinct(), *scope, root=F.min("gid"))
     else:
         options = {"threshold": threshold, "containment": containment}
         if method == "auto":

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from helixtally.operators.database import restrict
 from helixtally.operators.profile import Params, detectable_fraction, min_count, profile
+from helixtally.operators.totals import with_totals
 
 #: The floor of markers is relaxed for shallow species, to this share of itself at most.
 LEAST_FLOOR = 0.25
@@ -78,8 +79,7 @@ def community_profile(db: DataFrame, sample: DataFrame, species: DataFrame | Non
 
 def trace_filter(calls: DataFrame, gates: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
     """Calls of at least this share of all depth; a resolved species that is left without calls is only detected."""
-    total = F.sum("depth").over(Window.partitionBy(F.lit(1)))  # one row per call
-    judged = calls.withColumn("_total", total)
+    judged = with_totals(calls, _total=F.sum("depth"))
     kept = judged.where((F.col("_total") <= 0) | (F.col("depth") / F.col("_total") >= least)).drop("_total")
     sum_ = F.sum("abundance").over(Window.partitionBy("species"))
     kept = kept.withColumn("abundance", F.when(sum_ > 0, F.col("abundance") / sum_).otherwise(F.col("abundance")))

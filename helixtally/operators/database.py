@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from helixtally.operators.totals import with_totals
+
 
 def degree(units: DataFrame, *scope: str, unit: str = "unit", marker: str = "marker") -> DataFrame:
     """(scope, marker, degree): how many units hold a marker."""
@@ -60,5 +62,4 @@ def stats(db: DataFrame, *scope: str, unit: str = "unit", marker: str = "marker"
 def resolvable(db: DataFrame, *scope: str, unit: str = "unit", least: int = 10) -> DataFrame:
     """(scope, unit, panel_n, resolvable, doable): enough unique markers; a scope is doable if any unit has them."""
     out = panels(db, *scope, unit=unit).withColumn("resolvable", F.col("panel_n") >= least)
-    any_ = F.max("resolvable").over(Window.partitionBy(*scope)) if scope else F.max("resolvable").over(Window.partitionBy(F.lit(1)))
-    return out.withColumn("doable", any_).drop("n_markers")
+    return with_totals(out, *scope, doable=F.max("resolvable")).drop("n_markers")

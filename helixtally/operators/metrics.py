@@ -35,19 +35,27 @@ def species_max(calls: DataFrame, value: str, *keys: str) -> DataFrame:
     return calls.groupBy(*keys, "species").agg(F.max(value).alias("value"))
 
 
-def sweep(predicted: DataFrame, truth: DataFrame, thresholds: DataFrame) -> DataFrame:
+def sweep(predicted: DataFrame, truth: DataFrame, thresholds: DataFrame, most: int = 1000) -> DataFrame:
     """(threshold, tp, fp, fn, precision, recall, f1) summed over samples.
 
-    predicted: (sample, species, value); truth: (sample, species), in which a null sample stands for those that have no
-    rows of their own; thresholds: (threshold), a short list.
+    predicted: (sample, species, value), one value each; truth: (sample, species), in which a null sample stands for those
+    that have no rows of their own; thresholds: (threshold), `most` at most. Such samples are not paired with the common
+    species: what they miss is what all of them could have less what they hit.
     """
+    steps = [r[0] for r in thresholds.select("threshold").distinct().limit(most + 1).collect()]
+    if len(steps) > most:
+        raise ValueError(f"more than {most} thresholds")
     samples = predicted.select("sample").distinct()
     own = truth.where("sample IS NOT NULL").select("sample", "species").distinct()
     common = truth.where("sample IS NULL").select("species").distinct()
     without = samples.join(own.select("sample").distinct(), "sample", "left_anti")
-    known = own.join(samples, "sample", "left_semi").unionByName(without.crossJoin(F.broadcast(common))).withColumn("known", F.lit(1))  # samples by a list of species
-    both = predicted.select("sample", "species", "value").join(known, ["sample", "species"], "full_outer")
-    both = both.crossJoin(F.broadcast(thresholds))  # a short list
+    could = without.count() * common.count()
+    known = own.join(samples, "sample", "left_semi").withColumn("known", F.lit(1))
+    held = predicted.select("sample", "species", "value")
+    mine = held.join(without, "sample", "left_anti").join(known, ["sample", "species"], "full_outer").withColumn("own", F.lit(True))
+    rest = held.join(without, "sample", "left_semi").join(common.withColumn("known", F.lit(1)), "species", "left").withColumn("own", F.lit(False))
+    both = mine.unionByName(rest).withColumn("threshold", F.explode(F.array(*[F.lit(float(t)) for t in steps]) if steps else F.array().cast("array<double>")))
     hit, real = F.coalesce(F.col("value") >= F.col("threshold"), F.lit(False)), F.col("known").isNotNull()
     n = lambda c: F.sum(c.cast("long"))
-    return scores(both.groupBy("threshold").agg(n(hit & real).alias("tp"), n(hit & ~real).alias("fp"), n(~hit & real).alias("fn")))
+    missed = n(~hit & real & F.col("own")) + F.lit(could) - n(hit & real & ~F.col("own"))
+    return scores(both.groupBy("threshold").agg(n(hit & real).alias("tp"), n(hit & ~real).alias("fp"), missed.alias("fn")))

@@ -9,6 +9,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from helixtally.operators.cluster import components
+from helixtally.operators.totals import with_totals
+from helixtally.sources.store import settle
+
+#: Linked units that are solved in one task at most.
+DENSE = 2000
 #: A depth from which a marker seen once counts as an error; one in how many detected markers is trimmed.
 SINGLETON_DEPTH, TRIM = 3.0, 100
 
@@ -66,17 +72,14 @@ def supported(stats: DataFrame, p: Params) -> DataFrame:
 
 def normalise(calls: DataFrame, *scope: str) -> DataFrame:
     """calls with abundance: the share of its scope's depth, or equal shares where that is zero."""
-    by = Window.partitionBy(*scope) if scope else Window.partitionBy(F.lit(1))
-    total, n = F.sum("depth").over(by), F.count("*").over(by)
-    return calls.withColumn("abundance", F.when(total > 0, F.col("depth") / total).otherwise(1.0 / n))
+    out = with_totals(calls, *scope, _total=F.sum("depth"), _n=F.count("*"))
+    return out.withColumn("abundance", F.when(F.col("_total") > 0, F.col("depth") / F.col("_total")).otherwise(1.0 / F.col("_n"))).drop("_total", "_n")
 
 
 def keep_abundant(calls: DataFrame, *scope: str, least: float = 0.0) -> DataFrame:
     """The calls of `least` abundance or more, as shares of what is left."""
-    by = Window.partitionBy(*scope) if scope else Window.partitionBy(F.lit(1))
-    out = calls.where(F.col("abundance") >= least)
-    kept = F.sum("abundance").over(by)
-    return out.withColumn("abundance", F.when(kept > 0, F.col("abundance") / kept).otherwise(F.col("abundance")))
+    out = with_totals(calls.where(F.col("abundance") >= least), *scope, _kept=F.sum("abundance"))
+    return out.withColumn("abundance", F.when(F.col("_kept") > 0, F.col("abundance") / F.col("_kept")).otherwise(F.col("abundance"))).drop("_kept")
 
 
 def profile(db: DataFrame, sample: DataFrame, *scope: str, unit: str = "unit", marker: str = "marker", params: Params = Params()) -> DataFrame:
@@ -105,19 +108,23 @@ def elastic_net(x: np.ndarray, y: np.ndarray, **options) -> np.ndarray:
     return from_gram(x.T @ x, x.T @ y, len(y), **options) if x.size else np.zeros(x.shape[1])
 
 
-def regress(db: DataFrame, sample: DataFrame, scope: str, unit: str = "unit", marker: str = "marker", **options) -> DataFrame:
+def regress(db: DataFrame, sample: DataFrame, scope: str, unit: str = "unit", marker: str = "marker", alpha: float = 0.01, l1_ratio: float = 0.5, rounds: int = 1000, tolerance: float = 1e-6, dense: int = DENSE) -> DataFrame:
     """(scope, unit, weight): each scope's sample counts as a non-negative mixture of its units' markers.
 
-    The normal equations are made with joins and sums, so a task gets a row per pair of units that share a marker, and
-    not the markers themselves.
+    The normal equations are made with joins and sums: a row per pair of units that share a marker. Units that no chain of
+    shared markers links don't influence each other, so each group of linked units is solved by itself: one of at most
+    `dense` units in a task, by coordinate descent; the rows of all larger ones together, by rounds of joins and sums.
     """
     held = db.select(scope, unit, marker).distinct()
     seen = held.join(sample.select(marker, "copies"), marker, "left")
     target = seen.groupBy(scope, unit).agg(F.sum(F.coalesce("copies", F.lit(0))).cast("double").alias("target"))
     rows = held.groupBy(scope).agg(F.count_distinct(marker).alias("n"))
-    other = held.withColumnRenamed(unit, "other")
-    gram = held.join(other, [scope, marker]).groupBy(scope, unit, "other").agg(F.count("*").cast("double").alias("gram"))
-    dealt = gram.join(target, [scope, unit]).join(rows, scope)
+    gram = held.join(held.withColumnRenamed(unit, "other"), [scope, marker]).groupBy(scope, unit, "other").agg(F.count("*").cast("double").alias("gram"))
+    dealt = settle(gram.join(target, [scope, unit]).join(rows, scope))
+    nodes = dealt.select(scope, F.col(unit).alias("gid")).distinct()
+    root = components(nodes, dealt.where(F.col(unit) < F.col("other")).select(scope, F.col(unit).alias("a"), F.col("other").alias("b")), scope)
+    size = root.groupBy(scope, "root").agg(F.count("*").alias("size"))
+    dealt = settle(dealt.join(root.join(size, [scope, "root"]).withColumnRenamed("gid", unit), [scope, unit]))
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         names = sorted(pdf[unit].unique())
@@ -125,11 +132,38 @@ def regress(db: DataFrame, sample: DataFrame, scope: str, unit: str = "unit", ma
         g, t = np.zeros((len(names), len(names))), np.zeros(len(names))
         g[pdf[unit].map(at), pdf["other"].map(at)] = pdf["gram"]
         t[pdf[unit].map(at)] = pdf["target"]
-        w = from_gram(g, t, int(pdf["n"].iloc[0]), **options)
+        w = from_gram(g, t, int(pdf["n"].iloc[0]), alpha, l1_ratio, rounds, tolerance)
         return pd.DataFrame({scope: pdf[scope].iloc[0], unit: names, "weight": w})
 
     kind = dict(db.dtypes)
-    return dealt.groupBy(scope).applyInPandas(solve, f"{scope} {kind[scope]}, {unit} {kind[unit]}, weight double")
+    out = dealt.where(F.col("size") <= dense).groupBy(scope, "root").applyInPandas(solve, f"{scope} {kind[scope]}, {unit} {kind[unit]}, weight double")
+    large = dealt.where(F.col("size") > dense)
+    return out if large.isEmpty() else out.unionByName(descend(large, scope, unit, alpha, l1_ratio, rounds, tolerance))
+
+
+def descend(dealt: DataFrame, scope: str, unit: str, alpha: float, l1_ratio: float, rounds: int, tolerance: float) -> DataFrame:
+    """The same weights from rows (scope, unit, other, gram, target, n), by accelerated projected steps.
+
+    A round joins the weights to the rows and sums per unit. Each unit's step is bounded by the sum of its row, which
+    keeps every round a descent; momentum starts anew where it would undo progress.
+    """
+    lasso, ridge = alpha * l1_ratio * F.col("n"), alpha * (1 - l1_ratio) * F.col("n")
+    fixed = settle(dealt.groupBy(scope, unit).agg((F.sum("gram") + F.first(ridge)).alias("step"), F.first(F.col("target") - lasso).alias("pull"), F.first(ridge).alias("ridge")))
+    state = settle(fixed.select(scope, unit, F.lit(0.0).alias("w"), F.lit(0.0).alias("ahead")))
+    t = 1.0
+    for _ in range(rounds):
+        product = dealt.join(state.select(scope, F.col(unit).alias("other"), "ahead"), [scope, "other"]).groupBy(scope, unit).agg(F.sum(F.col("gram") * F.col("ahead")).alias("product"))
+        now = product.join(fixed, [scope, unit]).join(state, [scope, unit])
+        fresh = F.greatest(F.lit(0.0), F.col("ahead") + (F.col("pull") - F.col("product") - F.col("ridge") * F.col("ahead")) / F.col("step"))
+        now = settle(now.select(scope, unit, "step", "ahead", F.col("w").alias("old"), fresh.alias("w")))
+        moved, against = now.agg(F.max(F.abs(F.col("w") - F.col("ahead"))), F.sum(F.col("step") * (F.col("ahead") - F.col("w")) * (F.col("w") - F.col("old")))).first()
+        if moved < tolerance:
+            break
+        faster = 1.0 if against > 0 else (1 + (1 + 4 * t * t) ** 0.5) / 2
+        push = 0.0 if against > 0 else (t - 1) / faster
+        t = faster
+        state = now.select(scope, unit, "w", (F.col("w") + push * (F.col("w") - F.col("old"))).alias("ahead"))
+    return now.select(scope, unit, F.col("w").alias("weight"))
 
 
 def from_gram(gram: np.ndarray, target: np.ndarray, n: int, alpha: float = 0.01, l1_ratio: float = 0.5, rounds: int = 1000, tolerance: float = 1e-6) -> np.ndarray:

@@ -177,6 +177,20 @@ def test_regression_over_spark(spark):
     assert got["A"] == pytest.approx(2, abs=1e-3) and got["B"] == pytest.approx(3, abs=1e-3)
 
 
+def test_regression_by_rounds(spark):
+    """Large groups of linked units, solved by joins, have the weights of a plain solver; so have small groups beside them."""
+    rng = np.random.default_rng(5)
+    sets = {f"u{k}": set(rng.choice(120, 40, replace=False).tolist()) for k in range(6)} | {"lone": set(range(1000, 1040))}
+    counts = {m: int(rng.integers(0, 9)) for m in [*range(120), *range(1000, 1040)]}
+    db = units(spark, sets).withColumn("species", F.lit("s"))
+    names, every = sorted(sets), sorted(set().union(*sets.values()))
+    x = np.array([[m in sets[n] for n in names] for m in every], float)
+    want = dict(zip(names, profile.elastic_net(x, np.array([counts[m] for m in every], float), tolerance=1e-9), strict=True))
+    for dense in (0, 3, 100):
+        got = {r.unit: r.weight for r in profile.regress(db, sample(spark, counts), "species", dense=dense, tolerance=1e-4).collect()}
+        assert got == {n: pytest.approx(w, abs=0.02) for n, w in want.items()}
+
+
 @pytest.mark.parametrize("present,total,gate,reach,want", [
     (250, 5000, (200, 0.0, 10), 1.0, "resolved"), (50, 5000, (200, 0.0, 10), 1.0, "detected"), (5, 5000, (200, 0.0, 10), 1.0, "absent"),
     (300, 5000, (200, 0.1, 10), 1.0, "detected"), (600, 5000, (200, 0.1, 10), 1.0, "resolved"), (150, 150, (200, 0.0, 10), 1.0, "detected"),
