@@ -40,9 +40,9 @@ pairs AS (SELECT s.species, a, b, shared, x.n AS na, y.n AS nb, shared / (x.n +
 empties AS (SELECT x.species, x.gid AS a, y.gid AS b FROM sizes x JOIN sizes y ON x.species = y.species AND x.gid < y.gid AND x.n = 0 AND y.n = 0)"""
 
 
-def linkage(condition: str) -> str:
+def linkage(condition: str, empty: bool = True) -> str:
     return f"""{PAIRS},
-edges AS (SELECT species, a, b FROM pairs WHERE {condition} UNION SELECT * FROM empties),
+edges AS (SELECT species, a, b FROM pairs WHERE {condition} UNION SELECT * FROM empties WHERE {empty}),
 both_ways AS (SELECT species, a, b FROM edges UNION SELECT species, b, a FROM edges),
 reach AS (SELECT species, gid, gid AS other FROM genomes UNION SELECT r.species, r.gid, e.b FROM reach r JOIN both_ways e ON e.species = r.species AND e.a = r.other),
 roots AS (SELECT species, gid, min(other) AS root FROM reach GROUP BY ALL),

@@ -118,6 +118,56 @@ def database_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return held.withColumn("marker", from_hex(F.col("h"))).where("marker IS NOT NULL").groupBy("species", "unit").agg(F.count("*").alias("n"))
 
 
+def _read_back(db: DataFrame, unique: DataFrame) -> DataFrame:
+    n = db.groupBy("species").agg(F.count_distinct("unit").alias("n_units"), F.count("*").alias("n_markers"))
+    return n.join(unique.groupBy("species").agg(F.count("*").alias("n_unique")), "species", "left")
+
+
+_FILES = "d AS (SELECT species, unit, marker, count(*) OVER (PARTITION BY species, marker) AS degree FROM held)"
+
+
+@query(f"""WITH {o.INCIDENCE}, {_FILES} SELECT 's' || species AS species, 'BcgI,AloI' AS enzymes, count(DISTINCT unit) AS n_units, count(*) AS n_markers, sum((degree = 1)::INT)::BIGINT AS n_unique FROM d GROUP BY ALL
+UNION ALL SELECT 'none', 'BcgI,AloI', 0, 0, 0""")
+def database_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Databases of five species, and an empty one, written as text files and read as a folder."""
+    folder, db = scratch(spark.sparkContext, "databases"), settle(database.build(fx.incidence(spark, sf_dir), "species"))
+    for name, k in [(f"s{k}", k) for k in range(5)] + [("none", -1)]:
+        mine = db.where(F.col("species") == k).select(F.col("unit").cast("string").alias("unit"), "marker", "is_unique")
+        tables.write_lines(tables.database_lines(mine, ["BcgI", "AloI"]), f"{folder}/{name}.tsv")
+    species, units, unique = tables.read_databases(spark, f"{folder}/*.tsv")
+    got = _read_back(units, unique)
+    return species.join(got, "species", "left").select("species", F.array_join("enzymes", ",").alias("enzymes"), *(F.coalesce(c, F.lit(0)).alias(c) for c in ("n_units", "n_markers", "n_unique")))
+
+
+@query(f"WITH {o.INCIDENCE}, {_FILES} SELECT unit, count(*) AS n_markers, sum((degree = 1)::INT)::BIGINT AS n_unique, 'x' AS species, 'BcgI' AS enzymes FROM (SELECT unit, marker, count(*) OVER (PARTITION BY marker) AS degree FROM held) GROUP BY unit")
+def database_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One database as a Parquet table and back."""
+    path = f"{scratch(spark.sparkContext, 'databases')}/x.parquet"
+    tables.save_database(database.build(fx.incidence(spark, sf_dir).select("unit", "marker")), path, ["BcgI"])
+    species, units, unique = tables.load_database(spark, path)
+    both = units.join(unique.withColumn("u", F.lit(1)), ["species", "marker"], "left").groupBy("species", "unit").agg(F.count("*").alias("n_markers"), F.count("u").alias("n_unique"))
+    return both.join(species.select("species", F.array_join("enzymes", ",").alias("enzymes")), "species")
+
+
+@query("SELECT o_orderstatus AS sample, o_orderpriority || (o_custkey % 50) AS species, max(o_totalprice) AS value FROM orders GROUP BY ALL")
+def prediction_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reports of many clusters per species, a file per sample, written with a header and read by column name."""
+    folder, orders = scratch(spark.sparkContext, "reports"), fx.table(spark, sf_dir, "orders")
+    for sample in ("F", "O", "P"):
+        line = F.concat_ws("\t", F.concat("o_orderpriority", F.col("o_custkey") % 50), F.col("o_orderkey").cast("string"), F.col("o_totalprice").cast("string"))
+        tables.write_lines(orders.where(F.col("o_orderstatus") == sample).select(line.alias("line")), f"{folder}/{sample}.tsv", "#species\tcluster\tglobal_abundance")
+    return tables.read_predictions(spark, f"{folder}/*.tsv")
+
+
+@query("""WITH t AS (SELECT DISTINCT CASE WHEN o_orderstatus = 'F' THEN 'F' END AS sample, o_orderpriority AS species FROM orders) SELECT sample, species, count(*) AS n FROM t GROUP BY ALL""")
+def truth_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A truth of two columns, and one of one that holds for all samples."""
+    path, orders = f"{scratch(spark.sparkContext, 'truth')}/truth.tsv", fx.table(spark, sf_dir, "orders")
+    line = F.when(F.col("o_orderstatus") == "F", F.concat(F.lit("F\t"), "o_orderpriority")).otherwise(F.col("o_orderpriority"))
+    tables.write_lines(orders.select(line.alias("line")).distinct(), path, "# truth")
+    return tables.read_truth(spark, path).groupBy("sample", "species").agg(F.count("*").alias("n"))
+
+
 # --- databases ---
 
 _DEG = f"{o.INCIDENCE}, deg AS (SELECT species, marker, count(*) AS degree FROM held GROUP BY ALL)"
@@ -228,6 +278,25 @@ def linkage_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster.single_linkage(genomes, digest.markers(single.withColumnRenamed("marker", "tag")), "species", method="minhash")
 
 
+@query(f"WITH RECURSIVE {o.TAGS}, {o.linkage('jaccard * (na + nb) / (1 + jaccard) / least(na, nb) >= 0.95', empty=False)} SELECT species, gid, cluster_id, 'C' || cluster_id AS cluster FROM mem")
+def linkage_containment_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sketches of 2000 hold these genomes whole; two empty ones are not linked by them."""
+    genomes, _, single = _singles(spark, sf_dir)
+    return cluster.single_linkage(genomes, digest.markers(single.withColumnRenamed("marker", "tag")), "species", containment=True, method="minhash")
+
+
+_SPLIT = "CASE WHEN lang = 'en' THEN lang ELSE lang || (doc_id % 10) END"
+
+
+@query(f"WITH RECURSIVE {o.TAGS.replace('lang AS species', _SPLIT + ' AS species')}, {o.linkage('jaccard >= 0.95')} SELECT species, gid, cluster_id, 'C' || cluster_id AS cluster FROM mem")
+def linkage_auto(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One large species, which is sketched, and many smaller ones, some of which are compared exactly."""
+    genomes, _, single = _singles(spark, sf_dir)
+    named = F.when(F.col("species") == "en", F.col("species")).otherwise(F.concat("species", F.col("gid") % 10))
+    genomes, single = genomes.withColumn("species", named), single.withColumn("species", named)
+    return cluster.single_linkage(genomes, digest.markers(single.withColumnRenamed("marker", "tag")), "species")
+
+
 def _clustered(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(membership, all markers, single-copy markers)."""
     genomes, gm, single = _singles(spark, sf_dir)
@@ -310,6 +379,26 @@ def regression_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(profile.regress(*_db_sample(spark, sf_dir), "species"), "weight")
 
 
+@query(f"""WITH {o.INCIDENCE}, m AS (SELECT DISTINCT species, unit, unit * 10000000 + marker AS marker FROM held), n AS (SELECT species, count(*) AS n FROM m GROUP BY ALL)
+SELECT species, unit, round(greatest(0, sum(marker % 7)::DOUBLE - 0.01 * 0.5 * n) / (count(*) + 0.01 * (1 - 0.5) * n), 9) AS weight FROM m JOIN n USING (species) GROUP BY species, unit, n""")
+def regression_apart(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Units that share no marker: each weight has a closed form."""
+    held = fx.incidence(spark, sf_dir).withColumn("marker", F.col("unit") * 10000000 + F.col("marker"))
+    sample = held.select("marker", (F.col("marker") % 7).alias("copies"))
+    return rounded(profile.regress(held, sample, "species"), "weight")
+
+
+@query(f"WITH RECURSIVE {o.CLUSTERS}, {o.stats('db')}, {o.CALLS} SELECT unit, support::BIGINT AS support, n_markers FROM calls WHERE species = 'en'")
+def profile_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report of one species, written as text with its header and read again."""
+    path = f"{scratch(spark.sparkContext, 'reports')}/en.tsv"
+    db, sample = _db_sample(spark, sf_dir)
+    calls = profile.profile(db.where("species = 'en'").drop("species"), sample)
+    tables.write_lines(tables.profile_lines(calls), path, "\t".join(tables.PROFILE_COLUMNS))
+    parts = F.split("value", "\t")
+    return spark.read.text(path).where("value NOT LIKE '#%'").select(parts[0].alias("unit"), parts[3].cast("long").alias("support"), parts[5].cast("long").alias("n_markers"))
+
+
 # --- communities ---
 
 
