@@ -8,11 +8,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from helixtally.functions.arrow import STEP_BYTES, buffers, steps  # noqa: F401  for the operators
 from helixtally.sources.store import discard, scratch, settle, stored  # noqa: F401  for the operators
 
 U64 = np.uint64
-#: Bytes of text that one vectorised step looks at; a longer document is a step of its own.
-STEP_BYTES = 1 << 17
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 NOT_SPACE = ~SPACE
@@ -106,30 +105,6 @@ def fixed_grams(data: np.ndarray, k: int) -> np.ndarray:
     return mix(x) if size == k else x[:0]
 
 
-def buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The UTF-8 bytes of a string column and where each row starts (one more than rows); null is empty."""
-    if isinstance(col, pa.ChunkedArray):
-        col = col.combine_chunks()
-    if col.null_count:
-        col = col.fill_null("")
-    kind = np.int64 if pa.types.is_large_string(col.type) else np.int32
-    if not len(col):
-        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
-    off = np.frombuffer(col.buffers()[1], kind)[col.offset : col.offset + len(col) + 1].astype(np.int64)
-    data = np.frombuffer(col.buffers()[2], np.uint8) if col.buffers()[2] is not None else np.zeros(0, np.uint8)
-    return data[off[0] : off[-1]], off - off[0]
-
-
-def steps(col: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, end row, bytes, offsets) of runs of rows of STEP_BYTES at most, or of one row."""
-    data, off = buffers(col)
-    i, n = 0, len(off) - 1
-    while i < n:
-        j = max(i + 1, int(np.searchsorted(off, off[i] + STEP_BYTES, "right")) - 1)
-        yield i, j, data[off[i] : off[j]], off[i : j + 1] - off[i]
-        i = j
-
-
 def designated(gram: np.ndarray, ends: np.ndarray, k: int, w: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(anchor, first, last): each run of k + w - 1 units has one anchor, the first of its least k-grams; an anchor's runs
     start from `first` to `last`. Equal runs have their anchors at the same place. gram, ends: as for `selected`.

@@ -124,7 +124,8 @@ def piece_batches(path: Callable[[], str], capacity: int) -> Callable[[Iterator[
 def pieces_of(docs: DataFrame, path: Callable[[], str] | None = None, capacity: int = CAPACITY) -> DataFrame:
     """doc_id, piece, start, length and ids_crc32 of every document's ids and the id 0 after them, cut at capacity.
 
-    A null or empty text is the id 0 alone; null ids and repeated rows are packed like others.
+    A null or empty text is the id 0 alone; null ids and repeated rows are packed like others. A very long text is cut in
+    the task that encodes it. Other columns of docs don't come out, so their names can't clash.
     """
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(piece_batches(path or vocabulary_path(TOKENIZER), capacity), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
@@ -255,7 +256,9 @@ def evolve_pool(pool: DataFrame, capacity: int = CAPACITY, shard: int = SHARD, i
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """pieces (with length) and their sequence_id, offset and n_in_sequence's load (sequence_length).
 
-    No piece may be longer than capacity; an empty table gives no rows.
+    No piece may be longer than capacity; an empty table gives no rows. Of bins that fit equally well the first takes a
+    piece, and of equally good groupings that of the last island counts; the numbers of sequences may be any. pieces must
+    have no columns named uid, sequence_id, offset or sequence_length.
     """
     held = settle(pieces.withColumn("uid", F.monotonically_increasing_id()))
     full = held.where(F.col("length") >= capacity).select("uid", (F.col("uid") * 4).alias("sequence_id"), F.lit(0).cast("long").alias("offset"), F.col("length").alias("sequence_length"))

@@ -145,3 +145,19 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with their base measures and the verdict."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return judge(docs, without=("text",)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("p_good", 9).alias("p_good"))
+
+
+def quality_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op3_quality that don't depend on the vote, which SQL can give."""
+    return op3_quality(spark, sf_dir).drop("kept", "p_good")
+
+
+SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+g AS (SELECT doc_id, i, array_to_string(ws[i:i + 2], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM d)),
+twice AS (SELECT doc_id, g FROM g GROUP BY ALL HAVING count(*) > 1),
+r AS (SELECT doc_id, count(*) AS n FROM (SELECT DISTINCT doc_id, unnest([i, i + 1, i + 2]) AS p FROM g SEMI JOIN twice USING (doc_id, g)) GROUP BY doc_id),
+m AS (SELECT doc_id, t, ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls, coalesce(n, 0) AS n FROM d LEFT JOIN r USING (doc_id))
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(list_sum(list_transform(ws, lambda w: length(w))), 0)::BIGINT AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+  (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, n::BIGINT AS n_repeat_words, len(ws) < 50 OR 100 * n > 50 * len(ws) AS base_failed FROM m
+"""

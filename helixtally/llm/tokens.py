@@ -174,7 +174,8 @@ def token_counts(docs: DataFrame, path: Callable[[], str] | None = None, limit:
     """doc_id, n_bytes, n_tokens and over_limit of every row of docs (doc_id, text).
 
     A null or empty text has no bytes and no tokens; a null id and repeated rows stay as they are. Special strings of the
-    vocabulary inside a text are one token each, as its tokenizer has them by default.
+    vocabulary inside a text are one token each, as its tokenizer has them by default. Of equal ranks the leftmost pair is
+    merged first. A very long text is one step of a task. Other columns of docs don't come out, so their names can't clash.
     """
     slim = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "text")
     return slim.mapInArrow(count_batches(path or vocabulary_path(TOKENIZER), limit), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

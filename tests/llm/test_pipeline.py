@@ -1,11 +1,14 @@
+import zlib
 from pathlib import Path
 
 import brute
 import numpy as np
+import public_tokenizers
 import pytest
+from tokenizers import Tokenizer
 
 import corpus_pipeline
-from helixtally.llm import earliest, neardup, quality
+from helixtally.llm import earliest, neardup, packing, quality
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -42,14 +45,45 @@ def test_run_matches_plain_stages(spark, sf_dir):
     hit = brute.leaks(list(kept.items()), [(item.item_id, item.text)])
     kept = {d: t for d, t in kept.items() if not hit[d][4]}
     got = corpus_pipeline.run(spark, sf_dir).collect()
-    assert {-1 if r.doc_id is None else r.doc_id for r in got} == set(kept) and not {40, 41, 48} & set(kept)
-    assert cut[44][1] > 0 and cut[43][1] == 0
+    assert not {40, 41, 48} & set(kept) and cut[44][1] > 0 and cut[43][1] == 0
+    tok = Tokenizer.from_file(public_tokenizers.path(packing.TOKENIZER))
+    want = set()
+    for d, t in kept.items():
+        ids = np.array([*tok.encode(t or "", add_special_tokens=False).ids, 0], "<u4")
+        want |= {(d, k, s, len(ids[s : s + 2048]), zlib.crc32(ids[s : s + 2048].tobytes())) for k, s in enumerate(range(0, len(ids), 2048))}
+    assert {(-1 if r.doc_id is None else r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got} == want and len(got) == len(want)
     loads: dict = {}
     for r in got:
         loads[r.sequence_id] = loads.get(r.sequence_id, 0) + r.length
     assert max(loads.values()) <= 2048
 
 
+def test_columns_of_any_name_and_repeated_rows(spark, sf_dir):
+    """Each stage keeps the values of columns that are named like its own, and a repeated row's number, but for near-dedup."""
+    names = ["kept", "n_words", "kept_text", "cut_id", "bad_id", "row", "id", "tid", "spans", "hits", "n", "pattern", "component", "n_hit", "items", "p_good"]
+    rng = np.random.default_rng(14)
+    words = lambda n: " ".join(f"{''.join(rng.choice(list('abcdefghijkl'), 5))}" for _ in range(n)) + ".\nEnd."
+    item = spark.read.parquet(f"{sf_dir}/benchmark.parquet").first().text
+    passage = " ".join(words(70).split()[:60])
+    same, first, later, leak = words(120), f"{words(80)} {passage} {words(60)}", f"{words(80)} {passage} {words(60)}", f"{words(90)} {item} {words(60)}"
+    texts = [(1, same), (1, same), (1, same), (2, first), (None, later), (3, later), (4, leak), (None, None)]
+    rows = [(i, t, "en", "s", len(t or ""), *[f"{n}-{k}" for n in names]) for k, (i, t) in enumerate(texts)]
+    docs = spark.createDataFrame(rows, f"{SCHEMA}, " + ", ".join(f"{n} string" for n in names))
+    extra = lambda df: sorted(tuple(r)[5:] for r in df.collect())
+    for (_, stage), gone in zip(corpus_pipeline.STAGES[:-1], ({7}, {1, 2, 5}, {5, 7}, {6}), strict=True):
+        out = stage(spark, docs, sf_dir)
+        assert out.columns == docs.columns and out.dtypes == docs.dtypes
+        got = extra(out)
+        if stage is corpus_pipeline.near_dedup:  # one of the three equal rows, and of the two equal texts that of the null id
+            assert sorted(x[0] for x in got if x[0] not in ("kept-0", "kept-1", "kept-2")) == ["kept-3", "kept-4", "kept-6", "kept-7"] and len(got) == 5
+        else:
+            assert got == sorted(r[5:] for k, r in enumerate(rows) if k not in gone)
+    cut = {r.kept: r for r in corpus_pipeline.passage_dedup(spark, docs, sf_dir).collect()}
+    assert cut["kept-4"].text == later and passage not in cut["kept-3"].text
+    assert cut["kept-3"].n_chars == len(cut["kept-3"].text) < len(first)
+    assert corpus_pipeline.pack(spark, docs, sf_dir).count() == 8
+
+
 def test_stages_return_the_columns_of_documents(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES[:-1]:
