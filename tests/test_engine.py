@@ -239,3 +239,21 @@ def test_stream_equals_batch(spark, tmp_path):
     e = [enzyme("BslFI"), enzyme("CjePI")]
     got = streaming.run_to_table(streaming.stream_counts(streaming.reads_stream(spark, str(tmp_path / "in")), e), "streamed", str(tmp_path / "cp"))
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, streaming.stream_counts(reads, e).collect()))
+
+
+def test_files_that_arrive(spark, tmp_path):
+    """Files that come in batches are counted as one read of all of them would be."""
+    from helixtally.functions.dna import RECOMMENDED
+    from helixtally.operators import digest
+    from helixtally.sources import fastx
+
+    folder, rng = tmp_path / "in", np.random.default_rng(6)
+    folder.mkdir()
+    put = lambda k: (folder / f"r{k}.fq").write_text("".join(f"@r\n{''.join(rng.choice(list('ACGT'), 3000))}\n+\n-\n" for _ in range(5)))
+    for k in range(3):
+        put(k)
+    run = lambda: streaming.count_files(spark, str(folder), RECOMMENDED, str(tmp_path / "out"), str(tmp_path / "cp"), per_batch=2)
+    want = lambda: {(r.enzyme_id, r.tag): r.copies for r in digest.counts(digest.digest(fastx.read_sequences(spark, str(folder)).select("seq"), RECOMMENDED), "enzyme_id").collect()}
+    assert {(r.enzyme_id, r.tag): r.copies for r in run().collect()} == want()
+    put(3)
+    assert {(r.enzyme_id, r.tag): r.copies for r in run().collect()} == want() and len(want()) > 100
