@@ -24,7 +24,7 @@ def duck():
 
 
 def test_every_sql_belongs_to_a_query():
-    assert set(entry.oracle_sql()) <= set(entry.queries()) and set(registry.QUERIES) - set(registry.ORACLES) == {"regression_weights"}
+    assert set(entry.oracle_sql()) <= set(entry.queries()) and set(registry.QUERIES) - set(registry.ORACLES) == {"regression_weights", "multi_enzyme_documents"}
 
 
 @pytest.mark.parametrize("name", CHEAP)
@@ -40,3 +40,23 @@ def test_query_matches_sql(spark, duck, name):
 
 def test_entry(spark):
     assert entry.entry(spark).columns == ["species", "unit", "abundance", "coverage", "support", "depth", "global_abundance", "sample_fraction", "species_abundance", "n_markers"]
+
+
+def test_all_enzymes_over_documents_match_brute_force(spark, tmp_path):
+    import re
+
+    from helixtally.functions.dna import ENZYMES
+    from helixtally.plans import fixture
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("n_chars < 900").limit(12)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    want: dict = {}
+    for r in fixture.sequences(spark, str(tmp_path)).collect():
+        for e in ENZYMES:
+            for i in range(len(r.seq) - e.tag_length + 1):
+                t = r.seq[i : i + e.tag_length]
+                if re.fullmatch(e.regex, t):
+                    key = (e.enzyme_id, min(t, t[::-1].translate(str.maketrans("ACGT", "TGCA"))))
+                    want[key] = want.get(key, 0) + 1
+    got = {(r.enzyme_id, r.tag): r.copies for r in registry.QUERIES["multi_enzyme_documents"](spark, str(tmp_path)).collect()}
+    assert got == want and len({e for e, _ in want}) > 10
