@@ -181,22 +181,23 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     occ = stored(slim.join(dealt, earliest.KEY).mapInArrow(locate_batches, f"{earliest.OCCURRENCE}, {AROUND}"), f"{folder}/occurrences")
     discard(sc, f"{folder}/dealt")
     first = earliest.firsts(occ, "around", folder)
-    return earliest.spans(occ, first, earliest.covered(repeated_windows(first), WINDOW), WINDOW, folder)
+    return earliest.spans(occ, first, earliest.covered(repeated_windows(first, folder), WINDOW), WINDOW, folder)
 
 
-def repeated_windows(first: DataFrame) -> DataFrame:
+def repeated_windows(first: DataFrame, folder: str) -> DataFrame:
     """(code, ctx, at) of the windows of contexts that a context of a smaller first id has too.
 
     A window has SIDE words on one side of its phrase, so it can only recur where those do. What is left are rows of a
-    window each. All is summed up before the shuffle, and joined as one row a key: no task holds a phrase's contexts.
+    window each. All is summed up before the shuffle, stored, and joined as one row a key, so that Spark can split a hot
+    key: no task holds, or need read, all contexts of a phrase.
     """
     w, edge = F.col("around.windows"), F.col("around.edge")
     right = F.struct(F.col("around.right").alias("key"), edge.alias("at"), F.slice(w, edge + 1, F.size(w)).alias("windows"))
     left = F.struct(F.col("around.left").alias("key"), F.lit(0).alias("at"), F.slice(w, 1, edge).alias("windows"))
     halves = first.select("code", "ctx", "first", F.explode(F.array(right, left)).alias("h")).select("code", "ctx", "first", "h.*").where(F.size("windows") > 0)
-    busy = earliest.contested(halves, "key")
+    busy = stored(earliest.contested(halves, "key"), f"{folder}/busy")
     each = halves.join(busy, "key").select("code", "ctx", "first", "at", F.posexplode("windows").alias("i", "window"))
-    least = earliest.contested(each, "window")
+    least = stored(earliest.contested(each, "window"), f"{folder}/least")
     return each.join(least, "window").where("first > low").select("code", "ctx", (F.col("at") + F.col("i")).cast("long").alias("at"))
 
 
