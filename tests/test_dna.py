@@ -84,6 +84,14 @@ def test_same_window_counts_for_each_enzyme(spark):
     assert list(both.values()) == [2]
 
 
+def test_canonical_columns_match_the_digest(spark):
+    tags = ["ACGTT", "AACGT", "ttttt", "GGGCC", "acgnt"]
+    df = spark.createDataFrame([(t,) for t in tags], "t string").select("t", dna.canonical(F.col("t")).alias("c"))
+    assert {r.t: r.c for r in df.collect()} == {t: min(t.upper(), revcomp(t.upper())) for t in tags}
+    cells = np.array([list(t.upper().encode()) for t in tags], np.uint8)
+    assert [bytes(x).decode() for x in dna.canonical_cells(cells)] == [min(t.upper(), revcomp(t.upper())) for t in tags]
+
+
 def test_hashes(spark):
     def fnv(s):
         h = 0xCBF29CE484222325
