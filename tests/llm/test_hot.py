@@ -38,3 +38,21 @@ def test_blocks_are_whole(monkeypatch):
     seen = [t["block"].to_numpy() for t in suffixes.blocks_of(iter(batches))]
     assert np.concatenate(seen).tolist() == blocks.tolist()
     assert all(a[-1] != b[0] for a, b in zip(seen, seen[1:], strict=False)) and max(map(len, seen)) < 40
+
+
+def test_contexts_are_fetched_in_parts(monkeypatch):
+    import pyarrow as pa
+
+    kind = pa.list_(pa.struct([("block", pa.int64()), ("key", pa.int64()), ("split", pa.bool_()), ("code", pa.int64()), ("ctx", pa.int64()), ("at", pa.int32()), ("n", pa.int32()), ("lo", pa.int64())]))
+    text = "".join(chr(97 + k % 26) for k in range(3000))
+    wanted = [[{"block": 1, "key": 2, "split": False, "code": k, "ctx": k, "at": k % 3, "n": 1 + k % 5, "lo": 7 * k} for k in range(50)], [], [{"block": 1, "key": 2, "split": True, "code": 99, "ctx": 9, "at": 0, "n": 2, "lo": 5}]]
+    batch = pa.RecordBatch.from_arrays([pa.array([4, 5, 6]), pa.array([text, None, text[::-1]]), pa.array(wanted, kind)], ["id", "text", "wanted"])
+    for size in (1 << 26, 500):
+        monkeypatch.setattr(suffixes, "FETCH", size)
+        parts = list(suffixes.fetch_batches(iter([batch])))
+        rows = [r for b in parts for r in b.to_pylist()]
+        assert len(parts) == 1 if size > 500 else len(parts) > 5
+        assert [r["first"] for r in rows] == [4] * 50 + [6]
+        for r, w in zip(rows, wanted[0] + wanted[2], strict=True):
+            source = text if r["first"] == 4 else text[::-1]
+            assert r["bytes"].decode() == source[w["lo"] + w["at"] :][: w["n"] + 99] and r["code"] == w["code"]
