@@ -25,7 +25,9 @@ WINDOW, GRAM = 100, 32
 BESIDE = WINDOW - GRAM
 SIDE = BESIDE // 2
 #: Half contexts that are sorted together, about; a larger group of one key is split into blocks, and these are merged.
-BLOCK = 4096
+BLOCK = 2048
+#: Bytes of contexts that are handed on at once, about.
+FETCH = 1 << 26
 
 
 def names_of(keys: np.ndarray) -> tuple[np.ndarray, int]:
@@ -153,10 +155,14 @@ def fetch_batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             asked, row = lists.flatten(), np.repeat(np.arange(j - i), lists.value_lengths().to_numpy(zero_copy_only=False))
             lo = asked.field("lo").to_numpy() + asked.field("at").to_numpy() + off[row]
             size = asked.field("n").to_numpy().astype(np.int64) + (WINDOW - 1)
-            begin = np.repeat(lo - np.cumsum(size) + size, size) + np.arange(size.sum())
-            held = pa.Array.from_buffers(pa.binary(), len(lo), [None, pa.py_buffer(np.append(0, np.cumsum(size)).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data[begin]))])
             kept = ["block", "key", "split", "code", "ctx", "at", "n"]
-            yield pa.RecordBatch.from_arrays([*map(asked.field, kept), b["id"].take(pa.array(row + i)), held], [*kept, "first", "bytes"])
+            ends = np.cumsum(size)
+            cuts = np.searchsorted(ends, np.arange(FETCH, int(ends[-1]) if len(ends) else 0, FETCH), "right").tolist()
+            for a, e in zip([0, *cuts], [*cuts, len(size)], strict=True):  # so that a long document's contexts come in several batches
+                off_ = np.append(0, np.cumsum(size[a:e]))
+                begin = np.repeat(lo[a:e] - off_[:-1], size[a:e]) + np.arange(off_[-1])
+                held = pa.Array.from_buffers(pa.binary(), e - a, [None, pa.py_buffer(off_.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data[begin]))])
+                yield pa.RecordBatch.from_arrays([*(asked.field(c).slice(a, e - a) for c in kept), b["id"].take(pa.array(row[a:e] + i)), held], [*kept, "first", "bytes"])
 
 
 def blocks_of(it: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -222,6 +228,7 @@ def repeats_of(docs: DataFrame, first: DataFrame, folder: str) -> DataFrame:
     left = F.struct(F.col("left").alias("key"), F.lit(0).alias("at"), edge.alias("n"))
     halves = first.select("code", "ctx", "first", "id", "tid", "lo", F.explode(F.array(right, left)).alias("h")).select("code", "ctx", "first", "id", "tid", "lo", "h.*").where("n > 0")
     busy = halves.groupBy("key").agg(F.min("first").alias("low"), F.max("first").alias("high"), F.count("*").alias("m")).where("low < high").select("key", F.ceil(F.col("m") / BLOCK).alias("blocks"))
+    busy = stored(busy, f"{folder}/busy")  # so that Spark can split the join at a hot key
     block = F.xxhash64("key", F.pmod(F.xxhash64("ctx"), F.col("blocks")))
     asked = halves.join(busy, "key").select("id", "tid", F.struct(block.alias("block"), "key", (F.col("blocks") > 1).alias("split"), "code", "ctx", "at", "n", "lo").alias("w"))
     wanted = asked.groupBy(*earliest.KEY).agg(F.collect_list("w").alias("wanted"))
@@ -229,6 +236,7 @@ def repeats_of(docs: DataFrame, first: DataFrame, folder: str) -> DataFrame:
     found = stored(held.repartition("block").sortWithinPartitions("block").mapInArrow(compare_batches, COMPARED), f"{folder}/compared")
     split = found.where("window IS NOT NULL")
     least = split.groupBy("key", "window").agg(F.min("first").alias("low"), F.max("first").alias("high")).where("low < high").select("key", "window", "low")
+    least = stored(least, f"{folder}/least")
     merged = split.join(least, ["key", "window"]).where("first > low")
     runs_ = found.where("window IS NULL").select("code", "ctx", "at", "n").union(merged.select("code", "ctx", "at", "n"))
     return earliest.covered(runs_.select("code", "ctx", F.col("at").cast("long").alias("at"), (F.col("at") + F.col("n") + (WINDOW - 1)).cast("long").alias("end")), WINDOW)
