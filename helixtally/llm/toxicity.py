@@ -23,7 +23,7 @@ PREFIXES = (4, 5, 6)
 LEAST_DOCS, LEAST_Z = 5, 4.0
 #: Grades of severity, 0 for clean.
 GRADES = 4
-PENALTY, ROUNDS, RATE = 1e-3, 400, 0.05
+PENALTY, ROUNDS, RATE = 1e-4, 400, 0.05
 
 
 def features(w: Words) -> tuple[np.ndarray, np.ndarray]:
