@@ -21,7 +21,7 @@ LONGEST, LEAST, COVER, TOP = 5, 100, 100, 2000
 #: Bytes of an id in a key.
 WIDTH = 4
 #: Bytes of text that one step looks at, and words that a range of keys is meant to hold.
-STEP, RANGE_WORDS = 1 << 22, 1 << 20
+STEP, RANGE_WORDS = 1 << 21, 1 << 19
 #: Ranges at most, and keys that are sampled for each, to place its border; the sample decides nothing else.
 RANGES, SAMPLED = 1 << 15, 32
 #: The dictionary goes to all tasks up to this many words and bytes; a larger one is joined with each document's words.
@@ -185,17 +185,20 @@ def deal_batches(held, borders: np.ndarray):
             at = np.concatenate([[0], np.searchsorted(packed(keys), borders), [len(keys)]])
             some = np.flatnonzero(np.diff(at))
             parts = [(keys[at[r] : at[r + 1]].T.tobytes(), n[at[r] : at[r + 1]].astype(np.uint32).tobytes()) for r in some.tolist()]
-            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int64)), pa.array([x for x, _ in parts], pa.binary()), pa.array([x for _, x in parts], pa.binary())], ["range", "ids", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([x for x, _ in parts], pa.binary()), pa.array([x for _, x in parts], pa.binary())], ["range", "ids", "counts"])
 
     return run
 
 
 def range_batches(least: int):
-    """(key, a) of the phrases of each range that occur often enough, and of those at its borders, whatever their count."""
+    """(key, a) of the phrases of a range, which a task holds, that occur often enough, and of those at its borders."""
 
-    def counted(ids: list[bytes], counts: list[bytes]) -> Iterator[pa.RecordBatch]:
-        keys = np.concatenate([np.frombuffer(x, np.uint32).reshape(LONGEST, -1).T for x in ids])
-        n = np.concatenate([np.frombuffer(x, np.uint32) for x in counts]).astype(np.int64)
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [(np.frombuffer(x, np.uint32).reshape(LONGEST, -1).T, np.frombuffer(y, np.uint32)) for b in it for x, y in zip(b["ids"].to_pylist(), b["counts"].to_pylist(), strict=True)]
+        if not parts:
+            return
+        keys, n = np.concatenate([x for x, _ in parts]), np.concatenate([y for _, y in parts]).astype(np.int64)
+        del parts
         order = radix_order(keys)
         keys, n = run_lengths(keys[order], n[order])
         for size in range(2, LONGEST + 1):
@@ -205,19 +208,6 @@ def range_batches(least: int):
             keep[:1] = keep[-1:] = True
             yield pa.RecordBatch.from_arrays([binary(head[keep]), pa.array(a[keep])], ["key", "a"])
 
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, ids, counts = None, [], []
-        for b in it:
-            for r, x, y in zip(b["range"].to_pylist(), b["ids"].to_pylist(), b["counts"].to_pylist(), strict=True):
-                if r != now and ids:
-                    yield from counted(ids, counts)
-                    ids, counts = [], []
-                now = r
-                ids.append(x)
-                counts.append(y)
-        if ids:
-            yield from counted(ids, counts)
-
     return run
 
 
@@ -259,8 +249,8 @@ def counted_phrases(docs: DataFrame, counts: DataFrame, known: DataFrame, least:
     sample = keys.mapInArrow(sample_batches(held, min(1.0, target / max(1.0, total * some))), "key binary").toArrow()["key"].to_pylist()
     sample = np.sort(np.array(sample, f"S{WIDTH * LONGEST}"))
     borders = np.unique(sample[np.arange(1, ranges) * len(sample) // ranges]) if len(sample) else sample
-    dealt = docs.mapInArrow(deal_batches(held, borders), "range long, ids binary, counts binary")
-    runs = dealt.repartition(len(borders) + 1, "range").sortWithinPartitions("range").mapInArrow(range_batches(least), "key binary, a long")
+    dealt = docs.mapInArrow(deal_batches(held, borders), "range int, ids binary, counts binary")
+    runs = dealt.repartitionById(len(borders) + 1, F.col("range")).mapInArrow(range_batches(least), "key binary, a long")
     return stored(runs.groupBy("key").agg(F.sum("a").alias("a")).where(F.col("a") >= least), f"{folder}/phrases")
 
 
