@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import functools
 import sys
 
 from pyspark.sql import DataFrame, SparkSession
@@ -75,6 +76,25 @@ def kept_genomes(spark: SparkSession, a: argparse.Namespace) -> tuple[DataFrame,
     return genomes, counted.join(genomes.select("gid"), "gid", "left_semi")
 
 
+def members_path(out: str) -> str:
+    """Where the membership of a database goes: its name with the extension replaced."""
+    folder, _, name = out.rstrip("/").rpartition("/")
+    stem = name[: name.rindex(".")] if "." in name[1:] else name
+    return f"{folder}{'/' if folder else ''}{stem}.members.tsv"
+
+
+def load_all(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """The same of all databases of a folder, text and Parquet ones together."""
+    names = tables.databases_in(spark, folder)
+    if not names:
+        raise FileNotFoundError(f"no database in {folder}")
+    text = [n for n in names if not n.endswith(".parquet")]
+    parts = [tables.read_databases(spark, text)] if text else []
+    parts += [tables.load_database(spark, n) for n in names if n.endswith(".parquet")]
+    species, units, unique = (functools.reduce(DataFrame.unionByName, x) for x in zip(*parts, strict=True))
+    return species, database.with_unique(database.build(units, "species"), unique, "species")
+
+
 def load(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(species, database) of one text database or several, or of a Parquet one."""
     species, units, unique = tables.load_database(spark, path) if path.rstrip("/").endswith(".parquet") else tables.read_databases(spark, path)
@@ -98,7 +118,7 @@ def run(spark: SparkSession, a: argparse.Namespace) -> None:
             cluster.class_summary(cluster.classify(single, mem)).show()
             db = cluster.cluster_db(single, counted, mem)
             database.resolvable(db).orderBy("unit").show(truncate=False)
-            tables.write_lines(tables.membership_lines(genomes, mem), f"{a.out}.members.tsv", "#genome\tcluster")
+            tables.write_lines(tables.membership_lines(genomes, mem), members_path(a.out), "#genome\tcluster")
         if a.out.endswith(".parquet"):
             tables.save_database(db, a.out, names)
         else:
@@ -112,7 +132,7 @@ def run(spark: SparkSession, a: argparse.Namespace) -> None:
         if a.out:
             tables.write_lines(tables.profile_lines(calls), a.out, "\t".join(tables.PROFILE_COLUMNS))
     elif a.command == "multi-profile":
-        species, db = load(spark, f"{a.db.rstrip('/')}/*.tsv")
+        species, db = load_all(spark, a.db)
         gate = community.Gate(a.min_species_markers, a.min_species_marker_frac, a.min_species_detect)
         sample = sample_of(spark, a.sample, a.enzyme)
         calls, gates = community.community_profile(db, sample, species, params=params_of(a), gate=gate, min_global=a.min_global_abundance, cross_species_filter=not a.no_cross_species_filter)

@@ -10,7 +10,7 @@ from helixtally.operators import cluster, community, database, digest, metrics,
 from helixtally.plans import fixture as fx
 from helixtally.plans import oracles as o
 from helixtally.sources import fastx, tables
-from helixtally.sources.store import scratch, settle
+from helixtally.sources.store import discard, scratch, settle
 from helixtally.streaming import counts as streaming
 
 FLAGSHIP = "multi_profile"
@@ -113,6 +113,23 @@ def fastq_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reads.groupBy("doc_id").agg(F.count("*").alias("n_reads"), F.sum(F.char_length("seq").cast("long")).alias("n_bases"))
 
 
+@query(f"WITH {o.TAGS} SELECT species, marker, count(*) AS copies FROM tags GROUP BY ALL")
+def file_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All contigs as FASTA files and gzip FASTQ files, one or more a species, written, read by ranges and digested."""
+    sc = spark.sparkContext
+    folder = scratch(sc, "sequences")
+    seqs = fx.sequences(spark, sf_dir)
+    fasta = F.concat(F.lit(">"), F.col("gid"), F.lit("\n"), F.col("seq"))
+    fastq = F.concat(F.lit("@"), F.col("gid"), F.lit("\n"), F.col("seq"), F.lit("\n+\n"), F.rpad(F.lit(""), F.char_length("seq"), "I"))
+    seqs.where("gid % 2 = 0").select("species", fasta.alias("value")).write.partitionBy("species").text(f"{folder}/fasta")
+    seqs.where("gid % 2 <> 0").select(F.concat("species", F.lit(".fq")).alias("species"), fastq.alias("value")).write.partitionBy("species").option("compression", "gzip").text(f"{folder}/fastq")
+    read = fastx.read_sequences(spark, f"{folder}/fast*/species=*")
+    tagged = digest.digest(read.select(F.regexp_extract("file", "species=([^/.]*)", 1).alias("species"), "seq"), [fx.CUTTER])
+    out = settle(digest.counts(tagged, "species").withColumnRenamed("tag", "marker"))
+    discard(sc, folder)
+    return out
+
+
 @query("SELECT o_orderpriority AS name, arg_max(o_totalprice, o_orderkey) AS abundance FROM orders GROUP BY ALL")
 def abundance_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = fx.table(spark, sf_dir, "orders")
@@ -406,6 +423,29 @@ def profile_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.text(path).where("value NOT LIKE '#%'").select(parts[0].alias("unit"), parts[3].cast("long").alias("support"), parts[5].cast("long").alias("n_markers"))
 
 
+@query(f"WITH RECURSIVE {o.TAGS}, {o.linkage('jaccard >= 0.95')} SELECT 'g' || gid AS name, 'C' || cluster_id AS cluster FROM mem WHERE species = 'fr'")
+def membership_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The clusters of one species' genomes, written as text and read again."""
+    path = f"{scratch(spark.sparkContext, 'reports')}/fr.members.tsv"
+    genomes, _, single = _singles(spark, sf_dir)
+    own = lambda df: df.where("species = 'fr'").drop("species")
+    members = cluster.single_linkage(own(genomes), own(single), method="exact")
+    tables.write_lines(tables.membership_lines(own(genomes).withColumn("name", F.concat(F.lit("g"), "gid")), members), path, "#genome\tcluster")
+    parts = F.split("value", "\t")
+    return spark.read.text(path).where("value NOT LIKE '#%'").select(parts[0].alias("name"), parts[1].alias("cluster"))
+
+
+@query(f"WITH RECURSIVE {o.community()} SELECT species, unit, support::BIGINT AS support, n_markers FROM calls")
+def community_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report of all species, written as text with its header and read again by its columns' names."""
+    path = f"{scratch(spark.sparkContext, 'reports')}/all.tsv"
+    calls, _ = community.community_profile(*_db_sample(spark, sf_dir))
+    tables.write_lines(tables.community_lines(calls), path, "\t".join(tables.COMMUNITY_COLUMNS))
+    head = [c.lstrip("#") for c in spark.read.text(path).where("value LIKE '#species%'").first()[0].split("\t")]
+    at = lambda c: F.split("value", "\t")[head.index(c)]
+    return spark.read.text(path).where("value NOT LIKE '#%'").select(at("species").alias("species"), at("cluster").alias("unit"), at("support").cast("long").alias("support"), at("n_markers").cast("long").alias("n_markers"))
+
+
 # --- communities ---
 
 

@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 import gzip
+import io
+import json
 import re
+from collections.abc import Iterator
 from pathlib import PurePosixPath
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixtally.sources.store import settle
+from helixtally.sources import records
 
-#: Blocks of files whose row counts are sent to every task; the counts of more of them are joined instead.
-MOST_BLOCKS = 1 << 20
 FASTA, FASTQ = (".fa", ".fasta", ".fna"), (".fq", ".fastq")
 EDGES = r"^[\t\n\x0B\f\r ]+|[\t\n\x0B\f\r ]+$"
 
@@ -81,47 +83,59 @@ def source_name(path: str) -> str:
 
 
 def source_name_of(path: Column) -> Column:
-    """The same of a path as _metadata has it, which is escaped."""
-    path = F.url_decode(F.regexp_replace(path, r"\+", "%2B"))
+    """The same of a column of paths."""
     return F.regexp_extract(F.regexp_replace(path, "/part-[^/]*$", ""), "[^/]*$", 0)
 
 
-def numbered(lines: DataFrame) -> DataFrame:
-    """(file, no, value): rows of a text read, numbered from 0 in each file.
+def read_sequences(spark: SparkSession, path: str | list[str], split_bytes: int | None = None) -> DataFrame:
+    """(file, seq_no, seq) of every record of FASTA and FASTQ files, plain or gzip.
 
-    A first scan counts the rows of each block of a file; no row is shuffled and none is gathered.
+    Tasks read ranges of `split_bytes` (spark.sql.files.maxPartitionBytes if not given) of plain and block-gzip files, each
+    the records that begin in it, and other gzip files whole; a name that ends in neither is FASTA. seq_no is the number of
+    the byte at which a record begins, so it follows the order in the file. A missing file, a broken archive, and a
+    file of several ranges with something else than FASTQ records in it, are errors. Files of a scheme that Arrow
+    doesn't know are read through Spark, each by one task.
     """
-    at = lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"), "value")
-    blocks = settle(at.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("row").alias("first")))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    blocks = blocks.select("file", "block", (before - F.col("first")).alias("shift"))
-    if blocks.count() <= MOST_BLOCKS:
-        blocks = F.broadcast(blocks)
-    return at.join(blocks, ["file", "block"]).select("file", (F.col("row") + F.col("shift")).alias("no"), "value")
+    paths = files_of(spark, path)
+    if not paths:
+        raise FileNotFoundError(f"no file at {path}")
+    return read_ranges(spark, paths, split_bytes)
 
 
-def read_sequences(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """(file, seq_no, seq) of every record of FASTA and FASTQ files; Spark unpacks .gz.
+def read_lines(spark: SparkSession, path: str | list[str], unreadable: str = "error") -> DataFrame:
+    """(file, no, value) of every line of text files, plain or gzip; no is the number of the byte at which a line begins.
 
-    Files are streamed: of FASTQ, a row is a line, of which every second of four is kept by its number; of FASTA, a row is
-    a record. Tasks read blocks of plain files and whole gzip ones, and hold a record at a time. A name that ends in
-    neither is FASTA. seq_no has gaps where records are empty. A missing file or a broken archive is an error.
+    unreadable: "empty" makes a gzip file that can't be unpacked to its end an empty one.
     """
-    paths = files_of(spark, path)
-    fastq, fasta = [p for p in paths if is_fastq(p)], [p for p in paths if not is_fastq(p)]
+    return read_ranges(spark, files_of(spark, path), None, lines="true", unreadable=unreadable).select("file", F.col("seq_no").alias("no"), F.col("seq").alias("value"))
+
+
+def read_ranges(spark: SparkSession, paths: list[str], split_bytes: int | None, **options: str) -> DataFrame:
+    known, other = [p for p in paths if records.readable(p)], [p for p in paths if not records.readable(p)]
     out = []
-    if fastq:
-        lines = numbered(spark.read.option("lineSep", "\n").text(fastq))
-        out.append(lines.where(F.col("no") % 4 == 1).select("file", F.floor(F.col("no") / 4).alias("seq_no"), F.regexp_replace("value", EDGES, "").alias("seq")))
-    if fasta:
-        records = numbered(spark.read.option("lineSep", "\n>").text(fasta))
-        text = F.when(F.col("no") == 0, F.col("value")).otherwise(F.concat(F.lit(">"), "value"))
-        out.append(records.select("file", F.col("no").alias("seq_no"), F.explode(fasta_records(text)).alias("seq")))
-    if not out:
-        raise FileNotFoundError(f"no file at {path}")
+    if known or not other:
+        spark.dataSource.register(records.Fastx)
+        size = split_bytes or int(spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes")))
+        out.append(spark.read.format("fastx").options(**options).option("files", json.dumps(records.sizes(known))).option("splitBytes", size).load())
+    if other:
+        out.append(spark.read.format("binaryFile").load(other).select("path", "content").mapInArrow(whole_files(**options), records.SCHEMA))
     return out[0] if len(out) == 1 else out[0].unionByName(out[1])
 
 
+def whole_files(lines: str = "", unreadable: str = ""):
+    """The same for files whose bytes are a column."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            for path, content in zip(b["path"].to_pylist(), b["content"], strict=True):
+                held = content.as_buffer()
+                p, opening = records.Piece(path, 0, len(held), len(held)), lambda _, held=held: io.BytesIO(held)
+                if unreadable != "empty" or not is_gzipped(path) or records.sound(p, opening):
+                    yield from records.read_piece(p, opening, lines == "true")
+
+    return run
+
+
 def read_genomes(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """(genomes, sequences) of the FASTA files of a folder, not of those below it.
 
@@ -132,7 +146,7 @@ def read_genomes(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame
         raise FileNotFoundError(f"no FASTA file in {folder}")
     names = sorted(PurePosixPath(p).name for p in paths)
     listed = spark.createDataFrame([(k, n, stem(n)) for k, n in enumerate(names)], "gid long, file string, name string")  # a row per file
-    seqs = read_sequences(spark, paths).withColumn("file", source_name_of(F.col("file")))
+    seqs = read_sequences(spark, paths).withColumn("file", F.regexp_extract("file", "[^/]*$", 0))
     seqs = seqs.join(listed.select("gid", "file"), "file").select("gid", "seq_no", "seq")
     n = seqs.groupBy("gid").agg(F.count("*").alias("n_contigs"))
     return listed.join(n, "gid", "left").select("gid", "name", F.coalesce("n_contigs", F.lit(0)).alias("n_contigs")), seqs

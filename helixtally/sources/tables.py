@@ -43,6 +43,17 @@ def load_database(spark: SparkSession, path: str, species: str | None = None) ->
     return head, held.select(name.alias("species"), "unit", "marker").distinct(), held.where("is_unique").select(name.alias("species"), "marker").distinct()
 
 
+def databases_in(spark: SparkSession, folder: str) -> list[str]:
+    """The text (.tsv) and Parquet (.parquet) databases of a folder, by path."""
+    sc = spark.sparkContext
+    where = sc._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = where.getFileSystem(sc._jsc.hadoopConfiguration())
+    if not fs.exists(where):
+        raise FileNotFoundError(f"no folder {folder}")
+    found = [x.getPath().toString() for x in fs.listStatus(where)]
+    return sorted(p for p in found if p.endswith((".tsv", ".parquet")) and not p.endswith(".members.tsv"))
+
+
 def read_databases(spark: SparkSession, path: str | list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(species, units, unique) of text database files; the species is the file's stem.
 
@@ -51,7 +62,7 @@ def read_databases(spark: SparkSession, path: str | list[str]) -> tuple[DataFram
     """
     names = sorted({fastx.source_name(p) for p in fastx.files_of(spark, path)})
     listed = spark.createDataFrame([(re.sub(r"\.[^.]*$", "", n),) for n in names if ".members." not in n], "species string").distinct()
-    raw = spark.read.option("ignoreCorruptFiles", "true").text(path).select("value", fastx.source_name_of(F.col("_metadata.file_path")).alias("file"))
+    raw = fastx.read_lines(spark, path, unreadable="empty").select("value", fastx.source_name_of(F.col("file")).alias("file"))
     raw = raw.where(~F.col("file").contains(".members.")).select(F.regexp_replace("file", r"\.[^.]*$", "").alias("species"), F.regexp_replace("value", r"\r$", "").alias("line"))
     broken = raw.where(~F.is_valid_utf8("line")).select("species").distinct()
     lines = raw.join(broken, "species", "left_anti")
@@ -65,7 +76,7 @@ def read_databases(spark: SparkSession, path: str | list[str]) -> tuple[DataFram
 
 def read_abundances(spark: SparkSession, path: str) -> DataFrame:
     """(name, abundance) of the first two columns; the last of a repeated name holds, odd numbers are left out."""
-    lines = fastx.numbered(spark.read.text(path))
+    lines = fastx.read_lines(spark, path)
     return abundances(lines.select(F.col("no").alias("line_no"), F.col("value").alias("line")))
 
 
@@ -79,7 +90,7 @@ def abundances(lines: DataFrame) -> DataFrame:
 
 def read_predictions(spark: SparkSession, path: str | list[str], column: str = "global_abundance") -> DataFrame:
     """(sample, species, value): the chosen column by its header, the largest of a species' clusters."""
-    lines = fastx.numbered(spark.read.text(path)).withColumn("value", F.regexp_replace("value", r"\r$", ""))
+    lines = fastx.read_lines(spark, path).withColumn("value", F.regexp_replace("value", r"\r$", ""))
     head = F.split(F.regexp_replace("value", "^#", ""), "\t")
     heads = lines.where("no = 0").select("file", F.array_position(head, "species").alias("s"), F.array_position(head, column).alias("c")).where("s > 0 AND c > 0")
     parts = F.split("value", "\t")

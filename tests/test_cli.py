@@ -35,7 +35,7 @@ def test_cluster_profile_and_info(spark, folder, capsys):
     enzyme = ["--enzyme", "BcgI,BslFI"]
     for species in ("one", "two"):
         assert cli.main(["cluster", "--genomes", str(folder / species), "--out", str(folder / f"{species}.tsv"), "--min-tag-fraction", "0.1", *enzyme]) == 0
-    members = lines(folder / "one.tsv.members.tsv")
+    members = lines(folder / "one.members.tsv")
     assert members == ["#genome\tcluster", "a1\tC0", "a2\tC0", "b1\tC1", "b2\tC1"]
     assert "nothing" in capsys.readouterr().out
     assert lines(folder / "one.tsv")[0].endswith("\t2\tBcgI,BslFI")
@@ -43,16 +43,21 @@ def test_cluster_profile_and_info(spark, folder, capsys):
     report = [x.split("\t") for x in lines(folder / "p.tsv")]
     assert report[0][0] == "#strain" and [r[:2] for r in report[1:]] == [["C0", "1.000000"]]
     assert cli.main(["info", "--db", str(folder / "one.tsv")]) == 0
-    (folder / "two.members.tsv").write_text("not a database")
     dbs = folder / "dbs"
     dbs.mkdir()
-    for species in ("one", "two"):
-        (dbs / f"{species}.tsv").write_text("\n".join(lines(folder / f"{species}.tsv")))
+    (dbs / "two.members.tsv").write_text("not a database")
+    (dbs / "one.tsv").write_text("\n".join(lines(folder / "one.tsv")))
+    assert cli.main(["cluster", "--genomes", str(folder / "two"), "--out", str(dbs / "two.parquet"), "--min-tag-fraction", "0.1", *enzyme]) == 0
     (dbs / "broken.tsv").write_bytes(b"A\t\xff\xfe\n")
     assert cli.main(["multi-profile", "--dbs", str(dbs), "--sample", str(folder / "s.fq"), "--out", str(folder / "m.tsv"), "--min-species-markers", "20", *enzyme]) == 0
     report = [x.split("\t") for x in lines(folder / "m.tsv")]
     assert report[0][0] == "#species" and [r[:2] for r in report[1:]] == [["one", "C0"]]
     assert "absent" in capsys.readouterr().out
+    parquet = folder / "parquet"
+    for species in ("one", "two"):
+        assert cli.main(["cluster", "--genomes", str(folder / species), "--out", str(parquet / f"{species}.parquet"), "--min-tag-fraction", "0.1", *enzyme]) == 0
+    assert cli.main(["multi-profile", "--dbs", str(parquet), "--sample", str(folder / "s.fq"), "--out", str(folder / "n.tsv"), "--min-species-markers", "20", *enzyme]) == 0
+    assert lines(folder / "n.tsv") == lines(folder / "m.tsv")
 
 
 def test_build_to_parquet_and_evaluate(spark, folder, capsys):
