@@ -2,14 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixtally.functions.dna import splitmix64, unsigned_order
 from helixtally.operators.totals import with_totals
-from helixtally.sources.store import settle
+from helixtally.sources.store import discard, scratch, settle, stored
 
 SIMILARITY, SKETCH, EXACT_UP_TO = 0.95, 2000, 96
+#: Classes of set sizes for each doubling.
+CLASSES = 8
+#: Pairs of a group's members for each set that are compared at once; while there are more, stars come first, in so many rounds.
+FEW, STARS = 16, 8
+#: Rows that a task holds before it leaves out those that are not among a genome's least.
+BUFFER = 1 << 18
 
 
 def sizes(genomes: DataFrame, markers: DataFrame, *scope: str) -> DataFrame:
@@ -39,33 +50,75 @@ def similarities(genomes: DataFrame, markers: DataFrame, *scope: str) -> DataFra
     return out.withColumn("jaccard", jaccard).withColumn("containment", containment)
 
 
+def least_batches(keys: list[str], k: int):
+    """The k least h of each key in each run of BUFFER rows, which is all that the k least of all of them can need."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def cut(t: pa.Table) -> pa.Table:
+            t = t.sort_by([(c, "ascending") for c in [*keys, "h"]]).combine_chunks()
+            if not t.num_rows:
+                return t
+            new = np.append(True, np.zeros(t.num_rows - 1, bool))
+            for c in keys:
+                coded = pc.dictionary_encode(t[c].combine_chunks() if isinstance(t[c], pa.ChunkedArray) else t[c], null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+                new[1:] |= coded[1:] != coded[:-1]
+            h = t["h"].to_numpy()
+            again = np.append(False, (h[1:] == h[:-1]) & ~new[1:])
+            t, new = t.filter(pa.array(~again)), new[~again]
+            start = np.flatnonzero(new)
+            place = np.arange(t.num_rows) - np.repeat(start, np.diff(np.append(start, t.num_rows)))
+            return t.filter(pa.array(place < k))
+
+        held, n = [], 0
+        for b in it:
+            held.append(pa.Table.from_batches([b]))
+            n += b.num_rows
+            if n > BUFFER:
+                held, before = [cut(pa.concat_tables(held))], n
+                n = held[0].num_rows
+                if n > before // 2:  # many keys with few rows each: nothing to gain by keeping them
+                    yield from held[0].to_batches()
+                    held, n = [], 0
+        if held:
+            yield from cut(pa.concat_tables(held)).to_batches()
+
+    return run
+
+
 def sketch(markers: DataFrame, *scope: str, k: int = SKETCH) -> DataFrame:
-    """(scope, gid, h, rank): the k least mixed markers of each genome, without sign."""
-    h = markers.select(*scope, "gid", unsigned_order(splitmix64("marker")).alias("h")).distinct()
+    """(scope, gid, h, rank): the k least mixed markers of each genome, without sign.
+
+    Each task keeps k of a genome before the shuffle; what tasks have kept is merged after it, and ranked. So a genome is
+    never sorted whole, nor sent.
+    """
+    h = markers.select(*scope, "gid", unsigned_order(splitmix64("marker")).alias("h"))
+    some = h.mapInArrow(least_batches([*scope, "gid"], k), h.schema)
     by = Window.partitionBy(*scope, "gid").orderBy("h")
-    return h.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
+    return some.distinct().withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
+
 
+def sketched(genomes: DataFrame, markers: DataFrame, *scope: str, k: int = SKETCH) -> DataFrame:
+    """(scope, a, b, jaccard, containment) estimated from sketches, of the pairs that share a sketched marker."""
+    s = settle(sketch(markers, *scope, k=k))
+    one, two = (s.select(*scope, F.col("gid").alias(x), "h") for x in "ab")
+    pairs = one.join(two, [*scope, "h"]).where("a < b").select(*scope, "a", "b").distinct()
+    return estimates(pairs, s, sizes(genomes, markers, *scope), *scope, k=k)
 
-def sketched(genomes: DataFrame, markers: DataFrame, *scope: str, k: int = SKETCH, least: float | None = None) -> DataFrame:
-    """(scope, a, b, jaccard, containment) estimated from sketches, of the pairs that share a sketched marker.
 
-    least: only pairs that may have at least this Jaccard estimate are looked at (the others may be left out).
+def estimates(pairs: DataFrame, s: DataFrame, n: DataFrame, *scope: str, k: int) -> DataFrame:
+    """(scope, a, b, jaccard, containment) of pairs, from sketches s and set sizes n.
 
     Of the k least of a pair's union, the share in both. A marker in both sketches is among those k if fewer than k
     markers of the union are below it: rank_a + rank_b - (shared ones up to it) <= k.
     """
-    s = sketch(markers, *scope, k=k)
     one = s.select(*scope, F.col("gid").alias("a"), "h", F.col("rank").alias("ra"))
     two = s.select(*scope, F.col("gid").alias("b"), "h", F.col("rank").alias("rb"))
-    if least is None:
-        both = one.join(two, [*scope, "h"]).where("a < b")
-    else:  # of k hashes, a share of `least` is in both, which is as much of either sketch
-        both = candidates(s.select(*scope, "gid", F.col("h").alias("marker")), *scope, threshold=least).join(one, [*scope, "a"]).join(two, [*scope, "b", "h"])
+    both = pairs.join(one, [*scope, "a"]).join(two, [*scope, "b", "h"])
     common = F.row_number().over(Window.partitionBy(*scope, "a", "b").orderBy("h"))
     both = both.withColumn("place", F.col("ra") + F.col("rb") - common)
     by = both.groupBy(*scope, "a", "b").agg(F.sum((F.col("place") <= k).cast("long")).alias("hits"), F.count("*").alias("common"))
     size = s.groupBy(*scope, "gid").agg(F.count("*").alias("s"))
-    n = sizes(genomes, markers, *scope).join(size, [*scope, "gid"], "left").withColumn("s", F.coalesce("s", F.lit(0)))
+    n = n.join(size, [*scope, "gid"], "left").withColumn("s", F.coalesce("s", F.lit(0)))
     x, y = (n.select(*scope, F.col("gid").alias(g), F.col("n").alias(f"n{g}"), F.col("s").alias(f"s{g}")) for g in "ab")
     out = by.join(x, [*scope, "a"]).join(y, [*scope, "b"])
     seen = F.least(F.lit(k), F.col("sa") + F.col("sb") - F.col("common"))
@@ -74,23 +127,118 @@ def sketched(genomes: DataFrame, markers: DataFrame, *scope: str, k: int = SKETC
     return out.select(*scope, "a", "b", j.alias("jaccard"), (shared / F.greatest(F.least("na", "nb"), F.lit(1))).alias("containment"))
 
 
-def candidates(held: DataFrame, *scope: str, threshold: float, containment: bool = False) -> DataFrame:
-    """(scope, a, b), a < b: all pairs of sets of distinct markers that may have this Jaccard similarity (or containment).
+def groups_of(held: DataFrame, *scope: str, threshold: float, containment: bool = False) -> DataFrame:
+    """(scope, marker, gid, n, rare, whole): the groups in which every pair of this Jaccard similarity (or containment) meets.
 
     Such a pair shares threshold times the markers of the larger (smaller) set. So it shares one of the few rarest markers
     of both (or one of the smaller set's rarest, and any of the other's): a marker that very many sets hold is hardly
-    ever among those, and need not be joined on.
+    ever among those, and makes no group.
     """
     held = held.join(held.groupBy(*scope, "marker").agg(F.count("*").alias("freq")), [*scope, "marker"])
     by = Window.partitionBy(*scope, "gid")
-    held = settle(held.withColumns({"n": F.count("*").over(by), "rank": F.row_number().over(by.orderBy("freq", "marker"))}).select(*scope, "gid", "marker", "n", "rank"))
-    rare = held.where(F.col("rank") <= F.col("n") - F.ceil(threshold * F.col("n") - 1e-9) + 1)
-    named = lambda df, x: df.select(*scope, "marker", F.col("gid").alias(x), F.col("n").alias(f"n{x}"))
+    held = held.withColumns({"n": F.count("*").over(by), "rank": F.row_number().over(by.orderBy("freq", "marker"))})
+    held = settle(held.select(*scope, "marker", "gid", "n", (F.col("rank") <= F.col("n") - F.ceil(threshold * F.col("n") - 1e-9) + 1).alias("rare"), F.lit(True).alias("whole")))
+    rare = held.where("rare")
+    return settle(held.join(rare.select(*scope, "marker").distinct(), [*scope, "marker"], "left_semi")) if containment else rare
+
+
+def size_classes(s: DataFrame, n: DataFrame, *scope: str, threshold: float, k: int = SKETCH) -> DataFrame:
+    """The same groups for containment that is estimated from sketches s (of k), by classes of set sizes n.
+
+    Of a smaller set a, only hashes up to the last one that a sketch in b's class has can be among the k least of both, and
+    of those the estimate needs at least `hits` in b. So all but hits - 1 of them, the rarest in that class, are enough to meet b
+    by. A class holds sets of nearly one size, so that the bounds are close; the larger the class, the fewer hashes of a count.
+    """
+    level = F.floor(CLASSES * F.log2(F.greatest("n", F.lit(1)))).cast("int")
+    own = s.groupBy(*scope, "gid").agg(F.count("*").alias("s"), F.max("h").alias("top")).join(n, [*scope, "gid"]).withColumn("class", level)
+    own = settle(own.withColumn("top", F.when(F.col("s") >= k, F.col("top")).otherwise(F.lit((1 << 63) - 1))))
+    rows = settle(s.select(*scope, "gid", "h").join(own.select(*scope, "gid", "n", "s", "class"), [*scope, "gid"]))
+    kinds = own.groupBy(*scope, "class").agg(F.max("top").alias("top"), F.min("s").alias("least"), F.max("n").alias("most"))
+    kinds = kinds.groupBy(*scope).agg(F.collect_list(F.struct(F.col("class").alias("kind"), "top", "least", "most")).alias("kinds")) if scope else kinds.agg(F.collect_list(F.struct(F.col("class").alias("kind"), "top", "least", "most")).alias("kinds"))
+    small = (rows.join(F.broadcast(kinds), list(scope)) if scope else rows.crossJoin(F.broadcast(kinds))).withColumn("c", F.explode(F.filter("kinds", lambda c: (c["kind"] >= F.col("class")) & (c["top"] >= F.col("h")))))
+    small = small.select(*scope, "gid", "n", "s", "h", "c.kind", "c.least", "c.most")
+    freq = rows.groupBy(*scope, F.col("class").alias("kind"), "h").agg(F.count("*").alias("freq"))
+    small = small.join(freq, [*scope, "kind", "h"], "left").withColumn("freq", F.coalesce("freq", F.lit(0)))
+    by = Window.partitionBy(*scope, "gid", "kind")
+    j = threshold * F.col("n") / (F.col("n") + F.col("most") - threshold * F.col("n"))
+    hits = F.greatest(F.ceil(j * F.greatest("s", "least") - 1e-9), F.lit(1))
+    small = small.withColumns({"all": F.count("*").over(by), "place": F.row_number().over(by.orderBy("freq", "h"))}).where(F.col("place") <= F.col("all") - hits + 1).where("freq > 0")
+    marker = lambda kind: F.struct(F.col(kind).alias("kind"), "h").alias("marker")
+    small = small.select(*scope, marker("kind"), "gid", "n", F.lit(True).alias("rare"), F.lit(False).alias("whole"))
+    large = rows.select(*scope, marker("class"), "gid", "n", F.lit(False).alias("rare"), F.lit(True).alias("whole")).join(small.select(*scope, "marker").distinct(), [*scope, "marker"], "left_semi")
+    return settle(small.unionByName(large).groupBy(*scope, "marker", "gid", "n").agg(F.max("rare").alias("rare"), F.max("whole").alias("whole")))
+
+
+def may_link(x: str, y: str, threshold: float, containment: bool) -> Column:
+    """Whether members x and y of a group need a look: which of them must hold the marker among its rarest, and the sizes."""
+    nx, ny, rx, ry, wx, wy = (F.col(f"{p}.{c}") for c in ("n", "rare", "whole") for p in (x, y))
     if containment:
-        pairs = named(rare, "a").join(named(held, "b"), [*scope, "marker"]).where("na < nb OR na = nb AND a <> b").select(*scope, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    else:
-        pairs = named(rare, "a").join(named(rare, "b"), [*scope, "marker"]).where("a < b").where(F.least("na", "nb") >= threshold * F.greatest("na", "nb") - 1e-9).select(*scope, "a", "b")
-    return pairs.distinct()
+        return (rx & wy & (nx <= ny)) | (ry & wx & (ny <= nx))
+    return rx & ry & (F.least(nx, ny) >= threshold * F.greatest(nx, ny) - 1e-9)
+
+
+def forest(groups: DataFrame, compare, *scope: str, threshold: float, containment: bool = False, metric: bool = False, few: int = FEW) -> tuple[DataFrame, DataFrame]:
+    """(links, tried): links (scope, a, b, near), enough of them to reach whatever all links would reach, and the pairs compared.
+
+    In each round, the next member of a group is compared with those that it doesn't reach yet; groups whose members all
+    reach each other are closed, so that sets that are nearly alike cost about one comparison each. Once what is open has at most
+    `few` pairs a set, it is compared pair by pair, between components only. There, if 1 - near is a distance (metric: that of
+    Jaccard, but for estimates), pairs are left out that differ in their distances to a centre by more than links do.
+    compare: (scope, a, b) -> (scope, a, b, near).
+    """
+    on = [*scope, "marker"]
+    sc, folder = groups.sparkSession.sparkContext, scratch(groups.sparkSession.sparkContext, "forest")
+    pair = lambda df, x, y: df.select(*scope, F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
+    nodes = settle(groups.select(*scope, "gid").distinct())
+    enough, across = few * nodes.count(), None
+    root, tried, last, link = nodes.withColumn("root", F.col("gid")), None, None, lambda df: df.where(F.col("near") >= threshold)
+    for k in range(STARS + 1):
+        rows = groups.join(root, [*scope, "gid"]).select(*on, F.struct("gid", "n", "rare", "whole", "root").alias("m"))
+        ends = rows.groupBy(*on).agg(F.min("m.root").alias("low"), F.max("m.root").alias("high")).where("low < high").select(*on)
+        rows = stored(rows.join(ends, on), f"{folder}/open{k}")
+        rare = F.sum(F.col("m.rare").cast("long"))
+        size = rows.groupBy(*on, "m.root").agg(F.count("*").alias("c"), rare.alias("r")).groupBy(*on).agg((F.sum("c") * F.sum("r") - F.sum(F.col("c") * F.col("r"))).alias("c"))
+        before, across = across, size.agg(F.sum("c")).first()[0]
+        if not across:
+            break
+        star = k < STARS and across > 2 * enough and (before is None or across < before // 2)  # while stars close groups
+        if star:
+            left = rows if last is None else rows.join(last, on).where(F.col("m.gid") > F.col("last")).drop("last")
+            centre = stored(left.groupBy(*on).agg(F.min("m").alias("c")), f"{folder}/centre{k}")
+            last = centre.select(*on, F.col("c.gid").alias("last"))
+            found = rows.join(centre, on).where(F.col("m.root") != F.col("c.root")).where(may_link("c", "m", threshold, containment))
+            pairs = pair(found, F.col("c.gid"), F.col("m.gid"))
+        else:
+            parts = rows.select(*on, F.col("m.root").alias("r")).distinct()
+            two = parts.join(parts.withColumnRenamed("r", "s"), on).where("r <> s" if containment else "r < s")
+            found = rows.where("m.rare").select(*on, F.col("m.root").alias("r"), F.col("m").alias("x")).join(two, [*on, "r"]).join(rows.select(*on, F.col("m.root").alias("s"), F.col("m").alias("y")), [*on, "s"])
+            pairs = pair(found.where(may_link("x", "y", threshold, containment)), F.col("x.gid"), F.col("y.gid"))
+            if metric and tried is not None:
+                pairs = apart(pairs, tried, *scope, threshold=threshold)
+        if tried is not None:
+            pairs = pairs.join(tried.select(*scope, "a", "b"), [*scope, "a", "b"], "left_anti")
+        fresh = stored(compare(settle(pairs)), f"{folder}/tried{k}")
+        tried = fresh if tried is None else tried.unionByName(fresh)
+        if not star:
+            break
+        root = components(nodes, link(tried), *scope)
+    if tried is None:
+        tried = compare(pair(groups.limit(0), F.col("gid"), F.col("gid")))
+    tried = settle(tried)
+    discard(sc, folder)
+    return link(tried), tried
+
+
+def apart(pairs: DataFrame, tried: DataFrame, *scope: str, threshold: float) -> DataFrame:
+    """The pairs that a set compared with both doesn't show to be apart: |d(x, c) - d(y, c)| <= d(x, y) for distances."""
+    far = tried.select(*scope, "a", "b", (1 - F.col("near")).alias("d"))
+    both = far.unionByName(far.select(*scope, F.col("b").alias("a"), F.col("a").alias("b"), "d"))
+    hub = both.groupBy(*scope, "b").agg(F.count("*").alias("k")).where("k > 1")  # a centre: compared with several
+    near = both.join(hub.select(*scope, "b"), [*scope, "b"], "left_semi")
+    first = near.groupBy(*scope, "a").agg(F.min(F.struct("b", "d")).alias("c"))  # one centre a set is enough
+    seen = pairs.join(first.select(*scope, "a", F.col("c.b").alias("c"), F.col("c.d").alias("da")), [*scope, "a"], "left")
+    seen = seen.join(near.select(*scope, F.col("a").alias("b"), F.col("b").alias("c"), F.col("d").alias("db")), [*scope, "b", "c"], "left")
+    return seen.where(F.col("da").isNull() | F.col("db").isNull() | (F.abs(F.col("da") - F.col("db")) <= 1 - threshold + 1e-9)).select(*scope, "a", "b")
 
 
 def linked(genomes: DataFrame, markers: DataFrame, *scope: str, threshold: float, containment: bool = False) -> DataFrame:
@@ -103,43 +251,63 @@ def linked(genomes: DataFrame, markers: DataFrame, *scope: str, threshold: float
     digests = held.groupBy(*scope, "gid").agg(F.count("*").alias("n"), *mark)
     same = settle(digests.withColumn("rep", F.min("gid").over(Window.partitionBy(*scope, "n", "d1", "d2"))).select(*scope, "gid", "rep"))
     own = settle(held.join(same.where("gid = rep").select(*scope, "gid"), [*scope, "gid"]))
-    sets = own.groupBy(*scope, "gid").agg(F.collect_list("marker").alias("set"))
-    pairs = candidates(own, *scope, threshold=threshold, containment=containment)
-    one, two = (sets.select(*scope, F.col("gid").alias(x), F.col("set").alias(f"set_{x}")) for x in "ab")
-    both, na, nb = F.size(F.array_intersect("set_a", "set_b")), F.size("set_a"), F.size("set_b")
-    near = both / F.least(na, nb) if containment else both / (na + nb - both)
-    found = pairs.join(one, [*scope, "a"]).join(two, [*scope, "b"]).where(near >= threshold).select(*scope, "a", "b")
+    found, _ = forest(groups_of(own, *scope, threshold=threshold, containment=containment), exactly(own, *scope, containment=containment), *scope, threshold=threshold, containment=containment, metric=not containment)
+    found = found.select(*scope, "a", "b")
     copies = same.where("gid <> rep").select(*scope, F.col("rep").alias("a"), F.col("gid").alias("b"))
     return found.unionByName(copies.unionByName(empties(genomes, markers, *scope)).where(F.lit(threshold <= 1)))  # those of similarity 1
 
 
+def exactly(held: DataFrame, *scope: str, containment: bool = False):
+    """Comparison of pairs by their whole sets."""
+    sets = held.groupBy(*scope, "gid").agg(F.collect_list("marker").alias("set"))
+
+    def compare(pairs: DataFrame) -> DataFrame:
+        one, two = (sets.select(*scope, F.col("gid").alias(x), F.col("set").alias(f"set_{x}")) for x in "ab")
+        both, na, nb = F.size(F.array_intersect("set_a", "set_b")), F.size("set_a"), F.size("set_b")
+        near = both / F.least(na, nb) if containment else both / (na + nb - both)
+        return pairs.join(one, [*scope, "a"]).join(two, [*scope, "b"]).select(*scope, "a", "b", near.alias("near"))
+
+    return compare
+
+
 def empties(genomes: DataFrame, markers: DataFrame, *scope: str) -> DataFrame:
     """(scope, a, b): the genomes without markers, each with the first of them, which links them as all their pairs would."""
     n = sizes(genomes, markers, *scope).where("n = 0").select(*scope, F.col("gid").alias("b"))
     return with_totals(n, *scope, a=F.min("b")).where("a < b").select(*scope, "a", "b")
 
 
-def sketch_linked(genomes: DataFrame, markers: DataFrame, *scope: str, threshold: float, containment: bool = False) -> DataFrame:
-    """The same by estimates from sketches."""
-    pairs = sketched(genomes, markers, *scope, least=None if containment else threshold)
-    edges = pairs.where(F.col("containment" if containment else "jaccard") >= threshold).select(*scope, "a", "b")
+def sketch_linked(genomes: DataFrame, markers: DataFrame, *scope: str, threshold: float, containment: bool = False, k: int = SKETCH) -> DataFrame:
+    """The same by estimates from sketches.
+
+    For Jaccard similarity the sketches themselves are sets that a link needs to share `threshold` of. For containment see
+    `size_classes`.
+    """
+    s, n = settle(sketch(markers, *scope, k=k)), settle(sizes(genomes, markers, *scope))
+    kind = "containment" if containment else "jaccard"
+    compare = lambda pairs: estimates(pairs, s, n, *scope, k=k).select(*scope, "a", "b", F.col(kind).alias("near"))
+    groups = size_classes(s, n, *scope, threshold=threshold, k=k) if containment else groups_of(s.select(*scope, "gid", F.col("h").alias("marker")), *scope, threshold=threshold)
+    edges = forest(groups, compare, *scope, threshold=threshold, containment=containment)[0].select(*scope, "a", "b")
     return edges if containment else edges.unionByName(empties(genomes, markers, *scope))  # sketches of two empty sets agree
 
 
 def components(nodes: DataFrame, edges: DataFrame, *scope: str) -> DataFrame:
     """(scope, gid, root): the least node that each node reaches; isolated nodes are their own.
 
-    Least labels pass along edges and are halved along their own labels, with the lineage cut in each round.
+    Least labels pass along edges and are halved along their own labels. Each round is a table, which goes after the next.
     """
-    both = settle(edges.select(*scope, "a", "b").union(edges.select(*scope, "b", "a")).distinct())
-    label = settle(nodes.select(*scope, "gid", F.col("gid").alias("root")).distinct())
+    sc = nodes.sparkSession.sparkContext
+    folder, k = scratch(sc, "components"), 0
+    both = stored(edges.select(*scope, "a", "b").union(edges.select(*scope, "b", "a")).distinct(), f"{folder}/edges")
+    label = stored(nodes.select(*scope, "gid", F.col("gid").alias("root")).distinct(), f"{folder}/0")
     while True:
         near = both.join(label.withColumnRenamed("gid", "b"), [*scope, "b"]).groupBy(*scope, F.col("a").alias("gid")).agg(F.min("root").alias("near"))
         mid = label.join(near, [*scope, "gid"], "left").select(*scope, "gid", F.col("root").alias("old"), F.least("root", F.coalesce("near", "root")).alias("mid"))
         up = label.select(*scope, F.col("gid").alias("mid"), F.col("root").alias("top"))
-        moved = settle(mid.join(up, [*scope, "mid"], "left").select(*scope, "gid", "old", F.least("mid", F.coalesce("top", "mid")).alias("root")))
-        label = moved.select(*scope, "gid", "root")
+        moved = stored(mid.join(up, [*scope, "mid"], "left").select(*scope, "gid", "old", F.least("mid", F.coalesce("top", "mid")).alias("root")), f"{folder}/{k + 1}")
+        discard(sc, f"{folder}/{k}")
+        label, k = moved.select(*scope, "gid", "root"), k + 1
         if moved.where("old <> root").isEmpty():
+            discard(sc, f"{folder}/edges")
             return label
 
 
