@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from helixtally.sources.store import settle
+
 
 def ratio(a: Column, b: Column) -> Column:
     return F.when(b > 0, a / b).otherwise(0.0)
@@ -35,16 +37,14 @@ def species_max(calls: DataFrame, value: str, *keys: str) -> DataFrame:
     return calls.groupBy(*keys, "species").agg(F.max(value).alias("value"))
 
 
-def sweep(predicted: DataFrame, truth: DataFrame, thresholds: DataFrame, most: int = 1000) -> DataFrame:
+def sweep(predicted: DataFrame, truth: DataFrame, thresholds: DataFrame) -> DataFrame:
     """(threshold, tp, fp, fn, precision, recall, f1) summed over samples.
 
     predicted: (sample, species, value), one value each; truth: (sample, species), in which a null sample stands for those
-    that have no rows of their own; thresholds: (threshold), `most` at most. Such samples are not paired with the common
-    species: what they miss is what all of them could have less what they hit.
+    that have no rows of their own; thresholds: (threshold). Such samples are not paired with the common species: what they
+    miss is what all of them could have less what they hit. Values and thresholds are summed by value before they meet;
+    a threshold's hits are the sum of all values from it on, so rows are not multiplied by thresholds.
     """
-    steps = [r[0] for r in thresholds.select("threshold").distinct().limit(most + 1).collect()]
-    if len(steps) > most:
-        raise ValueError(f"more than {most} thresholds")
     samples = predicted.select("sample").distinct()
     own = truth.where("sample IS NOT NULL").select("sample", "species").distinct()
     common = truth.where("sample IS NULL").select("species").distinct()
@@ -52,10 +52,27 @@ def sweep(predicted: DataFrame, truth: DataFrame, thresholds: DataFrame, most: i
     could = without.count() * common.count()
     known = own.join(samples, "sample", "left_semi").withColumn("known", F.lit(1))
     held = predicted.select("sample", "species", "value")
-    mine = held.join(without, "sample", "left_anti").join(known, ["sample", "species"], "full_outer").withColumn("own", F.lit(True))
-    rest = held.join(without, "sample", "left_semi").join(common.withColumn("known", F.lit(1)), "species", "left").withColumn("own", F.lit(False))
-    both = mine.unionByName(rest).withColumn("threshold", F.explode(F.array(*[F.lit(float(t)) for t in steps]) if steps else F.array().cast("array<double>")))
-    hit, real = F.coalesce(F.col("value") >= F.col("threshold"), F.lit(False)), F.col("known").isNotNull()
+    mine = held.join(without, "sample", "left_anti").join(known, ["sample", "species"], "full_outer")
+    rest = held.join(without, "sample", "left_semi").join(common.withColumn("known", F.lit(1)), "species", "left")
     n = lambda c: F.sum(c.cast("long"))
-    missed = n(~hit & real & F.col("own")) + F.lit(could) - n(hit & real & ~F.col("own"))
-    return scores(both.groupBy("threshold").agg(n(hit & real).alias("tp"), n(hit & ~real).alias("fp"), missed.alias("fn")))
+    real = F.col("known").isNotNull()
+    could = could + (mine.agg(n(real)).first()[0] or 0)  # all that is there to be hit
+    tally = mine.unionByName(rest, allowMissingColumns=True).where("value IS NOT NULL").groupBy(F.col("value").alias("at")).agg(n(real).alias("tp"), n(~real).alias("fp"))
+    zero = F.lit(0).cast("long")
+    both = tally.select("at", "tp", "fp", F.lit(False).alias("asked")).unionByName(thresholds.select(F.col("threshold").cast("double").alias("at")).distinct().select("at", zero.alias("tp"), zero.alias("fp"), F.lit(True).alias("asked")))
+    sums = running(both, "at", "tp", "fp").where("asked")
+    return scores(sums.select(F.col("at").alias("threshold"), "tp", "fp", (F.lit(could) - F.col("tp")).alias("fn")))
+
+
+def running(rows: DataFrame, by: str, *columns: str) -> DataFrame:
+    """rows with each column summed over all rows of an equal or a larger `by`.
+
+    Rows are sorted into partitions of ranges; sums of whole partitions, a row each, are added to the sums inside them.
+    """
+    part = settle(rows.repartitionByRange(F.col(by)).withColumn("part", F.spark_partition_id()))
+    inside = Window.partitionBy("part").orderBy(F.desc(by))
+    totals = part.groupBy("part").agg(F.min(by).alias("low"), *(F.sum(c).alias(c) for c in columns))
+    above = Window.orderBy(F.desc("low")).rowsBetween(Window.unboundedPreceding, -1)  # a row per partition
+    totals = totals.select("part", *(F.coalesce(F.sum(c).over(above), F.lit(0)).alias(f"above_{c}") for c in columns))
+    out = part.withColumns({c: F.sum(c).over(inside) for c in columns}).join(F.broadcast(totals), "part")
+    return out.select(*(c for c in rows.columns if c not in columns), *((F.col(c) + F.col(f"above_{c}")).cast("long").alias(c) for c in columns))

@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 
 from helixtally.operators.cluster import components
 from helixtally.operators.totals import with_totals
-from helixtally.sources.store import settle
+from helixtally.sources.store import discard, scratch, settle, stored
 
 #: Linked units that are solved in one task at most.
-DENSE = 2000
+DENSE = 512
+#: Rounds of steps at most, and by how much a weight may still move at their end.
+ROUNDS, TOLERANCE = 20000, 1e-8
 #: A depth from which a marker seen once counts as an error; one in how many detected markers is trimmed.
 SINGLETON_DEPTH, TRIM = 3.0, 100
 
@@ -50,9 +52,9 @@ def panel_stats(db: DataFrame, sample: DataFrame, *scope: str, unit: str = "unit
     keys = [*scope, unit]
     seen = unique_markers(db).select(*keys, marker).join(sample.where("copies > 0").select(marker, "copies"), marker)
     by_unit = Window.partitionBy(*keys)
-    ranked = seen.withColumn("place", F.row_number().over(by_unit.orderBy(F.desc("copies"))))
-    # counts of one value are one row from here on, so that a large panel is not held as a list
-    tally = ranked.groupBy(*keys, "copies").agg(F.count("*").alias("m"), F.min("place").alias("lo"), F.max("place").alias("hi"))
+    # counts of one value are one row from here on, combined before the shuffle: a panel is never sorted, nor held as a list
+    tally = seen.groupBy(*keys, "copies").agg(F.count("*").alias("m"))
+    tally = tally.withColumn("hi", F.sum("m").over(by_unit.orderBy(F.desc("copies")))).withColumn("lo", F.col("hi") - F.col("m") + 1)
     tally = tally.withColumn("detected1", F.sum("m").over(by_unit))
     at = F.floor(F.col("detected1") / TRIM) + 1
     tally = tally.withColumn("cap", F.max(F.when((F.col("lo") <= at) & (at <= F.col("hi")), F.col("copies"))).over(by_unit))
@@ -108,66 +110,134 @@ def elastic_net(x: np.ndarray, y: np.ndarray, **options) -> np.ndarray:
     return from_gram(x.T @ x, x.T @ y, len(y), **options) if x.size else np.zeros(x.shape[1])
 
 
-def regress(db: DataFrame, sample: DataFrame, scope: str, unit: str = "unit", marker: str = "marker", alpha: float = 0.01, l1_ratio: float = 0.5, rounds: int = 1000, tolerance: float = 1e-6, dense: int = DENSE) -> DataFrame:
+def regress(db: DataFrame, sample: DataFrame, scope: str, unit: str = "unit", marker: str = "marker", alpha: float = 0.01, l1_ratio: float = 0.5, rounds: int = ROUNDS, tolerance: float = TOLERANCE, dense: int = DENSE) -> DataFrame:
     """(scope, unit, weight): each scope's sample counts as a non-negative mixture of its units' markers.
 
     The normal equations are made with joins and sums: a row per pair of units that share a marker. Units that no chain of
-    shared markers links don't influence each other, so each group of linked units is solved by itself: one of at most
-    `dense` units in a task, by coordinate descent; the rows of all larger ones together, by rounds of joins and sums.
+    shared markers links don't influence each other, so each group of linked units is solved by itself: in blocks of at
+    most `dense` units, each exactly in one task, around which larger groups go until no weight would move by `tolerance`.
+    A group that doesn't get there in `rounds` is an error. Weights are the same whatever `dense` is, up to the tolerance.
     """
     held = db.select(scope, unit, marker).distinct()
     seen = held.join(sample.select(marker, "copies"), marker, "left")
     target = seen.groupBy(scope, unit).agg(F.sum(F.coalesce("copies", F.lit(0))).cast("double").alias("target"))
     rows = held.groupBy(scope).agg(F.count_distinct(marker).alias("n"))
     gram = held.join(held.withColumnRenamed(unit, "other"), [scope, marker]).groupBy(scope, unit, "other").agg(F.count("*").cast("double").alias("gram"))
-    dealt = settle(gram.join(target, [scope, unit]).join(rows, scope))
-    nodes = dealt.select(scope, F.col(unit).alias("gid")).distinct()
-    root = components(nodes, dealt.where(F.col(unit) < F.col("other")).select(scope, F.col(unit).alias("a"), F.col("other").alias("b")), scope)
-    size = root.groupBy(scope, "root").agg(F.count("*").alias("size"))
-    dealt = settle(dealt.join(root.join(size, [scope, "root"]).withColumnRenamed("gid", unit), [scope, unit]))
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        names = sorted(pdf[unit].unique())
-        at = {u: i for i, u in enumerate(names)}
-        g, t = np.zeros((len(names), len(names))), np.zeros(len(names))
-        g[pdf[unit].map(at), pdf["other"].map(at)] = pdf["gram"]
-        t[pdf[unit].map(at)] = pdf["target"]
-        w = from_gram(g, t, int(pdf["n"].iloc[0]), alpha, l1_ratio, rounds, tolerance)
-        return pd.DataFrame({scope: pdf[scope].iloc[0], unit: names, "weight": w})
-
-    kind = dict(db.dtypes)
-    out = dealt.where(F.col("size") <= dense).groupBy(scope, "root").applyInPandas(solve, f"{scope} {kind[scope]}, {unit} {kind[unit]}, weight double")
-    large = dealt.where(F.col("size") > dense)
-    return out if large.isEmpty() else out.unionByName(descend(large, scope, unit, alpha, l1_ratio, rounds, tolerance))
-
-
-def descend(dealt: DataFrame, scope: str, unit: str, alpha: float, l1_ratio: float, rounds: int, tolerance: float) -> DataFrame:
-    """The same weights from rows (scope, unit, other, gram, target, n), by accelerated projected steps.
-
-    A round joins the weights to the rows and sums per unit. Each unit's step is bounded by the sum of its row, which
-    keeps every round a descent; momentum starts anew where it would undo progress.
+    gram = settle(gram)
+    nodes = gram.select(scope, F.col(unit).alias("gid")).distinct()
+    root = components(nodes, gram.where(F.col(unit) < F.col("other")).select(scope, F.col(unit).alias("a"), F.col("other").alias("b")), scope)
+    place = F.row_number().over(Window.partitionBy(scope, "root").orderBy("gid")) - 1  # of units, not of their markers
+    units = settle(root.select(scope, "root", F.col("gid").alias(unit), (place % dense).cast("int").alias("at"), F.floor(place / dense).cast("int").alias("block")).join(target, [scope, unit]).join(rows, scope))
+    key = [scope, "root", "block"]
+    dealt = gram.join(units.select(scope, "root", unit, "at", "block", "target", "n"), [scope, unit])
+    dealt = settle(dealt.join(units.select(scope, F.col(unit).alias("other"), F.col("at").alias("other_at"), F.col("block").alias("other_block")), [scope, "other"]))
+    large = units.groupBy(scope, "root").agg(F.max("block").alias("last")).where("last > 0").select(scope, "root")
+    solver = Blocks(scope, unit, dict(db.dtypes), alpha, l1_ratio, rounds, tolerance)
+    alone = dealt.join(large, [scope, "root"], "left_anti").withColumn("pull", F.lit(0.0))
+    out = solver.solved(alone, key)
+    return out if large.isEmpty() else out.unionByName(solver.around(dealt.join(large, [scope, "root"], "left_semi"), key))
+
+
+def conditions(db: DataFrame, sample: DataFrame, weights: DataFrame, scope: str, unit: str = "unit", marker: str = "marker", alpha: float = 0.01, l1_ratio: float = 0.5) -> DataFrame:
+    """(scope, unit, off): by how much the best weight of a unit, all others as they are, differs; 0 everywhere is the optimum.
+
+    It is found from what the weights leave of each marker's count, and not from the normal equations.
     """
-    lasso, ridge = alpha * l1_ratio * F.col("n"), alpha * (1 - l1_ratio) * F.col("n")
-    fixed = settle(dealt.groupBy(scope, unit).agg((F.sum("gram") + F.first(ridge)).alias("step"), F.first(F.col("target") - lasso).alias("pull"), F.first(ridge).alias("ridge")))
-    state = settle(fixed.select(scope, unit, F.lit(0.0).alias("w"), F.lit(0.0).alias("ahead")))
-    t = 1.0
-    for _ in range(rounds):
-        product = dealt.join(state.select(scope, F.col(unit).alias("other"), "ahead"), [scope, "other"]).groupBy(scope, unit).agg(F.sum(F.col("gram") * F.col("ahead")).alias("product"))
-        now = product.join(fixed, [scope, unit]).join(state, [scope, unit])
-        fresh = F.greatest(F.lit(0.0), F.col("ahead") + (F.col("pull") - F.col("product") - F.col("ridge") * F.col("ahead")) / F.col("step"))
-        now = settle(now.select(scope, unit, "step", "ahead", F.col("w").alias("old"), fresh.alias("w")))
-        moved, against = now.agg(F.max(F.abs(F.col("w") - F.col("ahead"))), F.sum(F.col("step") * (F.col("ahead") - F.col("w")) * (F.col("w") - F.col("old")))).first()
-        if moved < tolerance:
-            break
-        faster = 1.0 if against > 0 else (1 + (1 + 4 * t * t) ** 0.5) / 2
-        push = 0.0 if against > 0 else (t - 1) / faster
-        t = faster
-        state = now.select(scope, unit, "w", (F.col("w") + push * (F.col("w") - F.col("old"))).alias("ahead"))
-    return now.select(scope, unit, F.col("w").alias("weight"))
+    held = db.select(scope, unit, marker).distinct()
+    fitted = held.join(weights, [scope, unit]).groupBy(scope, marker).agg(F.sum("weight").alias("fitted"))
+    left = fitted.join(sample.select(marker, "copies"), marker, "left").select(scope, marker, (F.coalesce("copies", F.lit(0)) - F.col("fitted")).alias("left"))
+    n = left.groupBy(scope).agg(F.count("*").alias("n"))
+    own = held.join(left, [scope, marker]).groupBy(scope, unit).agg(F.sum("left").alias("left"), F.count("*").alias("size")).join(n, scope).join(weights, [scope, unit])
+    best = F.greatest(F.lit(0.0), F.col("left") + F.col("size") * F.col("weight") - alpha * l1_ratio * F.col("n")) / (F.col("size") + alpha * (1 - l1_ratio) * F.col("n"))
+    return own.select(scope, unit, F.abs(best - F.col("weight")).alias("off"))
 
 
-def from_gram(gram: np.ndarray, target: np.ndarray, n: int, alpha: float = 0.01, l1_ratio: float = 0.5, rounds: int = 1000, tolerance: float = 1e-6) -> np.ndarray:
-    """Non-negative elastic net by coordinate descent; columns of zeros get weight 0.
+@dataclass(frozen=True)
+class Blocks:
+    """Exact steps over blocks of units."""
+
+    scope: str
+    unit: str
+    kinds: dict[str, str]
+    alpha: float
+    l1_ratio: float
+    rounds: int
+    tolerance: float
+
+    def solved(self, rows: DataFrame, key: list[str]) -> DataFrame:
+        """(scope, unit, weight) of whole blocks of rows; pull: what weights outside of the block take off a unit's target."""
+        scope, unit, a, l1, rounds, tolerance = self.scope, self.unit, self.alpha, self.l1_ratio, self.rounds, self.tolerance
+
+        def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+            own = pdf.drop_duplicates("at").sort_values("at")
+            at = pd.Series(np.arange(len(own)), own["at"].to_numpy())
+            g = np.zeros((len(own), len(own)))
+            g[at[pdf["at"]].to_numpy(), at[pdf["other_at"]].to_numpy()] = pdf["gram"].to_numpy()
+            w = from_gram(g, (own["target"] - own["pull"]).to_numpy(), int(own["n"].iloc[0]), a, l1, rounds, tolerance / 10)
+            return pd.DataFrame({scope: own[scope].to_numpy(), unit: own[unit].to_numpy(), "weight": w})
+
+        schema = f"{scope} {self.kinds[scope]}, {unit} {self.kinds[unit]}, weight double"
+        inner = rows.where(F.col("block") == F.col("other_block"))
+        return inner.select(*key, unit, "at", "other_at", "gram", "target", "n", "pull").groupBy(*key).applyInPandas(solve, schema)
+
+    def pulls(self, rows: DataFrame, weights: DataFrame) -> DataFrame:
+        """(scope, unit, pull): the sum of gram * weight over the others in rows."""
+        other = weights.select(self.scope, F.col(self.unit).alias("other"), "weight")
+        return rows.join(other, [self.scope, "other"]).groupBy(self.scope, self.unit).agg(F.sum(F.col("gram") * F.col("weight")).alias("pull"))
+
+    def colours(self, rows: DataFrame, key: list[str]) -> DataFrame:
+        """(key, colour): blocks of one colour share no marker, so that they can move together. A row a pair of blocks is read."""
+        pairs = rows.where("block <> other_block").select(*key, "other_block").distinct().orderBy(*key).collect()
+        near: dict[tuple, set[int]] = {}
+        for r in pairs:
+            near.setdefault((r[0], r[1]), set()).update((r[2], r[3]))
+        links: dict[tuple, set[int]] = {}
+        for r in pairs:
+            links.setdefault((r[0], r[1], r[2]), set()).add(r[3])
+        found: dict[tuple, int] = {}
+        for (s, c), blocks in near.items():
+            for b in sorted(blocks):
+                used = {found[s, c, o] for o in links[s, c, b] if (s, c, o) in found}
+                found[s, c, b] = next(k for k in range(len(used) + 1) if k not in used)
+        spark = rows.sparkSession
+        return spark.createDataFrame([(*k, v) for k, v in found.items()], f"{key[0]} {self.kinds[self.scope]}, root {self.kinds[self.unit]}, block int, colour int")
+
+    def around(self, rows: DataFrame, key: list[str]) -> DataFrame:
+        """Rounds over the colours until no weight moves by the tolerance, in whole rounds; then the conditions of the optimum are checked."""
+        colours = self.colours(rows, key)
+        rows = settle(rows.join(F.broadcast(colours), key, "left").withColumn("colour", F.coalesce("colour", F.lit(0))))
+        sc, folder = rows.sparkSession.sparkContext, scratch(rows.sparkSession.sparkContext, "weights")
+        n_colours = rows.agg(F.max("colour")).first()[0] + 1
+        names = [self.scope, self.unit]
+        weights, step = rows.select(*names).distinct().withColumn("weight", F.lit(0.0)), 0
+        for _ in range(self.rounds):
+            start = weights
+            for c in range(n_colours):
+                own = rows.where(F.col("colour") == c)
+                pull = self.pulls(own.where("block <> other_block"), weights)
+                fresh = self.solved(own.join(pull, names, "left").withColumn("pull", F.coalesce("pull", F.lit(0.0))), key)
+                now = weights.withColumnRenamed("weight", "old").join(fresh, names, "left").select(*names, F.coalesce("weight", "old").alias("weight"))
+                weights, step = stored(now, f"{folder}/{step}"), step + 1
+            moved = weights.join(start.withColumnRenamed("weight", "old"), names).agg(F.max(F.abs(F.col("weight") - F.col("old")))).first()[0]
+            for k in range(max(0, step - 2 * n_colours), step - 1):
+                discard(sc, f"{folder}/{k}")
+            if moved < self.tolerance:
+                break
+        off = self.violation(rows, weights)
+        if off > 10 * self.tolerance:
+            raise ValueError(f"no convergence in {self.rounds} rounds: a weight is off by {off}")
+        return weights
+
+    def violation(self, rows: DataFrame, weights: DataFrame) -> float:
+        """How far a weight would move at most, which is 0 at the optimum alone: rows have every pair."""
+        names, lasso, ridge = [self.scope, self.unit], self.alpha * self.l1_ratio * F.col("n"), self.alpha * (1 - self.l1_ratio) * F.col("n")
+        own = rows.where(F.col(self.unit) == F.col("other")).select(*names, "gram", "target", "n").join(weights, names).join(self.pulls(rows, weights), names)
+        best = F.greatest(F.lit(0.0), (F.col("target") - F.col("pull") + F.col("gram") * F.col("weight") - lasso) / (F.col("gram") + ridge))
+        return own.agg(F.max(F.abs(best - F.col("weight")))).first()[0] or 0.0
+
+
+def from_gram(gram: np.ndarray, target: np.ndarray, n: int, alpha: float = 0.01, l1_ratio: float = 0.5, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> np.ndarray:
+    """Non-negative elastic net by coordinate descent; columns of zeros get weight 0. An error if weights still move after `rounds`.
 
     gram, target: the products of the columns with each other and with y; n: the number of rows.
     """
@@ -178,5 +248,5 @@ def from_gram(gram: np.ndarray, target: np.ndarray, n: int, alpha: float = 0.01,
             best = max(0.0, target[j] - gram[j] @ w + gram[j, j] * w[j] - lasso) / (gram[j, j] + ridge)
             moved, w[j] = max(moved, abs(best - w[j])), best
         if moved < tolerance:
-            break
-    return w
+            return w
+    raise ValueError(f"no convergence in {rounds} rounds: a weight moves by {moved}")

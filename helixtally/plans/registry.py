@@ -412,6 +412,15 @@ def regression_apart(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(profile.regress(held, sample, "species"), "weight")
 
 
+@query(f"WITH {o.INCIDENCE} SELECT DISTINCT species, unit, 0.0::DOUBLE AS off FROM held")
+def regression_conditions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Units that share markers, solved jointly: how far each weight is from the best one, the others as they are."""
+    held = fx.incidence(spark, sf_dir)
+    sample = held.select("marker").distinct().select("marker", (F.col("marker") % 7).alias("copies"))
+    weights = settle(profile.regress(held, sample, "species"))
+    return profile.conditions(held, sample, weights, "species").withColumn("off", F.round("off", 6))
+
+
 @query(f"WITH RECURSIVE {o.CLUSTERS}, {o.stats('db')}, {o.CALLS} SELECT unit, support::BIGINT AS support, n_markers FROM calls WHERE species = 'en'")
 def profile_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The report of one species, written as text with its header and read again."""

@@ -177,18 +177,29 @@ def test_regression_over_spark(spark):
     assert got["A"] == pytest.approx(2, abs=1e-3) and got["B"] == pytest.approx(3, abs=1e-3)
 
 
-def test_regression_by_rounds(spark):
-    """Large groups of linked units, solved by joins, have the weights of a plain solver; so have small groups beside them."""
+def test_regression_by_blocks(spark):
+    """Groups of linked units that are solved in several blocks have the weights of a plain solver; so have small ones beside them."""
     rng = np.random.default_rng(5)
-    sets = {f"u{k}": set(rng.choice(120, 40, replace=False).tolist()) for k in range(6)} | {"lone": set(range(1000, 1040))}
+    sets = {f"u{k}": set(rng.choice(120, 15, replace=False).tolist()) for k in range(6)} | {"lone": set(range(1000, 1040))}
     counts = {m: int(rng.integers(0, 9)) for m in [*range(120), *range(1000, 1040)]}
     db = units(spark, sets).withColumn("species", F.lit("s"))
     names, every = sorted(sets), sorted(set().union(*sets.values()))
     x = np.array([[m in sets[n] for n in names] for m in every], float)
-    want = dict(zip(names, profile.elastic_net(x, np.array([counts[m] for m in every], float), tolerance=1e-9), strict=True))
-    for dense in (0, 3, 100):
-        got = {r.unit: r.weight for r in profile.regress(db, sample(spark, counts), "species", dense=dense, tolerance=1e-4).collect()}
-        assert got == {n: pytest.approx(w, abs=0.02) for n, w in want.items()}
+    want = dict(zip(names, profile.elastic_net(x, np.array([counts[m] for m in every], float), tolerance=1e-12), strict=True))
+    for dense in (3, 100):
+        got = {r.unit: r.weight for r in profile.regress(db, sample(spark, counts), "species", dense=dense, tolerance=1e-7).collect()}
+        assert got == {n: pytest.approx(w, abs=1e-6) for n, w in want.items()}
+
+
+def test_regression_says_when_it_has_not_converged(spark):
+    x = np.random.default_rng(0).random((30, 8))
+    with pytest.raises(ValueError, match="no convergence in 2 rounds"):
+        profile.elastic_net(x, x.sum(axis=1), rounds=2)
+    solver = profile.Blocks("species", "unit", {}, 0.01, 0.5, 1, 1e-8)
+    rows = spark.createDataFrame([("s", "a", "a", 2.0, 4.0, 10), ("s", "a", "b", 1.0, 4.0, 10), ("s", "b", "a", 1.0, 5.0, 10), ("s", "b", "b", 2.0, 5.0, 10)], "species string, unit string, other string, gram double, target double, n int")
+    at = lambda a, b: solver.violation(rows, spark.createDataFrame([("s", "a", a), ("s", "b", b)], "species string, unit string, weight double"))
+    w = profile.from_gram(np.array([[2.0, 1], [1, 2]]), np.array([4.0, 5]), 10)
+    assert at(*map(float, w)) < 1e-7 < 0.1 < at(float(w[0]) + 0.2, float(w[1]))
 
 
 @pytest.mark.parametrize("present,total,gate,reach,want", [
