@@ -22,7 +22,7 @@ from .common import settle, table
 
 #: The bits of all levels together; a list that needs more is refused, as its filters are sent to every task.
 MAX_BITS = 1 << 29
-#: Keys of a list, which come to the driver as two hashes each; a longer list is refused. False positives of a list's first
+#: Keys of a list, which come to the driver as two hashes each; a longer list of hosts is joined instead. False positives of a list's first
 #: level that come with it, at most (or as many as the list has).
 MAX_KEYS, MAX_WRONG = 1 << 24, 100_000
 
@@ -203,7 +203,11 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, listed: DataFrame |
     split = split.withColumn("keys", keys)
     universe = split.select(F.explode("keys").alias("k")).select(name("k").alias("key"))
     lists = {a: spark.createDataFrame([(f"{r.host} {r.path}",) for r in rules if r.action == a], "key string") for a in ("allow", "block")}
-    lists["listed"] = listed.select(F.concat("host", F.lit(" ")).alias("key"))
+    joined = listed.limit(MAX_KEYS + 1).count() > MAX_KEYS
+    if joined:
+        split = named_hosts(split, tails, listed)
+    else:
+        lists["listed"] = listed.select(F.concat("host", F.lit(" ")).alias("key"))
     tests = {k: c.test_each(spark) for k, c in build(universe, lists).items()}
     pair = [F.transform("keys", lambda k: hashes(name(k))[0]), F.transform("keys", lambda k: hashes(name(k))[1])]
     split = split.withColumns({"a": pair[0], "b": pair[1]}).withColumns({x: t("a", "b") for x, t in tests.items()})
@@ -214,14 +218,32 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, listed: DataFrame |
     return split.select("page_id", "url", "host", "path", best["rule"].alias("rule"), F.when(block, "block").otherwise("allow").alias("verdict"))
 
 
+def named_hosts(split: DataFrame, tails: Column, listed: DataFrame) -> DataFrame:
+    """split with listed: whether a host or a parent domain of it is listed, by joins of distinct hosts, for lists of any size."""
+    hosts = split.select("host", tails.alias("tails")).distinct().select("host", F.explode("tails").alias("tail"))
+    found = hosts.join(listed.select(F.col("host").alias("tail")).distinct(), "tail", "left_semi").select("host").distinct()
+    return split.join(found.withColumn("found", F.lit(True)), "host", "left").withColumn("listed", F.array(F.coalesce("found", F.lit(False)))).drop("found")
+
+
+def tracked_hosts(pages: DataFrame, least: int = 4, share: float = 0.4) -> DataFrame:
+    """(host): the hosts of `least` pages or more of whose urls at least `share` have a query string, as trackers' do."""
+    host, _ = host_path(F.col("url"))
+    asked = (F.instr("url", "?") > 0).cast("long")
+    by = pages.select(host.alias("host"), asked.alias("asked")).where("host <> ''").groupBy("host").agg(F.count("*").alias("n"), F.sum("asked").alias("asked"))
+    return by.where((F.col("n") >= least) & (F.col("asked") >= share * F.col("n"))).select("host")
+
+
 def op2_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Judge all pages by the fixed rules and the listed hosts."""
-    return judge(table(spark, sf_dir, "pages")).drop("url")
+    """Judge all pages by the fixed rules, and those that no rule fits by the hosts that pages themselves show to be trackers."""
+    pages = table(spark, sf_dir, "pages")
+    return judge(pages, listed=settle(tracked_hosts(pages))).drop("url")
 
 
 SQL = r"""
 WITH s AS (SELECT page_id, CASE WHEN url LIKE '%://%' THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
 u AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '(?s)^[^/?#]*([^?#]*)', 1) AS path FROM s),
+q AS (SELECT CASE WHEN url LIKE '%://%' THEN translate(regexp_extract(substr(url, instr(url, '://') + 3), '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE '' END AS h, url LIKE '%?%' AS asked FROM pages),
+listed AS (SELECT h FROM q WHERE h <> '' GROUP BY h HAVING count(*) >= 4 AND sum(asked::INT) >= 0.4 * count(*)),
 r AS (SELECT *, CASE
   WHEN (host = 'www.example.com' OR host LIKE '%.www.example.com') AND path LIKE '/en/%' THEN 'www.example.com/en/'
   WHEN (host = 'example.com' OR host LIKE '%.example.com') AND path LIKE '/en/%' THEN 'example.com/en/'
@@ -229,5 +251,5 @@ r AS (SELECT *, CASE
   WHEN (host = 'net' OR host LIKE '%.net') AND path LIKE '/fr/%' THEN 'net/fr/'
   WHEN (host = 'com' OR host LIKE '%.com') AND path LIKE '/%' THEN 'com/' END AS rule FROM u)
 SELECT page_id, host, path, rule, CASE WHEN rule IN ('example.com/en/', 'net/es/', 'net/fr/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
-  WHEN regexp_matches(host, '(^|\.)(spam-farm\.example\.(org|net)|cheap-pills\.example\.(org|net))$') THEN 'block' ELSE 'allow' END AS verdict FROM r
+  WHEN EXISTS (SELECT 1 FROM listed WHERE r.host = listed.h OR ends_with(r.host, '.' || listed.h)) THEN 'block' ELSE 'allow' END AS verdict FROM r
 """
