@@ -8,8 +8,9 @@ sizes that can be near each other; the pairs between its components are screened
 common band, sizes, signatures), and the rows that may have a link are compared there by their sets, so that a star's
 centre hides no link and no pairs are written out.
 
-A pair at the threshold of 0.85 shares no band with a chance below 4e-7, and the screen's slack of five deviations
-drops a link with a chance below 3e-7. Shingles are compared as 61-bit fingerprints of a prime field.
+A pair at the threshold of 0.85 shares no band with a chance below 4e-7. The screen's slack is five deviations of as many bins
+as the smaller set fills (bins that borrow from one source move together, so that a small set has few that count).
+Tests measure both by set size. Shingles are compared as 61-bit fingerprints of a prime field.
 """
 
 from __future__ import annotations
@@ -28,8 +29,10 @@ from .common import LOWER, NOT_SPACE, U64, Words, mix, settle, steps, table, who
 SHINGLE, PERCENT = 5, 85
 BANDS, ROWS = 20, 4
 BINS = BANDS * ROWS
-#: Share of equal bins below which a pair is no link: the threshold less five deviations.
-LEAST_EQUAL = PERCENT / 100 - 5 * (PERCENT / 100 * (1 - PERCENT / 100) / BINS) ** 0.5
+#: LEAST_EQUAL[n]: the share of equal bins below which a pair is no link, by the shingles of the smaller set (the last for
+#: all larger ones): the threshold less five deviations of the bins that so many shingles fill.
+_filled = BINS * (1 - np.exp(-np.arange(1, 16 * BINS + 1) / BINS))
+LEAST_EQUAL = np.append(0.0, PERCENT / 100 - 5 * np.sqrt(PERCENT / 100 * (1 - PERCENT / 100) / (0.9 * _filled)))
 #: Attempts at a borrow before the next full bin to the right is taken.
 ATTEMPTS = 300
 #: Members of a bucket that are compared in one group.
@@ -167,7 +170,7 @@ def screen(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 j = lo + np.flatnonzero((comp[lo:hi] != comp[i]) & (own[lo:hi] > own[i]) & (100 * np.minimum(n[lo:hi], n[i]) >= PERCENT * np.maximum(n[lo:hi], n[i])) & ~(upper[lo:hi] & upper[i]))
                 if x[lo] != y[lo]:
                     j = j[block[j] != block[i]]
-                j = j[(sig[j] == sig[i]).mean(1) >= LEAST_EQUAL] if len(j) else j
+                j = j[(sig[j] == sig[i]).mean(1) >= LEAST_EQUAL[np.minimum(np.minimum(n[j], n[i]), len(LEAST_EQUAL) - 1)]] if len(j) else j
                 j = j[(bands[j] == bands[i]).argmax(1) == band[i]] if len(j) else j
                 if len(j):
                     keep[j] = keep[i] = True

@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from helixtally.llm import lexical, phrases, vectors
+from helixtally.llm import lexical, neardup, phrases, vectors
 
 # --- phrases ---
 
@@ -153,3 +153,21 @@ def test_lexical(spark, monkeypatch):
 def test_lexical_of_nothing(spark):
     d, b = spark.createDataFrame([(1, "a")], "doc_id long, text string"), spark.createDataFrame([(1, "a")], "item_id long, text string")
     assert lexical.search(d.limit(0), b).count() == lexical.search(d, b.limit(0)).count() == 0
+
+
+# --- the screen of near-dedup ---
+
+
+@pytest.mark.parametrize("n", [6, 7, 13, 20, 40, 100, 400])
+def test_links_pass_bands_and_screen(n):
+    """Pairs of sets at the threshold, by size: none of 20,000 is lost by the screen, and none shares no band."""
+    rng, pairs = np.random.default_rng(n), 20000 if n < 100 else 2000
+    less = next(k for k in range(n, 0, -1) if 100 * k < 85 * n) + 1  # of n shingles, a set without n - less is still linked
+    code = rng.integers(0, 2**61, (pairs, n), dtype=np.uint64)
+    row = np.repeat(np.arange(pairs), n)
+    one = neardup.signatures(row, code.ravel(), pairs)
+    two = neardup.signatures(np.repeat(np.arange(pairs), less), np.ascontiguousarray(code[:, :less]).ravel(), pairs)
+    same = one == two
+    low = ((one & np.uint64(255)) == (two & np.uint64(255))).mean(axis=1)
+    assert (low >= neardup.LEAST_EQUAL[min(less, len(neardup.LEAST_EQUAL) - 1)]).all()
+    assert same.reshape(pairs, neardup.BANDS, neardup.ROWS).all(axis=2).any(axis=1).all()
