@@ -41,13 +41,15 @@ def min_count(depth: Column, adaptive: bool = True) -> Column:
     return F.when(depth >= SINGLETON_DEPTH, 2).otherwise(1) if adaptive else F.lit(2)
 
 
-def panel_stats(db: DataFrame, sample: DataFrame, *scope: str, unit: str = "unit", marker: str = "marker") -> DataFrame:
+def panel_stats(db: DataFrame, sample: DataFrame, *scope: str, unit: str = "unit", marker: str = "marker", panels: DataFrame | None = None) -> DataFrame:
     """(scope, unit, n_markers, panel_n, detected1, detected2, depth) of every unit.
 
     depth: the mean over the whole panel, zeros included, of counts that are capped at the (detected div TRIM + 1)-th
     largest. The cap is always one of the counts above zero, so markers that the sample lacks never become rows.
+    panels: (scope, unit, n_markers, panel_n) if it is stored beside the database, which is then not read whole.
     """
-    from helixtally.operators.database import panels, unique_markers
+    from helixtally.operators.database import panels as panels_of
+    from helixtally.operators.database import unique_markers
 
     keys = [*scope, unit]
     seen = unique_markers(db).select(*keys, marker).join(sample.where("copies > 0").select(marker, "copies"), marker)
@@ -59,7 +61,8 @@ def panel_stats(db: DataFrame, sample: DataFrame, *scope: str, unit: str = "unit
     at = F.floor(F.col("detected1") / TRIM) + 1
     tally = tally.withColumn("cap", F.max(F.when((F.col("lo") <= at) & (at <= F.col("hi")), F.col("copies"))).over(by_unit))
     sums = tally.groupBy(*keys).agg(F.max("detected1").alias("detected1"), F.sum(F.when(F.col("copies") >= 2, F.col("m")).otherwise(0)).alias("detected2"), F.sum(F.least("copies", "cap") * F.col("m")).alias("mass"))
-    out = panels(db, *scope, unit=unit, marker=marker).join(sums, keys, "left")
+    sized = panels_of(db, *scope, unit=unit, marker=marker) if panels is None else panels.select(*keys, "n_markers", "panel_n")
+    out = sized.join(sums, keys, "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
     depth = F.when(F.col("panel_n") > 0, zero("mass") / F.col("panel_n")).otherwise(0.0)
     return out.select(*keys, "n_markers", "panel_n", zero("detected1").alias("detected1"), zero("detected2").alias("detected2"), depth.alias("depth"))
@@ -84,12 +87,12 @@ def keep_abundant(calls: DataFrame, *scope: str, least: float = 0.0) -> DataFram
     return out.withColumn("abundance", F.when(F.col("_kept") > 0, F.col("abundance") / F.col("_kept")).otherwise(F.col("abundance"))).drop("_kept")
 
 
-def profile(db: DataFrame, sample: DataFrame, *scope: str, unit: str = "unit", marker: str = "marker", params: Params = Params()) -> DataFrame:
+def profile(db: DataFrame, sample: DataFrame, *scope: str, unit: str = "unit", marker: str = "marker", params: Params = Params(), panels: DataFrame | None = None) -> DataFrame:
     """The units that pass the gates of support, breadth and consistency: (scope, unit, abundance, coverage, support, depth, n_markers).
 
     db: (scope, unit, marker, degree, is_unique[, usable]); sample: (marker, copies). All scopes are profiled at once.
     """
-    got = supported(panel_stats(db, sample, *scope, unit=unit, marker=marker), params).where(F.col("coverage") >= params.min_coverage)
+    got = supported(panel_stats(db, sample, *scope, unit=unit, marker=marker, panels=panels), params).where(F.col("coverage") >= params.min_coverage)
     expected = detectable_fraction(F.col("depth"))
     got = got.where((expected <= 0) | (F.col("coverage") / expected >= params.min_consistency))
     got = keep_abundant(normalise(got, *scope), *scope, least=params.min_abundance)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -373,6 +375,23 @@ def panel_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(profile.panel_stats(*_db_sample(spark, sf_dir), "species"), "depth")
 
 
+@query(f"""WITH {o.INCIDENCE}, deg AS (SELECT species, marker, count(*) AS degree FROM held GROUP BY ALL), db AS (SELECT species, unit, marker, degree <= 3 AS is_unique FROM held JOIN deg USING (species, marker)),
+sample AS (SELECT DISTINCT marker, marker % 7 AS copies FROM held WHERE marker % 7 > 0), {o.stats('db')} SELECT species, unit, n_markers, panel_n, detected1, detected2, round(depth, 9) AS depth FROM stats""")
+def stored_panel_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A database that is stored in buckets by marker, and statistics that shuffle the sample alone."""
+    sc, name = spark.sparkContext, f"db_{uuid.uuid4().hex}"
+    held = fx.incidence(spark, sf_dir)
+    db = database.build(held, "species").withColumn("is_unique", F.col("degree") <= 3)
+    folder = scratch(sc, "databases")
+    tables.store_database(db, name, ["BcgI"], "species", path=folder, buckets=16)
+    db, panels = tables.stored_database(spark, name)
+    sample = held.select("marker").distinct().select("marker", (F.col("marker") % 7).alias("copies")).where("copies > 0")
+    out = settle(profile.panel_stats(db, sample, "species", panels=panels))
+    tables.drop_database(spark, name)
+    discard(sc, folder)
+    return rounded(out, "depth")
+
+
 @query(f"WITH RECURSIVE {o.CLUSTERS}, {o.stats('db')} SELECT species, unit, support, round(coverage, 9) AS coverage FROM supported")
 def detect_present(spark: SparkSession, sf_dir: str) -> DataFrame:
     stats = profile.panel_stats(*_db_sample(spark, sf_dir), "species")

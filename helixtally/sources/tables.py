@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from helixtally.functions.dna import from_hex, to_hex
+from helixtally.operators import database
 from helixtally.sources import fastx
 
 # The header words and columns of the text formats.
@@ -43,6 +44,30 @@ def load_database(spark: SparkSession, path: str, species: str | None = None) ->
     return head, held.select(name.alias("species"), "unit", "marker").distinct(), held.where("is_unique").select(name.alias("species"), "marker").distinct()
 
 
+def store_database(db: DataFrame, name: str, enzymes: list[str], *scope: str, path: str | None = None, buckets: int = 64) -> None:
+    """A finished database (scope, unit, marker, degree, is_unique) as two tables: `name`, laid out in buckets by marker, and
+    `name`_panels, a row per unit.
+
+    A profile joins the first on the marker, so that only the sample is shuffled, and reads panel sizes from the second.
+    path: the folder of the tables; that of the warehouse if not given. Buckets should be as many as a profile has tasks.
+    """
+    held = db.select(*scope, "unit", "marker", "degree", "is_unique")
+    put = lambda df, table: (df if path is None else df.option("path", f"{path}/{table}")).mode("overwrite").saveAsTable(table)
+    put(held.repartition(buckets, "marker").write.bucketBy(buckets, "marker").sortBy("marker"), name)
+    panels = database.panels(db.sparkSession.table(name), *scope).withColumn("enzymes", F.array(*map(F.lit, enzymes)).cast("array<string>"))
+    put(panels.write, f"{name}_panels")
+
+
+def stored_database(spark: SparkSession, name: str) -> tuple[DataFrame, DataFrame]:
+    """(database, panels) of tables that store_database wrote."""
+    return spark.table(name), spark.table(f"{name}_panels")
+
+
+def drop_database(spark: SparkSession, name: str) -> None:
+    for table in (name, f"{name}_panels"):
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
+
+
 def databases_in(spark: SparkSession, folder: str) -> list[str]:
     """The text (.tsv) and Parquet (.parquet) databases of a folder, by path."""
     sc = spark.sparkContext

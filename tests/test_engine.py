@@ -33,6 +33,28 @@ def test_database(spark, tmp_path):
     assert (s.n_strains, s.n_markers, s.unique_markers, s.avg_markers_per_strain) == (3, 6, 3, 4.0)
 
 
+def test_profile_of_a_stored_database_shuffles_the_sample_alone(spark, tmp_path):
+    """No exchange above the scan of the database, and the statistics of the same database as a frame."""
+    rng = np.random.default_rng(8)
+    db = database.build(units(spark, {f"u{k}": rng.integers(0, 5000, 400).tolist() for k in range(30)}).withColumn("species", F.lit("s")), "species")
+    some = sample(spark, {m: int(rng.integers(1, 9)) for m in range(0, 5000, 2)})
+    tables.store_database(db, "test_db", ["BcgI"], "species", path=str(tmp_path), buckets=8)
+    try:
+        held, panels = tables.stored_database(spark, "test_db")
+        before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        seen = database.unique_markers(held).join(some, "marker")
+        plan = seen._jdf.queryExecution().executedPlan().toString()
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        assert plan.count("Exchange hashpartitioning(marker") == 1 and "Bucketed: true" in plan
+        assert plan.index("Exchange hashpartitioning") > plan.index("FileScan") or "FileScan" not in plan[plan.index("Exchange hashpartitioning") :]
+        order = lambda df: sorted(map(tuple, df.collect()))
+        assert order(profile.panel_stats(held, some, "species", panels=panels)) == order(profile.panel_stats(db, some, "species"))
+        assert panels.first().enzymes == ["BcgI"]
+    finally:
+        tables.drop_database(spark, "test_db")
+
+
 def test_mask_and_bad_hex(spark, tmp_path):
     db = database.build(units(spark, {"A": [1, 2, 10, 99], "B": [1, 2, 20]}))
     masked = database.restrict(db, units(spark, {"x": [1, 2, 10, 20]}).select("marker"))
