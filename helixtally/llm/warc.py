@@ -53,9 +53,11 @@ def records(pages: DataFrame, per_file: int = RECORDS_PER_FILE) -> DataFrame:
         F.lit(">\r\nWARC-Target-URI: "), url, F.lit("\r\nContent-Type: text/html\r\nContent-Length: "), size.cast("string"), F.lit("\r\n\r\n"),
     )
     file, limit = F.coalesce(F.floor(F.col("page_id") / per_file), F.lit(-1)).cast("long"), 4 * per_file
-    distinct = pages.select("page_id", file.alias("file"), F.concat(head, html, F.lit(END)).alias("record")).groupBy("page_id", "file", "record").agg(F.count("*").alias("copies"))
     counts = pages.groupBy(file.alias("file")).agg(F.count("*").alias("n")).where(F.col("n") > limit).select("file", F.ceil(F.col("n") / limit).alias("parts"))
-    out = distinct.join(counts, "file", "left").withColumn("block", F.explode(F.sequence(F.lit(0), F.floor((F.col("copies") - 1) / limit))))
+    every = pages.select("page_id", file.alias("file"), F.concat(head, html, F.lit(END)).alias("record")).join(counts, "file", "left")
+    few = every.where("parts IS NULL").withColumn("copies", F.lit(1).cast("long"))  # at most `limit` rows a file, copies too
+    many = every.where("parts IS NOT NULL").groupBy("page_id", "file", "record", "parts").agg(F.count("*").alias("copies"))
+    out = few.unionByName(many).withColumn("block", F.explode(F.sequence(F.lit(0), F.floor((F.col("copies") - 1) / limit))))
     n = F.least(F.lit(limit), F.col("copies") - F.col("block") * limit)
     part = F.coalesce(F.pmod(number_of(F.col("record")) + F.col("block"), F.col("parts")), F.lit(0)).cast("int")
     out = out.select("page_id", "file", part.alias("part"), "block", n.alias("n"), F.octet_length("record").cast("long").alias("length"), "record")
