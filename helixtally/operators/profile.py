@@ -53,19 +53,27 @@ def panel_stats(db: DataFrame, sample: DataFrame, *scope: str, unit: str = "unit
 
     keys = [*scope, unit]
     seen = unique_markers(db).select(*keys, marker).join(sample.where("copies > 0").select(marker, "copies"), marker)
-    by_unit = Window.partitionBy(*keys)
     # counts of one value are one row from here on, combined before the shuffle: a panel is never sorted, nor held as a list
     tally = seen.groupBy(*keys, "copies").agg(F.count("*").alias("m"))
+    sized = panels_of(db, *scope, unit=unit, marker=marker) if panels is None else panels.select(*keys, "n_markers", "panel_n")
+    return filled(sized.join(sums_of(tally, *keys), keys, "left"), *keys)
+
+
+def sums_of(tally: DataFrame, *keys: str) -> DataFrame:
+    """(keys, detected1, detected2, mass) of (keys, copies, m), m markers of a panel that are seen `copies` times each."""
+    by_unit = Window.partitionBy(*keys)
     tally = tally.withColumn("hi", F.sum("m").over(by_unit.orderBy(F.desc("copies")))).withColumn("lo", F.col("hi") - F.col("m") + 1)
     tally = tally.withColumn("detected1", F.sum("m").over(by_unit))
     at = F.floor(F.col("detected1") / TRIM) + 1
     tally = tally.withColumn("cap", F.max(F.when((F.col("lo") <= at) & (at <= F.col("hi")), F.col("copies"))).over(by_unit))
-    sums = tally.groupBy(*keys).agg(F.max("detected1").alias("detected1"), F.sum(F.when(F.col("copies") >= 2, F.col("m")).otherwise(0)).alias("detected2"), F.sum(F.least("copies", "cap") * F.col("m")).alias("mass"))
-    sized = panels_of(db, *scope, unit=unit, marker=marker) if panels is None else panels.select(*keys, "n_markers", "panel_n")
-    out = sized.join(sums, keys, "left")
+    return tally.groupBy(*keys).agg(F.max("detected1").alias("detected1"), F.sum(F.when(F.col("copies") >= 2, F.col("m")).otherwise(0)).alias("detected2"), F.sum(F.least("copies", "cap") * F.col("m")).alias("mass"))
+
+
+def filled(sums: DataFrame, *keys: str) -> DataFrame:
+    """The statistics of units from sums beside their panels' sizes; null sums are of units that the sample lacks."""
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
     depth = F.when(F.col("panel_n") > 0, zero("mass") / F.col("panel_n")).otherwise(0.0)
-    return out.select(*keys, "n_markers", "panel_n", zero("detected1").alias("detected1"), zero("detected2").alias("detected2"), depth.alias("depth"))
+    return sums.select(*keys, "n_markers", "panel_n", zero("detected1").alias("detected1"), zero("detected2").alias("detected2"), depth.alias("depth"))
 
 
 def supported(stats: DataFrame, p: Params) -> DataFrame:
@@ -92,7 +100,12 @@ def profile(db: DataFrame, sample: DataFrame, *scope: str, unit: str = "unit", m
 
     db: (scope, unit, marker, degree, is_unique[, usable]); sample: (marker, copies). All scopes are profiled at once.
     """
-    got = supported(panel_stats(db, sample, *scope, unit=unit, marker=marker, panels=panels), params).where(F.col("coverage") >= params.min_coverage)
+    return calls_of(panel_stats(db, sample, *scope, unit=unit, marker=marker, panels=panels), *scope, unit=unit, params=params)
+
+
+def calls_of(stats: DataFrame, *scope: str, unit: str = "unit", params: Params = Params()) -> DataFrame:
+    """The same of panel statistics."""
+    got = supported(stats, params).where(F.col("coverage") >= params.min_coverage)
     expected = detectable_fraction(F.col("depth"))
     got = got.where((expected <= 0) | (F.col("coverage") / expected >= params.min_consistency))
     got = keep_abundant(normalise(got, *scope), *scope, least=params.min_abundance)

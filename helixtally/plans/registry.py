@@ -14,6 +14,7 @@ from helixtally.plans import oracles as o
 from helixtally.sources import fastx, tables
 from helixtally.sources.store import discard, scratch, settle
 from helixtally.streaming import counts as streaming
+from helixtally.streaming import state
 
 FLAGSHIP = "multi_profile"
 QUERIES: dict = {}
@@ -584,3 +585,22 @@ def streamed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch(spark.sparkContext, "stream")
     streaming.run_to_parquet(streaming.stream_counts(reads, [fx.CUTTER]), f"{folder}/counts", f"{folder}/checkpoint")
     return spark.read.parquet(f"{folder}/counts")
+
+
+@query(f"""WITH {o.INCIDENCE}, deg AS (SELECT species, marker, count(*) AS degree FROM held GROUP BY ALL), db AS (SELECT species, unit, marker, degree <= 3 AS is_unique FROM held JOIN deg USING (species, marker)),
+panel AS (SELECT species, unit, count(*) AS n_markers, sum(is_unique::INT)::BIGINT AS panel_n FROM db GROUP BY ALL), seen AS (SELECT l_returnflag AS sample, l_partkey AS marker, count(*) AS copies FROM lineitem GROUP BY ALL),
+ranked AS (SELECT sample, species, unit, copies, row_number() OVER (PARTITION BY sample, species, unit ORDER BY copies DESC) AS r, count(*) OVER (PARTITION BY sample, species, unit) AS d FROM db JOIN seen USING (marker) WHERE is_unique),
+capped AS (SELECT *, max(CASE WHEN r = d // 100 + 1 THEN copies END) OVER (PARTITION BY sample, species, unit) AS cap FROM ranked)
+SELECT sample, species, unit, n_markers, panel_n, count(*) AS detected1, sum((copies >= 2)::INT)::BIGINT AS detected2, round(sum(least(copies, cap)) / panel_n, 9) AS depth FROM capped JOIN panel USING (species, unit) GROUP BY sample, species, unit, n_markers, panel_n""")
+def streamed_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tags of three samples that arrive in a stream, tallied as state against a database: statistics of every panel."""
+    path, sc = f"{sf_dir}/lineitem.parquet", spark.sparkContext
+    held = fx.incidence(spark, sf_dir)
+    db = settle(database.build(held, "species").withColumn("is_unique", F.col("degree") <= 3))
+    panels = settle(database.panels(db, "species"))
+    tags = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path[:-1] + "[t]").select(F.col("l_returnflag").alias("sample"), F.col("l_partkey").cast("long").alias("marker"))
+    folder = scratch(sc, "stream")
+    state.keep(state.tallies(tags, db.withColumn("marker", F.col("marker").cast("long")), panels, "species", by=("sample",)), f"{folder}/tallies", f"{folder}/checkpoint")
+    out = settle(state.stats(spark, f"{folder}/tallies", panels, "species", by=("sample",)))
+    discard(sc, folder)
+    return rounded(out, "depth")
