@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixtally.functions.dna import ENZYMES, fnv64, from_hex, reverse_complement, to_hex
-from helixtally.operators import cluster, community, database, digest, metrics, profile, quality
+from helixtally.operators import catalogue, cluster, community, database, digest, metrics, profile, quality
 from helixtally.plans import fixture as fx
 from helixtally.plans import oracles as o
 from helixtally.sources import fastx, tables
@@ -483,6 +483,29 @@ def species_specific_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return community.species_specific(_db(spark, sf_dir))
 
 
+@query(f"""WITH {o.TAGS}, names AS (SELECT list_sort(list(DISTINCT lang)) AS l FROM documents WHERE lang IS NOT NULL), held AS (SELECT DISTINCT species, marker FROM tags, names WHERE species IS NOT NULL AND (len(l) < 2 OR species <> l[2]))
+SELECT min(species) AS species, marker FROM held GROUP BY marker HAVING count(*) = 1""")
+def species_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All species come into a catalogue one by one, the first two go, it is compacted between, and the first comes back: what is specific then."""
+    sc = spark.sparkContext
+    held = settle(digest.distinct_markers(digest.digest(fx.sequences(spark, sf_dir), [fx.CUTTER]), "species").withColumnRenamed("tag", "marker").where("species IS NOT NULL"))
+    names = [r.lang for r in fx.table(spark, sf_dir, "documents").select("lang").where("lang IS NOT NULL").distinct().orderBy("lang").collect()]  # a row a species
+    own = catalogue.Catalogue(spark, f"catalogue_{uuid.uuid4().hex}", scratch(sc, "catalogue"), buckets=16)
+    of = lambda s: held.where(F.col("species") == s)
+    for s in names:
+        own.add(s, of(s))
+    if names:
+        own.drop(names[0], of(names[0]))
+    own.compact()
+    for s in names[1:2]:
+        own.drop(s, of(s))
+    if names:
+        own.add(names[0], of(names[0]))
+    out = settle(own.specific())
+    own.remove()
+    return out
+
+
 @query(f"""WITH {o.INCIDENCE}, m AS (SELECT marker, count(DISTINCT species) AS n FROM held GROUP BY ALL)
 SELECT sum(n)::BIGINT AS before, sum((n = 1)::INT)::BIGINT AS after, round(100.0 * (sum(n) - sum((n = 1)::INT)) / sum(n), 9) AS excluded_pct FROM m""")
 def cross_species_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

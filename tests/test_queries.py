@@ -11,7 +11,7 @@ import __spark_entry__ as entry
 from helixtally.plans import registry
 
 SF = "/root/testdata/sf0.001"
-CHEAP = ("digest_counts", "single_copy_markers", "site_positions", "fnv_markers", "fasta_scan", "fastq_scan", "abundance_lines", "marker_degree", "db_stats", "resolvable_units", "restricted_panels", "named_unique_markers", "median_tags", "quality_report", "similarity_pairs", "minhash_pairs", "cross_species_filter", "evaluate_composition", "threshold_sweep", "streamed_counts", "linkage_containment", "marker_classes", "multi_profile", "database_files", "database_parquet", "prediction_files", "truth_files", "linkage_auto", "linkage_containment_minhash", "regression_apart", "profile_report", "streamed_profile")
+CHEAP = ("digest_counts", "single_copy_markers", "site_positions", "fnv_markers", "fasta_scan", "fastq_scan", "abundance_lines", "marker_degree", "db_stats", "resolvable_units", "restricted_panels", "named_unique_markers", "median_tags", "quality_report", "similarity_pairs", "minhash_pairs", "cross_species_filter", "evaluate_composition", "threshold_sweep", "streamed_counts", "linkage_containment", "marker_classes", "multi_profile", "database_files", "database_parquet", "prediction_files", "truth_files", "linkage_auto", "linkage_containment_minhash", "regression_apart", "profile_report", "streamed_profile", "species_catalogue")
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
 
 
