@@ -28,6 +28,8 @@ SIDE = BESIDE // 2
 BLOCK = 2048
 #: Bytes of contexts that are handed on at once, about.
 FETCH = 1 << 26
+#: Bytes of a document whose repeats in itself are looked at together, about; more than a step of several documents has.
+PART = 1 << 20
 
 
 def names_of(keys: np.ndarray) -> tuple[np.ndarray, int]:
@@ -242,53 +244,90 @@ def repeats_of(docs: DataFrame, first: DataFrame, folder: str) -> DataFrame:
     return earliest.covered(runs_.select("code", "ctx", F.col("at").cast("long").alias("at"), (F.col("at") + F.col("n") + (WINDOW - 1)).cast("long").alias("end")), WINDOW)
 
 
-def inner_spans(raw: np.ndarray) -> list[tuple[int, int]]:
-    """The spans of a document that windows cover which also start earlier in it, in the same way as between documents.
+def mark(flag: np.ndarray, lo: np.ndarray, end: np.ndarray) -> None:
+    """Set flag in the spans lo..end."""
+    if not len(lo):
+        return
+    order = np.argsort(lo, kind="stable")
+    lo, end = lo[order], np.maximum.accumulate(end[order])
+    new = np.flatnonzero(np.append(True, lo[1:] > end[:-1]))
+    for a, b in zip(lo[new].tolist(), end[np.append(new[1:], len(lo)) - 1].tolist(), strict=True):
+        flag[a:b] = True
 
-    Equal contexts repeat the first of them as a whole; the first ones are sorted together.
-    """
-    code, _, at, lo, last = anchors(raw, np.array([0, len(raw)]))
-    twice = np.unique(code, return_counts=True, return_inverse=True)
-    some = np.flatnonzero(twice[2][twice[1]] > 1)
-    if not len(some):
-        return []
-    at, lo, last = at[some], lo[some], last[some]
-    ctx = context_codes(prefix_sums(raw, BASE), at, lo, last)
-    head = np.unique(ctx, return_index=True)[1]
-    copy = np.ones(len(ctx), bool)
+
+def heads_of(found: list[np.ndarray], flag: np.ndarray) -> np.ndarray:
+    """The first of each context among rows (ctx, code, first window, last window) in order; the others' bytes are flagged."""
+    rows = np.concatenate(found, axis=1)
+    head = np.unique(rows[0], return_index=True)[1]
+    copy = np.ones(rows.shape[1], bool)
     copy[head] = False
-    out = [(int(a), int(b) + WINDOW) for a, b in zip(lo[copy], last[copy], strict=True)]
-    head = np.sort(head)
-    n = last[head] - lo[head] + 1
+    mark(flag, rows[2, copy], rows[3, copy] + WINDOW)
+    return rows[:, np.sort(head)]
+
+
+def inner_repeats(raw: np.ndarray, flag: np.ndarray) -> None:
+    """Flag the bytes of a document that windows cover which also start earlier in it, in the same way as between documents.
+
+    Equal contexts repeat the first of them as a whole. A document is read in parts, of which the first contexts stay: they
+    are unlike each other, and some 32 bytes for each. Those that share an anchor with others are sorted, as many whole
+    anchors at a time as make a part.
+    """
+    found, size, last_size = [np.zeros((4, 0), np.int64)], 0, 0
+    for a in range(0, len(raw) - WINDOW + 1, PART):
+        part = raw[a : a + PART + WINDOW - 1]
+        code, _, at, lo, last = anchors(part, np.array([0, len(part)]))
+        ctx = context_codes(prefix_sums(part, BASE), at, lo, last)
+        found.append(heads_of([np.stack([ctx.view(np.int64), code.view(np.int64), lo + a, last + a])], flag))
+        size += found[-1].shape[1]
+        if size > max(2 * last_size, PART >> 3):
+            found = [heads_of(found, flag)]
+            size = last_size = found[0].shape[1]
+    heads = heads_of(found, flag)
+    _, group, count = np.unique(heads[1], return_inverse=True, return_counts=True)
+    some = np.flatnonzero(count[group] > 1)
+    some = some[np.argsort(group[some], kind="stable")]
+    group, lo, n = group[some], heads[2, some], heads[3, some] - heads[2, some] + 1
+    border = np.flatnonzero(np.diff(group, prepend=-1))  # whole anchors are kept together
+    taken = (np.cumsum(n + WINDOW - 1) - (n + WINDOW - 1))[border] // PART
+    cuts = [*border[np.flatnonzero(np.diff(taken, prepend=-1))].tolist(), len(some)]
+    for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+        sort_contexts(raw, lo[i:j], n[i:j], flag)
+
+
+def sort_contexts(raw: np.ndarray, lo: np.ndarray, n: np.ndarray, flag: np.ndarray) -> None:
+    """Flag the bytes of the windows lo..lo + n - 1 of contexts that also start earlier in one of them."""
     size = n + WINDOW - 1
     base = np.cumsum(size) - size
-    data = raw[np.repeat(lo[head] - base, size) + np.arange(size.sum())]
+    data = raw[np.repeat(lo - base, size) + np.arange(size.sum())]
     row = np.repeat(np.arange(len(n)), n)
     within = np.arange(len(row)) - (np.cumsum(n) - n)[row]
-    place = lo[head][row] + within
+    place = lo[row] + within
     bad = place[later(groups_of(data, base[row] + within, WINDOW), place)]
-    return out + [(int(p), int(p) + WINDOW) for p in bad]
+    mark(flag, bad, bad + WINDOW)
 
 
 def removal_batches(it: Iterator[pa.RecordBatch], texts: bool) -> Iterator[pa.RecordBatch]:
     """What is left of each document, or its digest alone."""
     for b in it:
         for i, j, data, off in steps(b["text"]):
-            code, doc, _, _, _ = anchors(data, off)
-            order = np.lexsort((code, doc))  # a document that repeats a window has an anchor twice
-            code, doc = code[order], doc[order]
-            inner = set(doc[1:][(doc[1:] == doc[:-1]) & (code[1:] == code[:-1])].tolist())
+            if len(data) > PART:  # one document
+                inner = {0}
+            else:
+                code, doc, _, _, _ = anchors(data, off)
+                order = np.lexsort((code, doc))  # a document that repeats a window has an anchor twice
+                code, doc = code[order], doc[order]
+                inner = set(doc[1:][(doc[1:] == doc[:-1]) & (code[1:] == code[:-1])].tolist())
             cols: list[list] = [[] for _ in range(5 if texts else 4)]
-            for d, spans in enumerate(b["spans"].slice(i, j - i).to_pylist()):
+            for d, spans in enumerate(b["spans"].slice(i, j - i)):
                 raw = data[off[d] : off[d + 1]]
-                if not spans and d not in inner:
+                if not spans.is_valid and d not in inner:
                     kept, n, k = raw.tobytes(), 0, 0
                 else:
-                    gone = np.zeros(len(raw) + 1, np.int32)
-                    for at, end in [(x["at"], x["end"]) for x in spans or []] + (inner_spans(raw) if d in inner else []):
-                        gone[at] += 1
-                        gone[end] -= 1
-                    flag = np.cumsum(gone)[:-1] > 0
+                    flag = np.zeros(len(raw), bool)
+                    if spans.is_valid:
+                        mark(flag, *(spans.values.field(c).to_numpy().astype(np.int64) for c in ("at", "end")))
+                    if d in inner:
+                        inner_repeats(raw, flag)
                     kept, n, k = raw[~flag].tobytes(), int(flag.sum()), len(runs(flag)[0])
                 for c, v in zip(cols, (len(raw), n, k, hashlib.sha256(kept).hexdigest(), kept), strict=False):
                     c.append(v)
