@@ -8,28 +8,28 @@ from pyspark.sql import functions as F
 from helixtally.sources.store import settle
 
 
-def ratio(a: Column, b: Column) -> Column:
-    return F.when(b > 0, a / b).otherwise(0.0)
+def ratio(a: Column, b: Column, undefined: float = 0.0) -> Column:
+    return F.when(b > 0, a / b).otherwise(undefined)
 
 
-def scores(df: DataFrame) -> DataFrame:
-    """df (tp, fp, fn) with precision, recall and f1, 0 where a denominator is."""
+def scores(df: DataFrame, undefined: float = 0.0) -> DataFrame:
+    """df (tp, fp, fn) with precision, recall and f1, `undefined` where a denominator is 0."""
     tp, fp, fn = (F.col(c) for c in ("tp", "fp", "fn"))
-    out = df.withColumn("precision", ratio(tp, tp + fp)).withColumn("recall", ratio(tp, tp + fn))
+    out = df.withColumn("precision", ratio(tp, tp + fp, undefined)).withColumn("recall", ratio(tp, tp + fn, undefined))
     p, r = F.col("precision"), F.col("recall")
-    return out.withColumn("f1", ratio(2 * p * r, p + r))
+    return out.withColumn("f1", ratio(2 * p * r, p + r, undefined))
 
 
-def evaluate(predicted: DataFrame, truth: DataFrame, present: float = 0.01) -> DataFrame:
+def evaluate(predicted: DataFrame, truth: DataFrame, present: float = 0.01, undefined: float = 0.0) -> DataFrame:
     """One row: tp, fp, fn, precision, recall, f1, l1 and bray_curtis of two tables (name, abundance).
 
-    Presence is an abundance of `present` or more; the distances use all abundances.
+    Presence is an abundance of `present` or more; the distances use all abundances. undefined: ratios of denominator 0.
     """
     both = predicted.select("name", F.col("abundance").alias("p")).join(truth.select("name", F.col("abundance").alias("t")), "name", "full_outer").na.fill(0.0, ["p", "t"])
     p, t = F.col("p") >= present, F.col("t") >= present
     n = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0))
     out = both.agg(n(p & t).alias("tp"), n(p & ~t).alias("fp"), n(~p & t).alias("fn"), F.coalesce(F.sum(F.abs(F.col("p") - F.col("t"))), F.lit(0.0)).alias("l1"), F.sum(F.col("p") + F.col("t")).alias("mass"))
-    return scores(out).select("tp", "fp", "fn", "precision", "recall", "f1", "l1", ratio(F.col("l1"), F.col("mass")).alias("bray_curtis"))
+    return scores(out, undefined).select("tp", "fp", "fn", "precision", "recall", "f1", "l1", ratio(F.col("l1"), F.col("mass"), undefined).alias("bray_curtis"))
 
 
 def species_max(calls: DataFrame, value: str, *keys: str) -> DataFrame:
