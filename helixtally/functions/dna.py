@@ -108,10 +108,23 @@ def motif(pattern: str) -> list[tuple[int, str]]:
     return out
 
 
+def one_of(x: np.ndarray, bases: str) -> np.ndarray:
+    """For each byte of x, whether it is one of these bases: compared one by one, which is faster than a set."""
+    out = x == ord(bases[0])
+    for b in bases[1:]:
+        out |= x == ord(b)
+    return out
+
+
 class Cutter:
     """Finds the sites of enzymes in many sequences at once, by comparing whole arrays of bases at the motifs' places."""
 
-    def __init__(self, enzymes):
+    def __init__(self, enzymes, letters: tuple[str, str] | None = None):
+        """letters: characters, and the bases that they stand for (ASCII)."""
+        bases = UPPER.copy()
+        if letters:
+            bases[np.frombuffer(letters[0].encode(), np.uint8)] = np.frombuffer(letters[1].encode(), np.uint8)
+        self.bases = bases.tobytes()
         self.enzymes = [(e.enzyme_id, e.tag_length, [motif(p) for p in e.patterns]) for e in enzymes]
 
     def sites(self, data: np.ndarray, off: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -121,9 +134,10 @@ class Cutter:
         """
         most = max((n for _, n, _ in self.enzymes), default=1)
         for at in range(0, len(data), CHUNK):
-            x = UPPER[data[at : at + CHUNK + most - 1]]
+            x = np.frombuffer(data[at : at + CHUNK + most - 1].tobytes().translate(self.bases), np.uint8)
             fits: dict[str, np.ndarray] = {}
-            bad = np.concatenate([[0], np.cumsum(~np.isin(x, [65, 67, 71, 84]))])
+            good = one_of(x, "ACGT")
+            bad = None if good.all() else np.concatenate([[0], np.cumsum(~good)])
             for enzyme_id, size, patterns in self.enzymes:
                 n = min(CHUNK, len(x) - size + 1)
                 if n <= 0:
@@ -133,11 +147,12 @@ class Cutter:
                     here = np.ones(n, bool)
                     for place, bases in p:
                         if bases not in fits:
-                            fits[bases] = np.isin(x, np.frombuffer(bases.encode(), np.uint8))
+                            fits[bases] = one_of(x, bases)
                         here &= fits[bases][place : place + n]
                     hit |= here
                 start = np.flatnonzero(hit)
-                start = start[bad[start + size] == bad[start]]
+                if bad is not None:
+                    start = start[bad[start + size] == bad[start]]
                 row = np.searchsorted(off, start + at, "right") - 1
                 inside = start + at + size <= off[row + 1]
                 start, row = start[inside], row[inside]

@@ -134,12 +134,14 @@ def groups_of(held: DataFrame, *scope: str, threshold: float, containment: bool
     of both (or one of the smaller set's rarest, and any of the other's): a marker that very many sets hold is hardly
     ever among those, and makes no group.
     """
-    held = held.join(held.groupBy(*scope, "marker").agg(F.count("*").alias("freq")), [*scope, "marker"])
+    held = held.withColumn("freq", F.count("*").over(Window.partitionBy(*scope, "marker")))
     by = Window.partitionBy(*scope, "gid")
     held = held.withColumns({"n": F.count("*").over(by), "rank": F.row_number().over(by.orderBy("freq", "marker"))})
-    held = settle(held.select(*scope, "marker", "gid", "n", (F.col("rank") <= F.col("n") - F.ceil(threshold * F.col("n") - 1e-9) + 1).alias("rare"), F.lit(True).alias("whole")))
-    rare = held.where("rare")
-    return settle(held.join(rare.select(*scope, "marker").distinct(), [*scope, "marker"], "left_semi")) if containment else rare
+    held = held.select(*scope, "marker", "gid", "n", (F.col("rank") <= F.col("n") - F.ceil(threshold * F.col("n") - 1e-9) + 1).alias("rare"), F.lit(True).alias("whole"))
+    if not containment:
+        return settle(held.where("rare"))
+    held = settle(held)
+    return settle(held.join(held.where("rare").select(*scope, "marker").distinct(), [*scope, "marker"], "left_semi"))
 
 
 def size_classes(s: DataFrame, n: DataFrame, *scope: str, threshold: float, k: int = SKETCH) -> DataFrame:
@@ -254,7 +256,7 @@ def linked(genomes: DataFrame, markers: DataFrame, *scope: str, threshold: float
     found, _ = forest(groups_of(own, *scope, threshold=threshold, containment=containment), exactly(own, *scope, containment=containment), *scope, threshold=threshold, containment=containment, metric=not containment)
     found = found.select(*scope, "a", "b")
     copies = same.where("gid <> rep").select(*scope, F.col("rep").alias("a"), F.col("gid").alias("b"))
-    return found.unionByName(copies.unionByName(empties(genomes, markers, *scope)).where(F.lit(threshold <= 1)))  # those of similarity 1
+    return found.unionByName(copies.unionByName(empties(genomes, same, *scope)).where(F.lit(threshold <= 1)))  # those of similarity 1
 
 
 def exactly(held: DataFrame, *scope: str, containment: bool = False):
@@ -272,7 +274,8 @@ def exactly(held: DataFrame, *scope: str, containment: bool = False):
 
 def empties(genomes: DataFrame, markers: DataFrame, *scope: str) -> DataFrame:
     """(scope, a, b): the genomes without markers, each with the first of them, which links them as all their pairs would."""
-    n = sizes(genomes, markers, *scope).where("n = 0").select(*scope, F.col("gid").alias("b"))
+    ids = lambda df: df.select(*scope, "gid").distinct()
+    n = ids(genomes).join(ids(markers), [*scope, "gid"], "left_anti").withColumnRenamed("gid", "b")
     return with_totals(n, *scope, a=F.min("b")).where("a < b").select(*scope, "a", "b")
 
 
@@ -359,11 +362,14 @@ def cluster_db(single: DataFrame, full: DataFrame, membership: DataFrame, *scope
     A cluster holds the single-copy markers of its members. One is unique if no other cluster holds it in any number of
     copies; a scope without such markers falls back to degree 1.
     """
-    from helixtally.operators.database import build, with_unique
-
     name = membership.select(*scope, "gid", F.col("cluster").alias("unit"))
-    units = single.select(*scope, "gid", "marker").join(name, [*scope, "gid"]).select(*scope, "unit", "marker").distinct()
-    seen = full.select(*scope, "gid", "marker").join(name, [*scope, "gid"]).select(*scope, "unit", "marker").distinct()
-    alone = seen.groupBy(*scope, "marker").agg(F.count("*").alias("n")).where("n = 1").drop("n")
-    unique = units.join(alone, [*scope, "marker"], "left_semi")
-    return with_unique(build(units, *scope), unique, *scope)
+    rows = lambda df, own: df.select(*scope, "gid", "marker", F.lit(own).alias("own"))
+    both = rows(single, 1).unionByName(rows(full, 0)).join(name, [*scope, "gid"]).repartition(*scope, "marker")  # for both steps below
+    held = both.groupBy(*scope, "marker", "unit").agg(F.max("own").alias("own"), F.min("own").alias("seen"))
+    by = Window.partitionBy(*scope, "marker")
+    held = held.withColumns({"degree": F.sum("own").over(by), "alone": F.sum(1 - F.col("seen")).over(by) == 1}).where("own = 1")
+    held = settle(held.select(*scope, "unit", "marker", "degree", "alone"))
+    any_ = held.groupBy(*scope).agg(F.max("alone").alias("any")) if scope else held.agg(F.max("alone").alias("any"))
+    any_ = F.broadcast(settle(any_))  # a row a scope
+    held = held.join(any_, list(scope)) if scope else held.crossJoin(any_)
+    return held.select(*scope, "unit", "marker", "degree", F.when(F.col("any"), F.col("alone")).otherwise(F.col("degree") == 1).alias("is_unique"))

@@ -14,16 +14,16 @@ from helixtally.functions.arrow import steps, strings
 from helixtally.functions.dna import Cutter, Enzyme, canonical_cells, fnv64
 
 
-def sites(sequences: DataFrame, enzymes: Sequence[Enzyme], seq: str = "seq", canonical: bool = True, places: bool = True) -> DataFrame:
+def sites(sequences: DataFrame, enzymes: Sequence[Enzyme], seq: str = "seq", canonical: bool = True, places: bool = True, letters: tuple[str, str] | None = None) -> DataFrame:
     """One row per tag occurrence: the other columns of sequences, enzyme_id, pos (if places) and tag.
 
     A bag: enzymes of equal length that match the same place each give a row, and so does an enzyme that is named twice.
     pos counts bases from 0. Each sequence is read once in Arrow batches, whatever the number of enzymes, and matched in
-    NumPy; nothing is shuffled. Null sequences have no tags.
+    NumPy; nothing is shuffled. Null sequences have no tags. letters: characters of the sequences, and the bases they stand for.
     """
     keep = [c for c in sequences.columns if c != seq]
     added = [StructField("enzyme_id", IntegerType()), *([StructField("pos", LongType())] if places else []), StructField("tag", StringType())]
-    cutter = Cutter(enzymes)
+    cutter = Cutter(enzymes, letters)
 
     def cut(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
@@ -39,9 +39,9 @@ def sites(sequences: DataFrame, enzymes: Sequence[Enzyme], seq: str = "seq", can
     return sequences.select(*keep, seq).mapInArrow(cut, StructType([*(sequences.schema[c] for c in keep), *added]))
 
 
-def digest(sequences: DataFrame, enzymes: Sequence[Enzyme], seq: str = "seq") -> DataFrame:
+def digest(sequences: DataFrame, enzymes: Sequence[Enzyme], seq: str = "seq", letters: tuple[str, str] | None = None) -> DataFrame:
     """One row per tag occurrence: the other columns of sequences, enzyme_id and canonical tag. See sites."""
-    return sites(sequences, enzymes, seq, places=False)
+    return sites(sequences, enzymes, seq, places=False, letters=letters)
 
 
 def markers(tagged: DataFrame) -> DataFrame:

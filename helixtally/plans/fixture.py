@@ -10,21 +10,27 @@ from helixtally.operators import digest
 
 #: The enzyme of the queries over documents: it cuts every 512 bases or so.
 CUTTER = enzyme("BslFI")
+#: Hexadecimal digits, and the bases that they stand for.
+LETTERS = ("0123456789abcdef", "ACGTACGTACGTACGT")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bases(sentence: Column) -> Column:
+def digits(sentence: Column) -> Column:
     words = F.filter(F.split(sentence, " ", -1), lambda w: w != "")
-    return F.array_join(F.transform(words, lambda w: F.translate(F.md5(w.cast("binary")), "0123456789abcdef", "ACGTACGTACGTACGT")), "")
+    return F.array_join(F.transform(words, lambda w: F.md5(w.cast("binary"))), "")
+
+
+def bases(sentence: Column) -> Column:
+    return F.translate(digits(sentence), *LETTERS)
 
 
-def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(species, gid, seq) of documents."""
+def sequences(spark: SparkSession, sf_dir: str, of=bases) -> DataFrame:
+    """(species, gid, seq) of documents; of: bases, or the digits that stand for them."""
     docs = table(spark, sf_dir, "documents").select(F.col("lang").alias("species"), F.col("doc_id").alias("gid"), F.explode(F.split("text", r"\. ", -1)).alias("s"))
-    return docs.select("species", "gid", bases(F.col("s")).alias("seq"))
+    return docs.select("species", "gid", of(F.col("s")).alias("seq"))
 
 
 def small_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,9 +45,15 @@ def genomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.col("lang").alias("species"), F.col("doc_id").alias("gid"), n.cast("long").alias("n")).groupBy("species", "gid").agg(F.sum("n").alias("n_contigs")).where("n_contigs > 0")
 
 
+def genome_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(species, gid) of documents that have a contig: what is left of them without the ends of sentences is not blank."""
+    some = F.trim(F.replace("text", F.lit(". "), F.lit(""))) != ""
+    return table(spark, sf_dir, "documents").where(some).select(F.col("lang").alias("species"), F.col("doc_id").alias("gid")).distinct()
+
+
 def genome_markers(spark: SparkSession, sf_dir: str, e: Enzyme = CUTTER) -> DataFrame:
     """(species, gid, marker, copies): markers are canonical tags."""
-    tagged = digest.digest(sequences(spark, sf_dir), [e])
+    tagged = digest.digest(sequences(spark, sf_dir, digits), [e], letters=LETTERS)  # translated as it is matched
     return digest.counts(tagged, "species", "gid").withColumnRenamed("tag", "marker")
 
 
