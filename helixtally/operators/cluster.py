@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +21,8 @@ SIMILARITY, SKETCH, EXACT_UP_TO = 0.95, 2000, 96
 CLASSES = 8
 #: Pairs of a group's members for each set that are compared at once; while there are more, stars come first, in so many rounds.
 FEW, STARS = 16, 8
+#: A set's shared markers as bits, in so many numbers.
+SIGNS = ("s0", "s1", "s2", "s3")
 #: Rows that a task holds before it leaves out those that are not among a genome's least.
 BUFFER = 1 << 18
 
@@ -98,50 +102,100 @@ def sketch(markers: DataFrame, *scope: str, k: int = SKETCH) -> DataFrame:
 
 
 def sketched(genomes: DataFrame, markers: DataFrame, *scope: str, k: int = SKETCH) -> DataFrame:
-    """(scope, a, b, jaccard, containment) estimated from sketches, of the pairs that share a sketched marker."""
+    """(scope, a, b, jaccard, containment) estimated from sketches, of the pairs that share a sketched marker.
+
+    The join that finds the pairs gives what they share, a row a shared marker: sketches are not joined to the pairs again.
+    """
     s = settle(sketch(markers, *scope, k=k))
-    one, two = (s.select(*scope, F.col("gid").alias(x), "h") for x in "ab")
-    pairs = one.join(two, [*scope, "h"]).where("a < b").select(*scope, "a", "b").distinct()
-    return estimates(pairs, s, sizes(genomes, markers, *scope), *scope, k=k)
+    one, two = (s.select(*scope, F.col("gid").alias(x), "h", F.col("rank").alias(f"r{x}")) for x in "ab")
+    return scored(one.join(two, [*scope, "h"]).where("a < b"), s, sizes(genomes, markers, *scope), *scope, k=k)
 
 
 def estimates(pairs: DataFrame, s: DataFrame, n: DataFrame, *scope: str, k: int) -> DataFrame:
-    """(scope, a, b, jaccard, containment) of pairs, from sketches s and set sizes n.
+    """(scope, a, b, jaccard, containment) of pairs, from sketches s and set sizes n."""
+    one = s.select(*scope, F.col("gid").alias("a"), "h", F.col("rank").alias("ra"))
+    two = s.select(*scope, F.col("gid").alias("b"), "h", F.col("rank").alias("rb"))
+    return scored(pairs.join(one, [*scope, "a"]).join(two, [*scope, "b", "h"]), s, n, *scope, k=k)
+
+
+def scored(both: DataFrame, s: DataFrame, n: DataFrame, *scope: str, k: int) -> DataFrame:
+    """The same of (scope, a, b, h, ra, rb), all markers that are in both sketches of each pair, with their ranks.
 
     Of the k least of a pair's union, the share in both. A marker in both sketches is among those k if fewer than k
     markers of the union are below it: rank_a + rank_b - (shared ones up to it) <= k.
     """
-    one = s.select(*scope, F.col("gid").alias("a"), "h", F.col("rank").alias("ra"))
-    two = s.select(*scope, F.col("gid").alias("b"), "h", F.col("rank").alias("rb"))
-    both = pairs.join(one, [*scope, "a"]).join(two, [*scope, "b", "h"])
     common = F.row_number().over(Window.partitionBy(*scope, "a", "b").orderBy("h"))
     both = both.withColumn("place", F.col("ra") + F.col("rb") - common)
     by = both.groupBy(*scope, "a", "b").agg(F.sum((F.col("place") <= k).cast("long")).alias("hits"), F.count("*").alias("common"))
     size = s.groupBy(*scope, "gid").agg(F.count("*").alias("s"))
     n = n.join(size, [*scope, "gid"], "left").withColumn("s", F.coalesce("s", F.lit(0)))
     x, y = (n.select(*scope, F.col("gid").alias(g), F.col("n").alias(f"n{g}"), F.col("s").alias(f"s{g}")) for g in "ab")
-    out = by.join(x, [*scope, "a"]).join(y, [*scope, "b"])
-    seen = F.least(F.lit(k), F.col("sa") + F.col("sb") - F.col("common"))
-    j = F.col("hits") / seen
+    return rated(by.join(x, [*scope, "a"]).join(y, [*scope, "b"]), *scope, k=k)
+
+
+def rated(by: DataFrame, *scope: str, k: int) -> DataFrame:
+    """The same of (scope, a, b, hits, common, na, nb, sa, sb): sizes of sets and sketches, and what the latter share."""
+    j = F.col("hits") / F.least(F.lit(k), F.col("sa") + F.col("sb") - F.col("common"))
     shared = j * (F.col("na") + F.col("nb")) / (1 + j)
-    return out.select(*scope, "a", "b", j.alias("jaccard"), (shared / F.greatest(F.least("na", "nb"), F.lit(1))).alias("containment"))
+    return by.select(*scope, "a", "b", j.alias("jaccard"), (shared / F.greatest(F.least("na", "nb"), F.lit(1))).alias("containment"))
+
+
+def compared(s: DataFrame, n: DataFrame, *scope: str, k: int, kind: str):
+    """Comparison of pairs by estimates. Two sketches of k markers or fewer together share what is in both, whatever the ranks."""
+    size = settle(s.groupBy(*scope, "gid").agg(F.count("*").alias("s"), F.array_sort(F.collect_list("h")).alias("set")).join(n, [*scope, "gid"]))
+    long = not size.where(F.col("s") * 2 > k).isEmpty()
+
+    def compare(pairs: DataFrame) -> DataFrame:
+        one, two = (size.select(*scope, F.col("gid").alias(x), *(F.col(c).alias(f"{c}{x}") for c in ("n", "s", "set"))) for x in "ab")
+        if long:
+            short = size.select(*scope, "gid", "s")
+            pairs = settle(pairs.join(short.select(*scope, F.col("gid").alias("a"), F.col("s").alias("sa")), [*scope, "a"]).join(short.select(*scope, F.col("gid").alias("b"), F.col("s").alias("sb")), [*scope, "b"]).select(*scope, "a", "b", (F.col("sa") + F.col("sb") > k).alias("long")))
+        few = pairs.where("NOT long").drop("long") if long else pairs
+        both = few.join(one, [*scope, "a"]).join(two, [*scope, "b"]).withColumn("common", F.size(F.array_intersect("seta", "setb")).cast("long"))
+        out = rated(both.where("common > 0").withColumn("hits", F.col("common")), *scope, k=k)
+        if long:
+            out = out.unionByName(estimates(pairs.where("long").drop("long"), s, n, *scope, k=k))
+        return out.select(*scope, "a", "b", F.col(kind).alias("near"))
+
+    return compare
+
+
+def copies_of(rows: DataFrame, item: str, *scope: str, size: str = "n") -> DataFrame:
+    """(scope, gid, rep): the first of the sets of rows (scope, gid, size, item) that hold the same items and have the same size."""
+    mark = [F.bit_xor(F.xxhash64(F.lit(k), item)).alias(f"d{k}") for k in (1, 2)]
+    digests = rows.groupBy(*scope, "gid", size).agg(F.count("*").alias("c"), *mark)
+    return settle(digests.withColumn("rep", F.min("gid").over(Window.partitionBy(*scope, size, "c", "d1", "d2"))).select(*scope, "gid", "rep"))
+
+
+def numbered(held: DataFrame, *scope: str) -> DataFrame:
+    """(scope, gid, n, marker, freq): markers as numbers, without those of one set alone; n, all markers of a set; freq, all sets of a marker."""
+    rows = settle(held.select(*scope, "gid", "marker", F.count("*").over(Window.partitionBy(*scope, "gid")).alias("n"), F.monotonically_increasing_id().alias("row")))
+    by = Window.partitionBy(*scope, "marker")
+    return settle(rows.select(*scope, "gid", "n", F.min("row").over(by).alias("marker"), F.count("*").over(by).alias("freq")).where("freq > 1"))
 
 
 def groups_of(held: DataFrame, *scope: str, threshold: float, containment: bool = False) -> DataFrame:
-    """(scope, marker, gid, n, rare, whole): the groups in which every pair of this Jaccard similarity (or containment) meets.
+    """(scope, marker, gid, n, rare, whole, spare, s0, ...): the groups in which every pair of this Jaccard similarity (or containment) meets.
 
     Such a pair shares threshold times the markers of the larger (smaller) set. So it shares one of the few rarest markers
     of both (or one of the smaller set's rarest, and any of the other's): a marker that very many sets hold is hardly
-    ever among those, and makes no group.
+    ever among those, and makes no group. spare: how many shared markers the other set may lack; s0, ...: a bit a shared marker.
     """
-    held = held.withColumn("freq", F.count("*").over(Window.partitionBy(*scope, "marker")))
-    by = Window.partitionBy(*scope, "gid")
-    held = held.withColumns({"n": F.count("*").over(by), "rank": F.row_number().over(by.orderBy("freq", "marker"))})
-    held = held.select(*scope, "marker", "gid", "n", (F.col("rank") <= F.col("n") - F.ceil(threshold * F.col("n") - 1e-9) + 1).alias("rare"), F.lit(True).alias("whole"))
+    if "freq" not in held.columns:
+        held = held.select(*scope, "gid", "marker", F.count("*").over(Window.partitionBy(*scope, "gid")).alias("n"))
+        held = held.withColumn("freq", F.count("*").over(Window.partitionBy(*scope, "marker"))).where("freq > 1")
+    by, mixed = Window.partitionBy(*scope, "gid"), F.xxhash64("marker")
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(mixed, 8).bitwiseAND(63).cast("int"))
+    signs = [F.bit_or(F.when(F.pmod(mixed, F.lit(len(SIGNS))) == k, bit).otherwise(F.lit(0).cast("long"))).over(by).alias(c) for k, c in enumerate(SIGNS)]
+    spare = F.count("*").over(by) - F.ceil(threshold * F.col("n") - 1e-9)  # markers of one set alone are lacking in any other
+    held = held.select(*scope, "marker", "gid", "n", "freq", spare.alias("spare"), *signs)
+    rank = F.row_number().over(by.orderBy("freq", "marker"))
+    held = held.select(*scope, "marker", "gid", "n", (rank <= F.col("spare") + 1).alias("rare"), F.lit(True).alias("whole"), "spare", *SIGNS)
     if not containment:
         return settle(held.where("rare"))
     held = settle(held)
-    return settle(held.join(held.where("rare").select(*scope, "marker").distinct(), [*scope, "marker"], "left_semi"))
+    least = held.where("rare").groupBy(*scope, "marker").agg(F.min("n").alias("least"))
+    return settle(held.join(least, [*scope, "marker"]).where("n >= least").drop("least"))
 
 
 def size_classes(s: DataFrame, n: DataFrame, *scope: str, threshold: float, k: int = SKETCH) -> DataFrame:
@@ -150,12 +204,19 @@ def size_classes(s: DataFrame, n: DataFrame, *scope: str, threshold: float, k: i
     Of a smaller set a, only hashes up to the last one that a sketch in b's class has can be among the k least of both, and
     of those the estimate needs at least `hits` in b. So all but hits - 1 of them, the rarest in that class, are enough to meet b
     by. A class holds sets of nearly one size, so that the bounds are close; the larger the class, the fewer hashes of a count.
+
+    Sets of up to k / (2 - threshold) markers are one class, and their sketches are whole: two of them have at most k
+    markers beside those of a that b may lack, so that a link needs threshold times a's markers in b, whatever b's size.
     """
-    level = F.floor(CLASSES * F.log2(F.greatest("n", F.lit(1)))).cast("int")
+    level = F.when(F.col("n") <= k / (2 - threshold), 0).otherwise(1 + F.floor(CLASSES * F.log2(F.greatest("n", F.lit(1))))).cast("int")
     own = s.groupBy(*scope, "gid").agg(F.count("*").alias("s"), F.max("h").alias("top")).join(n, [*scope, "gid"]).withColumn("class", level)
     own = settle(own.withColumn("top", F.when(F.col("s") >= k, F.col("top")).otherwise(F.lit((1 << 63) - 1))))
     rows = settle(s.select(*scope, "gid", "h").join(own.select(*scope, "gid", "n", "s", "class"), [*scope, "gid"]))
-    kinds = own.groupBy(*scope, "class").agg(F.max("top").alias("top"), F.min("s").alias("least"), F.max("n").alias("most"))
+    few = rows.where("class = 0").select(*scope, "gid", F.col("h").alias("marker"))
+    few = groups_of(few, *scope, threshold=threshold, containment=True).withColumn("marker", F.struct(F.lit(0).alias("kind"), F.col("marker").alias("h")))
+    if own.where("class > 0").isEmpty():
+        return few
+    kinds = own.where("class > 0").groupBy(*scope, "class").agg(F.max("top").alias("top"), F.min("s").alias("least"), F.max("n").alias("most"))
     kinds = kinds.groupBy(*scope).agg(F.collect_list(F.struct(F.col("class").alias("kind"), "top", "least", "most")).alias("kinds")) if scope else kinds.agg(F.collect_list(F.struct(F.col("class").alias("kind"), "top", "least", "most")).alias("kinds"))
     small = (rows.join(F.broadcast(kinds), list(scope)) if scope else rows.crossJoin(F.broadcast(kinds))).withColumn("c", F.explode(F.filter("kinds", lambda c: (c["kind"] >= F.col("class")) & (c["top"] >= F.col("h")))))
     small = small.select(*scope, "gid", "n", "s", "h", "c.kind", "c.least", "c.most")
@@ -168,22 +229,28 @@ def size_classes(s: DataFrame, n: DataFrame, *scope: str, threshold: float, k: i
     marker = lambda kind: F.struct(F.col(kind).alias("kind"), "h").alias("marker")
     small = small.select(*scope, marker("kind"), "gid", "n", F.lit(True).alias("rare"), F.lit(False).alias("whole"))
     large = rows.select(*scope, marker("class"), "gid", "n", F.lit(False).alias("rare"), F.lit(True).alias("whole")).join(small.select(*scope, "marker").distinct(), [*scope, "marker"], "left_semi")
-    return settle(small.unionByName(large).groupBy(*scope, "marker", "gid", "n").agg(F.max("rare").alias("rare"), F.max("whole").alias("whole")))
+    both = small.unionByName(large).groupBy(*scope, "marker", "gid", "n").agg(F.max("rare").alias("rare"), F.max("whole").alias("whole"))
+    none = {"spare": F.col("n"), **{c: F.lit(0).cast("long") for c in SIGNS}}  # no bits, which rule out nothing
+    return settle(both.withColumns(none).unionByName(few))
 
 
 def may_link(x: str, y: str, threshold: float, containment: bool) -> Column:
-    """Whether members x and y of a group need a look: which of them must hold the marker among its rarest, and the sizes."""
+    """Whether members x and y of a group need a look: which of them must hold the marker among its rarest, the sizes, and the bits."""
     nx, ny, rx, ry, wx, wy = (F.col(f"{p}.{c}") for c in ("n", "rare", "whole") for p in (x, y))
+    # bits of p that q doesn't have stand for as many markers at least
+    lacking = lambda p, q: reduce(add, (F.bit_count(F.col(f"{p}.{c}").bitwiseAND(F.bitwise_not(F.col(f"{q}.{c}")))) for c in SIGNS))
     if containment:
-        return (rx & wy & (nx <= ny)) | (ry & wx & (ny <= nx))
-    return rx & ry & (F.least(nx, ny) >= threshold * F.greatest(nx, ny) - 1e-9)
+        return (rx & wy & (nx <= ny) & (lacking(x, y) <= F.col(f"{x}.spare"))) | (ry & wx & (ny <= nx) & (lacking(y, x) <= F.col(f"{y}.spare")))
+    need = threshold * F.greatest(nx, ny) - 1e-9
+    return rx & ry & (F.least(nx, ny) >= need) & (lacking(x, y) <= nx - need) & (lacking(y, x) <= ny - need)
 
 
 def forest(groups: DataFrame, compare, *scope: str, threshold: float, containment: bool = False, metric: bool = False, few: int = FEW) -> tuple[DataFrame, DataFrame]:
     """(links, tried): links (scope, a, b, near), enough of them to reach whatever all links would reach, and the pairs compared.
 
-    In each round, the next member of a group is compared with those that it doesn't reach yet; groups whose members all
-    reach each other are closed, so that sets that are nearly alike cost about one comparison each. Once what is open has at most
+    In each round, the next member of a group is compared with those that it doesn't reach yet, and leaves the group; groups whose members all
+    reach each other are closed, so that sets that are nearly alike cost about one comparison each. By containment, the next member is
+    the smallest: it is in the most others. Once what is open has at most
     `few` pairs a set, it is compared pair by pair, between components only. There, if 1 - near is a distance (metric: that of
     Jaccard, but for estimates), pairs are left out that differ in their distances to a centre by more than links do.
     compare: (scope, a, b) -> (scope, a, b, near).
@@ -191,39 +258,40 @@ def forest(groups: DataFrame, compare, *scope: str, threshold: float, containmen
     on = [*scope, "marker"]
     sc, folder = groups.sparkSession.sparkContext, scratch(groups.sparkSession.sparkContext, "forest")
     pair = lambda df, x, y: df.select(*scope, F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
+    first = [(~F.col("rare")).alias("late"), "n", "gid"] if containment else ["gid", "n"]
+    member = F.struct(*first, "rare", "whole", "spare", *SIGNS, "root")
     nodes = settle(groups.select(*scope, "gid").distinct())
-    enough, across = few * nodes.count(), None
-    root, tried, last, link = nodes.withColumn("root", F.col("gid")), None, None, lambda df: df.where(F.col("near") >= threshold)
+    enough, across, group = few * nodes.count(), None, Window.partitionBy(*on)
+    root, rows, tried, link = nodes.withColumn("root", F.col("gid")), groups, None, lambda df: df.where(F.col("near") >= threshold)
     for k in range(STARS + 1):
-        rows = groups.join(root, [*scope, "gid"]).select(*on, F.struct("gid", "n", "rare", "whole", "root").alias("m"))
-        ends = rows.groupBy(*on).agg(F.min("m.root").alias("low"), F.max("m.root").alias("high")).where("low < high").select(*on)
-        rows = stored(rows.join(ends, on), f"{folder}/open{k}")
-        rare = F.sum(F.col("m.rare").cast("long"))
-        size = rows.groupBy(*on, "m.root").agg(F.count("*").alias("c"), rare.alias("r")).groupBy(*on).agg((F.sum("c") * F.sum("r") - F.sum(F.col("c") * F.col("r"))).alias("c"))
+        rows = rows.join(root, [*scope, "gid"]).withColumns({"low": F.min("root").over(group), "high": F.max("root").over(group), "some": F.max("rare").over(group)})
+        rows = stored(rows.where("low < high AND some").drop("low", "high", "some"), f"{folder}/open{k}")
+        for name in ("open", "centre"):
+            discard(sc, f"{folder}/{name}{k - 1}")
+        size = rows.groupBy(*on, "root").agg(F.count("*").alias("c"), F.sum(F.col("rare").cast("long")).alias("r")).groupBy(*on).agg((F.sum("c") * F.sum("r") - F.sum(F.col("c") * F.col("r"))).alias("c"))
         before, across = across, size.agg(F.sum("c")).first()[0]
         if not across:
             break
         star = k < STARS and across > 2 * enough and (before is None or across < before // 2)  # while stars close groups
+        whole = rows.select(*on, F.col("root").alias("s"), member.alias("y"))
         if star:
-            left = rows if last is None else rows.join(last, on).where(F.col("m.gid") > F.col("last")).drop("last")
-            centre = stored(left.groupBy(*on).agg(F.min("m").alias("c")), f"{folder}/centre{k}")
-            last = centre.select(*on, F.col("c.gid").alias("last"))
-            found = rows.join(centre, on).where(F.col("m.root") != F.col("c.root")).where(may_link("c", "m", threshold, containment))
-            pairs = pair(found, F.col("c.gid"), F.col("m.gid"))
+            centre = stored(rows.groupBy(*on).agg(F.min(member).alias("x")), f"{folder}/centre{k}")
+            found = whole.join(centre, on).where(F.col("s") != F.col("x.root"))
         else:
-            parts = rows.select(*on, F.col("m.root").alias("r")).distinct()
+            parts = rows.select(*on, F.col("root").alias("r")).distinct()
             two = parts.join(parts.withColumnRenamed("r", "s"), on).where("r <> s" if containment else "r < s")
-            found = rows.where("m.rare").select(*on, F.col("m.root").alias("r"), F.col("m").alias("x")).join(two, [*on, "r"]).join(rows.select(*on, F.col("m.root").alias("s"), F.col("m").alias("y")), [*on, "s"])
-            pairs = pair(found.where(may_link("x", "y", threshold, containment)), F.col("x.gid"), F.col("y.gid"))
-            if metric and tried is not None:
-                pairs = apart(pairs, tried, *scope, threshold=threshold)
+            found = rows.where("rare").select(*on, F.col("root").alias("r"), member.alias("x")).join(two, [*on, "r"]).join(whole, [*on, "s"])
+        pairs = pair(found.where(may_link("x", "y", threshold, containment)), F.col("x.gid"), F.col("y.gid"))
+        if not star and metric and tried is not None:
+            pairs = apart(pairs, tried, *scope, threshold=threshold)
         if tried is not None:
             pairs = pairs.join(tried.select(*scope, "a", "b"), [*scope, "a", "b"], "left_anti")
         fresh = stored(compare(settle(pairs)), f"{folder}/tried{k}")
         tried = fresh if tried is None else tried.unionByName(fresh)
         if not star:
             break
-        root = components(nodes, link(tried), *scope)
+        rows = rows.drop("root").join(centre.select(*on, F.col("x.gid").alias("last")), on).where("gid <> last").drop("last")  # it has met them all
+        root = settle(merged(root, link(fresh), *scope))
     if tried is None:
         tried = compare(pair(groups.limit(0), F.col("gid"), F.col("gid")))
     tried = settle(tried)
@@ -231,6 +299,15 @@ def forest(groups: DataFrame, compare, *scope: str, threshold: float, containmen
     return link(tried), tried
 
 
+def merged(root: DataFrame, links: DataFrame, *scope: str) -> DataFrame:
+    """(scope, gid, root) with what links (scope, a, b) join: components of the roots that they touch."""
+    of = lambda x: root.select(*scope, F.col("gid").alias(x), F.col("root").alias(f"{x}_root"))
+    edges = settle(links.select(*scope, "a", "b").join(of("a"), [*scope, "a"]).join(of("b"), [*scope, "b"]).where("a_root <> b_root").select(*scope, F.col("a_root").alias("a"), F.col("b_root").alias("b")).distinct())
+    ends = edges.select(*scope, F.col("a").alias("gid")).union(edges.select(*scope, F.col("b").alias("gid")))
+    top = components(ends, edges, *scope).select(*scope, F.col("gid").alias("root"), F.col("root").alias("top"))
+    return root.join(top, [*scope, "root"], "left").select(*scope, "gid", F.coalesce("top", "root").alias("root"))
+
+
 def apart(pairs: DataFrame, tried: DataFrame, *scope: str, threshold: float) -> DataFrame:
     """The pairs that a set compared with both doesn't show to be apart: |d(x, c) - d(y, c)| <= d(x, y) for distances."""
     far = tried.select(*scope, "a", "b", (1 - F.col("near")).alias("d"))
@@ -248,24 +325,23 @@ def linked(genomes: DataFrame, markers: DataFrame, *scope: str, threshold: float
 
     Genomes of equal sets are one from the start; candidates are compared by their whole sets.
     """
-    held = settle(markers.select(*scope, "gid", "marker").distinct())
-    mark = [F.bit_xor(F.xxhash64(F.lit(k), "marker")).alias(f"d{k}") for k in (1, 2)]
-    digests = held.groupBy(*scope, "gid").agg(F.count("*").alias("n"), *mark)
-    same = settle(digests.withColumn("rep", F.min("gid").over(Window.partitionBy(*scope, "n", "d1", "d2"))).select(*scope, "gid", "rep"))
-    own = settle(held.join(same.where("gid = rep").select(*scope, "gid"), [*scope, "gid"]))
-    found, _ = forest(groups_of(own, *scope, threshold=threshold, containment=containment), exactly(own, *scope, containment=containment), *scope, threshold=threshold, containment=containment, metric=not containment)
+    held = settle(markers.select(*scope, "gid", "marker").distinct().withColumn("n", F.lit(0)))
+    same = copies_of(held, "marker", *scope)
+    own = numbered(held.join(same.where("gid = rep").select(*scope, "gid"), [*scope, "gid"]), *scope)
+    found, _ = forest(groups_of(own, *scope, threshold=threshold, containment=containment), exactly(own, *scope, containment=containment), *scope, threshold=threshold, containment=containment, metric=not containment, few=FEW // 8 if containment else FEW)
     found = found.select(*scope, "a", "b")
     copies = same.where("gid <> rep").select(*scope, F.col("rep").alias("a"), F.col("gid").alias("b"))
     return found.unionByName(copies.unionByName(empties(genomes, same, *scope)).where(F.lit(threshold <= 1)))  # those of similarity 1
 
 
 def exactly(held: DataFrame, *scope: str, containment: bool = False):
-    """Comparison of pairs by their whole sets."""
-    sets = held.groupBy(*scope, "gid").agg(F.collect_list("marker").alias("set"))
+    """Comparison of pairs by their whole sets, or by their shared markers and their sizes n."""
+    size = F.max("n") if "n" in held.columns else F.count("*")
+    sets = settle(held.groupBy(*scope, "gid").agg(F.collect_list("marker").alias("set"), size.alias("n")))
 
     def compare(pairs: DataFrame) -> DataFrame:
-        one, two = (sets.select(*scope, F.col("gid").alias(x), F.col("set").alias(f"set_{x}")) for x in "ab")
-        both, na, nb = F.size(F.array_intersect("set_a", "set_b")), F.size("set_a"), F.size("set_b")
+        one, two = (sets.select(*scope, F.col("gid").alias(x), F.col("set").alias(f"set_{x}"), F.col("n").alias(f"n{x}")) for x in "ab")
+        both, na, nb = F.size(F.array_intersect("set_a", "set_b")), F.col("na"), F.col("nb")
         near = both / F.least(na, nb) if containment else both / (na + nb - both)
         return pairs.join(one, [*scope, "a"]).join(two, [*scope, "b"]).select(*scope, "a", "b", near.alias("near"))
 
@@ -286,10 +362,12 @@ def sketch_linked(genomes: DataFrame, markers: DataFrame, *scope: str, threshold
     `size_classes`.
     """
     s, n = settle(sketch(markers, *scope, k=k)), settle(sizes(genomes, markers, *scope))
-    kind = "containment" if containment else "jaccard"
-    compare = lambda pairs: estimates(pairs, s, n, *scope, k=k).select(*scope, "a", "b", F.col(kind).alias("near"))
+    same = copies_of(s.join(n, [*scope, "gid"]), "h", *scope)  # of one sketch and size: estimates of them are equal
+    s = settle(s.join(same.where("gid = rep").select(*scope, "gid"), [*scope, "gid"]))
     groups = size_classes(s, n, *scope, threshold=threshold, k=k) if containment else groups_of(s.select(*scope, "gid", F.col("h").alias("marker")), *scope, threshold=threshold)
-    edges = forest(groups, compare, *scope, threshold=threshold, containment=containment)[0].select(*scope, "a", "b")
+    compare = compared(s, n, *scope, k=k, kind="containment" if containment else "jaccard")
+    edges = forest(groups, compare, *scope, threshold=threshold, containment=containment, few=FEW // 8 if containment else FEW)[0].select(*scope, "a", "b")
+    edges = edges.unionByName(same.where("gid <> rep").where(F.lit(threshold <= 1)).select(*scope, F.col("rep").alias("a"), F.col("gid").alias("b")))
     return edges if containment else edges.unionByName(empties(genomes, markers, *scope))  # sketches of two empty sets agree
 
 

@@ -92,3 +92,28 @@ def test_sketch_merges(spark, monkeypatch):
     assert got == {g: sorted(v)[:50] for g, v in want.items()}
     plan = cluster.sketch(held, k=50)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Window") < plan.index("MapInArrow")  # ranks are of what tasks have kept
+
+
+def test_containment_compares_few_that_are_not_linked(spark):
+    """300 sets that share common markers in groups, without being contained in each other, beside 40 small ones that are."""
+    rng = np.random.default_rng(3)
+    sets = [{0, *(rng.choice(60, 12, replace=False) + 1).tolist()} for _ in range(300)]
+    sets += [set(list(sets[i])[:11]) for i in range(0, 80, 2)]
+    ids, held = frames(spark, sets)
+    want = roots(len(sets), [(a, b) for a in range(len(sets)) for b in range(a) if len(sets[a] & sets[b]) >= 0.95 * min(len(sets[a]), len(sets[b]))])
+    links, tried = cluster.forest(cluster.groups_of(held, threshold=0.95, containment=True), cluster.exactly(held, containment=True), threshold=0.95, containment=True)
+    got = {r.gid: r.root for r in cluster.components(ids, links.select("a", "b")).collect()}
+    assert [got[g] for g in range(len(sets))] == want and 1 < len(set(want)) < len(sets)
+    assert tried.count() <= len(sets)
+
+
+def test_small_sets_are_one_class(spark):
+    """Sketches that hold sets whole are not dealt to a class for each size: groups have no more rows than the sets."""
+    rng = np.random.default_rng(5)
+    sets = [set(rng.choice(80, n, replace=False).tolist()) for n in range(1, 61)]
+    ids, held = frames(spark, sets)
+    s, n = cluster.sketch(held), cluster.sizes(ids, held)
+    assert cluster.size_classes(s, n, threshold=0.95).count() <= held.count()
+    want = roots(len(sets), [(a, b) for a in range(len(sets)) for b in range(a) if len(sets[a] & sets[b]) >= 0.95 * min(len(sets[a]), len(sets[b]))])
+    got = {r.gid: r.root for r in cluster.components(ids, cluster.sketch_linked(ids, held, threshold=0.95, containment=True)).collect()}
+    assert [got[g] for g in range(len(sets))] == want
