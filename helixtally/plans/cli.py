@@ -122,7 +122,7 @@ def run(spark: SparkSession, a: argparse.Namespace) -> None:
         if a.out.endswith(".parquet"):
             tables.save_database(db, a.out, names)
         else:
-            tables.write_lines(tables.database_lines(db, names), a.out)
+            tables.write_database(db, a.out, names)
         database.stats(db).show()
     elif a.command == "profile":
         species, db = load(spark, a.db)

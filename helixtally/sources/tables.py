@@ -149,6 +149,11 @@ def community_lines(calls: DataFrame) -> DataFrame:
     return calls.orderBy("species", F.desc("abundance"), "unit").select(F.concat_ws("\t", "species", "unit", number("%.6f", "abundance"), number("%.4f", "coverage"), number("%.0f", "support"), number("%.4f", "depth"), number("%.6f", "global_abundance"), number("%.6f", "sample_fraction"), F.col("n_markers").cast("string")).alias("line"))
 
 
+def write_database(db: DataFrame, path: str, enzymes: list[str]) -> None:
+    """A database as text in a folder: parts in order, each by its own task, which are the whole file one after another."""
+    database_lines(db, enzymes).write.mode("overwrite").text(path)
+
+
 def write_lines(lines: DataFrame, path: str, header: str = "") -> None:
     """A report as one text file on storage that Spark writes to; reports are a row per call."""
     spark = lines.sparkSession
