@@ -117,3 +117,14 @@ def test_small_sets_are_one_class(spark):
     want = roots(len(sets), [(a, b) for a in range(len(sets)) for b in range(a) if len(sets[a] & sets[b]) >= 0.95 * min(len(sets[a]), len(sets[b]))])
     got = {r.gid: r.root for r in cluster.components(ids, cluster.sketch_linked(ids, held, threshold=0.95, containment=True)).collect()}
     assert [got[g] for g in range(len(sets))] == want
+
+
+def test_sketched_pairs_are_scored_from_the_join_that_finds_them(spark, monkeypatch):
+    """The same as sketches joined to the pairs again, without doing that: a row a shared marker, not one a marker of a sketch."""
+    rng = np.random.default_rng(8)
+    ids, held = frames(spark, [set(rng.choice(60, int(rng.integers(5, 40)), replace=False).tolist()) for _ in range(25)])
+    s = cluster.sketch(held, k=16)
+    pairs = s.alias("x").join(s.alias("y"), "h").where("x.gid < y.gid").select(F.col("x.gid").alias("a"), F.col("y.gid").alias("b")).distinct()
+    want = sorted(map(tuple, cluster.estimates(pairs, s, cluster.sizes(ids, held), k=16).collect()))
+    monkeypatch.delattr(cluster, "estimates")
+    assert sorted(map(tuple, cluster.sketched(ids, held, k=16).collect())) == want != []
