@@ -184,13 +184,17 @@ def fnv64(s: pd.Series) -> pd.Series:
     return pd.Series(pd.arrays.IntegerArray(out.view(np.int64), s.isna().to_numpy()))
 
 
+def mixed(x: np.ndarray) -> np.ndarray:
+    """The finaliser of splitmix64, of unsigned numbers."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
 @F.pandas_udf(LongType())
 def splitmix64(s: pd.Series) -> pd.Series:
     """The finaliser that orders markers in sketches."""
-    x = _uint(s)
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return pd.Series((x ^ (x >> np.uint64(31))).view(np.int64))
+    return pd.Series(mixed(_uint(s)).view(np.int64))
 
 
 def unsigned_order(c: Column) -> Column:

@@ -11,8 +11,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from helixtally.functions.dna import splitmix64, unsigned_order
+from helixtally.functions.dna import mixed, splitmix64, unsigned_order  # noqa: F401  sketches are by splitmix64 in unsigned order
 from helixtally.operators.totals import with_totals
 from helixtally.sources.store import discard, scratch, settle, stored
 
@@ -29,7 +30,11 @@ BUFFER = 1 << 18
 
 def sizes(genomes: DataFrame, markers: DataFrame, *scope: str) -> DataFrame:
     """(scope, gid, n) of every genome, 0 for one without markers."""
-    n = markers.select(*scope, "gid", "marker").distinct().groupBy(*scope, "gid").agg(F.count("*").alias("n"))
+    return counted(genomes, markers.select(*scope, "gid", "marker").distinct().groupBy(*scope, "gid").agg(F.count("*").alias("n")), *scope)
+
+
+def counted(genomes: DataFrame, n: DataFrame, *scope: str) -> DataFrame:
+    """The same of counts (scope, gid, n) of those that have any."""
     return genomes.select(*scope, "gid").distinct().join(n, [*scope, "gid"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
@@ -55,27 +60,34 @@ def similarities(genomes: DataFrame, markers: DataFrame, *scope: str) -> DataFra
 
 
 def least_batches(keys: list[str], k: int):
-    """The k least h of each key in each run of BUFFER rows, which is all that the k least of all of them can need."""
+    """(keys, h, rows): the k least mixed markers of each key in each run of BUFFER rows, which is all that the k least of all of them can need.
+
+    rows: in the first row of a key in a run, how many rows the run has of it; 0 in the others.
+    """
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def cut(t: pa.Table) -> pa.Table:
-            t = t.sort_by([(c, "ascending") for c in [*keys, "h"]]).combine_chunks()
             if not t.num_rows:
                 return t
-            new = np.append(True, np.zeros(t.num_rows - 1, bool))
-            for c in keys:
-                coded = pc.dictionary_encode(t[c].combine_chunks() if isinstance(t[c], pa.ChunkedArray) else t[c], null_encoding="encode").indices.to_numpy(zero_copy_only=False)
-                new[1:] |= coded[1:] != coded[:-1]
-            h = t["h"].to_numpy()
-            again = np.append(False, (h[1:] == h[:-1]) & ~new[1:])
-            t, new = t.filter(pa.array(~again)), new[~again]
+            t = t.combine_chunks()
+            codes = [pc.dictionary_encode(t[c].combine_chunks(), null_encoding="encode").indices.to_numpy(zero_copy_only=False) for c in keys]
+            h, n = t["h"].to_numpy(), t["rows"].to_numpy()
+            order = np.lexsort((h, *codes))
+            h, new = h[order], np.append(True, np.zeros(len(h) - 1, bool))
+            for c in codes:
+                new[1:] |= c[order[1:]] != c[order[:-1]]
+            total = np.zeros(len(h), np.int64)
+            total[new] = np.add.reduceat(n[order], np.flatnonzero(new))
+            first = np.append(True, (h[1:] != h[:-1]) | new[1:])
+            order, new, total = order[first], new[first], total[first]
             start = np.flatnonzero(new)
-            place = np.arange(t.num_rows) - np.repeat(start, np.diff(np.append(start, t.num_rows)))
-            return t.filter(pa.array(place < k))
+            some = np.arange(len(order)) - np.repeat(start, np.diff(np.append(start, len(order)))) < k
+            return t.take(pa.array(order[some])).set_column(len(keys) + 1, "rows", pa.array(total[some]))
 
         held, n = [], 0
         for b in it:
-            held.append(pa.Table.from_batches([b]))
+            h = mixed(b["marker"].fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64, copy=False).view(np.uint64)) ^ np.uint64(1 << 63)
+            held.append(pa.Table.from_arrays([*(b[c] for c in keys), pa.array(h.view(np.int64)), pa.array(np.ones(b.num_rows, np.int64))], [*keys, "h", "rows"]))
             n += b.num_rows
             if n > BUFFER:
                 held, before = [cut(pa.concat_tables(held))], n
@@ -89,26 +101,44 @@ def least_batches(keys: list[str], k: int):
     return run
 
 
+def leasts(markers: DataFrame, *scope: str, k: int) -> DataFrame:
+    """(scope, gid, h, rows): what each task keeps of a genome, of which a sketch is made; rows sum up to the genome's rows."""
+    rows = markers.select(*scope, "gid", F.col("marker").cast("long").alias("marker"))
+    schema = StructType([*(rows.schema[c] for c in (*scope, "gid")), StructField("h", LongType()), StructField("rows", LongType())])
+    return rows.mapInArrow(least_batches([*scope, "gid"], k), schema)
+
+
+def ranked(some: DataFrame, *scope: str, k: int) -> DataFrame:
+    """(scope, gid, h, rank): the k least h of each genome; what is there twice has one rank, so that one shuffle is enough."""
+    rank = F.dense_rank().over(Window.partitionBy(*scope, "gid").orderBy("h"))
+    return some.select(*scope, "gid", "h", rank.alias("rank")).where(F.col("rank") <= k).distinct()
+
+
 def sketch(markers: DataFrame, *scope: str, k: int = SKETCH) -> DataFrame:
     """(scope, gid, h, rank): the k least mixed markers of each genome, without sign.
 
     Each task keeps k of a genome before the shuffle; what tasks have kept is merged after it, and ranked. So a genome is
     never sorted whole, nor sent.
     """
-    h = markers.select(*scope, "gid", unsigned_order(splitmix64("marker")).alias("h"))
-    some = h.mapInArrow(least_batches([*scope, "gid"], k), h.schema)
-    by = Window.partitionBy(*scope, "gid").orderBy("h")
-    return some.distinct().withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
+    return ranked(leasts(markers, *scope, k=k), *scope, k=k)
+
+
+def sketches(genomes: DataFrame, markers: DataFrame, *scope: str, k: int = SKETCH) -> tuple[DataFrame, DataFrame]:
+    """(sketches, sizes) of all genomes: `sketch` and `sizes` from one pass over the markers."""
+    some = settle(leasts(markers.select(*scope, "gid", "marker").distinct(), *scope, k=k))
+    return ranked(some, *scope, k=k), counted(genomes, some.groupBy(*scope, "gid").agg(F.sum("rows").alias("n")), *scope)
 
 
 def sketched(genomes: DataFrame, markers: DataFrame, *scope: str, k: int = SKETCH) -> DataFrame:
     """(scope, a, b, jaccard, containment) estimated from sketches, of the pairs that share a sketched marker.
 
-    The join that finds the pairs gives what they share, a row a shared marker: sketches are not joined to the pairs again.
+    The join that finds the pairs gives what they share, a row a shared marker, and brings the sizes along: neither sketches
+    nor sizes are joined to the pairs again.
     """
-    s = settle(sketch(markers, *scope, k=k))
-    one, two = (s.select(*scope, F.col("gid").alias(x), "h", F.col("rank").alias(f"r{x}")) for x in "ab")
-    return scored(one.join(two, [*scope, "h"]).where("a < b"), s, sizes(genomes, markers, *scope), *scope, k=k)
+    s, n = sketches(genomes, markers, *scope, k=k)
+    s = settle(s.withColumn("s", F.count("*").over(Window.partitionBy(*scope, "gid"))).join(n, [*scope, "gid"]))
+    one, two = (s.select(*scope, F.col("gid").alias(x), "h", *(F.col(c).alias(f"{c[0]}{x}") for c in ("rank", "s", "n"))) for x in "ab")
+    return rated(hits_of(one.join(two, [*scope, "h"]).where("a < b"), *scope, "a", "b", "na", "nb", "sa", "sb", k=k), *scope, k=k)
 
 
 def estimates(pairs: DataFrame, s: DataFrame, n: DataFrame, *scope: str, k: int) -> DataFrame:
@@ -119,18 +149,22 @@ def estimates(pairs: DataFrame, s: DataFrame, n: DataFrame, *scope: str, k: int)
 
 
 def scored(both: DataFrame, s: DataFrame, n: DataFrame, *scope: str, k: int) -> DataFrame:
-    """The same of (scope, a, b, h, ra, rb), all markers that are in both sketches of each pair, with their ranks.
+    """The same of (scope, a, b, h, ra, rb), all markers that are in both sketches of each pair, with their ranks."""
+    size = s.groupBy(*scope, "gid").agg(F.count("*").alias("s"))
+    n = n.join(size, [*scope, "gid"], "left").withColumn("s", F.coalesce("s", F.lit(0)))
+    x, y = (n.select(*scope, F.col("gid").alias(g), F.col("n").alias(f"n{g}"), F.col("s").alias(f"s{g}")) for g in "ab")
+    return rated(hits_of(both, *scope, "a", "b", k=k).join(x, [*scope, "a"]).join(y, [*scope, "b"]), *scope, k=k)
+
+
+def hits_of(both: DataFrame, *keys: str, k: int) -> DataFrame:
+    """(keys, hits, common) of such rows; keys: scope, a, b, and what follows from them.
 
     Of the k least of a pair's union, the share in both. A marker in both sketches is among those k if fewer than k
     markers of the union are below it: rank_a + rank_b - (shared ones up to it) <= k.
     """
-    common = F.row_number().over(Window.partitionBy(*scope, "a", "b").orderBy("h"))
+    common = F.row_number().over(Window.partitionBy(*keys[: keys.index("b") + 1]).orderBy("h"))
     both = both.withColumn("place", F.col("ra") + F.col("rb") - common)
-    by = both.groupBy(*scope, "a", "b").agg(F.sum((F.col("place") <= k).cast("long")).alias("hits"), F.count("*").alias("common"))
-    size = s.groupBy(*scope, "gid").agg(F.count("*").alias("s"))
-    n = n.join(size, [*scope, "gid"], "left").withColumn("s", F.coalesce("s", F.lit(0)))
-    x, y = (n.select(*scope, F.col("gid").alias(g), F.col("n").alias(f"n{g}"), F.col("s").alias(f"s{g}")) for g in "ab")
-    return rated(by.join(x, [*scope, "a"]).join(y, [*scope, "b"]), *scope, k=k)
+    return both.groupBy(*keys).agg(F.sum((F.col("place") <= k).cast("long")).alias("hits"), F.count("*").alias("common"))
 
 
 def rated(by: DataFrame, *scope: str, k: int) -> DataFrame:
@@ -361,7 +395,7 @@ def sketch_linked(genomes: DataFrame, markers: DataFrame, *scope: str, threshold
     For Jaccard similarity the sketches themselves are sets that a link needs to share `threshold` of. For containment see
     `size_classes`.
     """
-    s, n = settle(sketch(markers, *scope, k=k)), settle(sizes(genomes, markers, *scope))
+    s, n = map(settle, sketches(genomes, markers, *scope, k=k))
     same = copies_of(s.join(n, [*scope, "gid"]), "h", *scope)  # of one sketch and size: estimates of them are equal
     s = settle(s.join(same.where("gid = rep").select(*scope, "gid"), [*scope, "gid"]))
     groups = size_classes(s, n, *scope, threshold=threshold, k=k) if containment else groups_of(s.select(*scope, "gid", F.col("h").alias("marker")), *scope, threshold=threshold)

@@ -128,3 +128,20 @@ def test_sketched_pairs_are_scored_from_the_join_that_finds_them(spark, monkeypa
     want = sorted(map(tuple, cluster.estimates(pairs, s, cluster.sizes(ids, held), k=16).collect()))
     monkeypatch.delattr(cluster, "estimates")
     assert sorted(map(tuple, cluster.sketched(ids, held, k=16).collect())) == want != []
+
+
+def test_sketches_and_sizes_from_one_pass(spark, monkeypatch):
+    """Sizes are exact however tasks cut their rows, with repeated rows, a null and genomes without markers; pairs need no join with them."""
+    rng = np.random.default_rng(6)
+    rows = [(g % 2, g, int(m)) for g in range(12) for m in rng.integers(0, 60, 15 * (g + 1))] + [(0, 4, None)]
+    held = spark.createDataFrame([rows[i] for i in rng.permutation(len(rows))], "species int, gid long, marker long").repartition(5)
+    ids = spark.createDataFrame([(g % 2, g) for g in range(14)], "species int, gid long")
+    monkeypatch.setattr(cluster, "BUFFER", 16)
+    s, n = cluster.sketches(ids, held, "species", k=8)
+    assert sorted(map(tuple, n.collect())) == sorted((g % 2, g, len({m for _, x, m in rows if x == g})) for g in range(14))
+    assert sorted(map(tuple, s.collect())) == sorted(map(tuple, cluster.sketch(held, "species", k=8).collect()))
+    assert s.groupBy("gid").agg(F.max("rank").alias("r"), F.count("*").alias("c")).where("r <> 8 OR c <> 8").isEmpty()
+    want = sorted(map(tuple, cluster.estimates(s.alias("x").join(s.alias("y"), ["species", "h"]).where("x.gid < y.gid").select("species", F.col("x.gid").alias("a"), F.col("y.gid").alias("b")).distinct(), s, n, "species", k=8).collect()))
+    monkeypatch.delattr(cluster, "sizes")
+    monkeypatch.delattr(cluster, "scored")
+    assert sorted(map(tuple, cluster.sketched(ids, held, "species", k=8).collect())) == want != []
