@@ -9,13 +9,19 @@ import re
 from collections.abc import Iterator
 from pathlib import PurePosixPath
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
+from helixtally.functions.arrow import buffers
 from helixtally.sources import records
 
 FASTA, FASTQ = (".fa", ".fasta", ".fna"), (".fq", ".fastq")
+#: Spark's setting for how many files a task writes at a time, and what it is here.
+WRITERS, OPEN = "spark.sql.maxConcurrentOutputFileWriters", 16
 EDGES = r"^[\t\n\x0B\f\r ]+|[\t\n\x0B\f\r ]+$"
 
 
@@ -91,7 +97,7 @@ def read_sequences(spark: SparkSession, path: str | list[str], split_bytes: int
     """(file, seq_no, seq) of every record of FASTA and FASTQ files, plain or gzip.
 
     Tasks read ranges of `split_bytes` (spark.sql.files.maxPartitionBytes if not given) of plain and block-gzip files, each
-    the records that begin in it, and other gzip files whole; a name that ends in neither is FASTA. seq_no is the number of
+    the records that begin in it, and other gzip files whole; small files share a task while there are enough for all cores. A name that ends in neither is FASTA. seq_no is the number of
     the byte at which a record begins, so it follows the order in the file. A missing file, a broken archive, and a
     file of several ranges with something else than FASTQ records in it, are errors. Files of a scheme that Arrow
     doesn't know are read through Spark, each by one task.
@@ -116,7 +122,7 @@ def read_ranges(spark: SparkSession, paths: list[str], split_bytes: int | None,
     if known or not other:
         spark.dataSource.register(records.Fastx)
         size = split_bytes or int(spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes")))
-        out.append(spark.read.format("fastx").options(**options).option("files", json.dumps(records.sizes(known))).option("splitBytes", size).load())
+        out.append(spark.read.format("fastx").options(**options).option("files", json.dumps(records.sizes(known))).option("splitBytes", size).option("tasks", spark.sparkContext.defaultParallelism).load())
     if other:
         out.append(spark.read.format("binaryFile").load(other).select("path", "content").mapInArrow(whole_files(**options), records.SCHEMA))
     return out[0] if len(out) == 1 else out[0].unionByName(out[1])
@@ -152,6 +158,40 @@ def read_genomes(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame
     return listed.join(n, "gid", "left").select("gid", "name", F.coalesce("n_contigs", F.lit(0)).alias("n_contigs")), seqs
 
 
+def record_texts(sequences: DataFrame, name: str, fastq: bool = False, letters: tuple[str, str] | None = None) -> DataFrame:
+    """(the other columns, value): each seq as the text of a FASTA record, or of a FASTQ record whose qualities are all I.
+
+    letters: characters of the sequences (ASCII), and the bases they stand for, which are put in their place here.
+    """
+    keep, table = [c for c in sequences.columns if c not in (name, "seq")], bytes.maketrans(*(x.encode() for x in letters or ("", "")))
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            data, off = buffers(b["seq"])
+            known = pc.is_valid(b["seq"])
+            put = lambda x: pc.if_else(known, pa.StringArray.from_buffers(b.num_rows, pa.py_buffer(off.astype(np.int32)), pa.py_buffer(x)), None)  # noqa: B023, E731
+            bases = data.tobytes().translate(table)
+            rest = ["\n+\n", put(b"I" * len(bases))] if fastq else []
+            yield pa.RecordBatch.from_arrays([*(b[c] for c in keep), pc.binary_join_element_wise("@" if fastq else ">", b[name].cast(pa.string()), "\n", put(bases), *rest, "")], [*keep, "value"])
+
+    return sequences.select(*keep, name, "seq").mapInArrow(run, StructType([*(sequences.schema[c] for c in keep), StructField("value", StringType())]))
+
+
+def write_texts(texts: DataFrame, path: str, by: str, gzipped: bool = False) -> None:
+    """The column value of (by, value) as text files in a folder for each value of by, gzip ones packed for speed.
+
+    Tasks keep a file open for each of up to OPEN values, so that long texts are not sorted; with more, Spark sorts.
+    """
+    spark = texts.sparkSession
+    before = spark.conf.get(WRITERS, None)
+    spark.conf.set(WRITERS, OPEN)
+    try:
+        out = texts.write.partitionBy(by)
+        (out.option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED") if gzipped else out).text(path)
+    finally:
+        spark.conf.unset(WRITERS) if before is None else spark.conf.set(WRITERS, before)
+
+
 def write_fasta(rows: list[tuple[str, str]], path: str, width: int = 60) -> None:
     """A small FASTA file, for tests and demonstrations."""
     body = "".join(f">{n}\n" + "".join(f"{s[i : i + width]}\n" for i in range(0, len(s), width)) for n, s in rows)

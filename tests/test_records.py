@@ -133,3 +133,39 @@ def test_broken_database_is_empty(spark, tmp_path):
     head, units, _ = tables.read_databases(spark, str(tmp_path))
     assert {r.species for r in head.collect()} == {"good.db", "half.db"}
     assert {(r.species, r["count"]) for r in units.groupBy("species").count().collect()} == {("good.db", 4000)}
+
+
+def test_small_files_are_dealt_among_tasks():
+    """Files that would fit one range are as many partitions as can run at a time; gzip counts for what it holds; none is lost or cut."""
+    files = [(f"/x/{k}.fq.gz" if k % 2 else f"/x/{k}.fa", 1 << 22) for k in range(24)]
+    for tasks in (1, 6, 100):
+        got = records.pieces_of(files, 1 << 27, tasks)
+        assert [(p.path, p.start, p.end) for part in got for p in part.pieces] == [(p, 0, n) for p, n in files]
+        assert len(got) >= min(tasks, len(files))
+        heavy = [sum(records.weight(p.path, p.end - p.start) for p in part.pieces) for part in got]
+        assert max(heavy) <= max(2 * sum(heavy) / min(tasks, 24), 1 << 27 if tasks == 1 else 0)
+
+
+def test_texts_of_records_are_read_back(spark, tmp_path):
+    """FASTA and gzip FASTQ by species, more of them than a task keeps open, with letters for bases, null and empty sequences."""
+    rows = [(f"s{k % 20}", k, "0123456789abcdef"[k % 16 :] * (k % 3)) for k in range(200)] + [("s1", 900, None)]
+    seqs = spark.createDataFrame(rows, "species string, gid long, seq string").repartition(3)
+    letters = ("0123456789abcdef", "ACGTACGTACGTACGT")
+    want = [(s, x.translate(str.maketrans(*letters))) for s, _, x in rows if x is not None]
+    for name, fastq in (("fasta", False), ("fastq", True)):
+        texts = fastx.record_texts(seqs, "gid", fastq=fastq, letters=letters)
+        if fastq:
+            texts = texts.withColumn("species", F.concat("species", F.lit(".fq")))
+            assert sorted(v for v in texts.toPandas()["value"] if v)[:1] == ["@0\n\n+\n"]
+        fastx.write_texts(texts.where("value IS NOT NULL"), str(tmp_path / name), "species", gzipped=fastq)
+        assert spark.conf.get(fastx.WRITERS) == "0"
+        got = fastx.read_sequences(spark, str(tmp_path / name / "species=*")).select(F.regexp_extract("file", "species=([^/.]*)", 1), "seq")
+        assert sorted(map(tuple, got.collect())) == sorted(x for x in want if fastq or x[1])
+
+
+def test_texts_are_written_without_a_sort(spark, tmp_path, monkeypatch):
+    """A task keeps the files of a few species open: with one file at a time, long texts would be sorted first."""
+    seen, write = [], type(spark.range(1).write).text
+    monkeypatch.setattr(type(spark.range(1).write), "text", lambda self, path: (seen.append(spark.conf.get(fastx.WRITERS)), write(self, path))[1])
+    fastx.write_texts(spark.createDataFrame([("a", "x"), ("b", "y")], "species string, value string"), str(tmp_path / "o"), "species")
+    assert seen == [fastx.OPEN] or seen == [str(fastx.OPEN)]
