@@ -7,40 +7,39 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from helixtally.operators import database, profile
 from helixtally.sources.store import discard
 
-#: Markers of a panel in one slice, about: a slice is a key of the state, whose value one task holds.
+#: Markers of a slice of a panel, or of the short panels of a part, about: together they are a key of the state, whose value one task holds.
 SLICE = 4096
+#: Tags that a task holds before it sums them up.
+HELD = 1 << 20
+#: How a key's places, markers and copies are stored.
+KINDS = ("<i4", "<i8", "<i8")
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 class PanelTally(StatefulProcessor):
-    """How often each marker of a slice has been seen, as state; out comes how many markers have been seen how often."""
+    """How often each marker of each panel of a part has been seen, as state; out comes, of the panels that were met, how many
+    markers have been seen how often. A panel is its place in its part."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getValueState("seen", "markers binary, copies binary")
+        self.seen = handle.getValueState("seen", "places binary, markers binary, copies binary")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        markers, copies = [], []
-        if self.seen.exists():
-            old = self.seen.get()
-            markers.append(np.frombuffer(old[0], "<i8"))
-            copies.append(np.frombuffer(old[1], "<i8"))
-        for pdf in rows:
-            markers.append(pdf["marker"].to_numpy("<i8"))
-            copies.append(pdf["copies"].to_numpy("<i8"))
-        marker, at = np.unique(np.concatenate(markers), return_inverse=True)
-        total = np.zeros(len(marker), "<i8")
-        np.add.at(total, at, np.concatenate(copies))
-        self.seen.update((marker.astype("<i8").tobytes(), total.tobytes()))
-        value, m = np.unique(total, return_counts=True)
-        yield pd.DataFrame({**dict(zip(self.names, key, strict=True)), "copies": value.astype(np.int64), "m": m.astype(np.int64)})
+        held = [[np.frombuffer(x, kind) for x, kind in zip(self.seen.get(), KINDS, strict=True)]] if self.seen.exists() else []
+        new = [[pdf[c].to_numpy(kind) for c, kind in zip(("place", "marker", "copies"), KINDS, strict=True)] for pdf in rows]
+        met = np.unique(np.concatenate([x[0] for x in new]))
+        place, marker, total = summed(*map(np.concatenate, zip(*held, *new, strict=True)))
+        self.seen.update(tuple(x.astype(kind).tobytes() for x, kind in zip((place, marker, total), KINDS, strict=True)))
+        some = np.isin(place, met)
+        place, value, m = summed(place[some], total[some], np.ones(int(some.sum()), np.int64))
+        yield pd.DataFrame({**dict(zip(self.names, key, strict=True)), "place": place.astype(np.int32), "copies": value.astype(np.int64), "m": m.astype(np.int64)})
 
     def close(self) -> None:
         pass
@@ -49,31 +48,58 @@ class PanelTally(StatefulProcessor):
         self.names = names
 
 
+def summed(one: np.ndarray, two: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct pairs of one and two, in order, with the sums of n."""
+    order = np.lexsort((two, one))
+    one, two = one[order], two[order]
+    start = np.flatnonzero(np.append(True, (one[1:] != one[:-1]) | (two[1:] != two[:-1])))
+    return one[start], two[start], np.add.reduceat(n[order], start)
+
+
 def combined(tags: DataFrame, *by: str) -> DataFrame:
-    """(by, marker, copies): the tags of each Arrow batch, summed up before they are shuffled."""
+    """(by, marker, copies): the tags of each HELD rows of a task, summed up before they are shuffled."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def added(held: list[pa.RecordBatch]) -> list[pa.RecordBatch]:
+            return pa.Table.from_batches(held).group_by([*by, "marker"]).aggregate([([], "count_all")]).rename_columns([*by, "marker", "copies"]).to_batches()
+
+        held, n = [], 0
         for b in it:
-            yield from pa.Table.from_batches([b]).group_by([*by, "marker"]).aggregate([([], "count_all")]).rename_columns([*by, "marker", "copies"]).to_batches()
+            held.append(b)
+            n += b.num_rows
+            if n >= HELD:
+                yield from added(held)
+                held, n = [], 0
+        if held:
+            yield from added(held)
 
     kinds = dict(tags.dtypes)
     return tags.select(*by, "marker").where("marker IS NOT NULL").mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in (*by, "marker")) + ", copies long")
 
 
+def dealt(panels: DataFrame, *scope: str, slice_size: int = SLICE) -> DataFrame:
+    """(scope, unit, part, place, slices): a scope's panels in parts of about slice_size markers, a long panel in slices of a part."""
+    n = F.sum(F.least("panel_n", F.lit(slice_size))).over(Window.partitionBy(*scope) if scope else Window.partitionBy(F.lit(0)))
+    parts = F.greatest(F.ceil(n / slice_size), F.lit(1))
+    out = panels.select(*scope, "unit", F.greatest(F.ceil(F.col("panel_n") / slice_size), F.lit(1)).alias("slices"), F.pmod(F.xxhash64("unit"), parts).alias("part"))
+    return out.withColumn("place", F.row_number().over(Window.partitionBy(*scope, "part").orderBy("unit")))
+
+
 def tallies(tags: DataFrame, db: DataFrame, panels: DataFrame, *scope: str, by: tuple[str, ...] = (), slice_size: int = SLICE) -> DataFrame:
     """(by, scope, unit, slice, copies, m): of each slice that a trigger's tags touch, the tally of all tags so far.
 
     tags: a stream of (by, marker), a row an occurrence; db: (scope, unit, marker, is_unique[, usable]), markers as long;
-    panels: (scope, unit, panel_n). A stored database (`tables.stored_database`) isn't shuffled. The number of slices of
-    a panel follows from its size alone, so a database must stay the same for as long as the state is kept.
+    panels: (scope, unit, panel_n), computed once (a table or a checkpoint). A stored database (`tables.stored_database`)
+    isn't shuffled. A key of the state is a slice of a part: of a long panel, or of many short ones, which would cost a key
+    each. How panels are dealt follows from their sizes alone, so a database must stay the same for as long as the state is kept.
     """
-    names = [*by, *scope, "unit", "slice"]
-    sized = panels.select(*scope, "unit", F.greatest(F.ceil(F.col("panel_n") / slice_size), F.lit(1)).alias("slices"))
+    keys, sized = [*by, *scope, "part", "slice"], dealt(panels, *scope, slice_size=slice_size)
     met = combined(tags, *by).join(database.unique_markers(db).select(*scope, "unit", "marker"), "marker").join(sized, [*scope, "unit"])
     met = met.withColumn("slice", F.pmod(F.xxhash64("marker"), F.col("slices")).cast("int"))
     kinds = dict(met.dtypes)
-    schema = ", ".join(f"{c} {kinds[c]}" for c in names) + ", copies long, m long"
-    return met.select(*names, "marker", "copies").groupBy(*names).transformWithStateInPandas(PanelTally(names), schema, "update", "none")
+    schema = ", ".join(f"{c} {kinds[c]}" for c in keys) + ", place int, copies long, m long"
+    out = met.select(*keys, "place", "marker", "copies").groupBy(*keys).transformWithStateInPandas(PanelTally(keys), schema, "update", "none")
+    return out.join(sized.drop("slices"), [*scope, "part", "place"]).select(*by, *scope, "unit", "slice", "copies", "m")
 
 
 def snapshots(spark: SparkSession, out: str) -> list[int]:

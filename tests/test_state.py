@@ -64,3 +64,21 @@ def test_slices_sum_to_the_panel(spark, tmp_path, turns):
         state.keep(state.tallies(tags, db, panels, slice_size=30), str(tmp_path / "out"), str(tmp_path / "cp"))
     sample = spark.createDataFrame([(m, m % 5) for m in range(300)], "marker long, copies long")
     assert state.stats(spark, str(tmp_path / "out"), panels).collect() == profile.panel_stats(db, sample).collect()
+
+
+def test_short_panels_share_a_key(spark, tmp_path):
+    """60 panels of 5 markers are 3 parts, not 60 keys; a trigger that meets one panel of a part leaves the others as they were."""
+    db = database.build(spark.createDataFrame([(f"u{u}", 100 * u + m) for u in range(60) for m in range(5)], "unit string, marker long"))
+    panels = database.panels(db).checkpoint()
+    parts = state.dealt(panels, slice_size=100)
+    assert parts.select("part").distinct().count() <= 3
+    assert parts.select("part", "place").distinct().count() == 60 and parts.where("slices <> 1").isEmpty()
+    turns = [[100 * u + m for u in range(0, 60, 2) for m in range(4)], [100 * 4 + 1, 100 * 7, 100 * 7, 5000000], []]
+    for turn in turns:
+        spark.createDataFrame([(m,) for m in turn], "marker long").write.mode("append").parquet(str(tmp_path / "in"))
+        tags = spark.readStream.schema("marker long").parquet(str(tmp_path / "in"))
+        state.keep(state.tallies(tags, db, panels, slice_size=100), str(tmp_path / "out"), str(tmp_path / "cp"))
+    seen = [(m,) for turn in turns for m in turn]
+    sample = digest.counts(spark.createDataFrame(seen, "marker long"), marker="marker")
+    want = profile.panel_stats(db, sample).where("detected1 > 0")
+    assert sorted(map(tuple, state.stats(spark, str(tmp_path / "out"), panels).collect())) == sorted(map(tuple, want.collect()))
