@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -33,7 +34,7 @@ class PanelTally(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         held = [[np.frombuffer(x, kind) for x, kind in zip(self.seen.get(), KINDS, strict=True)]] if self.seen.exists() else []
-        new = [[pdf[c].to_numpy(kind) for c, kind in zip(("place", "marker", "copies"), KINDS, strict=True)] for pdf in rows]
+        new = [[np.frombuffer(x, kind) for x, kind in zip(row, KINDS, strict=True)] for pdf in rows for row in zip(pdf["place"], pdf["marker"], pdf["copies"], strict=True)]
         met = np.unique(np.concatenate([x[0] for x in new]))
         place, marker, total = summed(*map(np.concatenate, zip(*held, *new, strict=True)))
         self.seen.update(tuple(x.astype(kind).tobytes() for x, kind in zip((place, marker, total), KINDS, strict=True)))
@@ -77,6 +78,41 @@ def combined(tags: DataFrame, *by: str) -> DataFrame:
     return tags.select(*by, "marker").where("marker IS NOT NULL").mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in (*by, "marker")) + ", copies long")
 
 
+def packed(met: DataFrame, *keys: str) -> DataFrame:
+    """met (keys, place, marker, copies) with the rows of a key in each HELD rows of a task as one, of bytes: every row that a
+    state's processor is given costs far more than what is in it.
+    """
+    values = ("place", "marker", "copies")
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def put(held: list[pa.RecordBatch]) -> list[pa.RecordBatch]:
+            t = pa.Table.from_batches(held).combine_chunks()
+            codes = [pc.dictionary_encode(t[c].combine_chunks(), null_encoding="encode").indices.to_numpy(zero_copy_only=False) for c in keys]
+            order = np.lexsort(codes)
+            new = np.append(True, np.zeros(len(order) - 1, bool))
+            for c in codes:
+                new[1:] |= c[order[1:]] != c[order[:-1]]
+            start = np.flatnonzero(new)
+            out = t.select(keys).take(pa.array(order[start]))
+            for c, kind in zip(values, KINDS, strict=True):
+                x = t[c].to_numpy()[order].astype(kind)
+                off = (np.append(start, len(order)) * x.itemsize).astype(np.int32)
+                out = out.append_column(c, pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(off), pa.py_buffer(x)]))
+            return out.to_batches()
+
+        held, n = [], 0
+        for b in it:
+            held, n = [*held, b] if b.num_rows else held, n + b.num_rows
+            if n >= HELD:
+                yield from put(held)
+                held, n = [], 0
+        if held:
+            yield from put(held)
+
+    kinds = dict(met.dtypes)
+    return met.select(*keys, *values).mapInArrow(run, ", ".join([f"{c} {kinds[c]}" for c in keys] + [f"{c} binary" for c in values]))
+
+
 def dealt(panels: DataFrame, *scope: str, slice_size: int = SLICE) -> DataFrame:
     """(scope, unit, part, place, slices): a scope's panels in parts of about slice_size markers, a long panel in slices of a part."""
     n = F.sum(F.least("panel_n", F.lit(slice_size))).over(Window.partitionBy(*scope) if scope else Window.partitionBy(F.lit(0)))
@@ -98,7 +134,7 @@ def tallies(tags: DataFrame, db: DataFrame, panels: DataFrame, *scope: str, by:
     met = met.withColumn("slice", F.pmod(F.xxhash64("marker"), F.col("slices")).cast("int"))
     kinds = dict(met.dtypes)
     schema = ", ".join(f"{c} {kinds[c]}" for c in keys) + ", place int, copies long, m long"
-    out = met.select(*keys, "place", "marker", "copies").groupBy(*keys).transformWithStateInPandas(PanelTally(keys), schema, "update", "none")
+    out = packed(met, *keys).groupBy(*keys).transformWithStateInPandas(PanelTally(keys), schema, "update", "none")
     return out.join(sized.drop("slices"), [*scope, "part", "place"]).select(*by, *scope, "unit", "slice", "copies", "m")
 
 
